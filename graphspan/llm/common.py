@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -105,3 +106,9 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what is no longer referenced, rather than when the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
