@@ -165,8 +165,11 @@ def identify(rows: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     seen, _ = stored(evidence(rows, model), "evidence")
     k = len(model.languages)
     names = F.array(*[F.lit(x) for x in model.languages]) if k else F.array().cast("array<string>")
-    priors, _ = stored(host_priors(seen, k), "priors")
-    fused = lookup_join(seen, priors, ["host", "domain"])
+    if k:
+        priors, _ = stored(host_priors(seen, k), "priors")
+        fused = lookup_join(seen, priors, ["host", "domain"])
+    else:  # nothing was learned: no languages to choose from
+        fused = seen.withColumn("prior", F.lit(None).cast("array<double>"))
     logs = F.when(F.col("prior").isNull(), F.col("evidence")).otherwise(F.zip_with("evidence", F.coalesce("prior", F.transform("evidence", lambda x: F.lit(1.0))), lambda e, p: e + F.log(p)))
     fused = fused.withColumn("posterior", _softmax(logs))
     best = lambda c: F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))
