@@ -167,3 +167,20 @@ def duplicates(prints: DataFrame) -> DataFrame:
     """graph_id, first: graphs whose fingerprint an earlier one has."""
     w = Window.partitionBy("fingerprint")
     return prints.withColumn("first", F.min("graph_id").over(w)).filter("graph_id <> first").select("graph_id", "first")
+
+
+def concept_fingerprints(found: DataFrame, nodes: DataFrame, classes: DataFrame, related: DataFrame | None = None, most: int = 3) -> DataFrame:
+    """graph_id, key, a, b: keys of class pairs on paths of at most two steps, and of single nodes.
+
+    classes: (graph_id, node, class), of which the first ``most`` by name count; related (a, b): classes a query is widened by.
+    """
+    from pyspark.sql import Window
+
+    first = classes.filter(~F.col("class").startswith("DOMAIN_")).withColumn("n", F.row_number().over(Window.partitionBy("graph_id", "node").orderBy("class"))).filter(F.col("n") <= most).drop("n")
+    if related is not None:
+        more = first.join(F.broadcast(related.filter("weight >= 0.6").select(F.col("a").alias("class"), F.col("b").alias("wider"))), "class").select("graph_id", "node", F.col("wider").alias("class"))
+        first = first.unionByName(more).distinct()
+    named = first.join(nodes.select("graph_id", "node", "role"), ["graph_id", "node"]).select("graph_id", "node", F.concat_ws(":", "role", "class").alias("d"))
+    at = lambda end: named.select("graph_id", F.col("node").alias(end), F.col("d").alias(f"d_{end}"))
+    pairs = found.filter("hops <= 2").join(at("a"), ["graph_id", "a"]).join(at("b"), ["graph_id", "b"]).select("graph_id", sha(F.lit("C2"), "d_a", "path", "d_b").alias("key"), "a", "b")
+    return pairs.unionByName(named.select("graph_id", sha(F.lit("C1"), "d").alias("key"), F.col("node").alias("a"), F.col("node").alias("b")))

@@ -43,10 +43,6 @@ def d6_concepts(spark, d):
     return lexicon.label_concepts(_labels(spark, d)).select("label", F.array_join("concepts", ",").alias("concepts"))
 
 
-def d8_role_hint(spark, d):
-    return lexicon.role_hints(lexicon.label_concepts(_labels(spark, d)))
-
-
 def d9_trigrams(spark, d):
     return _labels(spark, d).select("label", F.explode(text.counts(text.trigrams(F.col("label")))).alias("g")).select("label", F.col("g.item").alias("gram"), F.col("g.n").cast("long").alias("n"))
 

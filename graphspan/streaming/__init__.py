@@ -1,0 +1 @@
+"""Structured Streaming: standing search, folds of event logs, throttles."""
