@@ -8,7 +8,7 @@ Documents become sets of word n-gram fingerprints (64 bits).  Equal sets are one
    the counters tell to be long are dealt out over several tasks and joined by their sizes alone.
 3. ``Cluster`` joins the sets of a cluster exactly: lists are skipped in blocks by size and by the position of the token, and a
    set that turns out to be linked to an earlier one takes over its answers: whatever is in that component already needs no
-   comparison.  Clusters of more than ``block`` sets are cut into blocks, and every two blocks meet in a task of their own.
+   comparison.  Clusters of more than ``block`` sets are cut by size into windows and these into blocks (see ``_tasks``).
 
 Only links of a spanning forest leave step 3; components come from iterated joins.  Nothing is capped.
 
@@ -19,6 +19,7 @@ component of null doc_ids alone has none; ties don't matter; other columns are i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -78,10 +79,21 @@ def _counts(docs: DataFrame, n: int, counters: int) -> np.ndarray:
     width = counters // COUNTER_PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(counters, np.uint32)
+        total, held, waiting = np.zeros(counters, np.uint32), [], 0
+
+        def flush() -> None:
+            at, n = np.unique((np.concatenate(held) & np.uint64(counters - 1)).astype(np.uint32), return_counts=True)
+            total[at] += n.astype(np.uint32)
+
         for batch in slices(batches, limit=2 << 20):
-            sets = token_sets(texts_of(batch), n)
-            total += np.bincount((np.concatenate(sets) & np.uint64(counters - 1)).astype(np.int64), minlength=counters).astype(np.uint32) if sets else 0
+            for s in token_sets(texts_of(batch), n):
+                held.append(s)
+                waiting += len(s)
+            if waiting > 1 << 21:
+                flush()
+                held, waiting = [], 0
+        if waiting:
+            flush()
         if total.any():
             blobs = [zstandard.compress(np.minimum(x, 65535).astype(np.uint16).tobytes(), 1) for x in total.reshape(COUNTER_PARTS, width)]
             yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_PARTS), pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
@@ -293,13 +305,35 @@ def _exact(members: DataFrame, t: Fraction, n: int) -> DataFrame:
     return members.mapInArrow(run, "a bigint, b bigint")
 
 
+def _tasks(member: DataFrame, t: Fraction, block: int) -> DataFrame:
+    """(task, side, node, tokens): which sets meet.
+
+    A cluster of at most ``block`` sets is one task.  In a larger one, sets are put into classes of sizes, each 1/t times
+    wider than the one before, so that linked sets are in one class or in neighbouring ones; a window is a class with the
+    next one, and windows of more than ``block`` sets are cut into blocks, of which every two meet.
+    """
+    small = member.filter(F.col("members") <= block).select(F.xxhash64("label").alias("task"), F.lit(0).alias("side"), "node", "tokens")
+    width = F.lit(math.log(t.denominator / t.numerator) * (1 + 1e-9))
+    large = member.filter(F.col("members") > block).withColumn("class", F.floor(F.log((F.octet_length("tokens") / 8).cast("double")) / width).cast("int"))
+    counts = large.groupBy("label", "class").agg(F.count("*").alias("n"))
+    above = counts.select("label", (F.col("class") - 1).alias("class"), F.col("n").alias("n_above"))
+    windows, _ = stored(counts.join(above, ["label", "class"], "left").select("label", F.col("class").alias("window"), F.ceil((F.col("n") + F.coalesce("n_above", F.lit(0))) / block).cast("int").alias("blocks")), "windows")
+    seen = large.withColumn("window", F.explode(F.array(F.col("class"), F.col("class") - 1)))
+    seen = lookup_join(seen, windows, ["label", "window"], "inner").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    dealt = seen.select("label", "window", "own", "node", "tokens", F.explode(pairs).alias("ij"))
+    side = F.when(F.col("ij.i") == F.col("ij.j"), 0).when(F.col("own") == F.col("ij.i"), 1).otherwise(2)
+    return small.unionByName(dealt.select(F.xxhash64("label", "window", "ij.i", "ij.j").alias("task"), side.alias("side"), "node", "tokens"))
+
+
 def join(docs: DataFrame, threshold: Fraction = Fraction(8, 10), n: int = 5, block: int = 128) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links lead to, itself included) for every row."""
     spark = docs.sparkSession
     t = Fraction(threshold)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     letters = docs.select(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << max(0, int(letters // 256)).bit_length()))
+    # a word takes about eight characters, and a counter should hold few n-grams
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << int(letters // 128).bit_length()))
     counts = spark.sparkContext.broadcast(_counts(texts, n, counters))
     index, index_at = stored(_index(texts, n, t, counts), "index")
     release(spark)
@@ -333,11 +367,7 @@ def join(docs: DataFrame, threshold: Fraction = Fraction(8, 10), n: int = 5, blo
     if unnamed.limit(1).count():
         named = named.unionByName(_unnamed(texts, unnamed, n))
     member, _ = stored(named.select("text", "node", "label", "members").mapInArrow(sets, "node bigint, label bigint, members bigint, tokens binary"), "sets")
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    tasks = member.withColumn("own", mine).withColumn("blocks", blocks).select("*", F.explode(pairs).alias("ij"))
-    tasks = tasks.select(F.xxhash64("label", "ij.i", "ij.j").alias("task"), F.when(F.col("ij.i") == F.col("ij.j"), 0).otherwise(F.when(F.col("own") == F.col("ij.i"), 1).otherwise(2)).alias("side"), "node", "tokens")
+    tasks = _tasks(member, t, block)
     links, _ = stored(_exact(tasks.repartition("task").sortWithinPartitions("task"), t, n), "links")
     release(spark)
     linked, _ = stored(components(links), "components")
