@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, slices, stored, texts_of
-from .tokenids import encoder, with_end
+from .common import column, lookup_join, slices, stored, texts_of
+from .tokenids import ENCODE_BYTES, encoder, with_end
 
 BLOCK = 512
 SEGMENT_TOKENS = 1 << 18
@@ -115,7 +115,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, width: int = 8, segment_
                 ["part", "segment", "doc_ids", "doc_tokens", "codes"],
             )
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=ENCODE_BYTES):
             ids, bounds = with_end(*enc.encode(texts_of(batch)), end_id)
             for k, doc in enumerate(column(batch, "doc_id").to_pylist()):
                 n = int(bounds[k + 1] - bounds[k])
@@ -164,4 +164,4 @@ def read(segments: DataFrame, with_ids: bool = False) -> DataFrame:
                     cols.append(pa.array([ids[a:b].astype(np.int64) for a, b in zip(begins, ends, strict=True)], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
-    return segments.join(placed, ["part", "segment"]).mapInArrow(run, schema)
+    return lookup_join(segments, placed, ["part", "segment"], "inner").mapInArrow(run, schema)

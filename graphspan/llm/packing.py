@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, slices, stored, texts_of
-from .tokenids import encoder, with_end
+from .tokenids import ENCODE_BYTES, encoder, with_end
 
 
 def piece_lengths(n: int, max_len: int = 1024) -> list[int]:
@@ -38,7 +38,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, max_len: int = 1024,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), {1 << b: 0 for b in range(max_len.bit_length())}
-        for batch in slices(batches):
+        for batch in slices(batches, limit=ENCODE_BYTES):
             ids, bounds = with_end(*enc.encode(texts_of(batch)), end_id)
             ids = ids.astype("<u4")
             rows: list[tuple] = []

@@ -8,6 +8,9 @@ from itertools import chain
 
 import numpy as np
 
+#: Bytes of text encoded at once: a worker holds several words and numbers for each of their words meanwhile.
+ENCODE_BYTES = 1 << 20
+
 #: Unicode White_Space, as the byte-level pattern's \s has it.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
