@@ -69,7 +69,7 @@ def c3_presentation(spark, d):
 
 def c5_allow_list(spark, d):
     rows = _sessions(spark, d)
-    return ops.discoverable(rows).select("session_id", F.when(F.col("share_profile"), F.col("user_id")).alias("user_id"), F.when(F.col("share_location"), F.col("region")).alias("region"), "record_kind")
+    return ops.discoverable(rows).select("session_id", F.when(F.col("share_profile"), F.col("user_id").cast("string")).alias("user_id"), F.when(F.col("share_location"), F.col("region")).alias("region"), "record_kind")
 
 
 def blocks(spark, d) -> DataFrame:
@@ -312,7 +312,7 @@ ORACLES = {
     "c1_share_state": f"{_S} SELECT session_id, CASE WHEN deleted THEN 'deleted' WHEN revoked THEN 'revoked' WHEN share_enabled AND share_thought THEN 'discoverable' ELSE 'hidden' END AS state FROM s",
     "c2_visible": f"{_S} SELECT session_id, user_id FROM disc WHERE NOT hidden",
     "c3_presentation": f"{_S} SELECT session_id, CASE WHEN share_profile THEN name ELSE 'anonymous' END AS display, CASE WHEN share_location THEN city END AS city, CASE WHEN share_location THEN region END AS region, CASE WHEN share_location THEN lat END AS lat, CASE WHEN share_location THEN lon END AS lon FROM s",
-    "c5_allow_list": f"{_S} SELECT session_id, CASE WHEN share_profile THEN user_id END AS user_id, CASE WHEN share_location THEN region END AS region, record_kind FROM disc",
+    "c5_allow_list": f"{_S} SELECT session_id, CASE WHEN share_profile THEN CAST(user_id AS VARCHAR) END AS user_id, CASE WHEN share_location THEN region END AS region, record_kind FROM disc",
     "c6_drop_reasons": f"{VIEW} SELECT coalesce(reason, 'shown') AS reason, count(*) AS n FROM seen GROUP BY 1",
     "c6_project_rows": f"{VIEW} SELECT session_id, user_id, CASE WHEN share_location THEN region END AS region, CASE WHEN share_location THEN round_even({KM}, -1) END AS km, CASE WHEN share_location THEN {BUCKET} END AS distance FROM seen WHERE reason IS NULL",
     "c7_semi_join_registry": f"{_S}, hits AS (SELECT o_orderkey AS session_id, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) SELECT session_id, rank FROM hits WHERE rank <= 500 AND session_id IN (SELECT session_id FROM disc)",

@@ -29,7 +29,7 @@ def k_adjudicate(spark, d):
     nodes, relations, _ = _tables(spark, d)
     pairs, mapping = _neighbours(nodes)
     got = verify.adjudicate(kept(pairs), kept(mapping), nodes, relations)
-    return got.withColumns({c: F.round(c, 6) for c in ("n_role", "r_direct", "contradiction", "coverage_containment", "coverage_symmetric")}).withColumns({c: F.col(c).cast("long") for c in ("n", "n_preserved")})
+    return got.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("n_role", "r_direct", "contradiction", "coverage_containment", "coverage_symmetric")}).withColumns({c: F.col(c).cast("long") for c in ("n", "n_preserved")})
 
 
 def k2_roles(spark, d):
@@ -165,10 +165,10 @@ found AS (SELECT r.query_id, r.graph_id, r.rel, least(r.conf, c.conf) AS w,
 conflict AS (SELECT query_id, graph_id, sum(CASE WHEN rule <= 2 THEN w ELSE 0.5 * w END) AS against, max(CAST(rule <= 2 AND w >= 0.9 AS INT)) AS hard FROM found GROUP BY ALL),
 kept AS (SELECT query_id, graph_id, sum(w) AS mass, count(*) AS n_preserved FROM same GROUP BY ALL),
 tq AS (SELECT query_id, graph_id, sum(conf) AS total FROM q GROUP BY ALL), tc AS (SELECT query_id, graph_id, sum(conf) AS candidate FROM c GROUP BY ALL)
-SELECT p.query_id, p.graph_id, m.n, coalesce(k.n_preserved, 0) AS n_preserved, coalesce(x.hard, 0) = 1 AS h_sign_conflict, round(m.n_role, 6) AS n_role,
-  round(CASE WHEN greatest(coalesce(total, 0), coalesce(candidate, 0)) > 0 THEN coalesce(mass, 0) / greatest(coalesce(total, 0), coalesce(candidate, 0)) ELSE 0 END, 6) AS r_direct,
-  round(CASE WHEN greatest(coalesce(total, 0), coalesce(candidate, 0)) > 0 THEN least(1.0, coalesce(against, 0) / greatest(coalesce(total, 0), coalesce(candidate, 0))) ELSE 0 END, 6) AS contradiction,
-  round(m.n / least(a.size, b.size), 6) AS coverage_containment, round(2 * m.n / (a.size + b.size), 6) AS coverage_symmetric
+SELECT p.query_id, p.graph_id, m.n, coalesce(k.n_preserved, 0) AS n_preserved, coalesce(x.hard, 0) = 1 AS h_sign_conflict, round(m.n_role + 1e-9, 6) AS n_role,
+  round(CASE WHEN greatest(coalesce(total, 0), coalesce(candidate, 0)) > 0 THEN coalesce(mass, 0) / greatest(coalesce(total, 0), coalesce(candidate, 0)) ELSE 0 END + 1e-9, 6) AS r_direct,
+  round(CASE WHEN greatest(coalesce(total, 0), coalesce(candidate, 0)) > 0 THEN least(1.0, coalesce(against, 0) / greatest(coalesce(total, 0), coalesce(candidate, 0))) ELSE 0 END + 1e-9, 6) AS contradiction,
+  round(m.n / least(a.size, b.size) + 1e-9, 6) AS coverage_containment, round(2 * m.n / (a.size + b.size) + 1e-9, 6) AS coverage_symmetric
 FROM pairs p JOIN m USING (query_id, graph_id) JOIN sizes a ON a.graph_id = p.query_id JOIN sizes b ON b.graph_id = p.graph_id LEFT JOIN kept k USING (query_id, graph_id) LEFT JOIN conflict x USING (query_id, graph_id) LEFT JOIN tq USING (query_id, graph_id) LEFT JOIN tc USING (query_id, graph_id)""",
     "k25_verdicts": f"""WITH {COMPONENTS}, w AS (SELECT *, CASE WHEN classification = 'negative' THEN CASE WHEN hard THEN 1.0 ELSE 0.25 - structural END ELSE structural - 0.25 END AS margin FROM v)
 SELECT l_orderkey, classification, CASE WHEN gate < 0.5 OR abs(margin) < 0.08 OR contradiction > 0.10 THEN 'low' WHEN gate >= 0.9 AND abs(margin) >= 0.25 AND contradiction = 0 THEN 'high' ELSE 'medium' END AS confidence FROM w""",
