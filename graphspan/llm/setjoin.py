@@ -79,11 +79,11 @@ def _counts(docs: DataFrame, n: int, counters: int) -> np.ndarray:
     width = counters // COUNTER_PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, waiting = np.zeros(counters, np.uint32), [], 0
+        total, held, waiting = np.zeros(counters, np.uint16), [], 0
 
         def flush() -> None:
             at, n = np.unique((np.concatenate(held) & np.uint64(counters - 1)).astype(np.uint32), return_counts=True)
-            total[at] += n.astype(np.uint32)
+            total[at] = np.minimum(total[at].astype(np.int64) + n, 65535).astype(np.uint16)
 
         for batch in slices(batches, limit=2 << 20):
             for s in token_sets(texts_of(batch), n):
@@ -95,7 +95,7 @@ def _counts(docs: DataFrame, n: int, counters: int) -> np.ndarray:
         if waiting:
             flush()
         if total.any():
-            blobs = [zstandard.compress(np.minimum(x, 65535).astype(np.uint16).tobytes(), 1) for x in total.reshape(COUNTER_PARTS, width)]
+            blobs = [zstandard.compress(x.tobytes(), 1) for x in total.reshape(COUNTER_PARTS, width)]
             yield pa.RecordBatch.from_arrays([pa.array(range(COUNTER_PARTS), pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,9 +333,10 @@ def join(docs: DataFrame, threshold: Fraction = Fraction(8, 10), n: int = 5, blo
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     letters = docs.select(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     # a word takes about eight characters, and a counter should hold few n-grams
-    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << int(letters // 128).bit_length()))
+    counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << int(letters // 32).bit_length()))
     counts = spark.sparkContext.broadcast(_counts(texts, n, counters))
     index, index_at = stored(_index(texts, n, t, counts), "index")
+    counts.destroy()
     release(spark)
     rows, _ = stored(index.select(F.explode(F.arrays_zip("doc_ids", "sizes", "nodes")).alias("x")).select(F.col("x.doc_ids").alias("doc_id"), F.col("x.sizes").alias("n_shingles"), F.col("x.nodes").alias("node")), "nodes")
     postings = index.select(F.explode(F.arrays_zip("tokens", "lists", "post_nodes", "post_sizes")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.lists").alias("list"), F.col("x.post_sizes").alias("size"), F.col("x.post_nodes").alias("node"))
