@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -78,8 +79,30 @@ def lookup_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "l
     return facts.join(F.broadcast(dim) if small_enough(dim, rows) else dim.hint("merge"), keys, how)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+#: Tables that a worker keeps from task to task (vocabulary lookups); dropped when it turns to other work.
+worker_tables: dict = {}
+
+
+def _return_memory(keep_tables: bool) -> None:
+    """Give memory that a reused Python worker doesn't need back to the system."""
+    if not keep_tables:
+        worker_tables.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, keep_tables: bool = False) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of text; one longer text is a batch by itself."""
+    _return_memory(keep_tables)
+    yield from _sliced(batches, column, limit)
+    _return_memory(True)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         n = batch.num_rows

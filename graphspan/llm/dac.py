@@ -115,7 +115,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, width: int = 8, segment_
                 ["part", "segment", "doc_ids", "doc_tokens", "codes"],
             )
 
-        for batch in slices(batches, limit=ENCODE_BYTES):
+        for batch in slices(batches, limit=ENCODE_BYTES, keep_tables=True):
             ids, bounds = with_end(*enc.encode(texts_of(batch)), end_id)
             for k, doc in enumerate(column(batch, "doc_id").to_pylist()):
                 n = int(bounds[k + 1] - bounds[k])

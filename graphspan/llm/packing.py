@@ -38,7 +38,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, max_len: int = 1024,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), {1 << b: 0 for b in range(max_len.bit_length())}
-        for batch in slices(batches, limit=ENCODE_BYTES):
+        for batch in slices(batches, limit=ENCODE_BYTES, keep_tables=True):
             ids, bounds = with_end(*enc.encode(texts_of(batch)), end_id)
             ids = ids.astype("<u4")
             rows: list[tuple] = []

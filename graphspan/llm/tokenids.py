@@ -8,6 +8,8 @@ from itertools import chain
 
 import numpy as np
 
+from .common import worker_tables
+
 #: Bytes of text encoded at once: a worker holds several words and numbers for each of their words meanwhile.
 ENCODE_BYTES = 1 << 20
 
@@ -155,14 +157,11 @@ class ChunkEncoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    """One per worker process and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    """One per worker process and vocabulary file, while it encodes."""
+    if path not in worker_tables:
+        worker_tables[path] = ChunkEncoder(path)
+    return worker_tables[path]
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
