@@ -65,6 +65,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with ``_row``, which tells all rows apart (nulls and repeated ids among them) and is the same in every scan.
+
+    Of a plain scan of Parquet files it is a row's file and its place in it; anything else is stored with a number first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation" or plan.relation().fileFormat().toString() != "Parquet":
+        return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")[0]
+    at = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    files = sorted(r["_file"] for r in at.select("_file").distinct().collect())
+    first = docs.sparkSession.createDataFrame([(f, k << 40) for k, f in enumerate(files)], "_file string, _first bigint")
+    return at.join(F.broadcast(first), "_file").select(*docs.columns, (F.col("_first") + F.col("_place")).alias("_row"))
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most so many rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows

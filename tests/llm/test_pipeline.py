@@ -5,6 +5,7 @@ from fractions import Fraction
 
 import corpus_pipeline
 from graphspan.llm import decontam, packing, secrets
+from graphspan.llm.common import stored
 
 from .test_operators import brute_join, crc, tokens
 
@@ -43,3 +44,28 @@ def test_pipeline(spark, tmp_path):
     got = [tuple(x) for x in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()]
     assert sorted(got, key=repr) == sorted(expected, key=repr)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "benchmark_decontamination", "secret_scan", "packing"]
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    """Rows without a doc_id are dropped and masked like others; rows that share one are told apart."""
+    r = random.Random(4)
+    en = [a + b for a in ("th", "wh", "st", "bl") for b in ("e", "ing", "ion", "at", "ose", "ick")]
+    say = lambda n: " ".join(r.choice(en) for _ in range(n))
+    leak, twin, copy = say(30), say(60), say(60)
+    clean = [say(40) for _ in range(4)]
+    docs = [(None, "12 34 !!"), (None, say(9) + " " + leak), (5, say(9) + " " + leak), (5, clean[0]), (6, twin), (None, twin), (7, copy), (7, copy), (7, clean[1])]
+    docs += [(None, f"{clean[2]} password=hunter22secret"), (8, f"{clean[3]} token: abcdef123456"), (8, clean[3][:90])]
+    at = str(tmp_path / "documents.parquet")
+    rows = [(i, t, "en", f"s{k % 3}", 0) for k, (i, t) in enumerate(docs)] + [(100 + k, say(30), "en", "s0", 0) for k in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(at)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = [(5, clean[0]), (6, twin), (7, copy), (7, clean[1]), (8, clean[3][:90]), (8, f"{clean[3]} [assign]"), (None, f"{clean[2]} [assign]")]
+    for held in (False, True):  # a plain scan, and rows that come from elsewhere
+        left = spark.read.parquet(at).filter("true") if held else spark.read.parquet(at)
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            left = stage(spark, left, str(tmp_path))
+            assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            if not held:
+                left, _ = stored(left, "stage")
+        got = [(x["doc_id"], x["text"]) for x in left.collect() if x["doc_id"] is None or x["doc_id"] < 100]
+        assert sorted(got, key=repr) == sorted(kept, key=repr)
