@@ -86,14 +86,20 @@ def search(index: DataFrame, windows: Windows, frequency: dict[int, int], near_w
     """HITS rows for every document of the index.
 
     spans: where windows of an item occur, as words, merged where they touch.  near (if near_words): items of which a
-    window's near_terms rarest terms occur within near_words of its rarest one, without an exact match.
+    window's near_terms rarest terms occur within near_words of its rarest one, without an exact match.  Terms that no document
+    has are passed over there, as a word that was replaced may be one; a window with fewer distinct terms than near_terms needs
+    all of them.
     """
+    if not 0 <= near_words < GAP:
+        raise ValueError(f"near_words must be at least 0 and below {GAP}")
     df = np.array([frequency.get(t, 0) for t in range(len(windows.vocabulary))] + [1 << 60], np.int64)  # the last is "no term"
     possible = np.flatnonzero((df[windows.terms] > 0).all(axis=1)) if len(windows.size) else np.zeros(0, np.int64)
     terms, size = windows.terms[possible], windows.size[possible]
     items = [windows.items[i] for i in possible]
     rarest = np.argsort(df[terms], axis=1, kind="stable") if len(possible) else np.zeros((0, 1), np.int64)
     width = terms.shape[1] if len(possible) else 0
+    close = _rarest(windows.terms, df, near_terms) if near_words else np.zeros((0, near_terms), np.int64)
+    near_of, close = np.flatnonzero(close[:, 0] >= 0), close[close[:, 0] >= 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,45 +111,50 @@ def search(index: DataFrame, windows: Windows, frequency: dict[int, int], near_w
         starts = np.cumsum(n + GAP) - n - GAP  # of documents
         spans: list[dict[str, list]] = [{} for _ in doc_ids]
         near: list[set] = [set() for _ in doc_ids]
-        if len(possible) and len(has):
+        if len(has):
             ends = np.cumsum(counts)
             lists = np.cumsum(deltas)
             lists -= np.repeat(np.concatenate([[0], lists[ends[:-1] - 1]]), counts)  # each list begins anew
             span = int(lists.max()) + GAP + 1
             keys = np.repeat(has, counts) * span + lists  # ascending: the whole index as one list
             member = lambda k: keys[np.minimum(np.searchsorted(keys, k), len(keys) - 1)] == k
-            lead = terms[np.arange(len(terms)), rarest[:, 0]]
-            at = np.minimum(np.searchsorted(has, lead), len(has) - 1)
-            here = np.flatnonzero(has[at] == lead)
-            many = counts[at[here]]
-            window = np.repeat(here, many)
-            upto = np.cumsum(many)
-            anchor = lists[np.arange(len(window)) + np.repeat(ends[at[here]] - counts[at[here]] - (upto - many), many)]
-            w, begin = window, anchor - rarest[window, 0]
-            for k in range(1, width):
-                if not len(w):
-                    break
-                place = rarest[w, k]
-                term = terms[w, place]
-                ok = (begin >= 0) & ((term < 0) | member(term * span + begin + place))
+
+            def occurrences(lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """(which of lead, where) for every occurrence in this block."""
+                at = np.minimum(np.searchsorted(has, lead), len(has) - 1)
+                here = np.flatnonzero(has[at] == lead)
+                many = counts[at[here]]
+                upto = np.cumsum(many)
+                which = np.repeat(here, many)
+                return which, lists[np.arange(len(which)) + np.repeat(ends[at[here]] - counts[at[here]] - (upto - many), many)]
+
+            if len(possible):
+                w, anchor = occurrences(terms[np.arange(len(terms)), rarest[:, 0]])
+                begin = anchor - rarest[w, 0]
+                for k in range(1, width):
+                    if not len(w):
+                        break
+                    place = rarest[w, k]
+                    term = terms[w, place]
+                    ok = (begin >= 0) & ((term < 0) | member(term * span + begin + place))
+                    w, begin = w[ok], begin[ok]
+                ok = begin >= 0
                 w, begin = w[ok], begin[ok]
-            ok = begin >= 0
-            w, begin = w[ok], begin[ok]
-            doc = np.searchsorted(starts, begin, side="right") - 1
-            for i, d, b in zip(w.tolist(), doc.tolist(), (begin - starts[doc]).tolist(), strict=True):
-                for item in items[i]:
-                    spans[d].setdefault(item, []).append((b, b + int(size[i])))
-            if near_words:
-                w, a = window, anchor
-                for k in range(1, min(near_terms, width)):
-                    term = terms[w, rarest[w, k]]
+                doc = np.searchsorted(starts, begin, side="right") - 1
+                for i, d, b in zip(w.tolist(), doc.tolist(), (begin - starts[doc]).tolist(), strict=True):
+                    for item in items[i]:
+                        spans[d].setdefault(item, []).append((b, b + int(size[i])))
+            if len(close):
+                w, a = occurrences(close[:, 0])
+                for k in range(1, near_terms):
+                    term = close[w, k]
                     low = np.searchsorted(keys, np.maximum(term, 0) * span + np.maximum(a - near_words, 0))
                     got = keys[np.minimum(low, len(keys) - 1)]
                     ok = (term < 0) | ((got >= term * span) & (got <= term * span + np.minimum(a + near_words, span - 1)) & (low < len(keys)))
                     w, a = w[ok], a[ok]
                 doc = np.searchsorted(starts, a, side="right") - 1
-                for i, d in zip(w.tolist(), doc.tolist(), strict=True):
-                    near[d].update(x for x in items[i] if x not in spans[d])
+                for i, d in sorted(set(zip(near_of[w].tolist(), doc.tolist(), strict=True))):
+                    near[d].update(x for x in windows.items[i] if x not in spans[d])
         merged = [[{"item": item, "begin": b, "end": e} for item, s in sorted(x.items()) for b, e in merge(s)] for x in spans]
         kinds = [pa.field("item", pa.string()), pa.field("begin", pa.int32()), pa.field("end", pa.int32())]
         return pa.RecordBatch.from_arrays(
@@ -154,6 +165,18 @@ def search(index: DataFrame, windows: Windows, frequency: dict[int, int], near_w
     return index.mapInArrow(run, HITS)
 
 
+def _rarest(terms: np.ndarray, df: np.ndarray, most: int) -> np.ndarray:
+    """The rarest distinct terms of each window that any document has, rare ones first: ``most``, or all of a window with fewer
+    (then -1 follows).  A window of which too few are left is -1 throughout."""
+    out = np.full((len(terms), most), -1, np.int64)
+    for i, row in enumerate(terms.tolist()):
+        distinct = {t for t in row if t >= 0}
+        there = sorted((t for t in distinct if df[t] > 0), key=lambda t: (df[t], t))[:most]
+        if len(there) == min(most, len(distinct)):
+            out[i, : len(there)] = there
+    return out
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for b, e in sorted(spans):
@@ -206,3 +229,8 @@ def summary(hits: DataFrame) -> DataFrame:
             )
 
     return hits.mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+
+
+def near_summary(hits: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_near, near_items: the items that a document comes near to without an exact match, by name."""
+    return hits.select("doc_id", "n_words", F.size("near").cast("long").alias("n_near"), F.array_sort("near").alias("near_items"))

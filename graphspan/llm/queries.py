@@ -34,6 +34,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.summary(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10))
 
 
+def op3_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other half of op3's answer, whose SQL has the columns of exact matches alone."""
+    return decontam.near_summary(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10, near_words=10))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments, _ = dac.write(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
     return dac.read(segments)
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op3_proximity": op3_proximity,
     "op4_token_ids": op4_token_ids,
     "op5_language_id": op5_language_id,
     "op6_substring_dedup": op6_substring_dedup,

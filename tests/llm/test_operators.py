@@ -8,7 +8,7 @@ from fractions import Fraction
 
 import pytest
 
-from graphspan.llm import chat, dac, decontam, gifmedia, langid, packing, secrets, setjoin, superkmer, toxicity
+from graphspan.llm import chat, dac, decontam, gifmedia, langid, packing, queries, secrets, setjoin, superkmer, toxicity
 from graphspan.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
 
@@ -199,6 +199,21 @@ def test_proximity(spark):
     assert got == {1: (0, ["5"]), 2: (0, []), 3: (1, [])}
 
 
+def test_proximity_query(spark, tmp_path):
+    """The registered query finds what was edited in every window, and passes over words that no document has.  Document 3 lacks
+    two of the rarest terms of every window."""
+    say = [f"word{i}" for i in range(14)]
+    edited, gone = [*say[:7], "extra", *say[7:]], [*say[:5], "other", *say[6:9], "more", *say[10:]]
+    texts = [(1, " ".join(edited)), (2, " ".join(say)), (3, " ".join(gone)), (4, " ".join(x for w in say for x in (w, *["x"] * 12))), (None, "word1 word2"), (None, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    item = [*say[:12], "absent", "missing"]
+    spark.createDataFrame([(5, " ".join(say)), (6, " ".join(item)), (7, "word1 absent")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = rows_of(queries.QUERIES["op3_proximity"](spark, str(tmp_path)), "doc_id", "n_near", "near_items")
+    assert got == sorted([(1, 2, ["5", "6"]), (2, 0, []), (3, 0, []), (4, 0, []), (None, 0, []), (None, 0, [])], key=repr)
+    replaced = spark.createDataFrame([(9, " ".join([*say[:3], "a", *say[4:11], "b", *say[12:]]))], "doc_id long, text string")
+    assert decontam.near_summary(decontam.find(replaced, spark.createDataFrame([(5, " ".join(say))], "item_id long, text string"), near_words=10)).first()["near_items"] == ["5"]
+
+
 def test_secrets(spark, docs, empty):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
     found = secrets.find(docs, F.col("source"), F.col("lang"))
