@@ -5,7 +5,7 @@ import pytest
 from graphspan import plans
 from graphspan.functions import lexicon, stem, text
 from graphspan.operators import extract, features, index, kernel, retrieve, validate, verify
-from graphspan.sources import fixtures, storage
+from graphspan.sources import derived, fixtures, storage
 from pyspark.sql import functions as F
 
 NODES = "graph_id long, node int, label string, role string, conf double, atomic boolean"
@@ -211,3 +211,31 @@ def test_queries_and_oracles_are_named_alike():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(plans.QUERIES) > 100
+
+
+def write_orders(spark, path, sizes):
+    """lineitem and part of orders of given sizes: {id: lines}."""
+    from datetime import date
+
+    words = ["hot iron", "cold steel", "valve linen", "gear smoke", "bolt ivory", "plum navy", "hot valve"]
+    parts = [(k, f"{words[k % 7]} {k % 5}", f"Brand#{k % 5}", f"TYPE {k % 6}", k) for k in range(40)]
+    lines = [(g, (g * 3 + i * 7) % 40, (g + i * i) % 11, i + 1, float(5 + (g * 5 + i * 13) % 45), 100.0 + i, ((g + i) % 10) / 100, ((g + 2 * i) % 8) / 100, "R" if (g + i) % 5 == 0 else "N", "F", date(2024, 1, 1)) for g, n in sizes.items() for i in range(n)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date").write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize(("query", "solver"), [("k30_compare", "fgw"), ("k6_random_walks", "rrwm")])
+def test_every_order_is_compared(spark, tmp_path, query, solver):
+    """Orders of one, two and more than eight lines, and ids that nothing divides, against the kernel pair by pair."""
+    sizes = {1: 1, 2: 2, 3: 11, 4: 3, 6: 4, 7: 9, 40: 5, 41: 1, 43: 4}
+    d = write_orders(spark, tmp_path, sizes)
+    got = {(r["query_id"], r["graph_id"]): (r["mapping"], round(r["structural"], 6)) for r in plans.QUERIES[query](spark, d).collect()}
+    lines = derived.order_lines(spark, d)
+    packed = {r["graph_id"]: verify._graph(r["nodes"], r["relations"], r["about"], r["requires"]) for r in verify.packed(derived.nodes(lines), derived.relations(lines), derived.knowledge(lines)).collect()}
+    expected = {}
+    for g in sizes:
+        if g + 1 in sizes:
+            mapping, scores = kernel.verify(packed[g], packed[g + 1], None, [], solver)
+            expected[g, g + 1] = (",".join(f"{i}-{j}" for i, j in mapping), round(scores["structural"], 6))
+    assert len(expected) == 5 and got == expected
