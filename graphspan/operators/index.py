@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import BM25_B, BM25_K1, STOP_FRACTION, STOP_FROM
+from ..sources.scratch import kept, lookup_join
 
 
 def key_stats(keys: DataFrame, n: int, stop_fraction: float = STOP_FRACTION) -> DataFrame:
@@ -45,31 +46,35 @@ def bm25(tf: Column, length: Column, average: Column) -> Column:
     return tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / F.greatest(average, F.lit(1e-9))))
 
 
+def _of_queries(rows: DataFrame, query_ids: DataFrame) -> DataFrame:
+    """rows of the queries, under query_id."""
+    return lookup_join(rows, query_ids.select(F.col("query_id").alias("graph_id")), ["graph_id"]).withColumnRenamed("graph_id", "query_id")
+
+
 def content_scores(terms: DataFrame, stats: DataFrame, query_ids: DataFrame) -> DataFrame:
-    """query_id, graph_id, content: BM25 over shared terms, as a share of the query's score for itself, at most 1.
-    query_ids is a bounded set of queries, so its terms are broadcast."""
+    """query_id, graph_id, content: BM25 over shared terms, as a share of the query's score for itself, at most 1."""
     sized = terms.join(lengths(terms), "graph_id")
     average = lengths(terms).agg(F.avg("length").alias("average"))
-    asked = F.broadcast(sized.join(F.broadcast(query_ids), sized.graph_id == query_ids.query_id).select("query_id", "term", F.col("tf").alias("q_tf"), F.col("length").alias("q_length")).join(stats.filter("idf <> 0").select("term", "idf"), "term"))
-    own = asked.crossJoin(F.broadcast(average)).groupBy("query_id").agg(F.sum(F.col("idf") * bm25(F.col("q_tf"), F.col("q_length"), F.col("average"))).alias("own"))
-    hits = sized.join(asked, "term").filter("graph_id <> query_id").crossJoin(F.broadcast(average))
+    asked = kept(_of_queries(sized, query_ids).select("query_id", "term", F.col("tf").alias("q_tf"), F.col("length").alias("q_length")).join(stats.filter("idf <> 0").select("term", "idf"), "term"))
+    own = kept(asked.crossJoin(F.broadcast(average)).groupBy("query_id").agg(F.sum(F.col("idf") * bm25(F.col("q_tf"), F.col("q_length"), F.col("average"))).alias("own")))
+    hits = lookup_join(sized, asked, ["term"]).filter("graph_id <> query_id").crossJoin(F.broadcast(average))
     sums = hits.groupBy("query_id", "graph_id").agg(F.sum(F.col("idf") * bm25(F.col("tf"), F.col("length"), F.col("average"))).alias("score"))
-    return sums.join(F.broadcast(own), "query_id").filter("own > 0").select("query_id", "graph_id", F.least(F.lit(1.0), F.col("score") / F.col("own")).alias("content"))
+    return lookup_join(sums, own, ["query_id"]).filter("own > 0").select("query_id", "graph_id", F.least(F.lit(1.0), F.col("score") / F.col("own")).alias("content"))
 
 
 def knowledge_scores(knowledge: DataFrame, stats: DataFrame, query_ids: DataFrame) -> DataFrame:
     """query_id, graph_id, about, complement: summed idf of the candidate's nodes that are about what the query is about, or
     about what it requires.  A candidate counts once for each node that refers to it."""
-    asked = knowledge.join(F.broadcast(query_ids), knowledge.graph_id == query_ids.query_id).select("query_id", "bucket", "ref").distinct().join(stats.select("ref", "idf"), "ref")
+    asked = kept(_of_queries(knowledge, query_ids).select("query_id", "bucket", "ref").distinct().join(stats.select("ref", "idf"), "ref"))
     posts = knowledge.filter("bucket = 'about'").select("graph_id", "ref")
-    hits = posts.join(F.broadcast(asked), "ref").filter("graph_id <> query_id")
+    hits = lookup_join(posts, asked, ["ref"]).filter("graph_id <> query_id")
     part = lambda b: F.sum(F.when(F.col("bucket") == b, F.col("idf")))
     return hits.groupBy("query_id", "graph_id").agg(part("about").alias("about"), part("requires").alias("complement"))
 
 
 def live_query_keys(prints: DataFrame, stats: DataFrame, query_ids: DataFrame, budget: int | None = 96) -> DataFrame:
     """query_id, key, idf, qa, qb: a query's records with live keys; of more than ``budget`` keys the rarest, then the least."""
-    mine = prints.join(F.broadcast(query_ids), prints.graph_id == query_ids.query_id).select("query_id", "key", F.col("a").alias("qa"), F.col("b").alias("qb"))
+    mine = _of_queries(prints, query_ids).select("query_id", "key", F.col("a").alias("qa"), F.col("b").alias("qb"))
     live = mine.join(stats.filter("not stop").select("key", "idf"), "key")
     if budget is None:
         return live

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import features, index, retrieve, verify
 from ..schema import OVERFETCH, LEAST_POOL, ROLES
 from ..sources import derived
-from ..sources.scratch import kept
+from ..sources.scratch import kept, lookup_join
 from .graph_queries import LINES, NODES, RELATIONS, corpus_size, query_graphs
 
 
@@ -98,19 +98,19 @@ def k24_knowledge(spark, d):
     return sets.join(other, "graph_id").select("graph_id", both("about", "their_about").alias("about"), both("requires", "their_requires").alias("requires"))
 
 
-def find(spark: SparkSession, d: str, k: int = 5, n_queries: int = 8, mode: str = "analogical") -> DataFrame:
+def find(spark: SparkSession, d: str, k: int = 5, mode: str = "analogical") -> DataFrame:
     """The whole search: retrieval over all channels, verification of an over-fetched pool, order, top k with ties."""
     nodes, relations, refs = _tables(spark, d)
-    n, ids = corpus_size(nodes), kept(query_graphs(nodes, n_queries))
+    n, ids = corpus_size(nodes), kept(query_graphs(nodes))
     prints = kept(features.multi_fingerprints(nodes, relations))
     stats = kept(index.key_stats(features.keysets(prints), n))
     structural = kept(retrieve.structural_scores(kept(index.live_query_keys(prints, stats, ids)), prints))
     terms = index.content_terms(nodes)
     content = index.content_scores(terms, index.content_stats(terms, n), ids)
     known = index.knowledge_scores(refs, index.about_stats(refs, n), ids)
-    rarity = features.motif_rarity(features.keysets(prints).join(F.broadcast(ids), F.col("graph_id") == F.col("query_id"), "left_semi"), stats, n)
+    rarity = kept(features.motif_rarity(lookup_join(features.keysets(prints), ids.withColumnRenamed("query_id", "graph_id"), ["graph_id"]), stats, n))
     pool = retrieve.candidates(retrieve.merge_channels(structural, None, content, known), mode, max(OVERFETCH * k, LEAST_POOL))
-    pool = kept(pool.join(F.broadcast(rarity.withColumnRenamed("graph_id", "query_id")), "query_id"))
+    pool = kept(lookup_join(pool, rarity.withColumnRenamed("graph_id", "query_id"), ["query_id"]))
     return verify.find(pool, verify.packed(nodes, relations, refs), k)
 
 

@@ -5,7 +5,7 @@ import pytest
 from graphspan import plans
 from graphspan.functions import lexicon, stem, text
 from graphspan.operators import extract, features, index, kernel, retrieve, validate, verify
-from graphspan.sources import derived, fixtures, storage
+from graphspan.sources import derived, fixtures, scratch, storage
 from pyspark.sql import functions as F
 
 NODES = "graph_id long, node int, label string, role string, conf double, atomic boolean"
@@ -239,3 +239,22 @@ def test_every_order_is_compared(spark, tmp_path, query, solver):
             mapping, scores = kernel.verify(packed[g], packed[g + 1], None, [], solver)
             expected[g, g + 1] = (",".join(f"{i}-{j}" for i, j in mapping), round(scores["structural"], 6))
     assert len(expected) == 5 and got == expected
+
+
+def test_searches_ask_every_hundredth_order(spark, tmp_path, monkeypatch):
+    """Every query that shares a key with another order, small ones among them; the same answers where no side is small enough
+    to be broadcast."""
+    sizes = {100 * g: 2 + g % 3 for g in range(1, 13)} | {g: 2 + g % 6 for g in range(1, 60)}
+    d = write_orders(spark, tmp_path, sizes)
+    got = sorted(map(tuple, plans.QUERIES["structural_top5"](spark, d).collect()))
+    lines, keys = derived.order_lines(spark, d), {}
+    for r in features.keysets(features.multi_fingerprints(derived.nodes(lines), derived.relations(lines))).collect():
+        keys.setdefault(r["graph_id"], set()).add(r["key"])
+    expected = {q for q in range(100, 1300, 100) if any(keys[q] & k for g, k in keys.items() if g != q)}
+    assert len(expected) > 8 and {r[0] for r in got} == expected
+    assert {r["query_id"] for r in plans.QUERIES["h5_coherent"](spark, d).select("query_id").collect()} == expected
+    content = sorted(map(tuple, plans.QUERIES["h6_bm25"](spark, d).collect()))
+    for module in (index, retrieve):
+        monkeypatch.setattr(module, "lookup_join", lambda *a: scratch.lookup_join(*a, rows=0))
+    assert sorted(map(tuple, plans.QUERIES["structural_top5"](spark, d).collect())) == got
+    assert sorted(map(tuple, plans.QUERIES["h6_bm25"](spark, d).collect())) == content
