@@ -180,7 +180,7 @@ def concept_fingerprints(found: DataFrame, nodes: DataFrame, classes: DataFrame,
     if related is not None:
         more = first.join(F.broadcast(related.filter("weight >= 0.6").select(F.col("a").alias("class"), F.col("b").alias("wider"))), "class").select("graph_id", "node", F.col("wider").alias("class"))
         first = first.unionByName(more).distinct()
-    named = first.join(nodes.select("graph_id", "node", "role"), ["graph_id", "node"]).select("graph_id", "node", F.concat_ws(":", "role", "class").alias("d"))
+    named = kept(first.join(nodes.select("graph_id", "node", "role"), ["graph_id", "node"]).select("graph_id", "node", F.concat_ws(":", "role", "class").alias("d")))
     at = lambda end: named.select("graph_id", F.col("node").alias(end), F.col("d").alias(f"d_{end}"))
     pairs = found.filter("hops <= 2").join(at("a"), ["graph_id", "a"]).join(at("b"), ["graph_id", "b"]).select("graph_id", sha(F.lit("C2"), "d_a", "path", "d_b").alias("key"), "a", "b")
     return pairs.unionByName(named.select("graph_id", sha(F.lit("C1"), "d").alias("key"), F.col("node").alias("a"), F.col("node").alias("b")))

@@ -43,13 +43,18 @@ def h18_coverage(spark, d):
     return _prose(spark).agg(F.round(F.avg(F.size("nodes")), 6).alias("nodes"), F.round(F.avg(F.size("relations")), 6).alias("relations"), F.round(F.avg((F.size("relations") > 0).cast("int")), 6).alias("nonempty"))
 
 
-def _concepts(spark, d):
-    lines = kept(derived.order_lines(spark, d))
-    nodes, relations = derived.nodes(lines), derived.relations(lines)
+def label_classes(spark: SparkSession, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(graph_id, node, class) of nodes by their labels, and the labels' concepts, by the terms that orders' parts need."""
     terms = lexicon.default_terms(spark).unionByName(spark.createDataFrame([("hot", "HEAT"), ("cold", "COOLING"), ("valve", "CONTROL"), ("gear", "TOOL"), ("bolt", "COUPLING")], "term string, class string"))
     labels = kept(lexicon.label_concepts(nodes.select("label").distinct(), terms))
     classes = nodes.join(F.broadcast(labels), "label").select("graph_id", "node", F.explode("concepts").alias("class"))
-    return nodes, relations, classes, labels
+    return classes, labels
+
+
+def _concepts(spark, d):
+    lines = kept(derived.order_lines(spark, d))
+    nodes, relations = derived.nodes(lines), derived.relations(lines)
+    return nodes, relations, *label_classes(spark, nodes)
 
 
 def f6_concept_descriptors(spark, d):

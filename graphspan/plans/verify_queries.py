@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicon
 from ..operators import features, index, retrieve, verify
 from ..schema import OVERFETCH, LEAST_POOL, ROLES
 from ..sources import derived
 from ..sources.scratch import kept, lookup_join
 from .graph_queries import LINES, NODES, RELATIONS, corpus_size, query_graphs
+from .stream_queries import label_classes
 
 
 def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -98,6 +100,15 @@ def k24_knowledge(spark, d):
     return sets.join(other, "graph_id").select("graph_id", both("about", "their_about").alias("about"), both("requires", "their_requires").alias("requires"))
 
 
+def concept_scores(spark: SparkSession, nodes: DataFrame, relations: DataFrame, classes: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """query_id, graph_id, score, seeds of the concept channel: a query's classes are widened by related ones, the corpus's aren't."""
+    found = kept(features.paths(features.adjacency(nodes, relations), 2))
+    prints = kept(features.concept_fingerprints(found, nodes, classes))
+    stats = kept(index.key_stats(features.keysets(prints), n))
+    wide = kept(features.concept_fingerprints(found, nodes, classes, lexicon.relatedness(spark)))
+    return retrieve.structural_scores(kept(index.live_query_keys(wide, stats, ids)), prints)
+
+
 def find(spark: SparkSession, d: str, k: int = 5, mode: str = "analogical") -> DataFrame:
     """The whole search: retrieval over all channels, verification of an over-fetched pool, order, top k with ties."""
     nodes, relations, refs = _tables(spark, d)
@@ -105,13 +116,18 @@ def find(spark: SparkSession, d: str, k: int = 5, mode: str = "analogical") -> D
     prints = kept(features.multi_fingerprints(nodes, relations))
     stats = kept(index.key_stats(features.keysets(prints), n))
     structural = kept(retrieve.structural_scores(kept(index.live_query_keys(prints, stats, ids)), prints))
+    classes, _ = label_classes(spark, nodes)
+    classes = kept(classes)
+    concept = kept(concept_scores(spark, nodes, relations, classes, ids, n))
     terms = index.content_terms(nodes)
-    content = index.content_scores(terms, index.content_stats(terms, n), ids)
-    known = index.knowledge_scores(refs, index.about_stats(refs, n), ids)
+    content = kept(index.content_scores(terms, index.content_stats(terms, n), ids))
+    known = kept(index.knowledge_scores(refs, index.about_stats(refs, n), ids))
     rarity = kept(features.motif_rarity(lookup_join(features.keysets(prints), ids.withColumnRenamed("query_id", "graph_id"), ["graph_id"]), stats, n))
-    pool = retrieve.candidates(retrieve.merge_channels(structural, None, content, known), mode, max(OVERFETCH * k, LEAST_POOL))
-    pool = kept(lookup_join(pool, rarity.withColumnRenamed("graph_id", "query_id"), ["query_id"]))
-    return verify.find(pool, verify.packed(nodes, relations, refs), k)
+    pool = retrieve.candidates(retrieve.merge_channels(structural, concept, content, known), mode, max(OVERFETCH * k, LEAST_POOL))
+    pool = kept(lookup_join(pool, rarity.withColumnRenamed("graph_id", "query_id"), ["query_id"], "left").fillna(1.0, ["rarity"]))
+    none = F.array().cast("array<struct<q:int,c:int,support:double>>")
+    pool = pool.withColumn("seeds", retrieve.seed_union(F.coalesce("seeds", none), F.col("concept_seeds")))
+    return verify.find(pool, verify.packed(nodes, relations, refs, classes), k)
 
 
 def k29_find(spark, d):

@@ -31,10 +31,10 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup_join(facts: DataFrame, dim: DataFrame, keys: list[str], rows: int = 200_000) -> DataFrame:
+def lookup_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", rows: int = 200_000) -> DataFrame:
     """Join facts to a dim, which is broadcast only if it was counted to have at most ``rows`` rows; a larger one is shuffled."""
     few = dim.limit(rows + 1).count() <= rows
-    return facts.join(F.broadcast(dim) if few else dim.hint("merge"), keys)
+    return facts.join(F.broadcast(dim) if few else dim.hint("merge"), keys, how)
 
 
 @atexit.register

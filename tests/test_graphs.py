@@ -5,6 +5,7 @@ import pytest
 from graphspan import plans
 from graphspan.functions import lexicon, stem, text
 from graphspan.operators import extract, features, index, kernel, retrieve, validate, verify
+from graphspan.plans import verify_queries
 from graphspan.sources import derived, fixtures, scratch, storage
 from pyspark.sql import functions as F
 
@@ -258,3 +259,19 @@ def test_searches_ask_every_hundredth_order(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(module, "lookup_join", lambda *a: scratch.lookup_join(*a, rows=0))
     assert sorted(map(tuple, plans.QUERIES["structural_top5"](spark, d).collect())) == got
     assert sorted(map(tuple, plans.QUERIES["h6_bm25"](spark, d).collect())) == content
+
+
+def test_search_finds_by_concepts(spark, tmp_path, monkeypatch):
+    """What only a class relates to the query is in the pool, with its seeds, and the kernel is told the classes."""
+    nodes = [(100, 0, "hot mill", "state", 0.9, False), (1, 0, "hot iron", "state", 0.9, False), (2, 0, "plum navy", "problem", 0.9, False)] + [(g, 0, f"ivory {g}", "agent", 0.9, False) for g in range(3, 10)]
+    nodes, rels = spark.createDataFrame(nodes, NODES), spark.createDataFrame([], RELS)
+    refs = spark.createDataFrame([], "graph_id long, node int, bucket string, ref string")
+    monkeypatch.setattr(verify_queries, "_tables", lambda *a: (nodes.withColumn("label", F.when(F.col("graph_id") == 1, "heat").otherwise(F.col("label"))), rels, refs))
+    pools, real = [], verify.find
+    monkeypatch.setattr(verify, "find", lambda pool, graphs, k: pools.append((pool, graphs)) or real(pool, graphs, k))
+    hits = verify_queries.find(spark, "").collect()
+    pool, graphs = pools[0]
+    rows = [(r["query_id"], r["graph_id"], r["structural"], r["concept"], r["content"], [(s["q"], s["c"]) for s in r["seeds"]]) for r in pool.collect()]
+    assert rows == [(100, 1, 0.0, 1.0, 0.0, [(0, 0)])]
+    assert {r["graph_id"]: r["nodes"][0]["classes"] for r in graphs.collect() if r["graph_id"] < 3} == {1: ["HEAT"], 2: []}
+    assert [(r["graph_id"], r["concept_alignment"]) for r in hits] == [(1, 1.0)]
