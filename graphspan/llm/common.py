@@ -5,28 +5,31 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast once it has been counted.
-BROADCAST_ROWS = 200_000
-#: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 4 << 20
+#: Rows and bytes up to which a side may be broadcast once it has been counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Bytes of an Arrow batch between the JVM and a Python worker, and of text that a worker handles at once.
+BATCH_BYTES, SLICE_BYTES = 8 << 20, 2 << 20
 
 _own: dict[str, str] = {}
 _live: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and Spark runs in one process."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not re.match(r"local(\[[^,]*\]|\[.*,.*\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="graphspan-")
@@ -52,15 +55,28 @@ def _drop_all() -> None:
             return
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, compression: str = "zstd", path: str | None = None) -> tuple[DataFrame, str]:
+    """Write df as a table and read it again: cuts the lineage, survives lost executors.  A scratch table in the shared folder,
+    or a table to keep if a path is given."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _live[path] = spark
+    to = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(to)
+    if path is None:
+        _live[to] = spark
+    path = to
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches bounded by bytes: the session's bound is lowered where it is greater, as a bound on rows alone
+    lets a batch of long texts outgrow its worker.  One longer row is a batch by itself."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    jvm_bytes = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < jvm_bytes(conf.get(key)) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -79,15 +95,16 @@ def numbered(docs: DataFrame) -> DataFrame:
     return at.join(F.broadcast(first), "_file").select(*docs.columns, (F.col("_first") + F.col("_place")).alias("_row"))
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows and bytes (as JSON text); reads no more rows than that."""
+    n, total = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("k")).agg(F.count("k"), F.coalesce(F.sum("k"), F.lit(0))).first()
+    return n <= rows and total <= size
 
 
 def lookup_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join facts to a dim with one row per key.
 
-    A dim of at most ``rows`` rows is broadcast.  A larger one is shuffled; a hot key on the facts' side is then split
+    A dim of at most ``rows`` rows and BROADCAST_BYTES is broadcast.  A larger one is shuffled; a hot key on the facts' side is then split
     by the adaptive skew join, as the dim has a single row of it to copy.
     """
     return facts.join(F.broadcast(dim) if small_enough(dim, rows) else dim.hint("merge"), keys, how)

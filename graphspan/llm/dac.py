@@ -5,7 +5,7 @@ says which ids go on; level 1 holds the next chunk of those that do, and so on.
 ``i -> rank(bitmap, i)`` from level to level, so any token is decoded without its neighbours.
 
 File format: a Parquet folder with a row for each segment of whole documents: ``part`` (range of doc_id, ascending),
-``segment`` (within the part), ``doc_ids``, ``doc_tokens`` and ``codes``.  ``codes`` is little-endian: magic ``DAC1``, then
+``segment`` (within the part), ``doc_ids``, ``doc_tokens`` and ``codes``, without page compression.  ``codes`` is little-endian: magic ``DAC1``, then
 uint32 width, tokens, levels; for each level uint32 entries, the chunks (uint8, or uint16 for widths over 8), the bitmap
 (little bit order, padded to whole blocks of 512 bits) and for each block a uint32 rank of its first bit.
 """
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, lookup_join, slices, stored, texts_of
+from .common import column, lookup_join, map_batches, slices, stored, texts_of
 from .tokenids import ENCODE_BYTES, encoder, with_end
 
 BLOCK = 512
@@ -55,8 +55,9 @@ def encode(ids: np.ndarray, width: int = 8) -> bytes:
 class Codes:
     """Reads the codes of one segment."""
 
-    def __init__(self, data: bytes):
-        if data[:4] != b"DAC1":
+    def __init__(self, data: bytes | pa.Buffer):
+        data = memoryview(data)
+        if bytes(data[:4]) != b"DAC1":
             raise ValueError("not a DAC1 segment")
         self.width, self.tokens, levels = struct.unpack_from("<III", data, 4)
         at, self.levels = 16, []
@@ -97,40 +98,46 @@ class Codes:
         return out
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, width: int = 8, segment_tokens: int = SEGMENT_TOKENS) -> tuple[DataFrame, str]:
+def write(docs: DataFrame, tokenizer: str, end_id: int, width: int = 8, segment_tokens: int = SEGMENT_TOKENS, path: str | None = None) -> tuple[DataFrame, str]:
     """Encode texts (null: empty), end_id after each, and write segments in ascending doc_id order (nulls first; rows with
-    equal doc_id are ordered by text).  Returns the files' rows and their folder.
+    equal doc_id in the order of the input) to a folder, or to a scratch one.  Returns the files' rows and the folder.
 
-    Texts are dealt out by ranges of doc_id, so no task holds more than its range; a segment has whole documents and
-    about segment_tokens ids, or one longer document.
+    Texts are dealt out by ranges of doc_id and place, so no task holds more than its range, whatever ids repeat; a segment
+    has whole documents and about segment_tokens ids, or one longer document.  Pages aren't compressed: a chunk lies at its
+    own address in the file's bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        docs_, sizes, held, total = [], [], [], 0
+        held, total = [], 0  # (doc_ids, sizes, ids) of the segment begun
 
         def cut() -> pa.RecordBatch:
+            doc_ids, sizes, ids = (pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]))
+            whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([docs_], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([encode(np.concatenate(held), width)], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([number], pa.int32()), whole(doc_ids), whole(pa.array(sizes)), pa.array([encode(ids, width)], pa.binary())],
                 ["part", "segment", "doc_ids", "doc_tokens", "codes"],
             )
 
         for batch in slices(batches, limit=ENCODE_BYTES, keep_tables=True):
             ids, bounds = with_end(*enc.encode(texts_of(batch)), end_id)
-            for k, doc in enumerate(column(batch, "doc_id").to_pylist()):
-                n = int(bounds[k + 1] - bounds[k])
-                if docs_ and total + n > segment_tokens:
+            doc_ids, at = column(batch, "doc_id"), 0
+            while at < len(bounds) - 1:
+                # as many documents as the segment has room for, or one if it is empty
+                upto = max(int(np.searchsorted(bounds, bounds[at] + segment_tokens - total, side="right")) - 1, at + (not held))
+                if upto > at:
+                    held.append((doc_ids.slice(at, upto - at), np.diff(bounds[at : upto + 1]), ids[bounds[at] : bounds[upto]]))
+                    total += int(bounds[upto] - bounds[at])
+                at = upto
+                if at < len(bounds) - 1:
                     yield cut()
-                    number, docs_, sizes, held, total = number + 1, [], [], [], 0
-                docs_.append(doc)
-                sizes.append(n)
-                held.append(ids[bounds[k] : bounds[k + 1]])
-                total += n
-        if docs_:
+                    number, held, total = number + 1, [], 0
+        if held:
             yield cut()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return stored(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SEGMENTS), "dac")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("place"), F.col("text").cast("string").alias("text"))
+    dealt = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
+    return stored(dealt.transform(map_batches, run, SEGMENTS), "dac", "none", path)
 
 
 def part_starts(segments: DataFrame) -> dict[int, int]:
@@ -143,25 +150,58 @@ def part_starts(segments: DataFrame) -> dict[int, int]:
     return out
 
 
+def places(segments: DataFrame) -> DataFrame:
+    """part, segment, tokens and before (tokens of the same part before it), by the segments' own counts."""
+    sizes = segments.select("part", "segment", F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, b: a + b).alias("tokens"))
+    earlier = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)  # a part has few segments
+    return sizes.select("part", "segment", "tokens", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("before"))
+
+
+def lookup(segments: DataFrame, positions: DataFrame) -> DataFrame:
+    """position, token: the token at each distinct position (of all ids in file order), read by its own chunks alone; null
+    beyond the last one and for negative positions.  positions has a column ``position``; null ones are left out.
+
+    A position finds its segment by equal blocks of SEGMENT_TOKENS positions.  A segment's codes are sent once for at most 16384
+    of the positions that it holds, so a segment that many ask for is dealt out too.
+    """
+    starts = part_starts(segments)
+    first = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col("part")] if starts else F.lit(None).cast("long")
+    held = places(segments).filter("tokens > 0").select("part", "segment", (first + F.col("before")).alias("first"), "tokens")
+    block = lambda c: F.floor(c / SEGMENT_TOKENS)
+    held = held.withColumn("block", F.explode(F.sequence(block(F.col("first")), block(F.col("first") + F.col("tokens") - 1))))
+    asked = positions.select(F.col("position").cast("long").alias("position")).filter("position is not null").distinct()
+    found = asked.withColumn("block", block(F.col("position"))).join(held, "block").filter("position between first and first + tokens - 1")
+    wanted = found.groupBy("part", "segment", "first", F.floor(F.col("position") / 16384)).agg(F.collect_list("position").alias("positions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, wanted_, data in zip(*(column(batch, c).to_pylist() for c in ("first", "positions", "codes")), strict=True):
+                codes = Codes(data)
+                yield pa.RecordBatch.from_arrays([pa.array(wanted_, pa.int64()), pa.array([codes.token(i - begin) for i in wanted_], pa.int64())], ["position", "token"])
+
+    got = wanted.select("part", "segment", "first", "positions").join(segments.select("part", "segment", "codes"), ["part", "segment"])
+    got = got.select("first", "positions", "codes").transform(map_batches, run, "position bigint, token bigint")
+    return asked.join(got, "position", "left")
+
+
 def read(segments: DataFrame, with_ids: bool = False) -> DataFrame:
     """A row for each document, from the files alone: doc_id, start (ids of all documents before), n_tokens, ids_crc32 and,
     if asked for, ids.  Segments of a part are placed by their own counts."""
-    starts = part_starts(segments)
-    sizes = segments.select("part", "segment", F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, b: a + b).alias("n"))
-    earlier = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)  # a part has few segments
-    placed = sizes.select("part", "segment", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    starts, placed = part_starts(segments), places(segments).select("part", "segment", "before")
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = Codes(row["codes"]).all().astype("<u4")
-                ends = np.cumsum(np.array(row["doc_tokens"], np.int64))
-                begins = ends - np.array(row["doc_tokens"], np.int64)
-                first = starts[row["part"]] + row["before"]
-                cols = [pa.array(row["doc_ids"], pa.int64()), pa.array(begins + first), pa.array(ends - begins), pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins, ends, strict=True)], pa.int64())]
+            for row in range(batch.num_rows):
+                get = lambda name: column(batch, name)[row]  # noqa: B023, E731
+                ids, size = Codes(get("codes").as_buffer()).all().astype("<u4"), get("doc_tokens").values.to_numpy()
+                ends = np.cumsum(size)
+                begins, raw = ends - size, memoryview(ids.tobytes())
+                first = starts[get("part").as_py()] + get("before").as_py()
+                crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip((4 * begins).tolist(), (4 * ends).tolist(), strict=True)), np.int64, len(size))
+                cols = [get("doc_ids").values, pa.array(begins + first), pa.array(size), pa.array(crc)]
                 if with_ids:
-                    cols.append(pa.array([ids[a:b].astype(np.int64) for a, b in zip(begins, ends, strict=True)], pa.list_(pa.int64())))
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
-    return lookup_join(segments, placed, ["part", "segment"], "inner").mapInArrow(run, schema)
+    return lookup_join(segments, placed, ["part", "segment"], "inner").transform(map_batches, run, schema)

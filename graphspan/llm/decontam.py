@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, drop, slices, stored, texts_of
+from .common import column, drop, map_batches, slices, stored, texts_of
 
 #: A-Z become a-z; 0-9, a-z and all bytes of other characters stay; the rest separates words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -74,7 +74,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
             )
             block += 1
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, INDEX)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_batches, run, INDEX)
 
 
 def term_frequencies(index: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def search(index: DataFrame, windows: Windows, frequency: dict[int, int], near_w
             ["block", "place", "doc_id", "n_words", "spans", "near"],
         )
 
-    return index.mapInArrow(run, HITS)
+    return index.transform(map_batches, run, HITS)
 
 
 def _rarest(terms: np.ndarray, df: np.ndarray, most: int) -> np.ndarray:
@@ -228,7 +228,7 @@ def summary(hits: DataFrame) -> DataFrame:
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    return hits.mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    return hits.transform(map_batches, run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
 
 
 def near_summary(hits: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices, texts_of
+from .common import column, map_batches, slices, texts_of
 
 WIDTH = 64
 FRAME_ROWS = 1024
@@ -273,7 +273,7 @@ def store(docs: DataFrame) -> DataFrame:
             made = {t: encode(payload_of(t)) for t in dict.fromkeys(texts)}
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array([made[t] for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, MEDIA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_batches, run, MEDIA)
 
 
 def frames(media: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def frames(media: DataFrame) -> DataFrame:
                 names = ["doc_id", "frame", "start", "delay", "width", "height", "histogram", "samples"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return media.mapInArrow(run, FRAMES)
+    return media.transform(map_batches, run, FRAMES)
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -315,4 +315,4 @@ def digests(media: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_bytes"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [x.split(" ")[0] for x in schema.split(", ")])
 
-    return media.mapInArrow(run, schema)
+    return media.transform(map_batches, run, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, lookup_join, slices, stored, texts_of
+from .common import column, lookup_join, map_batches, slices, stored, texts_of
 
 BUCKETS = 1 << 16
 # Languages of address suffixes.
@@ -130,7 +130,7 @@ def evidence(rows: DataFrame, model: Model, weight: float = 0.25, declared_trust
             )
 
     wanted = rows.select("is_page", "id", "host", "domain", "declared", "suffix", "text")
-    return wanted.mapInArrow(run, "is_page boolean, id bigint, host string, domain string, n_grams bigint, evidence array<double>")
+    return wanted.transform(map_batches, run, "is_page boolean, id bigint, host string, domain string, n_grams bigint, evidence array<double>")
 
 
 def _softmax(logs: Column) -> Column:

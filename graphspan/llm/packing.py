@@ -16,13 +16,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices, stored, texts_of
+from .common import column, map_batches, slices, stored, texts_of
 from .tokenids import ENCODE_BYTES, encoder, with_end
 
 
-def piece_lengths(n: int, max_len: int = 1024) -> list[int]:
-    """max_len as often as it fits, then the binary digits of the rest."""
-    return [max_len] * (n // max_len) + [1 << b for b in reversed(range(max_len.bit_length() - 1)) if n % max_len >> b & 1]
+def piece_lengths(n: np.ndarray, max_len: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths of all pieces, how many each document of n ids has): max_len as often as it fits, then the binary digits of the
+    rest, longest first."""
+    kinds = 1 << np.arange(max_len.bit_length())[::-1]
+    many = np.concatenate([n[:, None] // max_len, (n[:, None] & kinds[1:]) > 0], axis=1)
+    return np.repeat(np.tile(kinds, len(n)), many.ravel()), many.sum(axis=1)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, max_len: int = 1024, with_ids: bool = False) -> DataFrame:
@@ -40,25 +43,23 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, max_len: int = 1024,
         enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), {1 << b: 0 for b in range(max_len.bit_length())}
         for batch in slices(batches, limit=ENCODE_BYTES, keep_tables=True):
             ids, bounds = with_end(*enc.encode(texts_of(batch)), end_id)
-            ids = ids.astype("<u4")
-            rows: list[tuple] = []
-            kept = []
-            for k, doc in enumerate(column(batch, "doc_id").to_pylist()):
-                first, n, start = int(bounds[k]), int(bounds[k + 1] - bounds[k]), 0
-                for length in piece_lengths(n, max_len):
-                    piece = ids[first + start : first + start + length]
-                    rows.append((doc, start, length, zlib.crc32(piece.tobytes()), n, part, seen[length]))
-                    if with_ids:
-                        kept.append(piece.astype(np.int64))
-                    seen[length] += 1
-                    start += length
-            kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            n = np.diff(bounds)
+            length, many = piece_lengths(n, max_len)
+            end = np.cumsum(length)
+            begin, doc = end - length, np.repeat(np.arange(len(n)), many)
+            raw = memoryview(ids.tobytes())
+            crc = np.fromiter((zlib.crc32(raw[a:z]) for a, z in zip((4 * begin).tolist(), (4 * end).tolist(), strict=True)), np.int64, len(end))
+            place = np.empty(len(end), np.int64)
+            for kind, before in seen.items():
+                at = np.flatnonzero(length == kind)
+                place[at] = before + np.arange(len(at))
+                seen[kind] += len(at)
+            cols = [column(batch, "doc_id").take(pa.array(doc)), *(pa.array(x) for x in (begin - bounds[doc], length, crc, n[doc], np.full(len(end), part, np.int32), place))]
             if with_ids:
-                cols.append(pa.array(kept, pa.list_(pa.int64())))
+                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]).astype(np.int32)), pa.array(ids.astype(np.int64))))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "place", "ids"][: len(cols)])
 
-    pieces, _ = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), "pieces")
+    pieces, _ = stored(map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema), "pieces")
     counts = sorted(pieces.groupBy("part", "length").count().collect(), key=lambda r: (-r["length"], r["part"]))
     first, at = [], 0
     for r in counts:

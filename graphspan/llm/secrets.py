@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, lookup_join, numbered, slices, stored, texts_of
+from .common import column, lookup_join, map_batches, numbered, slices, stored, texts_of
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -92,7 +92,7 @@ def scan(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
             rid += n
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repository.cast("string"), F.lit("")).alias("repository"), F.col("text").cast("string").alias("text"))
-    return named.mapInArrow(run, FOUND)
+    return named.transform(map_batches, run, FOUND)
 
 
 def ownership(found: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, drop, lookup_join, release, slices, stored, texts_of
+from .common import column, drop, lookup_join, map_batches, release, slices, stored, texts_of
 from .wordhash import Words, grams, mix
 
 COUNTER_PARTS = 64
@@ -109,7 +109,7 @@ def _counts(docs: DataFrame, n: int, counters: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
 
     schema = "part int, counts binary"
-    rows = docs.mapInArrow(count, schema).repartitionById(COUNTER_PARTS, F.col("part")).mapInArrow(add, schema).collect()
+    rows = docs.transform(map_batches, count, schema).repartitionById(COUNTER_PARTS, F.col("part")).transform(map_batches, add, schema).collect()
     out = np.zeros((COUNTER_PARTS, width), np.uint16)
     for r in rows:
         out[r["part"]] = np.frombuffer(zstandard.decompress(r["counts"]), np.uint16)
@@ -153,7 +153,7 @@ def _index(docs: DataFrame, n: int, t: Fraction, counts) -> DataFrame:
             types = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([a], pa.list_(x)) for a, x in zip(arrays, types, strict=True)], ["doc_ids", "sizes", "nodes", "tokens", "lists", "post_nodes", "post_sizes"])
 
-    return docs.mapInArrow(run, kinds)
+    return docs.transform(map_batches, run, kinds)
 
 
 def _list_links(postings: DataFrame, t: Fraction) -> DataFrame:
@@ -195,7 +195,7 @@ def _list_links(postings: DataFrame, t: Fraction) -> DataFrame:
         if held is not None and len(held[0]):
             yield flush(held)
 
-    return postings.mapInArrow(run, "kind int, a bigint, b bigint, low int, high int")
+    return postings.transform(map_batches, run, "kind int, a bigint, b bigint, low int, high int")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def _exact(members: DataFrame, t: Fraction, n: int) -> DataFrame:
         if rows:
             yield flush()
 
-    return members.mapInArrow(run, "a bigint, b bigint")
+    return members.transform(map_batches, run, "a bigint, b bigint")
 
 
 def _tasks(member: DataFrame, t: Fraction, block: int) -> DataFrame:
@@ -367,7 +367,7 @@ def join(docs: DataFrame, threshold: Fraction = Fraction(8, 10), n: int = 5, blo
     unnamed = firsts.filter("doc_id is null")
     if unnamed.limit(1).count():
         named = named.unionByName(_unnamed(texts, unnamed, n))
-    member, _ = stored(named.select("text", "node", "label", "members").mapInArrow(sets, "node bigint, label bigint, members bigint, tokens binary"), "sets")
+    member, _ = stored(named.select("text", "node", "label", "members").transform(map_batches, sets, "node bigint, label bigint, members bigint, tokens binary"), "sets")
     tasks = _tasks(member, t, block)
     links, _ = stored(_exact(tasks.repartition("task").sortWithinPartitions("task"), t, n), "links")
     release(spark)
@@ -387,5 +387,5 @@ def _unnamed(texts: DataFrame, unnamed: DataFrame, n: int) -> DataFrame:
             nodes = [signature(s) for s in token_sets(texts_of(batch), n)]
             yield pa.RecordBatch.from_arrays([column(batch, "text"), pa.array(nodes, pa.int64())], ["text", "node"])
 
-    keyed = texts.filter("doc_id is null").mapInArrow(run, "text string, node bigint")
+    keyed = texts.filter("doc_id is null").transform(map_batches, run, "text string, node bigint")
     return lookup_join(keyed, unnamed, ["node"], "inner").select("doc_id", "text", "node", "label", "members")

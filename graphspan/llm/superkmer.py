@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, drop, release, slices, stored, texts_of
+from .common import column, drop, map_batches, release, slices, stored, texts_of
 from .wordhash import Words, grams
 
 NULL_DOC = np.iinfo(np.int64).max
@@ -67,7 +67,7 @@ def batches_of(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([batch_id]), pa.array([doc.tobytes()]), pa.array([bytes(x is None for x in ids)]), pa.array([zstandard.ZstdCompressor(level=3).compress(lines)])], ["batch", "doc_ids", "nulls", "texts"])
             batch_id += 1
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BATCHES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_batches, run, BATCHES)
 
 
 class Segments:
@@ -211,8 +211,8 @@ def dedup(docs: DataFrame, k: int = 13, m: int = 3, parts: int | None = None) ->
                 values = [shared[i] if i in shared else low[i : i + 1] for i in use_[told].tolist()]  # one number: all windows alike
                 yield pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([part], pa.int32()), pa.array([pack(told, np.fromiter(map(len, values), np.int64, len(values)), np.concatenate(values))], pa.binary())], ["batch", "part", "answer"])
 
-    packed = held.mapInArrow(send, PACKED)
-    answered, _ = stored(packed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "batch").mapInArrow(count, ANSWERS), "answers")
+    packed = held.transform(map_batches, send, PACKED)
+    answered, _ = stored(packed.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "batch").transform(map_batches, count, ANSWERS), "answers")
     release(spark)
     mine = answered.groupBy("batch").agg(F.collect_list(F.struct("part", "answer")).alias("answers"))  # one batch's, at most one a part
 
@@ -258,4 +258,4 @@ def dedup(docs: DataFrame, k: int = 13, m: int = 3, parts: int | None = None) ->
                     ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
                 )
 
-    return held.join(mine, "batch", "left").mapInArrow(finish, "doc_id bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string")
+    return held.join(mine, "batch", "left").transform(map_batches, finish, "doc_id bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string")

@@ -3,158 +3,134 @@
 from __future__ import annotations
 
 import os
-import re
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from .common import worker_tables
 
-#: Bytes of text encoded at once: a worker holds several words and numbers for each of their words meanwhile.
-ENCODE_BYTES = 1 << 20
+#: Bytes of text encoded at once: the more, the fewer look-ups of distinct chunks.
+ENCODE_BYTES = 8 << 20
 
-#: Unicode White_Space, as the byte-level pattern's \s has it.
-_SPACE = "\t-\r \x85\xa0  -     　"
-_CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_ENDING = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
-#: Key prefixes: a chunk at a text's start, and a chunk after several white-space characters.
-_FIRST, _ODD = "\x00", "\x01"
+# Unicode White_Space beyond ASCII, as the byte-level pattern's \\s has it.
+_WIDE_SPACES = ["\u0085", "\u00a0", "\u1680", *(chr(0x2000 + i) for i in range(11)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
+#: Bytes of wide spaces after their first one, by that.
+_WIDE = {lead: np.array([[*c.encode()[1:]] for c in _WIDE_SPACES if c.encode()[0] == lead], np.uint8) for lead in {c.encode()[0] for c in _WIDE_SPACES}}
+_SPACE, _LETTER, _DIGIT, _MARK = 1, 2, 3, 4
+#: Kinds of bytes; 0 for bytes beyond ASCII, control characters and the apostrophe, which may begin a contraction.
+_KIND = np.array([_SPACE if i in (9, 10, 11, 12, 13, 32) else 0 if i < 33 or i > 126 or i == 39 else _LETTER if chr(i).isalpha() else _DIGIT if chr(i).isdigit() else _MARK for i in range(256)], np.uint8)
 
 
 class ChunkEncoder:
     """Ids of texts by a byte-level tokenizer of the tokenizers library.
 
-    Its pattern never lets a piece begin before white space and end after it, so a text can be cut where a run of
-    white space begins and each chunk encoded by itself.  Chunks seen before come from a table of at most ``limit``
-    chunks, which forgets the rare ones when it is full: memory is bounded and the ids are those of the whole text.
-    A tokenizer that isn't plainly byte-level encodes whole texts.
+    Its pattern never lets a piece go on where white space begins, nor from one to another of ASCII letters, digits and
+    marks, so a text can be cut there and each chunk encoded by itself.  The distinct chunks of a batch are looked up in two tables of at most
+    ``limit`` chunks each: when the newer one is full it becomes the older one, from which chunks that are met again move
+    over.  Memory is bounded and the ids are those of the whole text.  A text that holds an added token, and every text for
+    a tokenizer that isn't plainly byte-level, is encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.tok.no_truncation()
         self.tok.no_padding()
         told = json.loads(self.tok.to_str())
         pre = told.get("pre_tokenizer") or {}
-        self.plain = not told.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.added = [t["content"].encode() for t in told.get("added_tokens") or []]
+        byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.plain = bool(byte_level) and not told.get("normalizer") and not any(len(t.split()) != 1 for t in self.added)
         vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.opens = np.zeros(max(vocab.values()) + 1, bool)
-        for token, i in vocab.items():
-            self.opens[i] = token.startswith("Ġ")
+        self.opens = {}
+        for mark in (b" ", b"\n"):  # tokens that begin with this byte, as the byte-level alphabet writes it
+            shown = chr(256 + mark[0])
+            self.opens[mark] = np.zeros(max(vocab.values()) + 1, bool)
+            self.opens[mark][[i for token, i in vocab.items() if token.startswith(shown)]] = True
+        self.line_end = self._whole([b"\n"])[0]
         self.limit = limit
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-        self.hits = np.zeros(1 << 16, np.int64)
-        self.flat = np.zeros(1 << 18, np.uint32)
-        self.used = 0
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _keys(self, text: str) -> list[str] | None:
-        if _FIRST in text or _ODD in text:
-            return None
-        if not text:
-            return []
-        if " ".join(text.split()) == text.replace("\n", " "):  # single blanks and line ends between words, nothing else
-            return (_FIRST + text).replace("\n", " \n").split(" ")
-        keys = []
-        for chunk in _CHUNK.findall(text):
-            if chunk[0] == " " and not chunk[1:2].isspace():
-                keys.append(chunk[1:])
-            elif chunk[0] == "\n" and not chunk[1:2].isspace():
-                keys.append(chunk)
-            else:
-                keys.append((_ODD if chunk[0].isspace() else _FIRST) + chunk)
-        return keys
-
-    def _add(self, keys: list[str], ids: np.ndarray, size: np.ndarray) -> None:
-        n, m = len(self.index), len(keys)
-        while len(self.begin) < n + m:
-            self.begin, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.hits))
-        while len(self.flat) < self.used + len(ids):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.size[n : n + m] = size
-        self.begin[n : n + m] = self.used + np.cumsum(size) - size
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.index.update(zip(keys, range(n, n + m), strict=True))
-
-    def _learn(self, new: list[str]) -> None:
-        """Letters and the punctuation after them are separate pieces, so that one word's ids serve all its endings."""
-        two = {k: m.groups() for k in new if (m := _ENDING.fullmatch(k))}
-        if two:
-            need = dict.fromkeys(chain.from_iterable((a, _FIRST + b) for a, b in two.values()))
-            self._learn_plain([k for k in (*need, *new) if k not in self.index and k not in two])
-            at = np.array([(self.index[a], self.index[_FIRST + b]) for a, b in two.values()], np.int64).ravel()
-            size = self.size[at]
-            ends = np.cumsum(size)
-            ids = self.flat[np.repeat(self.begin[at] - (ends - size), size) + np.arange(ends[-1])]
-            self._add(list(two), ids, size.reshape(-1, 2).sum(axis=1))
-        else:
-            self._learn_plain(new)
-
-    def _learn_plain(self, new: list[str]) -> None:
-        new = list(dict.fromkeys(new))
-        spaced = [k for k in new if k and k[0] not in "\n\x00\x01"]
-        alone = [k for k in new if not k or k[0] in "\n\x00\x01"]
-        groups = [spaced[i : i + 64] for i in range(0, len(spaced), 64)]
-        for group, ids in zip(groups, self._whole([" " + " ".join(g) for g in groups]), strict=True):
-            cut = np.flatnonzero(self.opens[ids])
-            if len(cut) == len(group):  # a chunk after one blank begins with the only token of it that holds a blank
-                self._add(group, ids, np.diff(cut, append=len(ids)))
-            else:
-                alone += group
-        if alone:
-            ids = self._whole([k[1:] if k[:1] in (_FIRST, _ODD) and k else k if k[:1] == "\n" else " " + k for k in alone])
-            self._add(alone, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
-
-    def _forget(self) -> None:
-        """Start anew with the chunks that were met again, if these are less than half of the table."""
-        keys = list(self.index)
-        keep = np.flatnonzero(self.hits[: len(keys)] > 1)
-        begin, size, flat = self.begin, self.size, self.flat
-        self._reset()
-        if len(keep) <= self.limit // 2:
-            size, begin = size[keep], begin[keep]
-            ends = np.cumsum(size)
-            self._add([keys[i] for i in keep], flat[np.repeat(begin - (ends - size), size) + np.arange(size.sum())], size)
+        self.table: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        groups, alone = {b" ": [], b"\n": [], b"": []}, []
+        for k in new:
+            head = k[:1] if k[:1] in b" \n" else b""
+            rest = k[len(head) :]
+            spaced = rest.strip() != rest or not rest.isascii() and any(map(str.isspace, rest.decode()))
+            alone.append(k) if spaced or not rest else groups[head].append(k)
+        for head, keys in groups.items():
+            # a chunk that begins with one blank or line end has that in its first token alone; others get a line end before
+            opens, skip = self.opens[head or b"\n"], 0 if head else 4
+            parts = [keys[i : i + 64] for i in range(0, len(keys), 64)]
+            for part, ids in zip(parts, self._whole([(b"" if head else b"\n") + (b"" if head else b"\n").join(p) for p in parts]), strict=True):
+                cut = (4 * np.flatnonzero(opens[np.frombuffer(ids, "<u4")])).tolist()
+                if len(cut) == len(part) and (head or ids[:4] == self.line_end):
+                    self.table.update(zip(part, [ids[a + skip : z] for a, z in zip(cut, [*cut[1:], len(ids)], strict=True)], strict=True))
+                else:
+                    alone += part
+        self.table.update(zip(alone, self._whole(alone), strict=True))
+
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        if len(self.table) > self.limit:
+            self.table, self.older = {}, self.table
+        got = list(map(self.table.get, chunks))
+        missing = [i for i, x in enumerate(got) if x is None]
+        if missing:
+            again = [(chunks[i], x) for i in missing if (x := self.older.get(chunks[i])) is not None]
+            self.table.update(again)
+            new = [chunks[i] for i in missing]
+            self._learn([c for c in new if c not in self.table] if again else new)
+            for i in missing:
+                got[i] = self.table[chunks[i]]
+        return got
+
+    @staticmethod
+    def _cuts(buffer: bytes, first: np.ndarray) -> np.ndarray:
+        """Where chunks begin, and the end."""
+        raw = np.frombuffer(buffer, np.uint8)
+        kind = _KIND[raw]
+        for lead, rest in _WIDE.items():
+            at = np.flatnonzero(raw == lead)
+            width = 1 + rest.shape[1]
+            at = at[at + width <= len(raw)]
+            for follow in rest if len(at) else ():
+                here = at[np.all([raw[at + 1 + i] == x for i, x in enumerate(follow)], axis=0)]
+                for i in range(width):
+                    kind[here + i] = _SPACE
+        begins = np.zeros(len(raw) + 1, bool)
+        begins[1:-1] = (kind[1:] != kind[:-1]) & ((kind[1:] == _SPACE) | (kind[:-1] > _SPACE) & (kind[1:] > _SPACE))
+        begins[first] = True
+        return np.flatnonzero(begins)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, where each text begins and the last ends)."""
-        keys = [self._keys(t) if self.plain else None for t in texts]
-        odd = [i for i, k in enumerate(keys) if k is None]
-        whole = dict(zip(odd, self._whole([texts[i] for i in odd]), strict=True))
-        words = list(chain.from_iterable(k for k in keys if k is not None))
-        if len(self.index) > self.limit:
-            self._forget()
-        get = self.index.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            self._learn(list(dict.fromkeys(words[i] for i in missing)))
-            at[missing] = np.fromiter((self.index[words[i]] for i in missing), np.int64, len(missing))
-        self.hits[: len(self.index)] += np.bincount(at, minlength=len(self.index))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.begin[at] - (ends - size), size) + np.arange(total)]
-        n_keys = np.array([len(k) if k is not None else 0 for k in keys], np.int64)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_keys)])] if len(texts) else np.zeros(1, np.int64)
+        raw = [t.encode() for t in texts]
+        odd = [i for i, t in enumerate(raw) if not self.plain or any(x in t for x in self.added)]
+        whole = dict(zip(odd, self._whole([raw[i] for i in odd]), strict=True))
+        for i in odd:
+            raw[i] = b""
+        first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
+        buffer = b"".join(raw)
+        if not buffer:
+            ids, bounds = np.zeros(0, "<u4"), np.zeros(len(raw) + 1, np.int64)
+        else:
+            at = self._cuts(buffer, first)
+            chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(buffer)]).dictionary_encode()
+            taken = pa.array(self._ids(chunks.dictionary.to_pylist()), pa.large_binary()).take(chunks.indices)
+            ids = np.frombuffer(taken.buffers()[2], "<u4") if taken.buffers()[2] else np.zeros(0, "<u4")
+            bounds = np.frombuffer(taken.buffers()[1], np.int64)[np.searchsorted(at, first)] // 4
         if not whole:
-            return ids, bounds.astype(np.int64)
-        parts = [whole[i] if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+            return ids, bounds
+        parts = [np.frombuffer(whole[i], "<u4") if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(raw))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -167,4 +143,8 @@ def encoder(path: str) -> ChunkEncoder:
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with end_id after each text."""
     n = len(bounds) - 1
-    return np.insert(ids, bounds[1:], end_id).astype(np.uint32), bounds + np.arange(n + 1)
+    out = np.full(len(ids) + n, end_id, "<u4")
+    inside = np.ones(len(out), bool)
+    inside[bounds[1:] + np.arange(n)] = False
+    out[inside] = ids
+    return out, bounds + np.arange(n + 1)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices, texts_of
+from .common import column, map_batches, slices, texts_of
 from .langid import fold, sample
 from .wordhash import Words
 
@@ -286,4 +286,4 @@ def score(documents: DataFrame, net: Network) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "held_out"), pa.array([got[t] for t in texts], pa.float64())], ["doc_id", "held_out", "score"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double").withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    return rows.transform(map_batches, run, "doc_id bigint, held_out boolean, score double").withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

@@ -48,7 +48,6 @@ def tokens(text, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [end]
 
 
@@ -67,15 +66,36 @@ def test_dac_codes_give_any_token():
     assert len(dac.Codes(dac.encode(np.zeros(0, np.uint32))).all()) == 0
 
 
+def test_encoder_gives_the_ids_of_whole_texts():
+    from graphspan.llm.tokenids import ChunkEncoder
+
+    letters = "ab é\u00e8Z09 .,;-'\"!?\n\t\r\u00a0\u2003\u3000\u0085\x1c\x00😀|<>#"
+    texts = ["", " ", "<|endoftext|> hi", "x<|endoftext|>", "don't I'll we've 'tis", *("".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)), *(t or "" for _, t in ROWS)]
+    encoder = ChunkEncoder(tokenizer_path(), limit=300)
+    assert encoder.plain
+    whole = encoder.tok.encode_batch_fast(texts, add_special_tokens=False)
+    for a in range(0, len(texts), 100):
+        ids, bounds = encoder.encode(texts[a : a + 100])
+        for k, e in enumerate(whole[a : a + 100]):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == e.ids, texts[a + k]
+    assert tokens("<|endoftext|> hi", 0)[0] == 50256
+
+
 def test_token_ids_round_trip(docs, empty):
     segments, _ = dac.write(docs, tokenizer_path(), 2, segment_tokens=500)
     got = rows_of(dac.read(segments), "doc_id", "start", "n_tokens", "ids_crc32")
     at, expected = 0, []
-    for doc, text in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    every = []
+    for doc, text in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = tokens(text, 2)
         expected.append((doc, at, len(ids), crc(ids)))
         at += len(ids)
+        every += ids
     assert got == sorted(expected, key=repr)
+    asked = segments.sparkSession.range(-2, at + 2).selectExpr("id AS position").unionByName(segments.sparkSession.sql("SELECT 5L AS position UNION ALL SELECT NULL"))
+    found = {r["position"]: r["token"] for r in dac.lookup(segments, asked).collect()}
+    assert found == {i: every[i] if 0 <= i < at else None for i in range(-2, at + 2)}
+    assert dac.lookup(dac.write(empty, tokenizer_path(), 2)[0], asked).filter("token is not null").count() == 0
     assert dac.read(dac.write(empty, tokenizer_path(), 2)[0]).count() == 0
 
 
