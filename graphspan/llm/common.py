@@ -81,18 +81,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with ``_row``, which tells all rows apart (nulls and repeated ids among them) and is the same in every scan.
-
-    Of a plain scan of Parquet files it is a row's file and its place in it; anything else is stored with a number first.
-    """
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores after it while a column has that name."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, columns: list[str] | None = None, name: str = "_row") -> DataFrame:
+    """Some or all columns of docs with a number that tells all rows apart (nulls and repeated ids among them) and is the same
+    in every scan.  Of a plain scan of Parquet files it is a row's file and its place in it; anything else is stored with a
+    number first."""
+    columns = list(docs.columns) if columns is None else columns
     plan = docs._jdf.queryExecution().analyzed()
     if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation" or plan.relation().fileFormat().toString() != "Parquet":
-        return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")[0]
-    at = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
-    files = sorted(r["_file"] for r in at.select("_file").distinct().collect())
-    first = docs.sparkSession.createDataFrame([(f, k << 40) for k, f in enumerate(files)], "_file string, _first bigint")
-    return at.join(F.broadcast(first), "_file").select(*docs.columns, (F.col("_first") + F.col("_place")).alias("_row"))
+        return stored(docs.select(*columns, F.monotonically_increasing_id().alias(name)), "numbered")[0]
+    file, first = free_name(columns, "_file"), free_name(columns, "_first")
+    at = docs.select(*columns, F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(name))
+    files = sorted(r[0] for r in at.select(file).distinct().collect())
+    starts = docs.sparkSession.createDataFrame([(f, k << 40) for k, f in enumerate(files)], f"`{file}` string, `{first}` bigint")
+    return at.join(F.broadcast(starts), file).select(*columns, (F.col(first) + F.col(name)).alias(name))
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:

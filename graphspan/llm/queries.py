@@ -139,7 +139,8 @@ common AS (SELECT c.x, c.y, c.nx, c.ny, count(*) AS shared FROM candidates c JOI
 links AS (SELECT x, y FROM common WHERE 100 * shared >= 90 * (nx + ny - shared)),
 steps AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reached(doc_id, other) AS (SELECT doc_id, doc_id FROM docs UNION SELECT r.doc_id, s.y FROM reached r JOIN steps s ON s.x = r.other)
-SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, min(r.other) AS component_id
+SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, min(r.other) AS component_id,
+  (SELECT count(*) FROM steps s WHERE s.x = d.doc_id) AS n_links
 FROM docs d LEFT JOIN sizes z USING (doc_id) JOIN reached r USING (doc_id) GROUP BY d.doc_id, z.n
 """,
     "op10_chat_format": r"""

@@ -146,22 +146,23 @@ def brute_join(rows, t, n):
         return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
     sets = [shingles(x) for _, x in rows]
-    label = list(range(len(rows)))
+    label, links = list(range(len(rows))), [0] * len(rows)
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and len(sets[i] & sets[j]) * t.denominator >= t.numerator * len(sets[i] | sets[j]) and label[i] != label[j]:
+            if sets[i] and sets[j] and len(sets[i] & sets[j]) * t.denominator >= t.numerator * len(sets[i] | sets[j]):
                 a, b = label[i], label[j]
                 label = [b if x == a else x for x in label]
+                links[i], links[j] = links[i] + 1, links[j] + 1
     least = {}
     for (doc, _), x in zip(rows, label, strict=True):
         if doc is not None:
             least[x] = min(least.get(x, doc), doc)
-    return sorted(((doc, len(s), least.get(x) if s else doc) for (doc, _), s, x in zip(rows, sets, label, strict=True)), key=repr)
+    return sorted(((doc, len(s), least.get(x) if s else doc, k) for (doc, _), s, x, k in zip(rows, sets, label, links, strict=True)), key=repr)
 
 
 def test_set_join(spark, docs, empty):
     for t, n in ((Fraction(9, 10), 3), (Fraction(8, 10), 5), (Fraction(1, 2), 2)):
-        assert rows_of(setjoin.join(docs, t, n), "doc_id", "n_shingles", "component_id") == brute_join(ROWS, t, n)
+        assert rows_of(setjoin.join(docs, t, n), "doc_id", "n_shingles", "component_id", "n_links") == brute_join(ROWS, t, n)
     assert setjoin.join(empty).count() == 0
 
 
@@ -176,8 +177,24 @@ def test_set_join_of_dense_groups(spark, monkeypatch):
     rows += [(2000 + i, words(5)) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(setjoin, "LONG_LIST", 10)
-    for block in (4, 128):
-        assert rows_of(setjoin.join(df, Fraction(9, 10), 3, block), "doc_id", "n_shingles", "component_id") == brute_join(rows, Fraction(9, 10), 3)
+    for block, bits in ((500, 64), (1 << 17, 64), (3000, 2)):  # two bits: different sets share nodes
+        assert rows_of(setjoin.join(df, Fraction(9, 10), 3, block, bits=bits), "doc_id", "n_shingles", "component_id", "n_links") == brute_join(rows, Fraction(9, 10), 3)
+
+
+def test_cluster_skips_blocks_and_derives_answers():
+    r, base, texts = random.Random(3), words(400).split(), []
+    for i in range(200):
+        w = list(base)
+        for _ in range(i % 9):
+            w[r.randrange(len(w))] = f"x{r.randrange(50)}"
+        texts.append(" ".join(w[: len(w) - i % 5 * 70]))
+    texts += [" ".join(r.choice(base) for _ in range(40)) for _ in range(40)]
+    sets = list({x.tobytes(): x for x in setjoin.token_sets(texts, 3)}.values())
+    cluster = setjoin.Cluster(Fraction(9, 10))
+    got = {x: sorted(links.tolist()) for x, links in cluster.answers(sets)}
+    members = [set(x.tolist()) for x in sets]
+    assert got == {x: [y for y in range(len(sets)) if y != x and 10 * len(members[x] & members[y]) >= 9 * len(members[x] | members[y])] for x in range(len(sets))}
+    assert cluster.derived > 50 and cluster.skipped > 0 < cluster.read and cluster.probed + cluster.derived == len(sets)
 
 
 def test_components(spark):

@@ -25,7 +25,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
 
     left = [(d[0], d[1]) for d in docs if d[1] and any(c.isalpha() for c in d[1])]
-    component = {d: c for d, _, c in brute_join(left, Fraction(8, 10), 5)}
+    component = {d: c for d, _, c, _ in brute_join(left, Fraction(8, 10), 5)}
     left = [(d, t) for d, t in left if d is None or component[d] == d]
     windows = {tuple(decontam.words(leak)[i : i + 10]) for i in range(21)}
     left = [(d, t) for d, t in left if not any(tuple(decontam.words(t)[i : i + 10]) in windows for i in range(len(decontam.words(t)) - 9))]
