@@ -7,7 +7,8 @@ leans on its domain, a domain on all rows, the less the more rows it has.  The p
 Trigram models are fitted on a bounded sample of labelled rows (``train_rows``); everything else covers all rows.
 
 Defined cases: null or empty texts give no text evidence; a row without any letter is rejected as ``und`` whatever its host
-says; null hosts and addresses give the host ""; an unknown declared language is no evidence; rows are judged each by itself;
+says; null hosts and addresses give the host ""; an unknown declared language is no evidence; of languages with equal
+posteriors the first by name is taken; rows are judged each by itself, repeated ones alike; a very long text is counted whole;
 an empty table gives no rows.
 """
 
@@ -54,7 +55,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Naive Bayes over hashed byte trigrams."""
+    """Naive Bayes over hashed byte trigrams; scores: languages x buckets."""
 
     def __init__(self, languages: list[str], scores: np.ndarray):
         self.languages, self.scores = languages, scores
@@ -66,7 +67,7 @@ class Model:
         for k, name in enumerate(names):
             grams, _ = trigrams([t for t, x in zip(texts, languages, strict=True) if x == name])
             counts[:, k] += np.bincount(grams, minlength=BUCKETS)
-        return cls(names, (np.log(counts) - np.log(counts.sum(axis=0))).astype(np.float32))
+        return cls(names, np.ascontiguousarray((np.log(counts) - np.log(counts.sum(axis=0))).T, np.float32))
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(log likelihoods a text and language, trigrams with a letter in them)."""
@@ -76,7 +77,7 @@ class Model:
         if len(some):
             begin = (np.cumsum(n) - n)[some]
             for k in range(len(self.languages)):
-                out[some, k] = np.add.reduceat(self.scores[:, k][grams], begin, dtype=np.float64)
+                out[some, k] = np.add.reduceat(self.scores[k][grams], begin, dtype=np.float64)
         return out, n
 
 
@@ -91,17 +92,21 @@ def sample(labelled: DataFrame, key: str, rows: int) -> DataFrame:
     return labelled if n <= rows else labelled.filter(F.pmod(F.xxhash64(F.lit(7), key), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
 
 
-def train(documents: DataFrame, train_rows: int = 4000, max_languages: int = 64) -> Model:
-    """Trigram models from at most about train_rows labelled documents outside fold 0, whole texts; the max_languages most
-    frequent labels of that sample."""
+def train(documents: DataFrame, train_rows: int = 4000, train_bytes: int = 32 << 20) -> Model:
+    """Trigram models of every label from whole texts of labelled documents outside fold 0.
+
+    The sample is stratified: labels share train_rows and train_bytes equally (a label has one row at least), so a rare language
+    is there with all its documents.  Rows are chosen by a hash of doc_id and text."""
     usable = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    rows = sample(usable, "doc_id", train_rows).collect()
-    seen: dict[str, int] = {}
-    for r in rows:
-        seen[r["lang"]] = seen.get(r["lang"], 0) + 1
-    known = set(sorted(seen, key=lambda x: (-seen[x], x))[:max_languages])
-    rows = sorted((r for r in rows if r["lang"] in known), key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
-    return Model.fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.min(F.xxhash64("doc_id", "text")).alias("first")).collect()  # a row for each label
+    share = lambda r: min(1.0, train_rows / len(sizes) / r["n"], train_bytes / len(sizes) / max(1, r["size"]))
+    shares = documents.sparkSession.createDataFrame([(r["lang"], int(share(r) * (1 << 30)), r["first"]) for r in sizes], "lang string, _share long, _first long")
+    chosen = usable.withColumn("_hash", F.xxhash64("doc_id", "text")).join(F.broadcast(shares), "lang").filter("pmod(_hash, 1 << 30) < _share OR _hash = _first")
+    seen = {}  # equal rows have one hash and come together: one of them is enough
+    for r in chosen.select("_hash", "doc_id", "lang", "text").dropDuplicates(["_hash", "lang"]).collect():
+        seen[r["lang"], r["_hash"]] = r["text"]
+    rows = sorted((lang, h, text) for (lang, h), text in seen.items())
+    return Model.fit([text for _, _, text in rows], [lang for lang, _, _ in rows])
 
 
 def evidence(rows: DataFrame, model: Model, weight: float = 0.25, declared_trust: float = 0.9, suffix_trust: float = 0.7) -> DataFrame:
@@ -118,14 +123,15 @@ def evidence(rows: DataFrame, model: Model, weight: float = 0.25, declared_trust
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1 << 20):
             pages = column(batch, "is_page").to_pylist()
             texts = [page_text(t) if p else t for t, p in zip(texts_of(batch), pages, strict=True)]
             score, n = model.score(texts)
             score = score * weight + bonus(column(batch, "declared").to_pylist(), declared_trust) + bonus([SUFFIX_LANGUAGE.get(x) for x in column(batch, "suffix").to_pylist()], suffix_trust)
             score -= score.max(axis=1, keepdims=True) if score.shape[1] else 0
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(score) + 1) * score.shape[1], pa.int32()), pa.array(score.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "is_page"), column(batch, "id"), column(batch, "host"), column(batch, "domain"), pa.array(n), pa.array(list(score), pa.list_(pa.float64()))],
+                [column(batch, "is_page"), column(batch, "id"), column(batch, "host"), column(batch, "domain"), pa.array(n), each],
                 ["is_page", "id", "host", "domain", "n_grams", "evidence"],
             )
 

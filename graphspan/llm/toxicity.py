@@ -9,7 +9,9 @@ in it.  Labels are read only outside fold 0, from at most about ``train_rows`` d
 
 Defined cases: null or empty texts have no window and get the share of toxic documents seen in training; a table without
 usable labels scores everything 0; rows with equal doc_id are scored each by itself; several labels of one doc_id count as
-their greatest; equal texts get equal scores; other columns, labels among them, are never inputs of a score.
+their greatest; equal texts get equal scores
+in a batch, and scores that agree to about 1e-6 in different ones (sums of 32-bit floats); a very long text is all its windows;
+other columns, labels among them, are never inputs of a score.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -367,7 +368,7 @@ def test_language_id(spark, docs, empty):
     rows = [(i, f"{en} {i}" if i % 2 else f"{de} {i}", "en" if i % 2 else "de", "h0") for i in range(60)] + [(100, None, None, None), (101, "123 !!", "en", "h0"), (102, "the", "en", "h1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     model = langid.train(df)
-    assert model.languages == ["de", "en"] and np.allclose(np.exp(model.scores).sum(axis=0), 1, atol=1e-3)
+    assert model.languages == ["de", "en"] and np.allclose(np.exp(model.scores).sum(axis=1), 1, atol=1e-3)
     got = {r["id"]: (r["lang"], r["rejected"]) for r in langid.identify(langid.document_rows(df), model).collect()}
     assert all(got[i] == ("en" if i % 2 else "de", False) for i in range(60)) and got[100] == got[101] == ("und", True)
     grams, n = langid.trigrams(["", "ab", "Ab c", "!!"])
@@ -379,6 +380,123 @@ def test_language_id(spark, docs, empty):
     assert langid.identify(langid.document_rows(docs), langid.train(empty)).filter("rejected").count() == docs.count()
 
 
+def test_language_id_against_brute_force(spark):
+    """Likelihoods, host priors and posteriors of a trained model, by plain loops; repeated rows, ties and very long texts."""
+    r = random.Random(8)
+    sounds = {"en": ["the ", "ing ", "wh", "ly "], "de": ["der ", "sch", "ung ", "ö"], "fr": ["que ", "eau", "é", "les "]}
+    say = lambda x, n: "".join(r.choice(sounds[x]) for _ in range(n))
+    rows = [(i, say(x, r.randrange(1, 40)), x, f"h{r.randrange(4)}" if i % 3 else f"own-{x}") for i in range(90) for x in [r.choice("en de fr".split())]]
+    rows += [rows[0], rows[0], (500, say("de", 40000), "de", "h1"), (501, "zz", None, "own-fr"), (502, "zz", None, "own-de"), (503, "", "en", "h1"), (504, "42", None, "own-fr"), (505, None, "xx", None)]
+    pages = [(1, "http://a.site.de/x", f"<html lang='fr'><script>the the</script><p>{say('fr', 5)}</p>"), (2, "https://a.site.de", f"<p>{say('de', 9)}</p>"), (3, None, "<i>zz</i>")]
+
+    def grams(text):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+        raw = b" " + raw + b" "
+        while b"  " in raw:
+            raw = raw.replace(b"  ", b" ")
+        out = []
+        for a, b, c in zip(raw, raw[1:], raw[2:]):
+            h = (a * 0x9E3779B1 ^ b * 0x85EBCA6B ^ c * 0xC2B2AE35) & 0xFFFFFFFF
+            out.append((h ^ h >> 15) & 0xFFFF)
+        return out
+
+    train = {(i, t, x) for i, t, x, _ in rows if x and t is not None and zlib.crc32(str(i).encode()) % 5}
+    names = sorted({x for _, _, x in train})
+    counts = {x: {} for x in names}
+    for _, t, x in train:
+        for g in grams(t):
+            counts[x][g] = counts[x].get(g, 0) + 1
+    total = {x: sum(counts[x].values()) + 0.05 * 65536 for x in names}
+    soft = lambda v: [math.exp(a - max(v)) / sum(math.exp(b - max(v)) for b in v) for a in v]
+    seen = []
+    for i, t, _, host in rows:
+        seen.append(((False, i), t or "", host or "", "documents", None, None))
+    for i, url, html in pages:
+        host = re.sub(r"^https?://([^/]*).*$", r"\1", url or "")
+        seen.append(((True, i), re.sub(r"(?s)<script>.*?</script>|<[^>]*>", " ", html), host, ".".join(host.split(".")[-2:]), "fr" if "lang" in html else "", "de" if host.endswith(".de") else None))
+    logs = []
+    for key, t, host, domain, declared, suffix in seen:
+        g = grams(t)
+        v = [0.25 * sum(math.log((counts[x].get(k, 0) + 0.05) / total[x]) for k in g) for x in names]
+        for told, trust in ((declared, 0.9), (suffix, 0.7)):
+            if told in names:
+                v = [a + math.log(trust if x == told else (1 - trust) / (len(names) - 1) + 1e-9) for a, x in zip(v, names)]
+        logs.append((key, host, domain, len(g), v))
+    hosts = {}
+    for _, host, domain, n, v in logs:
+        if n:
+            p = hosts.setdefault((host, domain), [0.0] * len(names))
+            for k, q in enumerate(soft(v)):
+                p[k] += q
+    every = [1 + sum(p[k] for p in hosts.values()) for k in range(len(names))]
+    every = [a / sum(every) for a in every]
+    prior = {}
+    for (host, domain), p in hosts.items():
+        d = [sum(q[k] for (_, x), q in hosts.items() if x == domain) for k in range(len(names))]
+        d = [(a + 50 * b) / (sum(d) + 50) for a, b in zip(d, every)]
+        prior[host, domain] = [(a + 20 * b) / (sum(p) + 20) for a, b in zip(p, d)]
+    expected = {}
+    for key, host, domain, n, v in logs:
+        q = soft([a + math.log(b) for a, b in zip(v, prior[host, domain])] if (host, domain) in prior else v)
+        expected.setdefault(key, []).append((n, "und" if not n or max(q) < 0.5 else names[q.index(max(q))], max(q)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    both = langid.document_rows(df).unionByName(langid.page_rows(spark.createDataFrame(pages, "page_id long, url string, html string")))
+    got = {}
+    for x in langid.identify(both, langid.train(df)).collect():
+        got.setdefault((x["is_page"], x["id"]), []).append((x["n_grams"], x["lang"], x["confidence"]))
+    assert got.keys() == expected.keys()
+    for key in got:
+        for (n, lang, p), (m, x, q) in zip(got[key], expected[key], strict=True):
+            assert n == m and abs(p - q) < 1e-3 and (lang == x or abs(q - 0.5) < 1e-3), (key, got[key], expected[key])
+
+
+def test_toxicity_forward_by_loops(spark):
+    """Windows, recurrent states, attention and the highest window of a trained network, by plain loops."""
+    import numpy as np
+
+    r = random.Random(12)
+    texts = [" ".join(r.choice(VOCAB) for _ in range(n)) for n in (1, 5, 32, 33, 47, 48, 49, 100, 700)] + ["", "Grubbel!", None]
+    texts += texts[:4]
+    net = toxicity.fit([words(30) + (" grubbel" if i % 2 else "") for i in range(60)], [i % 2 for i in range(60)], epochs=2)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    h = toxicity.HIDDEN
+
+    def vector(word):
+        raw = b" " + word + b" "
+        chars = []
+        for a, b, c in zip(raw, raw[1:], raw[2:]):
+            x = (a * 0x9E3779B1 ^ b * 0x85EBCA6B ^ c * 0xC2B2AE35) & 0xFFFFFFFF
+            chars.append(p["char"][(x ^ x >> 15) % toxicity.CHAR_BUCKETS])
+        print_ = toxicity.Words([word]).fingerprints()[0]
+        at = np.flatnonzero(net.known == print_)
+        return np.concatenate([p["word"][at[0] if len(at) else toxicity.KNOWN_WORDS], np.mean(chars, axis=0)])
+
+    def logit(window):
+        states = {}
+        for way, order in (("f", range(len(window))), ("b", reversed(range(len(window))))):
+            s, states[way] = np.zeros(h), {}
+            for i in order:
+                x, g = vector(window[i]) @ p[f"W{way}"] + p[f"c{way}"], s @ p[f"U{way}"]
+                z, gate = sig(x[:h] + g[:h]), sig(x[h : 2 * h] + g[h : 2 * h])
+                s = z * s + (1 - z) * np.tanh(x[2 * h :] + gate * g[2 * h :])
+                states[way][i] = s
+        both = np.array([np.concatenate([states["f"][i], states["b"][i]]) for i in range(len(window))])
+        e = np.exp(np.tanh(both @ p["A"]) @ p["a"])
+        return (e / e.sum()) @ both @ p["w"] + p["bias"][0]
+
+    expected = []
+    for t in texts:
+        w = re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+        starts = sorted({min(k, max(0, len(w) - toxicity.WINDOW)) for k in range(0, max(1, len(w) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)}) if w else []
+        assert {j for s in starts for j in range(s, min(len(w), s + toxicity.WINDOW))} == set(range(len(w)))
+        expected.append(sig(net.scale * max(logit(w[s : s + toxicity.WINDOW]) for s in starts) + net.shift) if w else net.empty)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(df, net).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], expected, atol=1e-4)
+    assert all(abs(got[i] - got[len(texts) - 4 + i]) < 1e-5 for i in range(4))  # equal texts in other batches
+
+
 def test_toxicity(spark, docs, empty):
     import numpy as np
 
