@@ -37,6 +37,8 @@ from .wordhash import Words, grams, mix
 COUNTER_PARTS = 64
 #: Bounds of the table of counters: at most 2**26 of two bytes are sent to the executors.
 LEAST_COUNTERS, MOST_COUNTERS = 1 << 18, 1 << 25
+#: Edges that a task connects by itself.
+TASK_EDGES = 1 << 20
 #: Index lists longer than this are dealt out.
 LONG_LIST = 2000
 
@@ -201,34 +203,50 @@ def _list_links(postings: DataFrame, t: Fraction) -> DataFrame:
     return postings.transform(map_batches, run, "kind int, a bigint, b bigint, low int, high int")
 
 
-def _forest(edges: DataFrame) -> DataFrame:
-    """Fewer edges (a, b) that connect the same nodes: what a batch connects becomes a path."""
+def least_connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node that each is connected with) of edges."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[x], root[y])
+        before = root.copy()
+        for side in (x, y):  # hang the roots on what their nodes' neighbours have
+            np.minimum.at(root, before[side], least)
+            np.minimum.at(root, side, least)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            return nodes, nodes[root]
+
+
+def _contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    """node, label: the least node that the edges (a, b) of a task connect it with; edges are dealt to so many tasks by a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, at = np.unique(np.concatenate([column(batch, "a").to_numpy(), column(batch, "b").to_numpy()]), return_inverse=True)
-            root = list(range(len(nodes)))
-            for x, y in at.reshape(2, -1).T.tolist():
-                while root[x] != x:
-                    root[x] = x = root[root[x]]
-                while root[y] != y:
-                    root[y] = y = root[root[y]]
-                root[max(x, y)] = min(x, y)
-            for x in range(len(root)):  # a root is less than what hangs on it
-                root[x] = root[root[x]]
-            order = np.lexsort((np.arange(len(nodes)), root))
-            label = np.array(root, np.int64)[order]
-            same = np.flatnonzero(label[1:] == label[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[order[same + 1]]), pa.array(nodes[order[same]])], ["a", "b"])
-
-    return edges.select("a", "b").transform(map_batches, run, "a bigint, b bigint")
+        held = [(column(x, "a").to_numpy(), column(x, "b").to_numpy()) for x in batches]
+        if held:
+            nodes, labels = least_connected(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(labels)], ["node", "label"])
+
+    dealt = edges.repartition(1) if tasks == 1 else edges.repartition(tasks, "a")
+    return dealt.select("a", "b").transform(map_batches, run, "node bigint, label bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (the least node it is connected with) of every node of edges (a, b), by alternating large and small stars.
-    A round's joins are on nodes; the least neighbour of each node is stored first, so that a node with very many neighbours
-    meets one row, is broadcast to or split by the adaptive skew join."""
-    current, path = stored(_forest(edges.filter("a <> b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    """node, label (the least node it is connected with) of every node of edges (a, b).
+
+    Edges are dealt to tasks of about TASK_EDGES each, which leave at most one edge a node.  Where one task doesn't hold them
+    all, alternating large and small stars follow.  Their joins are on nodes; the least neighbour of each node is stored first,
+    so that a node with very many neighbours meets one row, which is broadcast or split for by the adaptive skew join."""
+    current, path = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    tasks = -(-current.count() // TASK_EDGES)
+    labels, labels_path = stored(_contracted(current, max(1, tasks)), "labels")
+    drop(path)
+    if tasks <= 1:
+        return labels
+    current, path = stored(labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")).distinct(), "edges")
+    drop(labels_path)
     state = None
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -376,7 +394,6 @@ def _exact(members: DataFrame, t: Fraction) -> DataFrame:
                 return
             side, low, nodes, weight = (np.array([r[i] for r in rows]) for i in range(4))
             root = list(range(len(rows)))
-            last = list(range(len(rows)))  # of a root: the set that joined it last
             edges, n_links = [], np.zeros(len(rows), np.int64)
             for x, links in Cluster(t).answers([np.frombuffer(r[4], np.uint64) for r in rows]):
                 if side.any():
@@ -390,8 +407,8 @@ def _exact(members: DataFrame, t: Fraction) -> DataFrame:
                     while root[b] != b:
                         root[b] = b = root[root[b]]
                     if a != b:
-                        edges.append((nodes[last[a]], nodes[last[b]]))
-                        root[a], last[b] = b, last[a]
+                        edges.append((nodes[a], nodes[b]))
+                        root[a] = b
             some = np.flatnonzero(n_links)
             if len(some):
                 yield pa.RecordBatch.from_arrays(
@@ -460,7 +477,7 @@ def join(docs: DataFrame, threshold: Fraction = Fraction(8, 10), n: int = 5, blo
     runs = listed.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node")).distinct()
     hubs, _ = stored(runs.groupBy("token").agg(F.min("node").alias("hub")), "hubs")
     near = listed.filter("kind = 0").select("a", "b").unionByName(lookup_join(runs, hubs, ["token"], "inner").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    clusters, _ = stored(components(near), "clusters")
+    clusters = components(near)
 
     # a row for each different set: two sets of one node are told apart by their marks
     each = rows.filter("n_shingles > 0").groupBy("node", "mark").agg(F.min("doc_id").alias("doc_id"), F.min("_row").alias("_row"), F.count("*").alias("weight"), F.min("n_shingles").alias("n"))
@@ -480,7 +497,7 @@ def join(docs: DataFrame, threshold: Fraction = Fraction(8, 10), n: int = 5, blo
     member, _ = stored(some.transform(map_batches, sets, "node bigint, label bigint, weight bigint, total bigint, tokens binary"), "sets")
     links, _ = stored(_exact(_tasks(member, t, block).repartition("task").sortWithinPartitions("task"), t), "links")
     release(spark)
-    linked, _ = stored(components(links.filter("kind = 0").select("a", "b")), "components")
+    linked = components(links.filter("kind = 0").select("a", "b"))
     others, _ = stored(links.filter("kind = 1").groupBy(F.col("a").alias("set")).agg(F.sum("b").alias("others")), "others")
     verdict = lookup_join(lookup_join(each, linked.select(F.col("node").alias("set"), "label"), ["set"]), others, ["set"])
     verdict, _ = stored(verdict.select("node", "mark", "doc_id", F.coalesce("label", "set").alias("label"), (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "verdict")

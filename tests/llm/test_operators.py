@@ -198,10 +198,14 @@ def test_cluster_skips_blocks_and_derives_answers():
     assert cluster.derived > 50 and cluster.skipped > 0 < cluster.read and cluster.probed + cluster.derived == len(sets)
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (7, 7)]
-    got = dict(rows_of(setjoin.components(spark.createDataFrame(edges, "a long, b long")), "node", "label"))
-    assert got == {i: 0 for i in range(41)} | {100: 100, 200: 100, 300: 100}
+def test_components(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (7, 7), (-5, 900)] + [(1000, 1000 + i) for i in range(60)] + [(2000 - i, 1900 - i) for i in range(100)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    expected = {i: 0 for i in range(41)} | {100: 100, 200: 100, 300: 100, -5: -5, 900: -5} | {i: 1000 for i in range(1000, 1060)} | {i: 1801 + (i - 1801) % 100 for i in range(1801, 2001)}
+    for size in (1 << 20, 50):
+        monkeypatch.setattr(setjoin, "TASK_EDGES", size)
+        assert dict(rows_of(setjoin.components(df), "node", "label")) == expected
+        assert setjoin.components(df.limit(0)).count() == 0
 
 
 def test_decontamination(spark, docs, empty):
