@@ -31,12 +31,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.summary(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10))
-
-
-def op3_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The other half of op3's answer, whose SQL has the columns of exact matches alone."""
-    return decontam.near_summary(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10, near_words=10))
+    """Exact matches of ten words, and items whose rarest words come within ten words of each other (n_near, near_items)."""
+    return decontam.summary(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10, near_words=10))
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
-    "op3_proximity": op3_proximity,
     "op4_token_ids": op4_token_ids,
     "op5_language_id": op5_language_id,
     "op6_substring_dedup": op6_substring_dedup,
@@ -106,10 +101,28 @@ places AS (
   SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM docs, lengths WHERE len(w) >= k)
 ), hits AS (SELECT p.doc_id, p.k, p.i, x.item FROM places p JOIN windows x ON p.k = x.k AND p.s = x.s),
 covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS j FROM hits) GROUP BY doc_id),
-found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id),
+terms AS (SELECT DISTINCT s, unnest(string_split(s, ' ')) AS t FROM windows),
+placed AS (SELECT doc_id, t, i FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM docs) WHERE t IN (SELECT t FROM terms)),
+frequency AS (SELECT t, count(*) AS n FROM placed GROUP BY t),
+needed AS (SELECT s, least(4, count(*)) AS m FROM terms GROUP BY s),
+rarest AS (SELECT s, t, row_number() OVER (PARTITION BY s ORDER BY n, t) AS r, count(*) OVER (PARTITION BY s) AS there FROM terms JOIN frequency USING (t)),
+chosen AS (SELECT s, t, r, m FROM rarest JOIN needed USING (s) WHERE r <= m AND there >= m),
+anchors AS (SELECT s, m, doc_id, i FROM chosen JOIN placed USING (t) WHERE r = 1),
+close AS (
+  SELECT DISTINCT s, doc_id FROM (
+    SELECT a.s, a.doc_id, a.i, a.m FROM anchors a JOIN chosen c ON c.s = a.s AND c.r > 1 JOIN placed p ON p.t = c.t AND p.doc_id = a.doc_id AND p.i BETWEEN a.i - 10 AND a.i + 10
+    GROUP BY a.s, a.doc_id, a.i, a.m HAVING count(DISTINCT c.r) = a.m - 1
+    UNION ALL SELECT s, doc_id, i, m FROM anchors WHERE m = 1)
+),
+near AS (
+  SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near_items
+  FROM (SELECT DISTINCT c.doc_id, x.item FROM close c JOIN windows x ON x.s = c.s) y ANTI JOIN hits h ON h.doc_id = y.doc_id AND h.item = y.item GROUP BY doc_id
+)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(f.n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(f.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
-FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id
+  sha256(coalesce(f.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated,
+  CAST(coalesce(e.n_near, 0) AS BIGINT) AS n_near, coalesce(e.near_items, '') AS near_items
+FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id LEFT JOIN near e ON d.doc_id = e.doc_id
 """,
     "op6_substring_dedup": r"""
 WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
