@@ -7,8 +7,13 @@ sample is its own palette index, rows of 64 samples and frames of at most ``fram
 Code streams are read and written a table's life at a time: between two clear codes the width of the i-th code depends on i
 alone, so bits are packed and unpacked by whole arrays; only the table itself is walked code by code.
 
-Defined cases: null or empty bytes are one row of 64 zero bytes when stored as a payload; rows are handled each by itself, and
-equal texts of a batch once; other columns are ignored.
+Stored media are read back frame by frame as they are shown: palettes, transparency and disposal are applied to a canvas, whose
+colours make a frame's histogram.
+
+Defined cases: null or empty texts are one row of 64 zero bytes when stored as a payload; a very long text is many frames of
+one medium; null, malformed, truncated or oversized media (over MOST_PIXELS) are one row with an ``error`` and nulls; a frame
+that lies beyond the screen shows nothing; rows are handled each by itself, and equal texts of a batch once; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_batches, slices, texts_of
+from .common import column, map_batches, slices, stored, texts_of
 
 WIDTH = 64
 FRAME_ROWS = 1024
 TABLE = 4096
+#: Pixels that a screen or a frame may have.
+MOST_PIXELS = 1 << 26
+#: Bins of a colour histogram, for each of red, green and blue.
+BINS = 8
 
 
 @dataclass
@@ -130,6 +139,8 @@ def lzw_decode(stream: bytes, smallest: int, expected: int) -> bytes:
                 try:
                     word = table[c]
                 except IndexError:
+                    if c > len(table):
+                        raise ValueError("a code before its entry") from None
                     word = previous + previous[:1]
                 add(previous + word[:1])
                 put(word)
@@ -198,6 +209,8 @@ def parse(data: bytes) -> tuple[int, int, int, list[Frame]]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"a screen of {width} x {height} pixels")
     shared, at = _palette(data, 13, flags)
     frames, delay, disposal, transparent = [], 0, 0, None
     while at < len(data):
@@ -216,8 +229,13 @@ def parse(data: bytes) -> tuple[int, int, int, list[Frame]]:
         left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
         own, at = _palette(data, at + 10, flags)
         smallest = data[at]
+        if not 2 <= smallest <= 8 or w * h > MOST_PIXELS:
+            raise ValueError(f"code size {smallest}, {w} x {h} pixels")
         stream, at = _unblocked(data, at + 1)
-        flat = np.frombuffer(lzw_decode(stream, smallest, w * h).ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+        pixels = lzw_decode(stream, smallest, w * h)
+        if len(pixels) < w * h:
+            raise ValueError(f"{len(pixels)} of {w * h} pixels")
+        flat = np.frombuffer(pixels, np.uint8).reshape(h, w)
         if flags & 0x40:
             order = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
             straight = np.empty_like(flat)
@@ -229,34 +247,56 @@ def parse(data: bytes) -> tuple[int, int, int, list[Frame]]:
     return width, height, background, frames
 
 
-def compose(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(start in hundredths of a second, delay, canvas as height x width x RGBA) of each frame as it is shown."""
+@dataclass
+class Shown:
+    """A frame as it is shown: the canvas (height x width x RGBA, valid until the next one) and the part that the frame covers."""
+
+    start: int
+    delay: int
+    canvas: np.ndarray
+    area: tuple[slice, slice]
+
+    def histogram(self) -> list[int]:
+        """Pixels that aren't transparent by red, green and blue, BINS each."""
+        flat = self.canvas.reshape(-1, 4)
+        if not self.canvas[..., 3].all():
+            flat = flat[flat[:, 3] > 0]
+        return [n for c in range(3) for n in np.bincount(flat[:, c] // (256 // BINS), minlength=BINS).tolist()]
+
+
+def compose(data: bytes) -> Iterator[Shown]:
+    """The frames of a GIF as they are shown, with their start in hundredths of a second."""
     width, height, _, frames = parse(data)
     canvas, at = np.zeros((height, width, 4), np.uint8), 0
     for f in frames:
         before = canvas.copy() if f.disposal == 3 else None
-        bottom, right = min(height, f.top + f.height), min(width, f.left + f.width)
-        area = canvas[f.top : bottom, f.left : right]
-        shown = f.indices[: bottom - f.top, : right - f.left]
-        colours = f.palette[np.minimum(shown, len(f.palette) - 1)]
-        mask = np.ones(shown.shape, bool) if f.transparent is None else shown != f.transparent
-        area[mask] = np.concatenate([colours, np.full((*shown.shape, 1), 255, np.uint8)], axis=2)[mask]
-        yield at, f.delay, canvas.copy()
+        area = (slice(min(f.top, height), min(height, f.top + f.height)), slice(min(f.left, width), min(width, f.left + f.width)))
+        part = canvas[area]
+        shown = f.indices[: part.shape[0], : part.shape[1]]
+        palette = np.concatenate([f.palette, np.full((len(f.palette), 1), 255, np.uint8)], axis=1)
+        colours = palette[shown if len(palette) == 256 else np.minimum(shown, len(palette) - 1)]
+        if f.transparent is None:
+            part[:] = colours
+        else:
+            mask = shown != f.transparent
+            part[mask] = colours[mask]
+        yield Shown(at, f.delay, canvas, area)
         at += f.delay
         if f.disposal == 2:
-            canvas[f.top : bottom, f.left : right] = 0
+            part[:] = 0
         elif before is not None:
             canvas = before
 
 
-def histogram(frame: Frame, bins: int = 8) -> list[int]:
-    """Samples by brightness of their colours."""
-    grey = frame.palette.astype(np.uint32).mean(axis=1).astype(np.int64) * bins // 256
-    return np.bincount(grey[np.minimum(frame.indices, len(grey) - 1)].ravel(), minlength=bins).tolist()
+def _failure(data: bytes | None, wrong: Exception | None) -> str:
+    return "no media" if data is None else f"{type(wrong).__name__}: {wrong}"
 
 
+_BROKEN = (ValueError, IndexError, KeyError, struct.error)
+
 MEDIA = "doc_id bigint, n_bytes bigint, media binary"
-FRAMES = "doc_id bigint, frame int, start bigint, delay int, width int, height int, histogram array<bigint>, samples binary"
+FRAMES = "doc_id bigint, frame int, start bigint, delay int, width int, height int, histogram array<bigint>, canvas binary, error string"
+DIGESTS = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, error string"
 
 
 def payload_of(text: str) -> bytes:
@@ -264,8 +304,8 @@ def payload_of(text: str) -> bytes:
     return raw + bytes(-len(raw) % WIDTH or (0 if raw else WIDTH))
 
 
-def store(docs: DataFrame) -> DataFrame:
-    """MEDIA rows: every whole text as a GIF."""
+def store(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """MEDIA rows: every whole text as a GIF, written to a folder (or a scratch one) and read from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -273,46 +313,59 @@ def store(docs: DataFrame) -> DataFrame:
             made = {t: encode(payload_of(t)) for t in dict.fromkeys(texts)}
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array([made[t] for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_batches, run, MEDIA)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return stored(rows.transform(map_batches, run, MEDIA), "media", "none", path)[0]
 
 
 def frames(media: DataFrame) -> DataFrame:
-    """FRAMES rows: the timed frames of each medium, with histogram and samples."""
+    """FRAMES rows: the timed frames of each medium as they are shown, each by itself, with colour histogram and canvas (RGBA
+    bytes); one row with an error for media that can't be read to the end, after the frames before it."""
+
+    def rows_of(doc: int | None, data: bytes | None) -> Iterator[tuple]:
+        try:
+            if data is None:
+                raise ValueError
+            for k, f in enumerate(compose(data)):
+                yield doc, k, f.start, f.delay, f.canvas.shape[1], f.canvas.shape[0], f.histogram(), f.canvas.tobytes(), None
+        except _BROKEN as wrong:
+            yield doc, None, None, None, None, None, None, None, _failure(data, wrong)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.string()]
+        names = [x.split(" ")[0] for x in FRAMES.split(", ")]
         for batch in slices(batches, "media"):
-            rows = []
             for doc, data in zip(column(batch, "doc_id").to_pylist(), column(batch, "media").to_pylist(), strict=True):
-                start = 0
-                for k, f in enumerate(parse(data)[3] if data else []):
-                    rows.append((doc, k, start, f.delay, f.width, f.height, histogram(f), f.indices.tobytes()))
-                    start += f.delay
-            if rows:
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-                names = ["doc_id", "frame", "start", "delay", "width", "height", "histogram", "samples"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                for row in rows_of(doc, data):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names)
 
-    return media.transform(map_batches, run, FRAMES)
+    return media.select("doc_id", "media").transform(map_batches, run, FRAMES)
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """Digests of what is read back from each stored medium; feature: frames, total delay and the histogram of all frames."""
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-
-    def read(data: bytes) -> tuple:
-        shown = parse(data)[3]
-        # samples are looked up in the palette, whose grey levels are the bytes
-        samples = b"".join(f.palette[:, 0][f.indices].tobytes() for f in shown)
-        total = np.sum([histogram(f) for f in shown], axis=0).tolist()
-        feature = f"frames={len(shown)};delay={sum(f.delay for f in shown)};histogram={','.join(map(str, total))}"
-        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature
+    """DIGESTS rows of stored media.  The payload is what the frames show (red of the part that each covers); feature: frames,
+    whole duration, and the colour histogram summed over frames as they are shown."""
+
+    def read(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 6 + (_failure(data, None),)
+        whole, samples, count, end, total = (len(data), hashlib.sha256(data).hexdigest()), [], 0, 0, np.zeros(3 * BINS, np.int64)
+        try:
+            for f in compose(data):
+                samples.append(f.canvas[(*f.area, 0)].tobytes())
+                count, end = count + 1, f.start + f.delay
+                total += f.histogram()
+        except _BROKEN as wrong:
+            return None, None, None, *whole, None, _failure(data, wrong)
+        payload = b"".join(samples)
+        feature = f"frames={count};duration={end};histogram={','.join(map(str, total.tolist()))}"
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), *whole, feature, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media"):
             data = column(batch, "media").to_pylist()
             made = {d: read(d) for d in dict.fromkeys(data)}
             cols = list(zip(*(made[d] for d in data), strict=True))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_bytes"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [x.split(" ")[0] for x in schema.split(", ")])
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_bytes"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [x.split(" ")[0] for x in DIGESTS.split(", ")])
 
-    return media.transform(map_batches, run, schema)
+    return media.select("doc_id", "n_bytes", "media").transform(map_batches, run, DIGESTS)

@@ -281,22 +281,47 @@ def test_ownership_parts_examples_from_live(spark):
     assert masked[9] == "mine [owned] too" and masked[10] == "[assign]" and shared in masked[0]
 
 
-def test_gif(spark, docs, empty):
+def test_gif(spark, docs, empty, tmp_path):
     import numpy as np
 
     for data in (b"\0" * 64, b"a" * 64 * 500, bytes(range(256)) * 300, np.random.default_rng(3).integers(0, 256, 64 * 3000, dtype=np.uint8).tobytes()):
         media = gifmedia.encode(data, frame_rows=1000)
         assert b"".join(f.palette[:, 0][f.indices].tobytes() for f in gifmedia.parse(media)[3]) == data
-    got = {(r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in gifmedia.digests(gifmedia.store(docs)).collect()}
-    expected = set()
-    for doc, text in ROWS:
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
+    long = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(90, "abcdefgh" * 9000)], "doc_id long, text string"))
+    stored_media = gifmedia.store(long, str(tmp_path / "media"))
+    expected = []
+    for doc, text in [*ROWS, (90, "abcdefgh" * 9000)]:
         raw = (text or "").encode()
         payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
-        expected.add((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
-    assert got == expected
-    shown = gifmedia.frames(gifmedia.store(docs)).filter("doc_id = 10").collect()
-    assert sum(sum(r["histogram"]) for r in shown) == sum(len(r["samples"]) for r in shown)
-    assert gifmedia.digests(gifmedia.store(empty)).count() == 0
+        canvas, bins, n = bytearray(min(len(payload), 65536)), [0] * 8, 0
+        for first in range(0, len(payload), 65536):
+            canvas[: len(payload[first : first + 65536])] = payload[first : first + 65536]
+            n += 1
+            for x in canvas:
+                bins[x // 32] += 1
+        media = gifmedia.encode(payload)
+        feature = f"frames={n};duration={10 * n};histogram={','.join(map(str, bins * 3))}"
+        expected.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, None))
+    assert rows_of(gifmedia.digests(spark.read.parquet(str(tmp_path / "media"))), *names) == sorted(expected, key=repr)
+    shown = gifmedia.frames(stored_media).filter("doc_id in (10, 90)").collect()
+    assert [(r["doc_id"], r["frame"], r["start"], r["delay"]) for r in sorted(shown, key=lambda r: (r["doc_id"], r["frame"]))] == [(10, 0, 0, 10), (90, 0, 0, 10), (90, 1, 10, 10)]
+    assert all(sum(r["histogram"]) * 4 == len(r["canvas"]) * 3 and len(r["canvas"]) == 4 * r["width"] * r["height"] for r in shown)
+    assert gifmedia.digests(gifmedia.store(empty)).count() == 0 == gifmedia.frames(gifmedia.store(empty)).count()
+
+
+def test_gif_of_malformed_media(spark):
+    import struct
+
+    good, at = gifmedia.encode(b"a" * 640), 13 + 768 + 8
+    assert good[at] == 0x2C
+    beyond = b"GIF89a" + struct.pack("<HHBBB", 8, 8, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 10, 9, 64, 10, 0x87) + gifmedia.GREY[: 3 * 256] + good[at + 10 :]
+    media = [(0, good), (1, None), (2, b""), (3, b"GIF89a"), (4, good[: at + 14]), (5, good[:-40]), (6, good[:13] + b"\x99"), (7, beyond), (8, good[:at] + b"\0" + good[at + 1 :]), (9, b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0))]
+    df = spark.createDataFrame([(i, None, m, "x") for i, m in media], "doc_id long, n_bytes long, media binary, error string")
+    got = {r["doc_id"]: r for r in gifmedia.digests(df).collect()}
+    assert len(got) == len(media) and {i for i, r in got.items() if r["error"] is None} == {0, 7}
+    assert got[0]["payload_bytes"] == 640 and got[7]["payload_bytes"] == 0 and got[1]["media_bytes"] is None and got[3]["media_bytes"] == 6
+    assert {r["doc_id"] for r in gifmedia.frames(df).filter("error is not null").collect()} == set(range(10)) - {0, 7}
 
 
 def test_gif_of_other_writers():
@@ -337,7 +362,7 @@ def test_gif_of_other_writers():
         return b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (transparent is not None), delay, transparent or 0) + b"\0\x2c" + struct.pack("<HHHHB", 0, 0, 200, 200, 0x81 | flags) + palette + b"\x02" + blocks
 
     gif = b"GIF89a" + struct.pack("<HHBBB", 200, 200, 0, 0, 0) + frame(1, None, 0, 5) + frame(3, 2, 0x40, 7) + frame(2, 0, 0, 9) + b"\x3b"
-    shown = list(gifmedia.compose(gif))
+    shown = [(f.start, f.delay, f.canvas.copy()) for f in gifmedia.compose(gif)]
     image = samples.reshape(200, 200)
     colours = np.frombuffer(palette, np.uint8).reshape(4, 3)
     assert [(a, b) for a, b, _ in shown] == [(0, 5), (5, 7), (12, 9)]
