@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, lookup_join, map_batches, numbered, slices, stored, texts_of
+from .common import column, free_name, lookup_join, map_batches, numbered, slices, stored, texts_of
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -146,14 +146,17 @@ def mask(docs: DataFrame, owner: Column, repository: Column, common_owners: int
     what was found by the value's hash.  Null texts stay null; all columns stay; rows without a doc_id, or with one that others
     have too, are masked each by itself.
     """
-    columns, docs = docs.columns, numbered(docs)
-    found, _ = stored(scan(docs.withColumn("doc_id", F.col("_row")), owner, repository), "candidates")
+    columns = docs.columns
+    row, held = free_name(columns, "_row"), free_name(columns, "_values")
+    docs = numbered(docs, name=row)
+    by_row = docs.select(F.col(row).alias("doc_id"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"), "text")
+    found, _ = stored(scan(by_row, F.col("owner"), F.col("repository")), "candidates")
     spread, _ = stored(ownership(found), "ownership")
-    each = found.select(F.col("doc_id").alias("_row"), F.explode("spans").alias("s")).select("_row", "s.*")
+    each = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
     example = F.col("n_owners") >= common_owners
     live = (F.col("n_owners") == 1) & F.col("random")
     judged = lookup_join(each, spread, ["value"], "inner").filter(F.when(F.col("kind") < 3, ~example).otherwise(live))
-    hidden, _ = stored(judged.groupBy("_row").agg(F.collect_set("value").alias("_values")), "hidden")
+    hidden, _ = stored(judged.groupBy(F.col("doc_id").alias(row)).agg(F.collect_set("value").alias(held)), "hidden")
 
     @F.pandas_udf("string")
     def rewrite(texts: pd.Series, values: pd.Series) -> pd.Series:
@@ -170,5 +173,5 @@ def mask(docs: DataFrame, owner: Column, repository: Column, common_owners: int
             out.append("".join(parts) + text[at:])
         return pd.Series(out)
 
-    joined = lookup_join(docs, hidden, ["_row"])
-    return joined.select(*[F.when(F.col("_values").isNotNull(), rewrite("text", "_values")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in columns])
+    joined = lookup_join(docs, hidden, [row])
+    return joined.select(*[F.when(F.col(held).isNotNull(), rewrite("text", held)).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in columns])

@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 from .common import column, drop, map_batches, release, slices, stored, texts_of
 from .wordhash import Words, grams
 
+#: Stands for a null doc_id: greater than all others (a doc_id of 2^63 - 1 ties with it, so neither makes the other lose words).
 NULL_DOC = np.iinfo(np.int64).max
+#: Bytes of text of a batch, and of all texts for each part.
+BATCH_TEXT, PART_TEXT = 4 << 20, 256 << 20
 BATCHES = "batch bigint, doc_ids binary, nulls binary, texts binary"
 PACKED = "part int, batch bigint, packed binary"
 ANSWERS = "batch bigint, part int, answer binary"
@@ -60,7 +63,7 @@ def numbers(data: bytes) -> np.ndarray:
 def batches_of(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch_id = TaskContext.get().partitionId() << 32
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BATCH_TEXT):
             ids = column(batch, "doc_id").to_pylist()
             doc = np.array([NULL_DOC if x is None else x for x in ids], np.int64)
             lines = b"\n".join(b" ".join(t.encode("utf-8", "surrogatepass").split()) for t in texts_of(batch))
@@ -150,8 +153,8 @@ def dedup(docs: DataFrame, k: int = 13, m: int = 3, parts: int | None = None) ->
     if not 1 <= m <= k:
         raise ValueError("1 <= m <= k")
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     held, held_at = stored(batches_of(docs), "batches")
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), held.count() * BATCH_TEXT // PART_TEXT)  # a part doesn't grow with the input
 
     def segments(batch: pa.RecordBatch, row: int) -> Segments:
         return Segments(numbers(column(batch, "doc_ids")[row].as_py()), zstandard.ZstdDecompressor().decompress(column(batch, "texts")[row].as_py()), k, m, parts)

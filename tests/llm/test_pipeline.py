@@ -71,3 +71,26 @@ def test_stages_decide_by_row(spark, tmp_path):
                 left, _ = stored(left, "stage")
         got = [(x["doc_id"], x["text"]) for x in left.collect() if x["doc_id"] is None or x["doc_id"] < 100]
         assert sorted(got, key=repr) == sorted(kept, key=repr)
+
+
+def test_stages_on_awkward_tables(spark, tmp_path):
+    """Columns that clash with the stages' own names, very long texts, empty tables."""
+    r = random.Random(6)
+    en = [a + b for a in ("th", "wh", "st", "bl") for b in ("e", "ing", "ion", "at", "ose", "ick")]
+    say = lambda n: " ".join(r.choice(en) for _ in range(n))
+    long, leak = say(60000), say(30)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row string, _gone string, _values string, _file string, row string, first string, owner string, spans string"
+    texts = [long, long + " end", f"{say(30)} password=hunter22secret {say(20000)}", f"{say(20000)} {leak}", say(50)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, *["x"] * 8) for i, t in enumerate(texts)], schema)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for at, rows in (("full", docs), ("none", docs.limit(0))):
+        rows.write.parquet(str(tmp_path / at))
+        left = spark.read.parquet(str(tmp_path / at))
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            left, _ = stored(stage(spark, left, str(tmp_path)), "stage")
+            assert left.columns == docs.columns
+        got = {x["doc_id"]: (x["text"], x["_row"], x["_values"]) for x in left.collect()}
+        masked = texts[2].replace("password=hunter22secret", "[assign]")
+        assert got == ({} if at == "none" else {0: (long, "x", "x"), 2: (masked, "x", "x"), 4: (texts[4], "x", "x")})
+        packed = corpus_pipeline.STAGES[4][1](spark, left, str(tmp_path))
+        assert (packed.count() > 0) == (at == "full")
