@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,14 +68,21 @@ def stored(df: DataFrame, name: str, compression: str = "zstd", path: str | None
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keep_tables: bool = False) -> DataFrame:
     """mapInArrow with batches bounded by bytes: the session's bound is lowered where it is greater, as a bound on rows alone
-    lets a batch of long texts outgrow its worker.  One longer row is a batch by itself."""
+    lets a batch of long texts outgrow its worker.  One longer row is a batch by itself.  A worker, which Spark keeps for later
+    stages, gives back what it doesn't need before and after."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     jvm_bytes = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
     if not 0 < jvm_bytes(conf.get(key)) <= BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _return_memory(keep_tables)
+        yield from run(batches)
+        _return_memory(True)
+
+    return df.mapInArrow(tidy, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,14 +143,8 @@ def _return_memory(keep_tables: bool) -> None:
         return
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, keep_tables: bool = False) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of text; one longer text is a batch by itself."""
-    _return_memory(keep_tables)
-    yield from _sliced(batches, column, limit)
-    _return_memory(True)
-
-
-def _sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         n = batch.num_rows
@@ -150,8 +152,6 @@ def _sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Itera
             if n:
                 yield batch
             continue
-        import pyarrow.compute as pc
-
         size = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         begin = total = 0
         for i, k in enumerate(size):

@@ -119,7 +119,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, width: int = 8, segment_
                 ["part", "segment", "doc_ids", "doc_tokens", "codes"],
             )
 
-        for batch in slices(batches, limit=ENCODE_BYTES, keep_tables=True):
+        for batch in slices(batches, limit=ENCODE_BYTES):
             ids, bounds = with_end(*enc.encode(texts_of(batch)), end_id)
             doc_ids, at = column(batch, "doc_id"), 0
             while at < len(bounds) - 1:
@@ -137,7 +137,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, width: int = 8, segment_
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("place"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
-    return stored(dealt.transform(map_batches, run, SEGMENTS), "dac", "none", path)
+    return stored(dealt.transform(map_batches, run, SEGMENTS, keep_tables=True), "dac", "none", path)
 
 
 def part_starts(segments: DataFrame) -> dict[int, int]:

@@ -41,7 +41,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, max_len: int = 1024,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), {1 << b: 0 for b in range(max_len.bit_length())}
-        for batch in slices(batches, limit=ENCODE_BYTES, keep_tables=True):
+        for batch in slices(batches, limit=ENCODE_BYTES):
             ids, bounds = with_end(*enc.encode(texts_of(batch)), end_id)
             n = np.diff(bounds)
             length, many = piece_lengths(n, max_len)
@@ -59,7 +59,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, max_len: int = 1024,
                 cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]).astype(np.int32)), pa.array(ids.astype(np.int64))))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "place", "ids"][: len(cols)])
 
-    pieces, _ = stored(map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema), "pieces")
+    pieces, _ = stored(map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema, keep_tables=True), "pieces")
     counts = sorted(pieces.groupBy("part", "length").count().collect(), key=lambda r: (-r["length"], r["part"]))
     first, at = [], 0
     for r in counts:

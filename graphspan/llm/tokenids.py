@@ -31,7 +31,7 @@ class ChunkEncoder:
     a tokenizer that isn't plainly byte-level, is encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
