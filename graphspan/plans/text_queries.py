@@ -143,7 +143,14 @@ cosines AS (SELECT p.label_a, p.label_b, coalesce(x.dot, 0) / (a.norm * b.norm)
   LEFT JOIN (SELECT g.label AS la, h.label AS lb, sum(g.n * h.n) AS dot FROM grams g JOIN grams h ON g.gram = h.gram GROUP BY ALL) x ON x.la = label_a AND x.lb = label_b),
 jac AS (SELECT label_a, label_b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS jaccard FROM pairs JOIN words a ON a.label = label_a JOIN words b ON b.label = label_b)"""
 
+RELATED = "related(a, b, w) AS (VALUES " + ", ".join(f"('{a}', '{b}', {w})" for a, b, w in lexicon.RELATED) + "), classes(c, w) AS (VALUES " + ", ".join(f"('{c}', {w})" for c, _, w in lexicon.CLASSES) + ")"
+
 ORACLES = {
+    "d12_relatedness": f"WITH {RELATED} SELECT c AS a, c AS b, 1.0::DOUBLE AS weight FROM (SELECT c FROM classes UNION ALL SELECT unnest(['{"', '".join(lexicon.DOMAINS)}'])) UNION SELECT a, b, w FROM related UNION SELECT b, a, w FROM related",
+    "d13_soft_overlap": f"""WITH {RELATED}, both_ways AS (SELECT a, b, w FROM related UNION SELECT b, a, w FROM related), pairs(id, a, b) AS (VALUES (1, ['HEAT', 'LOAD'], ['STRESS', 'COOLING']), (2, ['DEPLETION'], ['SCARCITY']), (3, ['GOAL'], ['GOAL', 'HEAT']), (4, []::VARCHAR[], ['HEAT'])),
+sides AS (SELECT id, 0 AS side, unnest(a) AS x, b AS others FROM pairs UNION ALL SELECT id, 1, unnest(b), a FROM pairs),
+best AS (SELECT s.id, s.side, s.x, max(CASE WHEN o.y = s.x THEN 1.0 ELSE coalesce(r.w, 0) END) AS best FROM sides s, unnest(s.others) AS o(y) LEFT JOIN both_ways r ON r.a = s.x AND r.b = o.y GROUP BY ALL)
+SELECT p.id, round(CASE WHEN len(p.a) = 0 OR len(p.b) = 0 THEN 0.0 ELSE (SELECT sum(c.w * x.best) / sum(c.w) FROM best x JOIN classes c ON c.c = x.x WHERE x.id = p.id) END, 6)::DOUBLE AS overlap FROM pairs p""",
     "d1_split_words": "SELECT doc_id, CAST(len(w) AS BIGINT) AS n, w[1] AS first, w[-1] AS last FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents)",
     "d4_script_dispatch": "SELECT w AS word, regexp_matches(w, '[\\x{0400}-\\x{04ff}]') AS russian FROM (VALUES ('тепло'), ('heat'), ('heat тепло'), ('ёлка'), ('')) t(w)",
     "d9_trigrams": f"WITH {PAIRS}, {GRAMS} SELECT label, gram, n FROM grams",
