@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import features, index, retrieve, validate
 from ..schema import ROLES, TYPES
 from ..sources import derived
-from ..sources.scratch import kept
+from ..sources.scratch import kept, lookup_join
 
 
 def _graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -26,7 +26,7 @@ def query_graphs(nodes: DataFrame) -> DataFrame:
 
 
 def largest_graphs(nodes: DataFrame, n: int = 8) -> DataFrame:
-    """The n graphs of most nodes, which the SQL beside these queries asks (ASKED)."""
+    """The n graphs of most nodes: a few costly queries, for measuring."""
     return nodes.groupBy("graph_id").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "graph_id").limit(n).select(F.col("graph_id").alias("query_id"))
 
 
@@ -73,16 +73,12 @@ def f8_keysets(spark, d):
 
 
 def f9_shapes(spark, d):
-    """Classes of equal shape among graphs of at most four nodes: how many graphs and relations each has."""
-    nodes, relations = _graphs(spark, d)
-    small = nodes.groupBy("graph_id").agg(F.count("*").alias("n")).filter("n <= 4").select("graph_id")
-    shapes = features.shape_signatures(nodes.join(small, "graph_id"), relations.join(small, "graph_id"), rounds=4)
-    return shapes.groupBy("signature").agg(F.count("*").alias("graphs"), F.max("n_nodes").alias("n_nodes"), F.max("n_relations").alias("n_relations")).drop("signature")
+    """Classes of equal shape: how many graphs, nodes and relations each has."""
+    return features.shape_signatures(*_graphs(spark, d)).groupBy("signature").agg(F.count("*").alias("graphs"), F.max("n_nodes").alias("n_nodes"), F.max("n_relations").alias("n_relations"))
 
 
 def _census(spark, d):
-    nodes, relations = _graphs(spark, d)
-    shapes = relations.groupBy("graph_id").agg(F.array_join(F.array_sort(F.collect_list("type")), ",").alias("signature"), F.count("*").alias("n_relations"))
+    shapes = kept(features.shape_signatures(*_graphs(spark, d)))
     owners = derived.sessions(spark, d).filter("record_kind in ('volunteer', '')").select(F.col("session_id").alias("graph_id"), "user_id")
     return features.census(shapes, owners), owners
 
@@ -135,37 +131,43 @@ def h3_about_stats(spark, d):
     return _rounded(index.about_stats(derived.knowledge(lines), corpus_size(derived.nodes(lines))), "idf")
 
 
-def h6_bm25(spark, d):
+def h6_bm25(spark, d, ids=query_graphs):
     nodes, _ = _graphs(spark, d)
     terms = index.content_terms(nodes)
-    return _rounded(index.content_scores(terms, index.content_stats(terms, corpus_size(nodes)), largest_graphs(nodes)), "content")
+    return _per_query(index.content_scores(terms, index.content_stats(terms, corpus_size(nodes)), ids(nodes)), content="content")
 
 
-def h7_knowledge(spark, d):
+def h7_knowledge(spark, d, ids=query_graphs):
     lines = derived.order_lines(spark, d)
     nodes, refs = derived.nodes(lines), derived.knowledge(lines)
-    got = index.knowledge_scores(refs, index.about_stats(refs, corpus_size(nodes)), largest_graphs(nodes))
-    return _rounded(got.fillna(0.0, ["about", "complement"]), "about", "complement")
+    got = index.knowledge_scores(refs, index.about_stats(refs, corpus_size(nodes)), ids(nodes))
+    return _per_query(got.fillna(0.0, ["about", "complement"]), about="about", complement="complement")
+
 
+def _per_query(found: DataFrame, **totals: str) -> DataFrame:
+    """How many rows each query has, and the sums of some columns."""
+    return found.groupBy("query_id").agg(F.count("*").alias("n"), *[F.round(F.sum(c), 3).alias(name) for name, c in totals.items()])
 
-def _query_keys(spark, d, budget=96, ids=largest_graphs):
+
+def _query_keys(spark, d, budget=96, ids=query_graphs):
     nodes, relations = _graphs(spark, d)
     prints = kept(features.multi_fingerprints(nodes, relations))
     stats = index.key_stats(features.keysets(prints), corpus_size(nodes))
     return kept(index.live_query_keys(prints, stats, ids(nodes), budget)), prints
 
 
-def j1_key_budget(spark, d):
-    keys, _ = _query_keys(spark, d)
+def j1_key_budget(spark, d, ids=query_graphs):
+    keys, _ = _query_keys(spark, d, ids=ids)
     return _rounded(keys.select("query_id", "key", "idf").distinct(), "idf")
 
 
-def g1_contributions(spark, d):
-    return retrieve.contributions(*_query_keys(spark, d)).groupBy("query_id", "graph_id").agg(F.count("*").alias("hits"), F.round(F.sum("weight"), 6).alias("weight"))
+def g1_contributions(spark, d, ids=query_graphs):
+    found = retrieve.contributions(*_query_keys(spark, d, ids=ids)).groupBy("query_id", "graph_id").agg(F.count("*").alias("hits"), F.sum("weight").alias("weight"))
+    return _per_query(found, hits="hits", weight="weight")
 
 
-def h4_pair_support(spark, d):
-    return _rounded(retrieve.pair_support(retrieve.contributions(*_query_keys(spark, d))), "support")
+def h4_pair_support(spark, d, ids=query_graphs):
+    return _per_query(retrieve.pair_support(retrieve.contributions(*_query_keys(spark, d, ids=ids))), support="support")
 
 
 def h5_coherent(spark, d):
@@ -175,47 +177,46 @@ def h5_coherent(spark, d):
     return found.select("query_id", "graph_id", F.round("score", 6).alias("score"), F.size("seeds").cast("long").alias("n_seeds"))
 
 
-def structural_top5(spark, d):
+def structural_top5(spark, d, ids=query_graphs):
     """The flagship: for each query order, the five most alike in structure."""
-    keys, prints = _query_keys(spark, d, ids=query_graphs)
+    keys, prints = _query_keys(spark, d, ids=ids)
     found = retrieve.structural_scores(keys, prints).withColumn("primary", F.round("score", 9)).withColumn("rank", retrieve.rank("primary"))
     return found.filter("rank <= 5 and primary > 0").select("query_id", "graph_id", F.round("score", 6).alias("score"), "rank", F.size("seeds").alias("n_seeds"))
 
 
-def k33_ablation(spark, d):
+def k33_ablation(spark, d, ids=query_graphs):
     """Structural retrieval without budget, by D0 keys alone."""
     nodes, relations = _graphs(spark, d)
     prints = kept(features.fingerprints(features.paths(features.adjacency(nodes, relations)), features.d0(nodes), "D0"))
-    keys = index.live_query_keys(prints, index.key_stats(features.keysets(prints), corpus_size(nodes)), largest_graphs(nodes), None)
+    keys = index.live_query_keys(prints, index.key_stats(features.keysets(prints), corpus_size(nodes)), ids(nodes), None)
     hits = retrieve.contributions(keys, prints)
-    return hits.groupBy("query_id", "graph_id").agg(F.count_distinct("key").alias("shared"), F.round(F.sum("weight"), 6).alias("weight"))
+    return _per_query(hits.groupBy("query_id", "graph_id").agg(F.count_distinct("key").alias("shared"), F.sum("weight").alias("weight")), shared="shared", weight="weight")
 
 
-def k34_diagnostics(spark, d):
+def k34_diagnostics(spark, d, ids=query_graphs):
     nodes, relations = _graphs(spark, d)
     prints = kept(features.multi_fingerprints(nodes, relations))
     stats = index.key_stats(features.keysets(prints), corpus_size(nodes))
-    ids = largest_graphs(nodes)
-    mine = prints.join(F.broadcast(ids), prints.graph_id == ids.query_id).select("query_id", "key").distinct().join(stats, "key")
+    mine = lookup_join(prints.select(F.col("graph_id").alias("query_id"), "key"), kept(ids(nodes)), ["query_id"]).distinct().join(stats, "key")
     return mine.groupBy("query_id").agg(F.count("*").alias("keys"), F.sum(F.col("stop").cast("long")).alias("dead"), F.least(F.lit(96), F.sum((~F.col("stop")).cast("long"))).cast("long").alias("budget_used"), F.sum(F.when(~F.col("stop"), F.col("df"))).alias("postings"))
 
 
-def i1_ranks(spark, d):
+def i1_ranks(spark, d, ids=query_graphs):
     nodes, _ = _graphs(spark, d)
     terms = index.content_terms(nodes)
-    scored = _rounded(index.content_scores(terms, index.content_stats(terms, corpus_size(nodes)), largest_graphs(nodes)), "content")
+    scored = _rounded(index.content_scores(terms, index.content_stats(terms, corpus_size(nodes)), ids(nodes)), "content")
     return scored.withColumn("rank", retrieve.rank("content")).filter("rank <= 20")
 
 
-def h8_fusion(spark, d):
+def h8_fusion(spark, d, ids=query_graphs):
     """Analogical and complementary scores from the content and knowledge channels."""
     lines = derived.order_lines(spark, d)
     nodes, refs = derived.nodes(lines), derived.knowledge(lines)
-    n, ids, terms = corpus_size(nodes), largest_graphs(nodes), index.content_terms(nodes)
-    content = index.content_scores(terms, index.content_stats(terms, n), ids)
+    n, asked, terms = corpus_size(nodes), ids(nodes), index.content_terms(nodes)
+    content = index.content_scores(terms, index.content_stats(terms, n), asked)
     none = content.limit(0).select("query_id", "graph_id", F.lit(0.0).alias("score"), F.expr("cast(null as array<struct<q:int,c:int,support:double>>)").alias("seeds"))
-    merged = retrieve.merge_channels(none, None, content, index.knowledge_scores(refs, index.about_stats(refs, n), ids)).withColumn("fused", retrieve.fused())
-    return merged.select("query_id", "graph_id", F.round("fused", 6).alias("fused"), F.round(retrieve.primary("complementary"), 6).alias("complementary"))
+    merged = retrieve.merge_channels(none, None, content, index.knowledge_scores(refs, index.about_stats(refs, n), asked)).withColumn("fused", retrieve.fused())
+    return _per_query(merged.select("query_id", "fused", retrieve.primary("complementary").alias("complementary")), fused="fused", complementary="complementary")
 
 
 def b3_orphans(spark, d):
@@ -306,7 +307,7 @@ prints AS MATERIALIZED (
   UNION ALL SELECT p.graph_id, sha256('D1|' || x.descriptor || '|' || p.path || '|' || y.descriptor), p.a, p.b FROM paths p JOIN d1 x ON x.graph_id = p.graph_id AND x.node = p.a JOIN d1 y ON y.graph_id = p.graph_id AND y.node = p.b
 )"""
 COUNT = "total AS (SELECT count(DISTINCT graph_id) AS n FROM nodes)"
-ASKED = "asked AS (SELECT graph_id AS query_id FROM nodes GROUP BY graph_id ORDER BY count(*) DESC, graph_id LIMIT 8)"
+ASKED = "asked AS (SELECT DISTINCT graph_id AS query_id FROM nodes WHERE graph_id % 100 = 0)"
 STATS = "stats AS (SELECT key, count(DISTINCT graph_id) AS df, ln((n + 1.0) / (count(DISTINCT graph_id) + 1.0)) + 1e-9 AS idf, count(DISTINCT graph_id) > CASE WHEN n < 20 THEN n ELSE 0.5 * n END AS stop FROM prints, total GROUP BY key, n)"
 TERMS = """
 terms AS (SELECT graph_id, term, count(*) AS tf FROM (SELECT graph_id, unnest(regexp_extract_all(lower(label), '[\\p{L}\\p{N}]+')) AS term FROM nodes) GROUP BY ALL),
@@ -330,7 +331,18 @@ hits AS (SELECT l.query_id, p.graph_id, l.key, l.idf AS weight, l.qa, l.qb, p.a
 _G = f"WITH {LINES}, {NODES}, {RELATIONS}"
 _P = f"{_G}, {ADJ}, {PATHS}, {D1}, {PRINTS}, {COUNT}, {ASKED}, {STATS}"
 _C = f"WITH {LINES}, {NODES}, {KNOWLEDGE}, {COUNT}, {ASKED}, {TERMS}, {CONTENT}, {ABOUT}, {KNOWN}"
-_CENSUS = f"""{_G}, shapes AS (SELECT graph_id, array_to_string(list_sort(list(type)), ',') AS signature, count(*) AS n_relations FROM relations GROUP BY graph_id),
+#: Rounds of refinement that the SQL has: at least the nodes of the largest graph.
+ROUNDS = 16
+_COLOURS = "c0 AS MATERIALIZED (SELECT graph_id, node, count(*) OVER (PARTITION BY graph_id) AS n, sha256(role) AS colour FROM nodes), around AS MATERIALIZED (SELECT graph_id, src AS node, dst AS other, '+/' || type || '/' || assertion || '/' || modality || '/' AS edge FROM relations UNION ALL SELECT graph_id, dst, src, '-/' || type || '/' || assertion || '/' || modality || '/' FROM relations)" + "".join(
+    f""", c{k} AS MATERIALIZED (SELECT c.graph_id, c.node, c.n, CASE WHEN c.n >= {k} THEN sha256(c.colour || '|' || coalesce(a.seen, '')) ELSE c.colour END AS colour FROM c{k - 1} c LEFT JOIN (
+  SELECT v.graph_id, v.node, array_to_string(list_sort(list(v.edge || o.colour)), ',') AS seen FROM around v JOIN c{k - 1} o ON o.graph_id = v.graph_id AND o.node = v.other AND o.n >= {k} GROUP BY ALL) a ON a.graph_id = c.graph_id AND a.node = c.node)"""
+    for k in range(1, ROUNDS + 1)
+)
+_SHAPES = f"""{_G}, {_COLOURS}, shapes AS MATERIALIZED (SELECT graph_id, sha256(dots || '|' || coalesce(edges, '')) AS signature, n_nodes, coalesce(n_relations, 0) AS n_relations
+FROM (SELECT graph_id, array_to_string(list_sort(list(colour)), ',') AS dots, count(*) AS n_nodes FROM c{ROUNDS} GROUP BY graph_id) LEFT JOIN (
+  SELECT r.graph_id, array_to_string(list_sort(list(x.colour || '/' || r.type || '/' || r.assertion || '/' || r.modality || '/' || y.colour)), ',') AS edges, count(*) AS n_relations
+  FROM relations r JOIN c{ROUNDS} x ON x.graph_id = r.graph_id AND x.node = r.src JOIN c{ROUNDS} y ON y.graph_id = r.graph_id AND y.node = r.dst GROUP BY r.graph_id) USING (graph_id))"""
+_CENSUS = f"""{_SHAPES},
 owners AS (SELECT o_orderkey AS graph_id, o_custkey AS user_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE')),
 census AS (SELECT signature, count(DISTINCT user_id) AS accounts, count(*) AS thoughts, max(n_relations) AS relations FROM shapes JOIN owners USING (graph_id) GROUP BY signature)"""
 _PRINT16 = f"""{_G}, prints16 AS (SELECT d.graph_id, sha256(d.dots || '|' || coalesce(e.edges, '')) AS fingerprint FROM (SELECT graph_id, array_to_string(list_sort(list(label || '/' || role)), ',') AS dots FROM nodes GROUP BY graph_id) d
@@ -347,6 +359,7 @@ ORACLES = {
     "f4_paths": f"{_G}, {ADJ}, {PATHS} SELECT graph_id, a, b, hops, replace(path, chr(1), ' ') AS path FROM paths",
     "f5_fingerprints": f"{_P} SELECT * FROM prints",
     "f8_keysets": f"{_P} SELECT graph_id, count(DISTINCT key) AS n_keys FROM prints GROUP BY graph_id",
+    "f9_shapes": f"{_SHAPES} SELECT signature, count(*) AS graphs, max(n_nodes) AS n_nodes, max(n_relations) AS n_relations FROM shapes GROUP BY signature",
     "f10_census": f"{_CENSUS} SELECT * FROM census",
     "f11_census_verdict": f"""{_CENSUS}, everyone AS (SELECT count(DISTINCT user_id) AS everyone FROM owners)
 SELECT signature, accounts, thoughts, relations, round(accounts / everyone, 6) AS share, CASE WHEN relations < 3 THEN 'too_small' WHEN accounts < 12 THEN 'coincidence' WHEN accounts / everyone < 0.25 THEN 'popular' ELSE 'signature' END AS verdict FROM census, everyone""",
@@ -365,12 +378,12 @@ SELECT graph_id, count(DISTINCT c) AS components, count(*) AS n_relations FROM (
     "h1_key_stats": f"{_P} SELECT key, df, round(idf, 6) AS idf, stop FROM stats",
     "h2_content_stats": f"WITH {LINES}, {NODES}, {COUNT}, {TERMS} SELECT term, df, round(idf, 6) AS idf FROM term_stats",
     "h3_about_stats": f"WITH {LINES}, {NODES}, {KNOWLEDGE}, {COUNT}, {ABOUT} SELECT ref, df, round(idf, 6) AS idf FROM about_stats",
-    "h4_pair_support": f"{_P}, {LIVE} SELECT query_id, graph_id, q, c, round(sum(weight), 6) AS support FROM (SELECT query_id, graph_id, weight, qa AS q, ca AS c FROM hits UNION ALL SELECT query_id, graph_id, weight, qb, cb FROM hits WHERE qa <> qb) GROUP BY ALL",
-    "h6_bm25": f"{_C} SELECT query_id, graph_id, round(content, 6) AS content FROM content",
-    "h7_knowledge": f"{_C} SELECT query_id, graph_id, round(about, 6) AS about, round(complement, 6) AS complement FROM known",
+    "h4_pair_support": f"{_P}, {LIVE} SELECT query_id, count(*) AS n, round(sum(support), 3) AS support FROM (SELECT query_id, graph_id, q, c, sum(weight) AS support FROM (SELECT query_id, graph_id, weight, qa AS q, ca AS c FROM hits UNION ALL SELECT query_id, graph_id, weight, qb, cb FROM hits WHERE qa <> qb) GROUP BY ALL) GROUP BY query_id",
+    "h6_bm25": f"{_C} SELECT query_id, count(*) AS n, round(sum(content), 3) AS content FROM (SELECT query_id, graph_id, content FROM content) GROUP BY query_id",
+    "h7_knowledge": f"{_C} SELECT query_id, count(*) AS n, round(sum(about), 3) AS about, round(sum(complement), 3) AS complement FROM (SELECT query_id, graph_id, about, complement FROM known) GROUP BY query_id",
     "h8_fusion": f"""{_C}, merged AS (SELECT coalesce(c.query_id, k.query_id) AS query_id, coalesce(c.graph_id, k.graph_id) AS graph_id, 0.15 * coalesce(content, 0) AS fused, coalesce(complement, 0) AS complement FROM content c FULL JOIN known k ON c.query_id = k.query_id AND c.graph_id = k.graph_id)
-SELECT query_id, graph_id, round(fused, 6) AS fused, round(complement / CASE WHEN max(complement) OVER (PARTITION BY query_id) > 0 THEN max(complement) OVER (PARTITION BY query_id) ELSE 1.0 END + 0.5 * fused, 6) AS complementary FROM merged""",
-    "g1_contributions": f"{_P}, {LIVE} SELECT query_id, graph_id, count(*) AS hits, round(sum(weight), 6) AS weight FROM hits GROUP BY ALL",
+SELECT query_id, count(*) AS n, round(sum(fused), 3) AS fused, round(sum(complementary), 3) AS complementary FROM (SELECT query_id, graph_id, fused, (complement / CASE WHEN max(complement) OVER (PARTITION BY query_id) > 0 THEN max(complement) OVER (PARTITION BY query_id) ELSE 1.0 END + 0.5 * fused) AS complementary FROM merged) GROUP BY query_id""",
+    "g1_contributions": f"{_P}, {LIVE} SELECT query_id, count(*) AS n, round(sum(hits), 3) AS hits, round(sum(weight), 3) AS weight FROM (SELECT query_id, graph_id, count(*) AS hits, sum(weight) AS weight FROM hits GROUP BY ALL) GROUP BY query_id",
     "i1_ranks": f"{_C} SELECT * FROM (SELECT query_id, graph_id, content, rank() OVER (PARTITION BY query_id ORDER BY content DESC) AS rank FROM (SELECT query_id, graph_id, round(content, 6) AS content FROM content)) WHERE rank <= 20",
     "j1_key_budget": f"{_P}, {LIVE} SELECT DISTINCT query_id, key, round(idf, 6) AS idf FROM live",
     "j6_relation_dedupe": f"{_G} SELECT graph_id, src, dst, type, assertion, modality, min(rel) AS rel FROM relations GROUP BY ALL",
@@ -378,7 +391,7 @@ SELECT query_id, graph_id, round(fused, 6) AS fused, round(complement / CASE WHE
     "j10_set_operations": f"""WITH {LINES}, sets AS (SELECT graph_id, list(DISTINCT label) AS l FROM lines GROUP BY graph_id)
 SELECT a.graph_id, CAST(len(list_intersect(a.l, b.l)) AS BIGINT) AS both, CAST(len(a.l) - len(list_intersect(a.l, b.l)) AS BIGINT) AS only_left, CAST(len(b.l) - len(list_intersect(a.l, b.l)) AS BIGINT) AS only_right, CAST(len(a.l) + len(b.l) - len(list_intersect(a.l, b.l)) AS BIGINT) AS either FROM sets a JOIN sets b ON b.graph_id = a.graph_id + 1""",
     "k33_ablation": f"""{_G}, {ADJ}, {PATHS}, prints AS MATERIALIZED (SELECT p.graph_id, sha256('D0|' || x.role || '|' || p.path || '|' || y.role) AS key, p.a, p.b FROM paths p JOIN nodes x ON x.graph_id = p.graph_id AND x.node = p.a JOIN nodes y ON y.graph_id = p.graph_id AND y.node = p.b),
-{COUNT}, {ASKED}, {STATS} SELECT query_id, p.graph_id, count(DISTINCT p.key) AS shared, round(sum(s.idf), 6) AS weight FROM prints m JOIN asked ON query_id = m.graph_id JOIN stats s ON s.key = m.key AND NOT s.stop JOIN prints p ON p.key = m.key AND p.graph_id <> query_id GROUP BY ALL""",
+{COUNT}, {ASKED}, {STATS} SELECT query_id, count(*) AS n, round(sum(shared), 3) AS shared, round(sum(weight), 3) AS weight FROM (SELECT query_id, p.graph_id, count(DISTINCT p.key) AS shared, sum(s.idf) AS weight FROM prints m JOIN asked ON query_id = m.graph_id JOIN stats s ON s.key = m.key AND NOT s.stop JOIN prints p ON p.key = m.key AND p.graph_id <> query_id GROUP BY ALL) GROUP BY query_id""",
     "k34_diagnostics": f"""{_P} SELECT query_id, count(*) AS keys, CAST(sum(CAST(stop AS INT)) AS BIGINT) AS dead, CAST(least(96, sum(CAST(NOT stop AS INT))) AS BIGINT) AS budget_used, CAST(sum(df) FILTER (NOT stop) AS BIGINT) AS postings
 FROM (SELECT DISTINCT query_id, key FROM prints JOIN asked ON query_id = graph_id) JOIN stats USING (key) GROUP BY query_id""",
     "b3_orphans": f"{_G} SELECT r.graph_id, count(*) AS missing FROM (SELECT graph_id, unnest([src, dst]) AS node FROM relations) r ANTI JOIN (SELECT * FROM nodes WHERE atomic) n ON n.graph_id = r.graph_id AND n.node = r.node GROUP BY r.graph_id",

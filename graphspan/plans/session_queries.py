@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
@@ -24,9 +24,9 @@ def a7_lookup(spark, d):
 
 
 def a8_ordered_scan(spark, d):
-    """A user's sessions in order of time and id."""
-    rows = _sessions(spark, d).filter("user_id = 11").select("user_id", "session_id", "created_at")
-    return rows.orderBy("created_at", "session_id")
+    """Every user's sessions by their place in order of time and id."""
+    order = Window.partitionBy("user_id").orderBy("created_at", "session_id")
+    return _sessions(spark, d).select("user_id", "session_id", "created_at", F.row_number().over(order).cast("long").alias("place"))
 
 
 def a9_upsert(spark, d):
@@ -46,7 +46,7 @@ def b8_session_issues(spark, d):
 
 
 def b9_corpus_checks(spark, d):
-    return validate.corpus_checks(_sessions(spark, d).filter("session_id <= 160"))
+    return validate.corpus_checks(_sessions(spark, d))
 
 
 def b10_projection(spark, d):
@@ -98,13 +98,11 @@ def c6_project_rows(spark, d):
 
 def c7_semi_join_registry(spark, d):
     """Hits kept if their session is registered, in their order."""
-    hits = derived.table(spark, d, "orders").select(F.col("o_orderkey").alias("session_id"), F.row_number().over(_by_price()).alias("rank")).filter("rank <= 500")
+    hits = derived.table(spark, d, "orders").select(F.col("o_orderkey").alias("session_id"), F.row_number().over(_by_price()).alias("rank"))
     return hits.join(ops.discoverable(_sessions(spark, d)).select("session_id"), "session_id", "left_semi").select("session_id", "rank")
 
 
 def _by_price():
-    from pyspark.sql import Window
-
     return Window.partitionBy(F.col("o_custkey") % 10).orderBy(F.desc("o_totalprice"), "o_orderkey")
 
 
@@ -115,8 +113,6 @@ def c9_audit_filter(spark, d):
 
 def c10_near_misses(spark, d):
     """Of hits that aren't rejected, the five of highest similarity at 0.4 or more, for customers without a better one."""
-    from pyspark.sql import Window
-
     rows = derived.table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("graph_id"), F.round((F.col("o_totalprice") % 1000) / 1000, 6).alias("semantic"), (F.col("o_orderstatus") == "F").alias("hard"))
     w = Window.partitionBy("query_id").orderBy(F.desc("semantic"), "graph_id")
     return rows.filter(~F.col("hard") & (F.col("semantic") >= 0.4)).withColumn("n", F.row_number().over(w)).filter("n <= 5")
@@ -176,7 +172,7 @@ def h9_region_buckets(spark, d):
 
 
 def h10_suppressed(spark, d):
-    return ops.suppress_small(ops.discoverable(_sessions(spark, d)).filter("user_id % 40 = 3"), 3).select("region", "n", "intensity", F.col("suppressed").cast("long"))
+    return ops.suppress_small(ops.discoverable(_sessions(spark, d)), 3).select("region", "n", "intensity", F.col("suppressed").cast("long"))
 
 
 def h11_kinds(spark, d):
@@ -190,8 +186,6 @@ def h17_generation(spark, d):
 
 
 def i2_distractor_rank(spark, d):
-    from pyspark.sql import Window
-
     rows = derived.table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("graph_id"), "o_totalprice", (F.col("o_orderstatus") == "O").alias("relevant"))
     w = Window.partitionBy("query_id").orderBy(F.desc("o_totalprice"), "graph_id").rowsBetween(Window.unboundedPreceding, -1)
     return rows.select("query_id", "graph_id", "relevant", (F.coalesce(F.sum((~F.col("relevant")).cast("long")).over(w), F.lit(0)) + 1).alias("rank")).filter("relevant")
@@ -274,8 +268,6 @@ def l4_pending(spark, d):
 
 def l9_cursor(spark, d):
     """What came after a reader's cursor, at most the last 25 for each author."""
-    from pyspark.sql import Window
-
     e = derived.table(spark, d, "events").filter(F.struct("ts", "event_id") > F.struct(F.lit("2024-01-10 00:00:00").cast("timestamp").alias("ts"), F.lit(100).cast("long").alias("event_id")))
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     return e.withColumn("n", F.row_number().over(w)).filter("n <= 25").select("user_id", "event_id", "n")
@@ -302,12 +294,12 @@ _S = f"WITH {SESSIONS}"
 ORACLES = {
     "a6_discoverable": f"{_S} SELECT session_id, user_id, created_at FROM disc",
     "a7_lookup": f"{_S} SELECT session_id, user_id, region, record_kind FROM s WHERE session_id = 7",
-    "a8_ordered_scan": f"{_S} SELECT user_id, session_id, created_at FROM s WHERE user_id = 11 ORDER BY created_at, session_id",
+    "a8_ordered_scan": f"{_S} SELECT user_id, session_id, created_at, row_number() OVER (PARTITION BY user_id ORDER BY created_at, session_id) AS place FROM s",
     "a9_upsert": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS state FROM orders",
     "a12_chain_filler": "SELECT g AS graph_id, n AS node, 'filler ' || ((g * 31 + n * 7) % 97) AS label FROM (SELECT g, unnest(generate_series(0, g % 5 + 1)) AS n FROM range(200) t(g))",
     "b8_session_issues": f"""{_S} SELECT session_id, issue FROM (SELECT session_id, unnest([CASE WHEN NOT regexp_matches(CAST(session_id AS VARCHAR), '^(ses-)?[a-z0-9-]+$') THEN 'id' END, CASE WHEN share_thought AND NOT share_enabled THEN 'thought without sharing' END,
   CASE WHEN round_even(lat, 1) <> lat OR round_even(lon, 1) <> lon THEN 'precise location' END, CASE WHEN abs(lat) > 90 OR abs(lon) > 180 THEN 'location out of range' END, CASE WHEN record_kind = '' THEN 'record kind' END]) AS issue FROM s) WHERE issue IS NOT NULL""",
-    "b9_corpus_checks": f"{_S} SELECT count(*) AS rows, count(DISTINCT user_id) AS people, count(*) - count(DISTINCT session_id) AS repeated, count(*) BETWEEN 20 AND 50 AND count(DISTINCT user_id) >= 8 AND count(*) = count(DISTINCT session_id) AS valid FROM s WHERE session_id <= 160",
+    "b9_corpus_checks": f"{_S} SELECT count(*) AS rows, count(DISTINCT user_id) AS people, count(*) - count(DISTINCT session_id) AS repeated, count(*) BETWEEN 20 AND 50 AND count(DISTINCT user_id) >= 8 AND count(*) = count(DISTINCT session_id) AS valid FROM s",
     "b10_projection": f"{_S} SELECT region, count(*) AS n, CAST(sum(CAST(lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND round_even(lat, 1) = lat AND round_even(lon, 1) = lon AND length(trim(city)) > 0 AS INT)) AS BIGINT) AS valid FROM s GROUP BY region",
     "c1_share_state": f"{_S} SELECT session_id, CASE WHEN deleted THEN 'deleted' WHEN revoked THEN 'revoked' WHEN share_enabled AND share_thought THEN 'discoverable' ELSE 'hidden' END AS state FROM s",
     "c2_visible": f"{_S} SELECT session_id, user_id FROM disc WHERE NOT hidden",
@@ -315,7 +307,7 @@ ORACLES = {
     "c5_allow_list": f"{_S} SELECT session_id, CASE WHEN share_profile THEN CAST(user_id AS VARCHAR) END AS user_id, CASE WHEN share_location THEN region END AS region, record_kind FROM disc",
     "c6_drop_reasons": f"{VIEW} SELECT coalesce(reason, 'shown') AS reason, count(*) AS n FROM seen GROUP BY 1",
     "c6_project_rows": f"{VIEW} SELECT session_id, user_id, CASE WHEN share_location THEN region END AS region, CASE WHEN share_location THEN round_even({KM}, -1) END AS km, CASE WHEN share_location THEN {BUCKET} END AS distance FROM seen WHERE reason IS NULL",
-    "c7_semi_join_registry": f"{_S}, hits AS (SELECT o_orderkey AS session_id, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) SELECT session_id, rank FROM hits WHERE rank <= 500 AND session_id IN (SELECT session_id FROM disc)",
+    "c7_semi_join_registry": f"{_S}, hits AS (SELECT o_orderkey AS session_id, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) SELECT session_id, rank FROM hits WHERE session_id IN (SELECT session_id FROM disc)",
     "c9_audit_filter": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE NOT starts_with(event_type, 'err') GROUP BY event_type",
     "c10_near_misses": "SELECT * FROM (SELECT query_id, graph_id, semantic, hard, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, graph_id) AS n FROM (SELECT o_custkey AS query_id, o_orderkey AS graph_id, round((o_totalprice % 1000) / 1000, 6) AS semantic, o_orderstatus = 'F' AS hard FROM orders) WHERE NOT hard AND semantic >= 0.4) WHERE n <= 5",
     "c12_live_participants": f"{_S} SELECT session_id FROM disc WHERE record_kind = 'volunteer'",
@@ -329,7 +321,7 @@ ORACLES = {
     "e9_recency": "SELECT o_custkey AS user_id, strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%SZ') AS last FROM orders GROUP BY o_custkey",
     "e10_json": "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS INT)) AS BIGINT) AS k, count(json_extract(props, '$.k')) AS n FROM events GROUP BY event_type",
     "h9_region_buckets": f"{_S} SELECT region, count(*) AS n, round_even(count(*) / sum(count(*)) OVER (), 4) AS intensity FROM disc GROUP BY region",
-    "h10_suppressed": f"{_S}, c AS (SELECT region, count(*) AS n FROM disc WHERE user_id % 40 = 3 GROUP BY region) SELECT region, n, round_even(n / sum(n) OVER (), 4) AS intensity, (SELECT count(*) FROM c WHERE n < 3) AS suppressed FROM c WHERE n >= 3",
+    "h10_suppressed": f"{_S}, c AS (SELECT region, count(*) AS n FROM disc GROUP BY region) SELECT region, n, round_even(n / sum(n) OVER (), 4) AS intensity, (SELECT count(*) FROM c WHERE n < 3) AS suppressed FROM c WHERE n >= 3",
     "h11_kinds": f"{_S} SELECT record_kind, count(*) AS n, CAST(sum(CAST(revoked AS INT)) AS BIGINT) AS revoked FROM s GROUP BY record_kind",
     "h17_generation": "SELECT a.user_id, v + coalesce(p, 0) AS generation FROM (SELECT o_custkey AS user_id, count(*) AS v FROM orders GROUP BY 1) a LEFT JOIN (SELECT user_id, count(*) AS p FROM events WHERE event_type = 'signup' GROUP BY 1) b ON a.user_id = b.user_id",
     "i2_distractor_rank": "SELECT * FROM (SELECT o_custkey AS query_id, o_orderkey AS graph_id, o_orderstatus = 'O' AS relevant, CAST(coalesce(sum(CAST(o_orderstatus <> 'O' AS INT)) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS BIGINT) AS rank FROM orders) WHERE relevant",

@@ -109,10 +109,10 @@ def concept_scores(spark: SparkSession, nodes: DataFrame, relations: DataFrame,
     return retrieve.structural_scores(kept(index.live_query_keys(wide, stats, ids)), prints)
 
 
-def find(spark: SparkSession, d: str, k: int = 5, mode: str = "analogical") -> DataFrame:
+def find(spark: SparkSession, d: str, k: int = 5, mode: str = "analogical", asked=query_graphs) -> DataFrame:
     """The whole search: retrieval over all channels, verification of an over-fetched pool, order, top k with ties."""
     nodes, relations, refs = _tables(spark, d)
-    n, ids = corpus_size(nodes), kept(query_graphs(nodes))
+    n, ids = corpus_size(nodes), kept(asked(nodes))
     prints = kept(features.multi_fingerprints(nodes, relations))
     stats = kept(index.key_stats(features.keysets(prints), n))
     structural = kept(retrieve.structural_scores(kept(index.live_query_keys(prints, stats, ids)), prints))

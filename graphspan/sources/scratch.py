@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,12 @@ _live: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset, as in local tests."""
+    """spark.checkpoint.dir; a temporary folder only where that is unset and Spark runs in one process."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not re.match(r"local(\[[^,]*\]|\[.*,.*\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="graphspan-")
@@ -31,9 +34,11 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def lookup_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", rows: int = 200_000) -> DataFrame:
-    """Join facts to a dim, which is broadcast only if it was counted to have at most ``rows`` rows; a larger one is shuffled."""
-    few = dim.limit(rows + 1).count() <= rows
+def lookup_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", rows: int = 200_000, size: int = 32 << 20) -> DataFrame:
+    """Join facts to a dim, which is broadcast only if it was counted to have at most so many rows and bytes (as JSON text); a
+    larger one is shuffled."""
+    n, total = dim.limit(rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("k")).agg(F.count("k"), F.coalesce(F.sum("k"), F.lit(0))).first()
+    few = n <= rows and total <= size
     return facts.join(F.broadcast(dim) if few else dim.hint("merge"), keys, how)
 
 
