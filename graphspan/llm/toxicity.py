@@ -190,8 +190,9 @@ class Network:
         return np.where(np.isfinite(logit), _sigmoid(self.scale * np.where(np.isfinite(logit), logit, 0) + self.shift), self.empty)
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Network:
-    """Train on whole texts with one label each."""
+def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, rate: float = 0.02, seed: int = 7, informed: bool = True) -> Network:
+    """Train on whole texts with one label each.  informed: a word's first dimension begins with its log odds, and the first
+    epoch's windows are those of the most telling words; else all begins at random."""
     net, y = Network(seed), np.array(labels, np.float32)
     net.empty = float(y.mean()) if len(y) else 0.0
     if len(y) == 0 or y.min() == y.max():
@@ -207,10 +208,11 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, r
     worth = np.abs(odds) * np.sqrt(with_word) * (with_word >= 2)
     best = np.sort(np.argsort(-worth, kind="stable")[:KNOWN_WORDS])
     net.known = t.prints[best]
-    net.p["word"][: len(best), 0] = odds[best] / 3
+    if informed:
+        net.p["word"][: len(best), 0] = odds[best] / 3
     text, start = t.windows()
     window_words = t.words_of(text, start)
-    guess = np.where(window_words >= 0, np.maximum(odds[window_words], 0) * (with_word[window_words] >= 2), 0).max(axis=1)
+    guess = np.where(window_words >= 0, np.maximum(odds[window_words], 0) * (with_word[window_words] >= 2), 0).max(axis=1) if informed else random.random(len(text))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     steps = 0
     for _ in range(epochs):
@@ -266,13 +268,16 @@ def _calibrate(logit: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float
     return float(max(b[0], 0.0)), float(b[1])
 
 
-def train(documents: DataFrame, labels: DataFrame, train_rows: int = 1500) -> Network:
-    """From at most about train_rows labelled documents of each class outside fold 0; whole texts."""
+def train(documents: DataFrame, labels: DataFrame, train_rows: int = 1500, train_bytes: int = 64 << 20) -> Network:
+    """From at most about train_rows labelled documents of each class outside fold 0, and about train_bytes; whole texts."""
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = sample(usable.filter("toxic = 1"), "doc_id", train_rows).unionByName(sample(usable.filter("toxic <> 1"), "doc_id", train_rows))
     texts = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()  # chosen has about 2 train_rows rows at most
+    found = texts.join(F.broadcast(chosen), "doc_id").withColumn("hash", F.xxhash64("doc_id", "text")).dropDuplicates(["hash"])  # chosen has about 2 train_rows rows at most
+    size = found.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
+    share = min(1.0, 4 * train_rows / max(1, size["n"]), train_bytes / max(1, size["size"] or 0))  # a doc_id may have any number of rows
+    rows = found.filter(F.pmod("hash", F.lit(1 << 30)) < int(share * (1 << 30))).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"] for r in rows], [int(r["toxic"] == 1) for r in rows])
 
