@@ -15,13 +15,12 @@ are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, map_batches, slices, stored, texts_of
@@ -261,19 +260,15 @@ def find_in(index: DataFrame, benchmark: DataFrame, width: int = 10, near_words:
 def summary(hits: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; n_near and near_items: the items that a document comes near to
     without an exact match, as strings in their order, comma-joined."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = hashlib.sha256(b"").hexdigest()
-        for batch in batches:
-            n_hit, n_items, digest, near = [], [], [], [sorted(x) for x in column(batch, "near").to_pylist()]
-            for spans in column(batch, "spans").to_pylist():
-                n_hit.append(sum(e - b for b, e in merge([(s["begin"], s["end"]) for s in spans])))
-                names = sorted({s["item"] for s in spans})
-                n_items.append(len(names))
-                digest.append(hashlib.sha256(",".join(names).encode()).hexdigest() if names else none)
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "n_words"), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest), pa.array([x > 0 for x in n_hit]), pa.array(list(map(len, near)), pa.int64()), pa.array([",".join(x) for x in near])],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near", "near_items"],
-            )
-
-    return hits.transform(map_batches, run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, n_near bigint, near_items string")
+    begun = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n"))
+    places = F.array_sort(F.transform("spans", lambda s: F.struct(s["begin"].cast("long").alias("begin"), s["end"].cast("long").alias("end"))))
+
+    def add(done: Column, s: Column) -> Column:
+        return F.when(s["end"] > done["upto"], F.struct(s["end"].alias("upto"), (done["n"] + s["end"] - F.greatest(s["begin"], done["upto"])).alias("n"))).otherwise(done)
+
+    names = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item"])))
+    found = hits.select("doc_id", "n_words", F.aggregate(places, begun, add)["n"].alias("n_hit"), names.alias("names"), F.array_sort("near").alias("near"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"), F.array_join("near", ",").alias("near_items"),
+    )

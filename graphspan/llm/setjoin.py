@@ -36,7 +36,7 @@ from .wordhash import Words, grams, mix
 
 COUNTER_PARTS = 64
 #: Bounds of the table of counters: at most 2**26 of two bytes are sent to the executors.
-LEAST_COUNTERS, MOST_COUNTERS = 1 << 18, 1 << 25
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 18, 1 << 24
 #: Edges that a task connects by itself.
 TASK_EDGES = 1 << 20
 #: Index lists longer than this are dealt out.
