@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, lookup_join, map_batches, slices, stored, texts_of
+from .common import column, lookup_join, map_batches, slices, stored
 from .tokenids import ENCODE_BYTES, encoder, with_end
 
 BLOCK = 512
@@ -120,7 +120,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, width: int = 8, segment_
             )
 
         for batch in slices(batches, limit=ENCODE_BYTES):
-            ids, bounds = with_end(*enc.encode(texts_of(batch)), end_id)
+            ids, bounds = with_end(*enc.encode(column(batch, "text")), end_id)
             doc_ids, at = column(batch, "doc_id"), 0
             while at < len(bounds) - 1:
                 # as many documents as the segment has room for, or one if it is empty

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_batches, slices, stored, texts_of
+from .common import column, map_batches, slices, stored
 from .tokenids import ENCODE_BYTES, encoder, with_end
 
 
@@ -41,13 +41,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, max_len: int = 1024,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), {1 << b: 0 for b in range(max_len.bit_length())}
-        for batch in slices(batches, limit=ENCODE_BYTES):
-            ids, bounds = with_end(*enc.encode(texts_of(batch)), end_id)
+        for batch in slices(batches, limit=ENCODE_BYTES // 2):
+            ids, bounds = with_end(*enc.encode(column(batch, "text")), end_id)
             n = np.diff(bounds)
             length, many = piece_lengths(n, max_len)
             end = np.cumsum(length)
             begin, doc = end - length, np.repeat(np.arange(len(n)), many)
-            raw = memoryview(ids.tobytes())
+            raw = memoryview(ids).cast("B")
             crc = np.fromiter((zlib.crc32(raw[a:z]) for a, z in zip((4 * begin).tolist(), (4 * end).tolist(), strict=True)), np.int64, len(end))
             place = np.empty(len(end), np.int64)
             for kind, before in seen.items():

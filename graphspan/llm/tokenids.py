@@ -6,6 +6,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import worker_tables
 
@@ -31,7 +32,7 @@ class ChunkEncoder:
     a tokenizer that isn't plainly byte-level, is encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -41,6 +42,7 @@ class ChunkEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         told = json.loads(self.tok.to_str())
+        told.pop("model", None)
         pre = told.get("pre_tokenizer") or {}
         self.added = [t["content"].encode() for t in told.get("added_tokens") or []]
         byte_level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
@@ -93,9 +95,8 @@ class ChunkEncoder:
         return got
 
     @staticmethod
-    def _cuts(buffer: bytes, first: np.ndarray) -> np.ndarray:
+    def _cuts(raw: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Where chunks begin, and the end."""
-        raw = np.frombuffer(buffer, np.uint8)
         kind = _KIND[raw]
         for lead, rest in _WIDE.items():
             at = np.flatnonzero(raw == lead)
@@ -106,30 +107,40 @@ class ChunkEncoder:
                 for i in range(width):
                     kind[here + i] = _SPACE
         begins = np.zeros(len(raw) + 1, bool)
-        begins[1:-1] = (kind[1:] != kind[:-1]) & ((kind[1:] == _SPACE) | (kind[:-1] > _SPACE) & (kind[1:] > _SPACE))
+        here, before = kind[1:], kind[:-1]
+        np.logical_and(here > _SPACE, before > _SPACE, out=begins[1:-1])
+        begins[1:-1] |= here == _SPACE
+        begins[1:-1] &= here != before
         begins[first] = True
-        return np.flatnonzero(begins)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, where each text begins and the last ends)."""
-        raw = [t.encode() for t in texts]
-        odd = [i for i, t in enumerate(raw) if not self.plain or any(x in t for x in self.added)]
-        whole = dict(zip(odd, self._whole([raw[i] for i in odd]), strict=True))
-        for i in odd:
-            raw[i] = b""
-        first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
-        buffer = b"".join(raw)
-        if not buffer:
-            ids, bounds = np.zeros(0, "<u4"), np.zeros(len(raw) + 1, np.int64)
+        return np.flatnonzero(begins).astype(np.int32)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text begins and the last ends); null texts are empty."""
+        texts = pa.concat_arrays([texts.cast(pa.string()).fill_null("")])
+        if self.plain:
+            odd = np.unique(np.concatenate([np.flatnonzero(pc.match_substring(texts, t).to_numpy(zero_copy_only=False)) for t in self.added] or [[]])).astype(np.int64).tolist()
+        else:
+            odd = list(range(len(texts)))
+        whole = dict(zip(odd, self._whole([texts[i].as_py().encode() for i in odd]), strict=True))
+        if odd:  # the others, with nothing in the place of these
+            put = pa.array(np.isin(np.arange(len(texts)), odd))
+            texts = pa.concat_arrays([pc.if_else(put, "", texts)])
+        first = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        if not len(texts) or first[-1] == first[0]:
+            ids, bounds = np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
         else:
-            at = self._cuts(buffer, first)
-            chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(buffer)]).dictionary_encode()
+            buffer = texts.buffers()[2].slice(int(first[0]), int(first[-1] - first[0]))
+            first = first - first[0]
+            at = self._cuts(np.frombuffer(buffer, np.uint8), first)
+            chunks = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), buffer]).dictionary_encode()
+            own = np.searchsorted(at, first)
+            del at
             taken = pa.array(self._ids(chunks.dictionary.to_pylist()), pa.large_binary()).take(chunks.indices)
             ids = np.frombuffer(taken.buffers()[2], "<u4") if taken.buffers()[2] else np.zeros(0, "<u4")
-            bounds = np.frombuffer(taken.buffers()[1], np.int64)[np.searchsorted(at, first)] // 4
+            bounds = np.frombuffer(taken.buffers()[1], np.int64)[own] // 4
         if not whole:
             return ids, bounds
-        parts = [np.frombuffer(whole[i], "<u4") if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(raw))]
+        parts = [np.frombuffer(whole[i], "<u4") if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 

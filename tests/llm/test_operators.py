@@ -68,6 +68,8 @@ def test_dac_codes_give_any_token():
 
 
 def test_encoder_gives_the_ids_of_whole_texts():
+    import pyarrow as pa
+
     from graphspan.llm.tokenids import ChunkEncoder
 
     letters = "ab é\u00e8Z09 .,;-'\"!?\n\t\r\u00a0\u2003\u3000\u0085\x1c\x00😀|<>#"
@@ -76,7 +78,7 @@ def test_encoder_gives_the_ids_of_whole_texts():
     assert encoder.plain
     whole = encoder.tok.encode_batch_fast(texts, add_special_tokens=False)
     for a in range(0, len(texts), 100):
-        ids, bounds = encoder.encode(texts[a : a + 100])
+        ids, bounds = encoder.encode(pa.array(texts[a : a + 100]))
         for k, e in enumerate(whole[a : a + 100]):
             assert ids[bounds[k] : bounds[k + 1]].tolist() == e.ids, texts[a + k]
     assert tokens("<|endoftext|> hi", 0)[0] == 50256
