@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import column, drop, lookup_join, map_batches, numbered, release, slices, stored, texts_of
 from .wordhash import Words, grams, mix
 
-COUNTER_PARTS = 64
+#: Counters of the table that a task adds up.
+PART_COUNTERS = 1 << 19
 #: Bounds of the table of counters: at most 2**26 of two bytes are sent to the executors.
 LEAST_COUNTERS, MOST_COUNTERS = 1 << 18, 1 << 25
 #: Edges that a task connects by itself.
@@ -82,7 +83,8 @@ def prefix_size(n: int, t: Fraction) -> int:
 def _ranks(docs: DataFrame, n: int, counters: int) -> np.ndarray:
     """How common n-grams are that fall on each counter, over all rows, in steps of a quarter of a power of two (see ``times``).
     One byte for each counter; a table of fixed size whatever the input."""
-    width = counters // COUNTER_PARTS
+    parts = max(1, counters // PART_COUNTERS)
+    width = counters // parts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, waiting = np.zeros(counters, np.uint16), [], 0  # of one task; sums over tasks are wider
@@ -100,7 +102,7 @@ def _ranks(docs: DataFrame, n: int, counters: int) -> np.ndarray:
                     held, waiting = [], 0
         if waiting:
             flush()
-        for part, x in enumerate(total.reshape(COUNTER_PARTS, width)):
+        for part, x in enumerate(total.reshape(parts, width)):
             if x.any():
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zstandard.compress(x.tobytes(), 1)], pa.binary())], ["part", "counts"])
 
@@ -114,8 +116,8 @@ def _ranks(docs: DataFrame, n: int, counters: int) -> np.ndarray:
         for part, x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zstandard.compress(np.minimum(4 * np.log2(1 + x), 255).astype(np.uint8).tobytes(), 1)], pa.binary())], ["part", "ranks"])
 
-    rows = docs.transform(map_batches, count, "part int, counts binary").repartitionById(COUNTER_PARTS, F.col("part")).transform(map_batches, add, "part int, ranks binary").collect()
-    out = np.zeros((COUNTER_PARTS, width), np.uint8)
+    rows = docs.transform(map_batches, count, "part int, counts binary").repartitionById(parts, F.col("part")).transform(map_batches, add, "part int, ranks binary").collect()
+    out = np.zeros((parts, width), np.uint8)
     for r in rows:
         out[r["part"]] = np.frombuffer(zstandard.decompress(r["ranks"]), np.uint8)
     return out.ravel()
