@@ -8,15 +8,15 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, decontam, gifmedia, langid, packing, secrets, setjoin, superkmer, toxicity
+from . import align, chat, dac, decontam, gifmedia, langid, packing, secrets, setjoin, simhash, superkmer, toxicity, trie
 from .common import table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """The default vocabulary file; a parameter of the operators."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(probe)))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))[0]
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), every=20, most=4)
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, n=4, seed=42)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_toxicity": op2_toxicity,
@@ -82,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_gif_media": op9_gif_media,
     "op10_chat_format": op10_chat_format,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_simhash": op13_simhash,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -172,5 +187,38 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length(line)) AS BIGINT) AS formatted_chars
 FROM shown GROUP BY conv_id
+""",
+    "op12_prefix_trie": r"""
+WITH crc_table AS (
+  SELECT list(list_reduce([v, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY v) AS t FROM (SELECT unnest(generate_series(0, 255))::BIGINT AS v)
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS origin, n,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c // 256, t[1 + (xor(c, b) & 255)]))) % 4 AS h
+  FROM (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id), crc_table
+), made AS (
+  SELECT c.conv_id, t.pos AS depth, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.origin AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, least(c.h, coalesce(o.n, 0)) + t.pos - c.h, t.role, t.text FROM convs c LEFT JOIN convs o ON o.conv_id = c.origin JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h
+), sizes AS (SELECT c.conv_id, count(m.depth) AS length FROM convs c LEFT JOIN made m USING (conv_id) GROUP BY c.conv_id),
+prefixes AS (
+  SELECT conv_id, 0 AS depth, '' AS prefix, 0 AS words FROM convs
+  UNION ALL
+  SELECT conv_id, depth, string_agg(sha256(length(role) || ':' || role || text), '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth), len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) FROM made
+), placed AS (SELECT conv_id, depth, sha256(prefix) AS node, words FROM prefixes),
+nodes AS (SELECT depth, node, min(conv_id) AS first, count(*) AS n_convs, any_value(words) AS words FROM placed GROUP BY depth, node),
+below AS (SELECT p.depth, p.node, a.node AS parent FROM placed p LEFT JOIN placed a ON a.conv_id = p.conv_id AND a.depth = p.depth - 1 GROUP BY ALL),
+children AS (SELECT parent, count(*) AS n_children FROM below WHERE parent IS NOT NULL GROUP BY parent),
+known AS (SELECT n.*, b.parent, coalesce(c.n_children, 0) AS n_children FROM nodes n JOIN below b ON b.node = n.node AND b.depth = n.depth LEFT JOIN children c ON c.parent = n.node),
+subtree AS (
+  SELECT a.depth, a.node, sum((k.n_children = 0)::INT) AS n_leaves, sum((k.n_convs - 1) * k.words) AS saved_tokens
+  FROM known k JOIN placed a ON a.conv_id = k.first AND a.depth <= k.depth GROUP BY a.depth, a.node
+), ends AS (
+  SELECT p.depth, p.node, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) AS ids FROM placed p JOIN sizes s ON s.conv_id = p.conv_id AND s.length = p.depth GROUP BY p.depth, p.node
+)
+SELECT k.first AS conv_id, CAST(k.depth AS BIGINT) AS depth, up.first AS parent_conv_id, k.n_convs, k.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM known k JOIN subtree s ON s.node = k.node AND s.depth = k.depth LEFT JOIN known up ON up.node = k.parent AND up.depth = k.depth - 1 LEFT JOIN ends e ON e.node = k.node AND e.depth = k.depth
 """,
 }
