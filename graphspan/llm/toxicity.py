@@ -5,12 +5,14 @@ document.  A word enters as a learned vector (of words known from training) besi
 trigrams; both go through a forward and a backward GRU; attention weighs the states into one.
 
 Training is weakly supervised: a label holds for a whole document, so each epoch learns from the windows that score highest
-in it.  Labels are read only outside fold 0, from at most about ``train_rows`` documents of each class; scoring covers all rows.
-
-Defined cases: null or empty texts have no window and get the share of toxic documents seen in training; a table without
-usable labels scores everything 0; rows with equal doc_id are scored each by itself; several labels of one doc_id count as
-their greatest; equal texts get equal scores
-in a batch, and scores that agree to about 1e-6 in different ones (sums of 32-bit floats); a very long text is all its windows;
+in it.  Labels are read only outside fold 0, from at most about ``train_rows`` documents of each class; probabilities are fitted
+with each class weighing what all its labelled rows outside fold 0 do, so that they don't move with that bound; scoring covers
+all rows.
+
+Defined cases: null or empty texts have no window and get the share of toxic labels outside fold 0, 0.49 at most; a table
+without usable labels scores everything 0; an empty table gives no rows; rows with equal doc_id are scored each by itself;
+several labels of one doc_id count as their greatest; equal texts get equal scores in a batch, and scores that agree to about
+1e-6 in different ones (sums of 32-bit floats); windows of equal scores are one answer; a very long text is all its windows;
 other columns, labels among them, are never inputs of a score.
 """
 
@@ -32,6 +34,8 @@ WORD_DIM = CHAR_DIM = 8
 HIDDEN = 8
 KNOWN_WORDS = 4096
 CHAR_BUCKETS = 4096
+#: The highest score of a text without words: it says nothing, whatever most labels are.
+HIGHEST_EMPTY = 0.49
 
 #: Letters and digits of ASCII in lower case and all bytes of other characters make words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -190,11 +194,13 @@ class Network:
         return np.where(np.isfinite(logit), _sigmoid(self.scale * np.where(np.isfinite(logit), logit, 0) + self.shift), self.empty)
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, rate: float = 0.02, seed: int = 7, informed: bool = True) -> Network:
+def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, rate: float = 0.02, seed: int = 7, informed: bool = True, counts: tuple[int, int] | None = None) -> Network:
     """Train on whole texts with one label each.  informed: a word's first dimension begins with its log odds, and the first
-    epoch's windows are those of the most telling words; else all begins at random."""
+    epoch's windows are those of the most telling words; else all begins at random.  counts: how many rows labelled 0 and 1 there
+    are in all, where these are but some of them: probabilities are those of the whole, whatever share of a class is given here."""
     net, y = Network(seed), np.array(labels, np.float32)
-    net.empty = float(y.mean()) if len(y) else 0.0
+    clean_rows, toxic_rows = counts or (int((y == 0).sum()), int((y == 1).sum()))
+    net.empty = min(toxic_rows / max(1, clean_rows + toxic_rows), HIGHEST_EMPTY)
     if len(y) == 0 or y.min() == y.max():
         net.scale, net.shift = 0.0, 30.0 if len(y) and y[0] else -30.0
         return net
@@ -242,7 +248,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 64, r
     top = np.full(len(texts), -np.inf)
     np.maximum.at(top, text, guess.astype(np.float64))
     some = np.isfinite(top)
-    net.scale, net.shift = _calibrate(top[some], y[some])
+    of_each = np.where(y > 0, toxic_rows / y.sum(), clean_rows / (len(y) - y.sum()))
+    net.scale, net.shift = _calibrate(top[some], y[some], of_each[some])
     return net
 
 
@@ -256,15 +263,17 @@ def _part(t: Texts, used: np.ndarray) -> Texts:
     return part
 
 
-def _calibrate(logit: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple[float, float]:
-    """Logistic regression of the label on the document's logit, by Newton's steps with soft targets."""
-    soft = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+def _calibrate(logit: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple[float, float]:
+    """Logistic regression of the label on the document's logit, by Newton's steps with soft targets; a row stands for weight
+    rows."""
+    ones, zeros = (weight * y).sum(), (weight * (1 - y)).sum()
+    soft = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (zeros + 2))
     x = np.stack([logit, np.ones_like(logit)], axis=1)
     b = np.array([1.0, 0.0])
     for _ in range(rounds):
         p = _sigmoid(x @ b)
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
-        b = b - np.clip(np.linalg.solve(h, x.T @ (p - soft) + ridge * (b - np.array([1.0, 0.0]))), -2, 2)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
+        b = b - np.clip(np.linalg.solve(h, x.T @ (weight * (p - soft)) + ridge * (b - np.array([1.0, 0.0]))), -2, 2)
     return float(max(b[0], 0.0)), float(b[1])
 
 
@@ -272,6 +281,7 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: int = 1500, train
     """From at most about train_rows labelled documents of each class outside fold 0, and about train_bytes; whole texts."""
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in usable.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     chosen = sample(usable.filter("toxic = 1"), "doc_id", train_rows).unionByName(sample(usable.filter("toxic <> 1"), "doc_id", train_rows))
     texts = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id").withColumn("hash", F.xxhash64("doc_id", "text")).dropDuplicates(["hash"])  # chosen has about 2 train_rows rows at most
@@ -279,7 +289,7 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: int = 1500, train
     share = min(1.0, 4 * train_rows / max(1, size["n"]), train_bytes / max(1, size["size"] or 0))  # a doc_id may have any number of rows
     rows = found.filter(F.pmod("hash", F.lit(1 << 30)) < int(share * (1 << 30))).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows], [int(r["toxic"] == 1) for r in rows])
+    return fit([r["text"] for r in rows], [int(r["toxic"] == 1) for r in rows], counts=(counts.get(False, 0), counts.get(True, 0)))
 
 
 def score(documents: DataFrame, net: Network) -> DataFrame:
