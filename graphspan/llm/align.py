@@ -42,8 +42,8 @@ from .tokenids import _WIDE
 
 #: Text of the documents that share a list of distinct segments, about.
 BLOCK_BYTES = 16 << 20
-#: A token travels as its id times this, plus the bytes that it stands for.
-LENGTHS = 1 << 20
+#: A token travels as its id times this, plus the bytes that it stands for, in 32 bits.
+LENGTHS = 1 << 14
 BLANK, MARK = 32, "▁"
 
 
@@ -71,6 +71,8 @@ class Pair:
         alphabet = byte_alphabet()
         self.a_bytes = {i: bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode() for token, i in self.a.get_vocab(with_added_tokens=True).items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        if len(self.a_bytes) > 1 << 17 or len(pieces) > 1 << 17 or max(map(len, [*self.a_bytes.values(), *pieces])) >= LENGTHS // 4:
+            raise ValueError("vocabularies of at most 2**17 tokens of at most 4096 bytes")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
 
     def encode(self, segments: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
@@ -173,9 +175,9 @@ def encoded(segments: DataFrame, first: str, second: str) -> DataFrame:
         pair = worker_tables[first, second]
         for batch in slices(batches, "segment", 1 << 20):
             tokens = pair.encode(column(batch, "segment").to_pylist())
-            yield pa.RecordBatch.from_arrays([column(batch, "seg"), column(batch, "many"), *(pa.array(x, pa.list_(pa.int64())) for x in tokens)], ["seg", "many", "a", "b"])
+            yield pa.RecordBatch.from_arrays([column(batch, "seg"), column(batch, "many"), *(pa.array(x, pa.list_(pa.int32())) for x in tokens)], ["seg", "many", "a", "b"])
 
-    return segments.select("seg", "segment", "many").transform(map_batches, run, "seg bigint, many bigint, a array<bigint>, b array<bigint>", keep_tables=True)
+    return segments.select("seg", "segment", "many").transform(map_batches, run, "seg bigint, many bigint, a array<int>, b array<int>", keep_tables=True)
 
 
 @contextmanager
@@ -191,24 +193,28 @@ def _partitions_of_fewer_keys(spark: SparkSession):
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """seg, many, n_a, n_b, links (the ids that end at each cut, in order), groups (``a1,a2|b1;a3|b2,b3``)."""
+    """seg, many, n_a, n_b, links (the ids that end at each cut, in order), groups (``a1,a2|b1;a3|b2,b3``).
+
+    Everything is partitioned by segment from the start, so what is sent are the lists of tokens and no more."""
 
     def ends(side: str) -> DataFrame:
-        each = tokens.select("seg", "many", side).repartition("seg").select("seg", "many", F.posexplode(side).alias("pos", "token"))
+        each = tokens.select("seg", side).repartition("seg").select("seg", F.posexplode(side).alias("pos", "token"))
         running = Window.partitionBy("seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return each.select("seg", "many", F.expr(f"token div {LENGTHS}").cast("int").alias(side), F.sum(F.col("token") % LENGTHS).over(running).alias("end"))
-
-    a, b = ends("a"), ends("b").withColumnRenamed("many", "many_b")
-    both = a.join(b, ["seg", "end"], "full").select("seg", "end", F.coalesce("many", "many_b").alias("many"), "a", "b")
-    before = Window.partitionBy("seg").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    is_cut = F.col("a").isNotNull() & F.col("b").isNotNull()
-    grouped = both.withColumn("g", F.count(F.when(is_cut, 1)).over(before)).groupBy("seg", "g").agg(
-        F.first("many").alias("many"), F.array_sort(F.collect_list(F.struct("end", "a", "b"))).alias("ts"), F.count("a").alias("n_a"), F.count("b").alias("n_b"),
-    )
-    ids = lambda side: F.array_join(F.transform(F.filter("ts", lambda t: t[side].isNotNull()), lambda t: t[side].cast("string")), ",")
-    last = F.element_at("ts", -1)
-    part = grouped.select("seg", "many", "n_a", "n_b", F.struct("g", F.concat(ids("a"), F.lit("|"), ids("b")).alias("ids"), last["a"].alias("a"), last["b"].alias("b")).alias("part"))
-    whole = part.groupBy("seg").agg(F.first("many").alias("many"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.array_sort(F.collect_list("part")).alias("parts"))
+        return each.select("seg", F.expr(f"token div {LENGTHS}").cast("int").alias(side), F.sum(F.col("token") % LENGTHS).over(running).alias("end"))
+
+    def grouped(side: str, other: str) -> DataFrame:
+        met = ends(side).join(ends(other), ["seg", "end"], "left")
+        before = Window.partitionBy("seg").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+        numbered = met.withColumn("g", F.count(other).over(before))
+        ids = F.array_sort(F.collect_list(F.struct("end", side)))
+        return numbered.groupBy("seg", "g").agg(ids.alias(f"{side}s")).select("seg", "g", F.transform(f"{side}s", lambda t: t[side]).alias(f"{side}s"))
+
+    join = lambda side: F.array_join(F.transform(f"{side}s", lambda i: i.cast("string")), ",")
+    last = lambda side: F.element_at(f"{side}s", -1).alias(side)
+    both = grouped("a", "b").join(grouped("b", "a"), ["seg", "g"])
+    part = both.select("seg", F.size("as").alias("n_a"), F.size("bs").alias("n_b"), F.struct("g", F.concat(join("a"), F.lit("|"), join("b")).alias("ids"), last("a"), last("b")).alias("part"))
+    whole = part.groupBy("seg").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.array_sort(F.collect_list("part")).alias("parts"))
+    whole = whole.join(tokens.select("seg", "many").repartition("seg"), "seg")
     return whole.select("seg", "many", "n_a", "n_b", F.transform("parts", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))).alias("links"), F.array_join(F.transform("parts", lambda p: p["ids"]), ";").alias("groups"))
 
 
