@@ -41,9 +41,11 @@ from .common import column, drop, lookup_join, map_batches, release, slices, sto
 from .tokenids import _WIDE
 
 #: Text of the documents that share a list of distinct segments, about.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 #: A token travels as its id times this, plus the bytes that it stands for, in 32 bits.
 LENGTHS = 1 << 14
+#: Above all ids.
+ID = 1 << 17
 BLANK, MARK = 32, "▁"
 
 
@@ -118,9 +120,17 @@ def cuts(raw: np.ndarray) -> np.ndarray:
     return 1 + np.flatnonzero((raw[1:] == BLANK) & ~space[:-1])
 
 
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def cut(docs: DataFrame, apart: bool) -> DataFrame:
-    """block, at, segment, many: how often a block has its segment number ``at``; in a row with at = -1, doc_ids, sizes (segments
-    of each document) and path (their numbers, one document after another)."""
+    """block, at, segment, many: how often a block has its segment number ``at``, in order of the segments; in a row with at = -1,
+    docs (doc_ids and numbers of segments of each document) and path (the numbers of those, one document after another).  Both
+    are binary: lists would be measured again and again on their way to Python."""
 
     def block(number: int, docs_: list[int | None], texts: list[bytes]) -> pa.RecordBatch:
         first = np.cumsum([0, *map(len, texts)])
@@ -136,15 +146,19 @@ def cut(docs: DataFrame, apart: bool) -> DataFrame:
         at = np.flatnonzero(begins)
         own = np.searchsorted(at, first)
         parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
-        path = parts.indices.to_numpy().astype(np.int32)
-        known = parts.dictionary.cast(pa.binary())
-        many = np.bincount(path, minlength=len(known))
+        path = parts.indices.to_numpy()
+        many = np.bincount(path, minlength=len(parts.dictionary))
+        order = pc.sort_indices(parts.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        known = parts.dictionary.take(pa.array(order)).cast(pa.binary())
         n = len(known) + 1
-        alone = lambda value, kind: pa.array([value, *[None] * (n - 1)], kind)
+        alone = lambda value: pa.array([value, *[None] * (n - 1)], pa.binary())
+        docs_batch = pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(np.diff(own), pa.int64())], ["doc_id", "size"])
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, number, np.int64)), pa.array(np.arange(-1, n - 1).astype(np.int32)), pa.concat_arrays([pa.array([None], pa.binary()), known]), pa.array(np.concatenate([[0], many]).astype(np.int64)),
-             alone(docs_, pa.list_(pa.int64())), alone(np.diff(own).tolist(), pa.list_(pa.int32())), alone(zstandard.compress(path.tobytes(), 1), pa.binary())],
-            ["block", "at", "segment", "many", "doc_ids", "sizes", "path"],
+            [pa.array(np.full(n, number, np.int64)), pa.array(np.arange(-1, n - 1).astype(np.int32)), pa.concat_arrays([pa.array([None], pa.binary()), known]), pa.array(np.concatenate([[0], many[order]]).astype(np.int64)),
+             alone(_ipc(docs_batch)), alone(zstandard.compress(rank[path].view(np.uint8).reshape(-1, 4).T.tobytes(), 3))],
+            ["block", "at", "segment", "many", "docs", "path"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +176,7 @@ def cut(docs: DataFrame, apart: bool) -> DataFrame:
         if docs_:
             yield block(number, docs_, texts)
 
-    schema = "block bigint, at int, segment binary, many bigint, doc_ids array<bigint>, sizes array<int>, path binary"
+    schema = "block bigint, at int, segment binary, many bigint, docs binary, path binary"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_batches, run, schema)
 
 
@@ -192,71 +206,109 @@ def _partitions_of_fewer_keys(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """seg, many, n_a, n_b, links (the ids that end at each cut, in order), groups (``a1,a2|b1;a3|b2,b3``).
+def aligned(tokens: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """seg, many, links (ids that end together, times ID) and code_a and code_b: in ``widths`` bytes for each token of a side, its
+    id and above it, in the topmost bit, whether its group's number is odd.
 
     Everything is partitioned by segment from the start, so what is sent are the lists of tokens and no more."""
 
     def ends(side: str) -> DataFrame:
         each = tokens.select("seg", side).repartition("seg").select("seg", F.posexplode(side).alias("pos", "token"))
         running = Window.partitionBy("seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return each.select("seg", F.expr(f"token div {LENGTHS}").cast("int").alias(side), F.sum(F.col("token") % LENGTHS).over(running).alias("end"))
+        return each.select("seg", "pos", F.expr(f"token div {LENGTHS}").cast("long").alias(side), F.sum(F.col("token") % LENGTHS).over(running).alias("end"))
 
-    def grouped(side: str, other: str) -> DataFrame:
-        met = ends(side).join(ends(other), ["seg", "end"], "left")
+    def coded(side: str, other: str) -> DataFrame:
+        met = ends(side).join(ends(other).drop("pos"), ["seg", "end"], "left")
         before = Window.partitionBy("seg").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-        numbered = met.withColumn("g", F.count(other).over(before))
-        ids = F.array_sort(F.collect_list(F.struct("end", side)))
-        return numbered.groupBy("seg", "g").agg(ids.alias(f"{side}s")).select("seg", "g", F.transform(f"{side}s", lambda t: t[side]).alias(f"{side}s"))
+        group = F.count(other).over(before)  # cuts before this token's end
+        numbered = met.select("seg", (F.col("pos").cast("long") * (2 * ID) + group % 2 * ID + F.col(side)).alias("x"), (F.col(side) * ID + F.col(other)).alias("link"))
+        lists = numbered.groupBy("seg").agg(F.array_sort(F.collect_list("x")).alias("x"), *([F.collect_list("link").alias("links")] if side == "a" else []))
+        digits, high = 2 * widths[side], 1 << (8 * widths[side] - 1)
+        told = F.transform("x", lambda x: F.lpad(F.hex(x % ID + F.when(x % (2 * ID) >= ID, high).otherwise(0)), digits, "0"))
+        return lists.select("seg", F.unhex(F.array_join(told, "")).alias(f"code_{side}"), *(["links"] if side == "a" else []))
 
-    join = lambda side: F.array_join(F.transform(f"{side}s", lambda i: i.cast("string")), ",")
-    last = lambda side: F.element_at(f"{side}s", -1).alias(side)
-    both = grouped("a", "b").join(grouped("b", "a"), ["seg", "g"])
-    part = both.select("seg", F.size("as").alias("n_a"), F.size("bs").alias("n_b"), F.struct("g", F.concat(join("a"), F.lit("|"), join("b")).alias("ids"), last("a"), last("b")).alias("part"))
-    whole = part.groupBy("seg").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.array_sort(F.collect_list("part")).alias("parts"))
-    whole = whole.join(tokens.select("seg", "many").repartition("seg"), "seg")
-    return whole.select("seg", "many", "n_a", "n_b", F.transform("parts", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))).alias("links"), F.array_join(F.transform("parts", lambda p: p["ids"]), ";").alias("groups"))
+    many = tokens.select("seg", "many").repartition("seg")
+    return coded("a", "b").join(coded("b", "a"), "seg").join(many, "seg").select("seg", "many", "links", "code_a", "code_b")
 
 
 def link_counts(segments: DataFrame) -> DataFrame:
     """a, b, count (links that hold the pair, in the whole corpus), best (whether b has none of a higher count)."""
-    pairs = segments.select("many", F.explode("links").alias("x")).groupBy("x.a", "x.b").agg(F.sum("many").alias("count"))
-    counts, _ = stored(pairs, "pairs")
+    pairs = segments.select("many", F.explode("links").alias("link")).groupBy("link").agg(F.sum("many").alias("count"))
+    counts, _ = stored(pairs.select(F.expr(f"link div {ID}").cast("int").alias("a"), (F.col("link") % ID).cast("int").alias("b"), "count"), "pairs")
     highest = counts.groupBy("b").agg(F.max("count").alias("highest"))
     return counts.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best"))
 
 
-def answers(rows: DataFrame, with_groups: bool) -> DataFrame:
+def _tokens(codes: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, whether their groups are odd, tokens of each segment); segments without a code have none."""
+    many = pc.fill_null(pc.binary_length(codes), 0).to_numpy() // width
+    raw = np.frombuffer(b"".join(x for x in codes.to_pylist() if x), np.uint8).reshape(-1, width).astype(np.int64)
+    value = raw @ (1 << 8 * np.arange(width)[::-1])
+    high = 1 << (8 * width - 1)
+    return value & (high - 1), value >= high, many
+
+
+def _texts(code_a: pa.Array, code_b: pa.Array, widths: dict[str, int]) -> tuple[list[str], np.ndarray]:
+    """The groups of segments as text, and (tokens of A, tokens of B, groups) of each."""
+    sides = [_tokens(code_a, widths["a"]), _tokens(code_b, widths["b"])]
+    keys, firsts = [], []
+    for _, odd, many in sides:
+        first = np.concatenate([[True], odd[1:] != odd[:-1]])[: len(odd)]
+        first[(np.cumsum(many) - many)[many > 0]] = True
+        firsts.append(first)
+        keys.append(2 * np.cumsum(first) + len(keys))  # both sides have the same groups
+    order = np.argsort(np.concatenate(keys), kind="stable")
+    ids, first = np.concatenate([s[0] for s in sides])[order], np.concatenate(firsts)[order]
+    mark = np.where(first, 2 + (order < len(keys[0])), 1)  # 1: goes on, 2: a group's first of B, 3: of A
+    many = sides[0][2] + sides[1][2]
+    ends = np.concatenate([[0], np.cumsum(many)])
+    mark[ends[:-1][many > 0]] = 0
+    if "ids" not in worker_tables:
+        worker_tables["ids"] = {}
+    table = worker_tables["ids"]
+    value = ids * 4 + mark
+    for v in np.unique(value).tolist():
+        if v not in table:
+            table[v] = ("", ",", "|", ";")[v & 3] + str(v >> 2)
+    words = list(map(table.__getitem__, value.tolist()))
+    out = ["".join(words[x:y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    groups = np.where(many > 0, np.diff(np.concatenate([[0], np.cumsum(firsts[0])])[np.concatenate([[0], np.cumsum(sides[0][2])])]), 0)
+    return out, np.stack([sides[0][2], sides[1][2], groups])
+
+
+def answers(rows: DataFrame, widths: dict[str, int], with_groups: bool) -> DataFrame:
     """Documents of blocks whose rows (at = -1 and the segments by number) come one after another."""
     names = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
 
-    def block(docs_: list[int | None], sizes: np.ndarray, path: np.ndarray, numbers: np.ndarray, groups: list[str]) -> Iterator[pa.RecordBatch]:
+    def block(docs_: pa.RecordBatch, path: np.ndarray, numbers: np.ndarray, groups: list[str]) -> Iterator[pa.RecordBatch]:
+        sizes = column(docs_, "size").to_numpy()
         end = np.cumsum(sizes)
         first = end - sizes
         some = np.flatnonzero(sizes)
         step = 4096
-        for k in range(0, max(len(docs_), 1), step):
+        for k in range(0, max(len(sizes), 1), step):
             here = some[(some >= k) & (some < k + step)]
-            sums = np.zeros((len(names), min(step, len(docs_) - k)), np.int64)
+            sums = np.zeros((len(names), min(step, len(sizes) - k)), np.int64)
             if len(here):
                 part = path[first[here[0]] : end[here[-1]]]
                 sums[:, here - k] = np.add.reduceat(numbers[:, part], first[here] - first[here[0]], axis=1)
             texts = []
-            for d in range(k, min(k + step, len(docs_))):
+            for d in range(k, min(k + step, len(sizes))):
                 texts.append(";".join([groups[i] for i in path[first[d] : end[d]].tolist()]) if sums[0, d - k] else "")
             cols = dict(zip(names, sums, strict=True))
             cols["n_links"] = cols["n_groups"]
             digests = pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts])
-            out = [pa.array(docs_[k : k + step], pa.int64()), *(pa.array(cols[c]) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), digests]
+            out = [column(docs_, "doc_id").slice(k, step), *(pa.array(cols[c]) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), digests]
             yield pa.RecordBatch.from_arrays([*out, pa.array(texts)] if with_groups else out, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups"][: len(out) + with_groups])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, groups, numbers = None, [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            docs_, sizes, path = head
+            docs_, path = head
             table = np.concatenate(numbers, axis=1) if numbers else np.zeros((len(names), 0), np.int64)
-            yield from block(docs_, np.array(sizes, np.int64), np.frombuffer(zstandard.decompress(path), np.int32), table, groups)
+            planes = np.frombuffer(zstandard.decompress(path), np.uint8)
+            yield from block(pa.ipc.open_stream(docs_).read_next_batch(), np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel(), table, groups)
 
         for batch in batches:
             at = column(batch, "at").to_numpy()
@@ -265,11 +317,13 @@ def answers(rows: DataFrame, with_groups: bool) -> DataFrame:
                 if begin < end and at[begin] < 0:
                     if head is not None:
                         yield from flush()
-                    head, groups, numbers = tuple(column(batch, c)[begin].as_py() for c in ("doc_ids", "sizes", "path")), [], []
+                    head, groups, numbers = tuple(column(batch, c)[begin].as_py() for c in ("docs", "path")), [], []
                     begin += 1
                 if begin < end:
-                    groups += column(batch, "groups").slice(begin, end - begin).to_pylist()
-                    numbers.append(np.stack([column(batch, c).slice(begin, end - begin).to_numpy() for c in names]))
+                    part = batch.slice(begin, end - begin)
+                    texts, sizes = _texts(column(part, "code_a"), column(part, "code_b"), widths)
+                    groups += texts
+                    numbers.append(np.concatenate([sizes, np.stack([column(part, c).to_numpy() for c in ("n_best", "count_sum")])]))
         if head is not None:
             yield from flush()
 
@@ -281,29 +335,35 @@ def align(docs: DataFrame, first: str, second: str, with_groups: bool = False) -
     """(documents, pairs): doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 and, if asked for, groups; and
     the pairs of ids that are linked anywhere (see link_counts)."""
     spark = docs.sparkSession
+    pair = Pair(first, second)
+    widths = {"a": 2 if max(pair.a_bytes) < 1 << 15 else 3, "b": 2 if len(pair.b_bytes) <= 1 << 15 else 3}
     blocks, blocks_at = stored(cut(docs, separable(first, second)), "blocks")
     counted = blocks.filter("at >= 0").groupBy("segment").agg(F.sum("many").alias("many")).withColumn("seg", F.monotonically_increasing_id())
     distinct, distinct_at = stored(counted, "segments")
     tokens, tokens_at = stored(encoded(distinct, first, second), "tokens")
+    release(spark)
     with _partitions_of_fewer_keys(spark):
-        segments, _ = stored(aligned(tokens), "aligned")
+        segments, segments_at = stored(aligned(tokens, widths), "aligned")
     drop(tokens_at)
     release(spark)
     pairs, _ = stored(link_counts(segments), "counts")
-    each = lookup_join(segments.select("seg", F.explode("links").alias("x")).select("seg", "x.a", "x.b"), pairs, ["a", "b"], "inner", rows=1 << 20)
-    scored, _ = stored(each.groupBy("seg").agg(F.count(F.when(F.col("best"), 1)).alias("n_best"), F.sum("count").alias("count_sum")), "scored")
-    known = segments.select("seg", "n_a", "n_b", F.size("links").cast("long").alias("n_groups"), "groups").join(scored, "seg")
-    known = distinct.select("seg", "segment").join(known, "seg")
-    known, known_at = stored(known.drop("seg"), "known")
-    drop(distinct_at)
+    links = segments.select("seg", F.explode("links").alias("link")).select("seg", F.expr(f"link div {ID}").cast("int").alias("a"), (F.col("link") % ID).cast("int").alias("b"))
+    each = lookup_join(links, pairs, ["a", "b"], "inner", rows=1 << 20)
+    scored, scored_at = stored(each.groupBy("seg").agg(F.count(F.when(F.col("best"), 1)).alias("n_best"), F.sum("count").alias("count_sum")), "scored")
+    codes, numbers = ["code_a", "code_b"], ["n_best", "count_sum"]
+    known = segments.select("seg", *codes).join(scored, "seg")
+    known, known_at = stored(distinct.select("seg", "segment").join(known, "seg").drop("seg"), "known")
+    for path in (distinct_at, segments_at, scored_at):
+        drop(path)
     release(spark)
     # segments that no side gives back aren't known and have no tokens
-    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum")]
     back = blocks.filter("at >= 0").select("block", "at", "segment").join(known.hint("merge"), "segment", "left")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("doc_ids", "array<bigint>"), ("sizes", "array<int>"), ("path", "binary"))]
-    heads = blocks.filter("at < 0").select("block", "at", *[F.lit(0).cast("long").alias(c) for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum")], F.lit(None).cast("string").alias("groups"), "doc_ids", "sizes", "path")
-    rows = heads.unionByName(back.select("block", "at", *zero, "groups", *none))
-    out, _ = stored(rows.repartition("block").sortWithinPartitions("block", "at").transform(answers, with_groups), "documents")
-    for path in (blocks_at, known_at):
+    back, back_at = stored(back.select("block", "at", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers], *codes), "answers")
+    drop(known_at)
+    release(spark)
+    back = back.select("*", *[F.lit(None).cast("binary").alias(c) for c in ("docs", "path")])
+    heads = blocks.filter("at < 0").select("block", "at", *[F.lit(0).cast("long").alias(c) for c in numbers], *[F.lit(None).cast("binary").alias(c) for c in codes], "docs", "path")
+    out, _ = stored(heads.unionByName(back).repartition("block").sortWithinPartitions("block", "at").transform(answers, widths, with_groups), "documents")
+    for path in (blocks_at, back_at):
         drop(path)
     return out, pairs
