@@ -41,9 +41,11 @@ from .common import column, drop, lookup_join, map_batches, release, slices, sto
 from .tokenids import _WIDE
 
 #: Text of the documents that share a list of distinct segments, about.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 #: A token travels as its id times this, plus the bytes that it stands for, in 32 bits.
 LENGTHS = 1 << 14
+#: Answers that a task holds before it sends them to their blocks.
+PACK_ROWS = 1 << 19
 #: Above all ids.
 ID = 1 << 17
 BLANK, MARK = 32, "▁"
@@ -239,18 +241,69 @@ def link_counts(segments: DataFrame) -> DataFrame:
     return counts.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best"))
 
 
-def _tokens(codes: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def packed(rows: DataFrame) -> DataFrame:
+    """block, answers: rows (block, at, n_best, count_sum, code_a, code_b) of a task, by block and compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        waiting = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            every = pa.Table.from_batches(held).combine_chunks()
+            block = every["block"].to_numpy()
+            order = np.argsort(block, kind="stable")
+            every = every.take(pa.array(order)).combine_chunks().to_batches()[0]
+            block = block[order]
+            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            blobs = []
+            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True):
+                part = every.slice(a, z - a)
+                codes = [pc.fill_null(column(part, c), b"") for c in ("code_a", "code_b")]
+                cols = [np.array([z - a], np.int32), column(part, "at").to_numpy().astype(np.int32), column(part, "n_best").to_numpy().astype(np.int32), column(part, "count_sum").to_numpy(), *(pc.binary_length(c).to_numpy().astype(np.int32) for c in codes)]
+                blobs.append(zstandard.compress(b"".join([*(c.tobytes() for c in cols), *(x for c in codes for x in c.to_pylist())]), 3))
+            yield pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(blobs, pa.binary())], ["block", "answers"])
+
+        for batch in batches:
+            held.append(batch)
+            waiting += batch.num_rows
+            if waiting >= PACK_ROWS:
+                yield from flush()
+                held, waiting = [], 0
+        if waiting:
+            yield from flush()
+
+    return rows.select("block", "at", "n_best", "count_sum", "code_a", "code_b").transform(map_batches, run, "block bigint, answers binary")
+
+
+def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(numbers of segments, [n_best, count_sum], [(lengths in bytes, bytes) of each side]) of a block's answers."""
+    at, scores, lengths, raws = [], [], ([], []), ([], [])
+    for blob in blobs:
+        raw = zstandard.decompress(blob)
+        n = int(np.frombuffer(raw, np.int32, 1)[0])
+        at.append(np.frombuffer(raw, np.int32, n, 4))
+        scores.append(np.stack([np.frombuffer(raw, np.int32, n, 4 + 4 * n).astype(np.int64), np.frombuffer(raw, np.int64, n, 4 + 8 * n)]))
+        begin = 4 + 24 * n
+        for side in (0, 1):
+            lengths[side].append(np.frombuffer(raw, np.int32, n, 4 + (16 + 4 * side) * n).astype(np.int64))
+            size = int(lengths[side][-1].sum())
+            raws[side].append(np.frombuffer(raw, np.uint8, size, begin))
+            begin += size
+    return np.concatenate(at), np.concatenate(scores, axis=1), [(np.concatenate(lengths[i]), np.concatenate(raws[i])) for i in (0, 1)]
+
+
+def _tokens(lengths: np.ndarray, raw: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, whether their groups are odd, tokens of each segment); segments without a code have none."""
-    many = pc.fill_null(pc.binary_length(codes), 0).to_numpy() // width
-    raw = np.frombuffer(b"".join(x for x in codes.to_pylist() if x), np.uint8).reshape(-1, width).astype(np.int64)
-    value = raw @ (1 << 8 * np.arange(width)[::-1])
     high = 1 << (8 * width - 1)
-    return value & (high - 1), value >= high, many
+    value = np.zeros(len(raw) // width, np.int64)
+    for k in range(width):
+        value = value << 8 | raw[k::width]
+    return value & (high - 1), value >= high, lengths // width
 
 
-def _texts(code_a: pa.Array, code_b: pa.Array, widths: dict[str, int]) -> tuple[list[str], np.ndarray]:
+def _texts(codes: list[tuple[np.ndarray, np.ndarray]], widths: dict[str, int]) -> tuple[list[str], np.ndarray]:
     """The groups of segments as text, and (tokens of A, tokens of B, groups) of each."""
-    sides = [_tokens(code_a, widths["a"]), _tokens(code_b, widths["b"])]
+    sides = [_tokens(*code, widths[s]) for code, s in zip(codes, "ab", strict=True)]
     keys, firsts = [], []
     for _, odd, many in sides:
         first = np.concatenate([[True], odd[1:] != odd[:-1]])[: len(odd)]
@@ -263,24 +316,34 @@ def _texts(code_a: pa.Array, code_b: pa.Array, widths: dict[str, int]) -> tuple[
     many = sides[0][2] + sides[1][2]
     ends = np.concatenate([[0], np.cumsum(many)])
     mark[ends[:-1][many > 0]] = 0
-    if "ids" not in worker_tables:
-        worker_tables["ids"] = {}
-    table = worker_tables["ids"]
+    table = worker_tables.setdefault("ids", {})
     value = ids * 4 + mark
     for v in np.unique(value).tolist():
         if v not in table:
             table[v] = ("", ",", "|", ";")[v & 3] + str(v >> 2)
     words = list(map(table.__getitem__, value.tolist()))
     out = ["".join(words[x:y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-    groups = np.where(many > 0, np.diff(np.concatenate([[0], np.cumsum(firsts[0])])[np.concatenate([[0], np.cumsum(sides[0][2])])]), 0)
-    return out, np.stack([sides[0][2], sides[1][2], groups])
+    begun = np.concatenate([[0], np.cumsum(firsts[0])])[np.concatenate([[0], np.cumsum(sides[0][2])])]
+    return out, np.stack([sides[0][2], sides[1][2], np.diff(begun)])
 
 
 def answers(rows: DataFrame, widths: dict[str, int], with_groups: bool) -> DataFrame:
-    """Documents of blocks whose rows (at = -1 and the segments by number) come one after another."""
+    """Documents of blocks whose rows (one with docs and path, others with answers) come one after another."""
     names = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
 
-    def block(docs_: pa.RecordBatch, path: np.ndarray, numbers: np.ndarray, groups: list[str]) -> Iterator[pa.RecordBatch]:
+    def block(docs: bytes, path: bytes, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        docs_ = pa.ipc.open_stream(docs).read_next_batch()
+        planes = np.frombuffer(zstandard.decompress(path), np.uint8)
+        way = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
+        numbers, groups = np.zeros((len(names), 0), np.int64), []
+        if blobs:
+            at, scores, codes = _unpacked(blobs)
+            texts, counts = _texts(codes, widths)
+            numbers = np.zeros((len(names), len(at)), np.int64)
+            numbers[:, at] = np.concatenate([counts, scores])
+            placed = np.empty(len(at), object)
+            placed[at] = texts
+            groups = placed.tolist()
         sizes = column(docs_, "size").to_numpy()
         end = np.cumsum(sizes)
         first = end - sizes
@@ -290,11 +353,11 @@ def answers(rows: DataFrame, widths: dict[str, int], with_groups: bool) -> DataF
             here = some[(some >= k) & (some < k + step)]
             sums = np.zeros((len(names), min(step, len(sizes) - k)), np.int64)
             if len(here):
-                part = path[first[here[0]] : end[here[-1]]]
+                part = way[first[here[0]] : end[here[-1]]]
                 sums[:, here - k] = np.add.reduceat(numbers[:, part], first[here] - first[here[0]], axis=1)
             texts = []
             for d in range(k, min(k + step, len(sizes))):
-                texts.append(";".join([groups[i] for i in path[first[d] : end[d]].tolist()]) if sums[0, d - k] else "")
+                texts.append(";".join([groups[i] for i in way[first[d] : end[d]].tolist()]) if sums[0, d - k] else "")
             cols = dict(zip(names, sums, strict=True))
             cols["n_links"] = cols["n_groups"]
             digests = pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts])
@@ -302,30 +365,19 @@ def answers(rows: DataFrame, widths: dict[str, int], with_groups: bool) -> DataF
             yield pa.RecordBatch.from_arrays([*out, pa.array(texts)] if with_groups else out, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "groups"][: len(out) + with_groups])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, groups, numbers = None, [], []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            docs_, path = head
-            table = np.concatenate(numbers, axis=1) if numbers else np.zeros((len(names), 0), np.int64)
-            planes = np.frombuffer(zstandard.decompress(path), np.uint8)
-            yield from block(pa.ipc.open_stream(docs_).read_next_batch(), np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel(), table, groups)
-
+        number, head, blobs = None, (), []
         for batch in batches:
-            at = column(batch, "at").to_numpy()
-            heads = np.flatnonzero(at < 0).tolist()
-            for begin, end in zip([0, *heads], [*heads, len(at)], strict=True):
-                if begin < end and at[begin] < 0:
-                    if head is not None:
-                        yield from flush()
-                    head, groups, numbers = tuple(column(batch, c)[begin].as_py() for c in ("docs", "path")), [], []
-                    begin += 1
-                if begin < end:
-                    part = batch.slice(begin, end - begin)
-                    texts, sizes = _texts(column(part, "code_a"), column(part, "code_b"), widths)
-                    groups += texts
-                    numbers.append(np.concatenate([sizes, np.stack([column(part, c).to_numpy() for c in ("n_best", "count_sum")])]))
-        if head is not None:
-            yield from flush()
+            for key, docs, path, blob in zip(*(column(batch, c).to_pylist() for c in ("block", "docs", "path", "answers")), strict=True):
+                if key != number:
+                    if number is not None:
+                        yield from block(*head, blobs)
+                    number, head, blobs = key, (), []
+                if blob is None:
+                    head = (docs, path)
+                else:
+                    blobs.append(blob)
+        if number is not None:
+            yield from block(*head, blobs)
 
     schema = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
     return rows.transform(map_batches, run, schema + (", groups string" if with_groups else ""))
@@ -358,12 +410,11 @@ def align(docs: DataFrame, first: str, second: str, with_groups: bool = False) -
     release(spark)
     # segments that no side gives back aren't known and have no tokens
     back = blocks.filter("at >= 0").select("block", "at", "segment").join(known.hint("merge"), "segment", "left")
-    back, back_at = stored(back.select("block", "at", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers], *codes), "answers")
-    drop(known_at)
-    release(spark)
-    back = back.select("*", *[F.lit(None).cast("binary").alias(c) for c in ("docs", "path")])
-    heads = blocks.filter("at < 0").select("block", "at", *[F.lit(0).cast("long").alias(c) for c in numbers], *[F.lit(None).cast("binary").alias(c) for c in codes], "docs", "path")
-    out, _ = stored(heads.unionByName(back).repartition("block").sortWithinPartitions("block", "at").transform(answers, widths, with_groups), "documents")
-    for path in (blocks_at, back_at):
+    back = back.select("block", "at", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers], *codes).transform(packed)
+    none = [F.lit(None).cast("binary").alias(c) for c in ("docs", "path")]
+    heads = blocks.filter("at < 0").select("block", "docs", "path", F.lit(None).cast("binary").alias("answers"))
+    rows = heads.unionByName(back.select("block", *none, "answers")).repartition("block").sortWithinPartitions("block")
+    out, _ = stored(rows.transform(answers, widths, with_groups), "documents")
+    for path in (blocks_at, known_at):
         drop(path)
     return out, pairs
