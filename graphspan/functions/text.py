@@ -73,16 +73,19 @@ def is_cyrillic(text: Column) -> Column:
     return text.rlike(r"[\x{0400}-\x{04ff}]")
 
 
-# Scripts told apart.
-SCRIPTS = (("Latin", r"\p{IsLatin}"), ("Cyrillic", r"\p{IsCyrillic}"), ("Greek", r"\p{IsGreek}"), ("Arabic", r"\p{IsArabic}"), ("Hebrew", r"\p{IsHebrew}"), ("Han", r"\p{IsHan}"), ("Devanagari", r"\p{IsDevanagari}"))
+# Ranges of characters by which scripts are told apart.
+SCRIPTS = (
+    ("latin", 0x0041, 0x024F), ("cyrillic", 0x0400, 0x04FF), ("greek", 0x0370, 0x03FF), ("hebrew", 0x0590, 0x05FF), ("arabic", 0x0600, 0x06FF), ("devanagari", 0x0900, 0x097F), ("cjk", 0x4E00, 0x9FFF),
+    ("kana", 0x3040, 0x30FF), ("hangul", 0xAC00, 0xD7AF),
+)
 
 
 def scripts(text: Column) -> Column:
     """Names of scripts that a text uses."""
-    return F.filter(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in SCRIPTS]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(text.rlike(rf"[\x{{{low:04x}}}-\x{{{high:04x}}}]"), F.lit(n)) for n, low, high in SCRIPTS]), lambda x: x.isNotNull())
 
 
-def uncovered_scripts(text: Column, covered: tuple[str, ...] = ("Latin", "Cyrillic")) -> Column:
+def uncovered_scripts(text: Column, covered: tuple[str, ...] = ("latin", "cyrillic")) -> Column:
     return F.array_except(scripts(text), F.array(*[F.lit(c) for c in covered]))
 
 
@@ -91,22 +94,19 @@ def slug(text: Column, longest: int = 48) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", ""), 1, longest)
 
 
-def label_pairs(pairs: DataFrame, stems: Column | None = None) -> DataFrame:
-    """surface and fused similarity of distinct label pairs (label_a, label_b): each pair is compared once and joined back."""
-    distinct = pairs.select("label_a", "label_b").distinct()
-    grams = lambda c: counts(trigrams(F.col(c)))
-    rows = distinct.withColumn("lexical", jaccard(F.array_distinct(split_words(F.col("label_a"))), F.array_distinct(split_words(F.col("label_b")))))
-    rows = rows.withColumn("trigram", cosine(grams("label_a"), grams("label_b"))).withColumn("surface", surface(F.col("lexical"), F.col("trigram")))
-    return rows.select("label_a", "label_b", "lexical", "trigram", "surface")
+def hashed_vectors(features: DataFrame, dim: int = 256) -> DataFrame:
+    """label, slot, value: unit vectors of hashed stems (1 each time), classes (1.5) and trigrams (0.3 each time).
 
-
-def hashed_vector(label: Column, dim: int = 256) -> Column:
-    """Unit vector of hashed words (weight 1) and trigrams (0.3)."""
-    bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(dim)).cast("int")
-    entries = F.concat(F.transform(split_words(label), lambda w: F.struct(bucket(w).alias("i"), F.lit(1.0).alias("v"))), F.transform(trigrams(label), lambda g: F.struct(bucket(g).alias("i"), F.lit(0.3).alias("v"))))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(entries, lambda e: e["i"] == i), F.lit(0.0), lambda s, e: s + e["v"]))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm == 0, raw).otherwise(F.transform(raw, lambda x: x / norm))
+    features: label, words (stems in order), grams (array of item, n), classes."""
+    items = F.concat(
+        F.transform("words", lambda w: F.struct(F.concat(F.lit("s:"), w).alias("token"), F.lit(1.0).alias("v"))),
+        F.transform("classes", lambda c: F.struct(F.concat(F.lit("c:"), c).alias("token"), F.lit(1.5).alias("v"))),
+        F.transform("grams", lambda g: F.struct(F.concat(F.lit("g:"), g["item"]).alias("token"), (0.3 * g["n"]).alias("v"))),
+    )
+    slot = F.pmod(F.conv(F.substring(F.sha2("x.token", 256), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+    slots = features.select("label", F.explode(items).alias("x")).groupBy("label", slot.alias("slot")).agg(F.sum("x.v").alias("value"))
+    norms = slots.groupBy("label").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    return slots.join(norms, "label").select("label", "slot", (F.col("value") / F.col("norm")).alias("value"))
 
 
 def dot(a: Column, b: Column) -> Column:

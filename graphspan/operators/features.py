@@ -139,8 +139,10 @@ def positional_roles(nodes: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def thought_fingerprint(nodes: DataFrame, relations: DataFrame) -> DataFrame:
-    """graph_id, fingerprint: of labels, roles and label-resolved relations, whatever the ids and their order."""
-    dots = nodes.groupBy("graph_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("/", "label", "role"))), ",").alias("dots"))
+    """graph_id, fingerprint: of labels, roles, assertions and modalities of nodes ('' where nodes have none) and label-resolved
+    relations, whatever the ids and their order."""
+    said = [F.coalesce(F.col(c), F.lit("")) if c in nodes.columns else F.lit("") for c in ("assertion", "modality")]
+    dots = nodes.groupBy("graph_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("/", "label", "role", *said))), ",").alias("dots"))
     at = lambda end: nodes.select("graph_id", F.col("node").alias(end), F.col("label").alias(f"l_{end}"))
     named = relations.join(at("src"), ["graph_id", "src"]).join(at("dst"), ["graph_id", "dst"])
     edges = named.groupBy("graph_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("/", "l_src", "type", "l_dst", "assertion", "modality"))), ",").alias("edges"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stem import stem_labels
 from ..schema import BM25_B, BM25_K1, STOP_FRACTION, STOP_FROM
 from ..sources.scratch import kept, lookup_join
 
@@ -17,14 +18,10 @@ def key_stats(keys: DataFrame, n: int, stop_fraction: float = STOP_FRACTION) ->
     return df.select("key", "df", (F.log(F.lit(n + 1.0) / (F.col("df") + 1.0)) + 1e-9).alias("idf"), (F.col("df") > cutoff).alias("stop"))
 
 
-def words(text: Column) -> Column:
-    """Runs of letters and digits, in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-
-
 def content_terms(nodes: DataFrame) -> DataFrame:
-    """graph_id, term, tf of the labels of a graph."""
-    return nodes.select("graph_id", F.explode(words(F.col("label"))).alias("term")).groupBy("graph_id", "term").agg(F.count("*").alias("tf"))
+    """graph_id, term, tf of the stems of a graph's labels, stop words left out; each distinct label is stemmed once."""
+    stems = kept(stem_labels(nodes.select("label").distinct()).filter(F.size("stems") > 0))
+    return lookup_join(nodes.select("graph_id", "label"), stems, ["label"]).select("graph_id", F.explode("stems").alias("term")).groupBy("graph_id", "term").agg(F.count("*").alias("tf"))
 
 
 def content_stats(terms: DataFrame, n: int) -> DataFrame:
@@ -51,23 +48,39 @@ def _of_queries(rows: DataFrame, query_ids: DataFrame) -> DataFrame:
     return lookup_join(rows, query_ids.select(F.col("query_id").alias("graph_id")), ["graph_id"]).withColumnRenamed("graph_id", "query_id")
 
 
-def content_scores(terms: DataFrame, stats: DataFrame, query_ids: DataFrame) -> DataFrame:
-    """query_id, graph_id, content: BM25 over shared terms, as a share of the query's score for itself, at most 1."""
-    sized = terms.join(lengths(terms), "graph_id")
-    average = lengths(terms).agg(F.avg("length").alias("average"))
-    asked = kept(_of_queries(sized, query_ids).select("query_id", "term", F.col("tf").alias("q_tf"), F.col("length").alias("q_length")).join(stats.filter("idf <> 0").select("term", "idf"), "term"))
-    own = kept(asked.crossJoin(F.broadcast(average)).groupBy("query_id").agg(F.sum(F.col("idf") * bm25(F.col("q_tf"), F.col("q_length"), F.col("average"))).alias("own")))
-    hits = lookup_join(sized, asked, ["term"]).filter("graph_id <> query_id").crossJoin(F.broadcast(average))
-    sums = hits.groupBy("query_id", "graph_id").agg(F.sum(F.col("idf") * bm25(F.col("tf"), F.col("length"), F.col("average"))).alias("score"))
-    return lookup_join(sums, own, ["query_id"]).filter("own > 0").select("query_id", "graph_id", F.least(F.lit(1.0), F.col("score") / F.col("own")).alias("content"))
+def content_impacts(terms: DataFrame) -> DataFrame:
+    """graph_id, term, impact: what a term's posting adds for each unit of its idf."""
+    sized = lengths(terms)
+    average = sized.agg(F.avg("length").alias("average"))
+    return terms.join(sized, "graph_id").crossJoin(F.broadcast(average)).select("graph_id", "term", bm25(F.col("tf"), F.col("length"), F.col("average")).alias("impact"))
+
+
+def content_terms_of(impacts: DataFrame, stats: DataFrame, query_ids: DataFrame) -> DataFrame:
+    """query_id, term, idf, own: a query's terms, and its score for itself."""
+    mine = _of_queries(impacts, query_ids).join(stats.filter("idf <> 0").select("term", "idf"), "term")
+    return mine.withColumn("own", F.sum(F.col("idf") * F.col("impact")).over(Window.partitionBy("query_id"))).filter("own > 0").select("query_id", "term", "idf", "own")
+
+
+def content_scores(terms: DataFrame, stats: DataFrame, query_ids: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """query_id, graph_id, content: BM25 over shared terms, as a share of the query's score for itself, at most 1; of some pairs
+    alone if they are given."""
+    impacts = content_impacts(terms)
+    return content_of(kept(content_terms_of(impacts, stats, query_ids)), impacts, pairs)
+
+
+def content_of(asked: DataFrame, impacts: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    hits = lookup_join(impacts, asked, ["term"]) if pairs is None else lookup_join(impacts, pairs, ["graph_id"]).join(asked, ["query_id", "term"])
+    sums = hits.filter("graph_id <> query_id").groupBy("query_id", "graph_id").agg(F.sum(F.col("idf") * F.col("impact")).alias("score"), F.first("own").alias("own"))
+    return sums.select("query_id", "graph_id", F.least(F.lit(1.0), F.col("score") / F.col("own")).alias("content"))
 
 
-def knowledge_scores(knowledge: DataFrame, stats: DataFrame, query_ids: DataFrame) -> DataFrame:
+def knowledge_scores(knowledge: DataFrame, stats: DataFrame, query_ids: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """query_id, graph_id, about, complement: summed idf of the candidate's nodes that are about what the query is about, or
-    about what it requires.  A candidate counts once for each node that refers to it."""
+    about what it requires; of some pairs alone if they are given.  A candidate counts once for each node that refers to it."""
     asked = kept(_of_queries(knowledge, query_ids).select("query_id", "bucket", "ref").distinct().join(stats.select("ref", "idf"), "ref"))
     posts = knowledge.filter("bucket = 'about'").select("graph_id", "ref")
-    hits = lookup_join(posts, asked, ["ref"]).filter("graph_id <> query_id")
+    hits = lookup_join(posts, asked, ["ref"]) if pairs is None else lookup_join(posts, pairs, ["graph_id"]).join(asked, ["query_id", "ref"])
+    hits = hits.filter("graph_id <> query_id")
     part = lambda b: F.sum(F.when(F.col("bucket") == b, F.col("idf")))
     return hits.groupBy("query_id", "graph_id").agg(part("about").alias("about"), part("requires").alias("complement"))
 

@@ -14,7 +14,7 @@ from .sessions import latest
 ADJECTIVES = ("calm", "early", "gentle", "golden", "hidden", "lively", "plain", "quiet", "silver", "steady", "sunny", "tidy", "warm", "windy")
 NOUNS = ("acorn", "basin", "beacon", "brook", "cedar", "cliff", "comet", "garden", "harbor", "lantern", "meadow", "orchard", "pebble", "river", "summit", "thicket", "willow")
 ORDINALS = ("the Second", "the Third", "the Fourth", "the Fifth", "the Sixth", "the Seventh", "the Eighth", "the Ninth")
-PHRASES = {"analogical": "another subject, built alike", "approximate": "alike in part", "direct": "the same subject, reasoned alike", "complementary": "one has what the other needs", "negative": "no resonance"}
+PHRASES = {"analogical": "another subject, built alike", "approximate": "alike in part", "direct": "the same subject, reasoned alike", "complementary": "one has what the other needs", "negative": "nothing in common"}
 # Who may say whose words a thought is, and the bounds of a thought put together by hand.
 AUTHORSHIP, REFUSED_AUTHORSHIP = ("their_own_words", "their_words_reorganised"), "i_proposed_it"
 MOST_NODES, MOST_RELATIONS, LONGEST_LABEL = 40, 80, 120

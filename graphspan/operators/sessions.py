@@ -129,3 +129,14 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, version: str) -> DataF
     both = base.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
     order = Window.partitionBy(key).orderBy(F.desc(version), "_new")
     return both.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_new")
+
+
+def near_misses(hits: DataFrame, most: int = 5, meaning: float = 0.4) -> DataFrame:
+    """query_id, graph_id, semantic, n: of hits (query_id, graph_id, semantic, hard, classification) that aren't rejected, the few
+    of the highest semantic similarity from ``meaning`` on, for queries that nothing matched: a hit that is neither rejected nor
+    negative (or unnamed) leaves its query out."""
+    open_ = hits.filter(~F.col("hard"))
+    matched = open_.filter(~F.lower(F.coalesce("classification", F.lit(""))).isin("", "negative")).select("query_id").distinct()
+    w = Window.partitionBy("query_id").orderBy(F.desc("semantic"), "graph_id")
+    rows = open_.filter(F.col("semantic") >= meaning).join(matched, "query_id", "left_anti")
+    return rows.select("query_id", "graph_id", "semantic", F.row_number().over(w).alias("n")).filter(F.col("n") <= most)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, index, retrieve, validate
+from ..operators import features, index, prune, retrieve, validate
 from ..schema import ROLES, TYPES
 from ..sources import derived
 from ..sources.scratch import kept, lookup_join
+from .text_queries import STEMS
 
 
 def _graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -106,8 +107,13 @@ def f15_positional_role(spark, d):
     return features.positional_roles(*_graphs(spark, d))
 
 
+def _thoughts(spark, d) -> DataFrame:
+    lines = kept(derived.order_lines(spark, d))
+    return features.thought_fingerprint(derived.stated_nodes(lines), derived.relations(lines))
+
+
 def f16_thought_fingerprint(spark, d):
-    return features.thought_fingerprint(*_graphs(spark, d))
+    return _thoughts(spark, d)
 
 
 def f18_components(spark, d):
@@ -149,11 +155,20 @@ def _per_query(found: DataFrame, **totals: str) -> DataFrame:
     return found.groupBy("query_id").agg(F.count("*").alias("n"), *[F.round(F.sum(c), 3).alias(name) for name, c in totals.items()])
 
 
+def asked_prints(nodes: DataFrame, relations: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records of the queries, records of all graphs that share a key with a query): no other key is ever looked up, so the
+    fingerprints of the corpus are filtered as they are made."""
+    own = lambda df: lookup_join(df, ids.select(F.col("query_id").alias("graph_id")), ["graph_id"])
+    mine = kept(features.multi_fingerprints(own(nodes), own(relations)))
+    return mine, kept(lookup_join(features.multi_fingerprints(nodes, relations), kept(mine.select("key").distinct()), ["key"]))
+
+
 def _query_keys(spark, d, budget=96, ids=query_graphs):
     nodes, relations = _graphs(spark, d)
-    prints = kept(features.multi_fingerprints(nodes, relations))
+    asked = kept(ids(nodes))
+    mine, prints = asked_prints(nodes, relations, asked)
     stats = index.key_stats(features.keysets(prints), corpus_size(nodes))
-    return kept(index.live_query_keys(prints, stats, ids(nodes), budget)), prints
+    return kept(index.live_query_keys(mine, stats, asked, budget)), prints
 
 
 def j1_key_budget(spark, d, ids=query_graphs):
@@ -177,13 +192,23 @@ def h5_coherent(spark, d):
     return found.select("query_id", "graph_id", F.round("score", 6).alias("score"), F.size("seeds").cast("long").alias("n_seeds"))
 
 
-def structural_top5(spark, d, ids=query_graphs):
-    """The flagship: for each query order, the five most alike in structure."""
+def _pruned(spark, d, ids, k: int = 5) -> tuple[DataFrame, DataFrame]:
     keys, prints = _query_keys(spark, d, ids=ids)
-    found = retrieve.structural_scores(keys, prints).withColumn("primary", F.round("score", 9)).withColumn("rank", retrieve.rank("primary"))
+    postings = kept(prune.blocked(retrieve.key_postings(prints, "structural")))
+    return prune.top(kept(retrieve.key_terms(keys, "structural")), postings, lambda pairs: kept(retrieve.structural_scores(keys, prints, pairs)), k)
+
+
+def structural_top5(spark, d, ids=query_graphs):
+    """The flagship: for each query order, the five most alike in structure; bounds leave out most postings and graphs."""
+    found = _pruned(spark, d, ids)[0].withColumn("primary", F.round("score", 9)).withColumn("rank", retrieve.rank("primary"))
     return found.filter("rank <= 5 and primary > 0").select("query_id", "graph_id", F.round("score", 6).alias("score"), "rank", F.size("seeds").alias("n_seeds"))
 
 
+def j5_pool(spark, d, ids=query_graphs):
+    """What the flagship reads for each query: postings of its keys, those read, and graphs scored exactly."""
+    return _pruned(spark, d, ids)[1]
+
+
 def k33_ablation(spark, d, ids=query_graphs):
     """Structural retrieval without budget, by D0 keys alone."""
     nodes, relations = _graphs(spark, d)
@@ -236,7 +261,7 @@ def j6_relation_dedupe(spark, d):
 
 
 def j8_duplicates(spark, d):
-    return features.duplicates(features.thought_fingerprint(*_graphs(spark, d)))
+    return features.duplicates(_thoughts(spark, d))
 
 
 def j10_set_operations(spark, d):
@@ -261,7 +286,7 @@ QUERIES = {
     "f13_motif_rarity": f13_motif_rarity, "f15_positional_role": f15_positional_role, "f16_thought_fingerprint": f16_thought_fingerprint, "f18_components": f18_components, "h1_key_stats": h1_key_stats,
     "h2_content_stats": h2_content_stats, "h3_about_stats": h3_about_stats, "h4_pair_support": h4_pair_support, "h5_coherent": h5_coherent, "h6_bm25": h6_bm25, "h7_knowledge": h7_knowledge, "h8_fusion": h8_fusion,
     "g1_contributions": g1_contributions, "i1_ranks": i1_ranks, "j1_key_budget": j1_key_budget, "j6_relation_dedupe": j6_relation_dedupe, "j8_duplicates": j8_duplicates, "j10_set_operations": j10_set_operations,
-    "structural_top5": structural_top5, "k33_ablation": k33_ablation, "k34_diagnostics": k34_diagnostics, "b3_orphans": b3_orphans, "b3_repeated_ids": b3_repeated_ids, "a4_snapshot": snapshot,
+    "structural_top5": structural_top5, "j5_pool": j5_pool, "k33_ablation": k33_ablation, "k34_diagnostics": k34_diagnostics, "b3_orphans": b3_orphans, "b3_repeated_ids": b3_repeated_ids, "a4_snapshot": snapshot,
 }
 
 
@@ -309,8 +334,8 @@ prints AS MATERIALIZED (
 COUNT = "total AS (SELECT count(DISTINCT graph_id) AS n FROM nodes)"
 ASKED = "asked AS (SELECT DISTINCT graph_id AS query_id FROM nodes WHERE graph_id % 100 = 0)"
 STATS = "stats AS (SELECT key, count(DISTINCT graph_id) AS df, ln((n + 1.0) / (count(DISTINCT graph_id) + 1.0)) + 1e-9 AS idf, count(DISTINCT graph_id) > CASE WHEN n < 20 THEN n ELSE 0.5 * n END AS stop FROM prints, total GROUP BY key, n)"
-TERMS = """
-terms AS (SELECT graph_id, term, count(*) AS tf FROM (SELECT graph_id, unnest(regexp_extract_all(lower(label), '[\\p{L}\\p{N}]+')) AS term FROM nodes) GROUP BY ALL),
+TERMS = STEMS + """,
+terms AS (SELECT graph_id, term, count(*) AS tf FROM (SELECT graph_id, stem AS term FROM (SELECT graph_id, unnest(regexp_extract_all(lower(label), '[\\p{L}\\p{N}]+')) AS word FROM nodes) JOIN stems USING (word)) GROUP BY ALL),
 term_stats AS (SELECT term, count(*) AS df, ln((n + 1.0) / (count(*) + 0.5)) AS idf FROM terms, total GROUP BY term, n),
 sizes AS (SELECT graph_id, sum(tf) AS length FROM terms GROUP BY graph_id), average AS (SELECT avg(length) AS average FROM sizes)"""
 CONTENT = """
@@ -345,7 +370,7 @@ FROM (SELECT graph_id, array_to_string(list_sort(list(colour)), ',') AS dots, co
 _CENSUS = f"""{_SHAPES},
 owners AS (SELECT o_orderkey AS graph_id, o_custkey AS user_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE')),
 census AS (SELECT signature, count(DISTINCT user_id) AS accounts, count(*) AS thoughts, max(n_relations) AS relations FROM shapes JOIN owners USING (graph_id) GROUP BY signature)"""
-_PRINT16 = f"""{_G}, prints16 AS (SELECT d.graph_id, sha256(d.dots || '|' || coalesce(e.edges, '')) AS fingerprint FROM (SELECT graph_id, array_to_string(list_sort(list(label || '/' || role)), ',') AS dots FROM nodes GROUP BY graph_id) d
+_PRINT16 = f"""{_G}, prints16 AS (SELECT d.graph_id, sha256(d.dots || '|' || coalesce(e.edges, '')) AS fingerprint FROM (SELECT graph_id, array_to_string(list_sort(list(label || '/' || role || '/' || assertion || '/' || modality)), ',') AS dots FROM lines GROUP BY graph_id) d
 LEFT JOIN (SELECT r.graph_id, array_to_string(list_sort(list(x.label || '/' || r.type || '/' || y.label || '/' || r.assertion || '/' || r.modality)), ',') AS edges FROM relations r
   JOIN nodes x ON x.graph_id = r.graph_id AND x.node = r.src JOIN nodes y ON y.graph_id = r.graph_id AND y.node = r.dst GROUP BY r.graph_id) e USING (graph_id))"""
 

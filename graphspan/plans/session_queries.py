@@ -113,9 +113,11 @@ def c9_audit_filter(spark, d):
 
 def c10_near_misses(spark, d):
     """Of hits that aren't rejected, the five of highest similarity at 0.4 or more, for customers without a better one."""
-    rows = derived.table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("graph_id"), F.round((F.col("o_totalprice") % 1000) / 1000, 6).alias("semantic"), (F.col("o_orderstatus") == "F").alias("hard"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("semantic"), "graph_id")
-    return rows.filter(~F.col("hard") & (F.col("semantic") >= 0.4)).withColumn("n", F.row_number().over(w)).filter("n <= 5")
+    hits = derived.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("graph_id"), F.round((F.col("o_totalprice") % 1000) / 1000, 6).alias("semantic"), (F.col("o_orderstatus") == "F").alias("hard"),
+        F.when(F.substring("o_orderpriority", 1, 1) == "1", "approximate").when(F.substring("o_orderpriority", 1, 1) == "2", "").otherwise("negative").alias("classification"),
+    )
+    return ops.near_misses(hits)
 
 
 def c12_live_participants(spark, d):
@@ -309,7 +311,9 @@ ORACLES = {
     "c6_project_rows": f"{VIEW} SELECT session_id, user_id, CASE WHEN share_location THEN region END AS region, CASE WHEN share_location THEN round_even({KM}, -1) END AS km, CASE WHEN share_location THEN {BUCKET} END AS distance FROM seen WHERE reason IS NULL",
     "c7_semi_join_registry": f"{_S}, hits AS (SELECT o_orderkey AS session_id, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) SELECT session_id, rank FROM hits WHERE session_id IN (SELECT session_id FROM disc)",
     "c9_audit_filter": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE NOT starts_with(event_type, 'err') GROUP BY event_type",
-    "c10_near_misses": "SELECT * FROM (SELECT query_id, graph_id, semantic, hard, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, graph_id) AS n FROM (SELECT o_custkey AS query_id, o_orderkey AS graph_id, round((o_totalprice % 1000) / 1000, 6) AS semantic, o_orderstatus = 'F' AS hard FROM orders) WHERE NOT hard AND semantic >= 0.4) WHERE n <= 5",
+    "c10_near_misses": """WITH hits AS (SELECT o_custkey AS query_id, o_orderkey AS graph_id, round((o_totalprice % 1000) / 1000, 6) AS semantic, o_orderstatus = 'F' AS hard, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'approximate' WHEN '2' THEN '' ELSE 'negative' END AS classification FROM orders)
+SELECT * FROM (SELECT query_id, graph_id, semantic, CAST(row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, graph_id) AS INT) AS n FROM hits h WHERE NOT hard AND semantic >= 0.4
+  AND NOT EXISTS (SELECT 1 FROM hits p WHERE p.query_id = h.query_id AND NOT p.hard AND p.classification NOT IN ('', 'negative'))) WHERE n <= 5""",
     "c12_live_participants": f"{_S} SELECT session_id FROM disc WHERE record_kind = 'volunteer'",
     "e1_haversine": f"{_S} SELECT session_id, round({KM}, 4) AS km, {BUCKET} AS bucket FROM s",
     "e2_buckets": f"{_S} SELECT {BUCKET} AS bucket, count(*) AS n, max(round_even(round({KM}, 3), -1)) AS farthest FROM s GROUP BY 1",

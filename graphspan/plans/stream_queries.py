@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..operators import extract, features, index
-from ..sources import derived, fixtures, storage
-from ..sources.scratch import kept, shared_dir
-from ..streaming import standing
+from ..sources import commits, derived, fixtures, storage
+from ..sources.scratch import kept, lookup_join, shared_dir
+from ..streaming import keyed, standing
 
 PROSE = [
     (1, "Rising heat causes pump wear. Cooling prevents heat buildup."), (2, "Because the queue is full, requests time out."), (3, "If load grows, then latency rises."), (4, "Small budgets may limit testing and delay the release."),
@@ -45,9 +45,9 @@ def h18_coverage(spark, d):
 
 def label_classes(spark: SparkSession, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(graph_id, node, class) of nodes by their labels, and the labels' concepts, by the terms that orders' parts need."""
-    terms = lexicon.default_terms(spark).unionByName(spark.createDataFrame([("hot", "HEAT"), ("cold", "COOLING"), ("valve", "CONTROL"), ("gear", "TOOL"), ("bolt", "COUPLING")], "term string, class string"))
+    terms = lexicon.default_terms(spark).unionByName(spark.createDataFrame(list(derived.PART_TERMS), "term string, class string"))
     labels = kept(lexicon.label_concepts(nodes.select("label").distinct(), terms))
-    classes = nodes.join(F.broadcast(labels), "label").select("graph_id", "node", F.explode("concepts").alias("class"))
+    classes = lookup_join(nodes, labels, ["label"]).select("graph_id", "node", F.explode("concepts").alias("class"))
     return classes, labels
 
 
@@ -105,7 +105,7 @@ def _drained(df: DataFrame, mode: str) -> DataFrame:
         rows.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={batch_id}")
 
     df.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def l8_latest_state(spark, d):
@@ -128,9 +128,112 @@ def i8_sliding_limit(spark, d):
     return standing.sliding_limit(derived.table(spark, d, "events"), most=2, seconds=86400)
 
 
+def _alert_rows(events: DataFrame) -> DataFrame:
+    """Matches told by events: who has a thought, who has the other, and how they were judged."""
+    return events.select(
+        "event_id", "user_id", (F.col("event_id") % 50 + 1).alias("peer"), (F.col("event_id") % 60 + 1).alias("mine"), (F.col("event_id") % 45 + 1).alias("theirs"), F.col("ts").cast("timestamp").alias("detected_at"),
+        F.when(F.col("event_id") % 13 == 0, "sign").alias("hard_rejection"), F.when(F.col("event_type") == "error", "negative").otherwise("analogical").alias("classification"), (F.col("event_id") % 8).alias("shape"),
+    )
+
+
+def l3_alert_state(spark, d):
+    """Alerts told by keyed state: events arrive in three parts, the second one twice; 20 for an account."""
+    name = uuid.uuid4().hex
+    folder = f"{shared_dir(spark)}/alerts-{name}"
+    events = derived.table(spark, d, "events")
+    blocks = spark.range(0, 200).select(F.col("id").alias("user_id"), (F.col("id") * 7 % 50 + 1).alias("peer"))
+    habits = spark.range(3, 4).select(F.col("id").alias("shape"))
+    out, pairs = f"{folder}-told", _alert_rows(events).withColumn("part", (F.col("event_id") % 3).cast("int"))
+    with keyed.rocksdb(spark):
+        for turn, part in enumerate((0, 1, 1, 2)):
+            pairs.filter(F.col("part") == part).drop("part", "event_id").write.parquet(f"{folder}/turn={turn}")
+            rows = spark.readStream.schema(pairs.drop("part", "event_id").schema).parquet(f"{folder}/turn=*")
+            told = keyed.alert_stream(rows, blocks, habits, cap=20)
+            told.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id long, mine long, theirs long, detected_at timestamp").parquet(out)
+
+
+def l10_grants(spark, d):
+    """One-time grants by keyed state and timers: clicks, views and signups give a code, a token or a refresh token, purchases
+    redeem what is open."""
+    kind = F.when(F.col("event_type") == "click", "code").when(F.col("event_type") == "view", "token").when(F.col("event_type") == "signup", "refresh").otherwise("")
+    events = _stream(spark, d).filter("event_type <> 'error'").select((F.col("user_id") % 40).alias("user_id"), "event_id", "ts", kind.alias("kind"))
+    with keyed.rocksdb(spark):
+        return _drained(keyed.grant_stream(events), "append")
+
+
+def l11_replay_stream(spark, d):
+    """Requests that come more than once, in a stream: the first payload wins, another one is a conflict."""
+    e = _stream(spark, d).select((F.col("event_id") % 4000).alias("request_id"), "event_id", "ts", F.sha2(F.concat_ws("|", "event_type", (F.col("event_id") % 3).cast("string")), 256).alias("payload"))
+    with keyed.rocksdb(spark):
+        told = _drained(keyed.replay_guard(e, keep_seconds=10 * 365 * 86400), "append")
+    first = F.max(F.when(F.col("outcome") == "first", F.col("payload"))).alias("first")
+    return told.groupBy("request_id").agg(first, F.count("*").alias("tries"), (F.count(F.when(F.col("outcome") == "conflict", 1)) > 0).alias("conflict"))
+
+
+def a9_commits(spark, d):
+    """Orders as a table with versions: all of them, then changes of every fifth, then stale ones, which are refused whole."""
+    orders = derived.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"))
+    t = commits.Versioned(spark, f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}", "id", "id bigint, state string")
+    t.commit(orders.withColumn("expected", F.lit(0)), request="load", base=True)
+    t.commit(orders.filter("id % 5 = 0").select("id", F.lit("X").alias("state"), F.lit(1).alias("expected")), request="fifths")
+    t.commit(orders.filter("id % 5 = 0").select("id", F.lit("X").alias("state"), F.lit(1).alias("expected")), request="fifths")  # a replay: nothing happens
+    stale = orders.filter("id % 7 = 0").select("id", F.lit("Y").alias("state"), F.lit(1).alias("expected"))
+    try:
+        t.commit(stale)
+        refused = 0
+    except commits.Conflict as e:
+        refused = e.refused
+    t.commit(t.checked(stale).filter("right").select("id", "state", "expected"))
+    changes = t.audit().groupBy("id").agg(F.count("*").alias("changes"))
+    return t.state().join(changes, "id").select("id", "state", "version", "changes", F.lit(t.generation()).cast("long").alias("generation"), F.lit(refused).cast("long").alias("refused"))
+
+
+def l6_guarded_serving(spark, d):
+    """What is served of events counts by user: built from one generation, refused after another one, built anew."""
+    events = derived.table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id")
+    t = commits.Versioned(spark, f"{shared_dir(spark)}/events-{uuid.uuid4().hex}", "id", "id bigint, user_id bigint")
+    served, build = commits.Served(t), lambda: t.state().groupBy("user_id").agg(F.count("*").alias("n"))
+    t.commit(events.filter("id % 2 = 0").withColumn("expected", F.lit(0)), base=True)
+    first = served.publish(build(), 1)
+    old = kept(build())
+    t.commit(events.filter("id % 2 = 1").withColumn("expected", F.lit(0)))
+    late = served.publish(old, 1)
+    stale = served.read() is None
+    served.publish(build(), 2)
+    return served.read().select("user_id", "n", F.lit(first).alias("first"), F.lit(late).alias("late"), F.lit(stale).alias("stale"))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and n[0] in "mhfdail" and (n[1:2].isdigit() or n == "l_window_counts")}
 
+_BUCKET = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f(user_id, event_id, n, sec, level, allowed) AS (
+  SELECT user_id, event_id, n, sec, 4.0::DOUBLE, true FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, e.sec, least(5.0, f.level + greatest(0.0, e.sec - f.sec) / 3600.0) - CAST(least(5.0, f.level + greatest(0.0, e.sec - f.sec) / 3600.0) >= 1 AS INT), least(5.0, f.level + greatest(0.0, e.sec - f.sec) / 3600.0) >= 1
+  FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, event_id, allowed FROM f"""
+
 ORACLES = {
     "l8_latest_state": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id",
+    "l3_alert_state": """WITH rows AS (SELECT user_id, event_id % 50 + 1 AS peer, event_id % 60 + 1 AS mine, event_id % 45 + 1 AS theirs, ts AS detected_at, event_id % 3 AS part FROM events
+  WHERE event_id % 13 <> 0 AND event_type <> 'error' AND event_id % 8 <> 3 AND user_id <> event_id % 50 + 1 AND event_id % 60 <> event_id % 45 AND NOT (user_id < 200 AND event_id % 50 + 1 = user_id * 7 % 50 + 1)),
+once AS (SELECT user_id, mine, theirs, min(part) AS part, arg_min(detected_at, (part, detected_at)) AS detected_at FROM rows GROUP BY ALL)
+SELECT user_id, mine, theirs, detected_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY part, detected_at, mine, theirs) AS n FROM once) WHERE n <= 20""",
+    "l10_grants": """WITH e AS (SELECT user_id % 40 AS user_id, event_id, ts, CASE event_type WHEN 'click' THEN 300 WHEN 'view' THEN 3600 WHEN 'signup' THEN 2592000 END AS lives FROM events WHERE event_type <> 'error'),
+l AS (SELECT *, lag(ts) OVER w AS before, lag(lives) OVER w AS life FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, event_id, coalesce(life IS NOT NULL AND ts < before + to_seconds(life), false) AS granted FROM l WHERE lives IS NULL""",
+    "l11_replay_stream": "SELECT event_id % 4000 AS request_id, arg_min(sha256(event_type || '|' || (event_id % 3)), (ts, event_id)) AS first, count(*) AS tries, count(DISTINCT sha256(event_type || '|' || (event_id % 3))) > 1 AS conflict FROM events GROUP BY 1",
+    "a9_commits": """WITH n AS (SELECT count(*) FILTER (o_orderkey % 7 = 0 AND o_orderkey % 5 = 0) AS refused FROM orders)
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'X' WHEN o_orderkey % 7 = 0 THEN 'Y' ELSE o_orderstatus END AS state, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS version,
+  CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS changes, 3 AS generation, refused FROM orders, n""",
+    "l6_guarded_serving": "SELECT user_id, count(*) AS n, true AS first, false AS late, true AS stale FROM events GROUP BY user_id",
+    "i8_sliding_limit": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f(user_id, event_id, n, log, allowed) AS (
+  SELECT user_id, event_id, n, [sec], true FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN len(list_filter(f.log, lambda t: t > e.sec - 86400)) < 2 THEN list_append(list_filter(f.log, lambda t: t > e.sec - 86400), e.sec) ELSE list_filter(f.log, lambda t: t > e.sec - 86400) END,
+    len(list_filter(f.log, lambda t: t > e.sec - 86400)) < 2 FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, event_id, allowed FROM f""",
+    "l10_token_bucket": _BUCKET,
+    "l10_token_bucket_stream": _BUCKET,
     "l_window_counts": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }

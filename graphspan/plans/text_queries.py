@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, stem, text
+from ..operators import labels as label_ops
 from ..operators import validate
 from ..sources import derived, fixtures
+from ..sources.scratch import kept
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -66,8 +68,40 @@ def d13_soft_overlap(spark, d):
     return lexicon.soft_overlap(pairs).select("id", F.round("overlap", 6).alias("overlap"))
 
 
+def part_features(spark: SparkSession, labels: DataFrame) -> DataFrame:
+    """Stems, trigrams and classes of distinct labels, by the terms that parts' names need."""
+    terms = lexicon.default_terms(spark).unionByName(spark.createDataFrame(list(derived.PART_TERMS), "term string, class string"))
+    return kept(label_ops.features(labels, lexicon.label_concepts(labels, terms)))
+
+
 def d14_compare(spark, d):
-    return text.label_pairs(_label_pairs(spark, d)).select("label_a", "label_b", F.round("surface", 6).alias("surface"))
+    """Every label of a part with every other."""
+    labels = _labels(spark, d)
+    got = label_ops.compare(_label_pairs(spark, d), part_features(spark, labels))
+    return got.select("label_a", "label_b", *[F.round(c, 6).alias(c) for c in ("lexical", "trigram", "surface", "concept", "domain", "fused")])
+
+
+def d14_encoder_evidence(spark, d):
+    """The same with an encoder's opinion of pairs: labels in order of their names are told by the vectors of their number, and
+    three times the size of a cosine stands for it, as vectors of the table are far apart."""
+    labels = _labels(spark, d)
+    vectors = derived.table(spark, d, "embeddings").select(F.col("vec_id").alias("n"), F.col("embedding").alias("v"))
+    numbered = labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("long").alias("n"))  # a dimension of fixed size
+    told = label_ops.encoder_relatedness(_label_pairs(spark, d), numbered.join(vectors, "n").select("label", "v"), scale=3.0)
+    got = label_ops.compare(_label_pairs(spark, d), part_features(spark, labels), told)
+    return got.select("label_a", "label_b", *[F.round(c, 5).alias(c) for c in ("surface", "concept", "fused")])
+
+
+def g7_part_twins(spark, d):
+    """The likest other label of each part's label, from a surface of 0.45 on."""
+    return label_ops.best_twin(label_ops.twins(part_features(spark, _labels(spark, d)), 0.45)).select("label", "twin", F.round("surface", 6).alias("surface"))
+
+
+def g7_opening_twins(spark, d):
+    """Documents' openings, six words each, with the likest other opening."""
+    opening = F.array_join(F.slice(text.split_words(F.col("text")), 1, 6), " ")
+    labels = _docs(spark, d).select(opening.alias("label")).filter("label <> ''").distinct()
+    return label_ops.best_twin(label_ops.twins(kept(label_ops.features(labels)))).select("label", "twin", F.round("surface", 6).alias("surface"))
 
 
 def d15_scrub(spark, d):
@@ -88,8 +122,11 @@ def d18_digests(spark, d):
 
 
 def d20_hashed_vectors(spark, d):
-    v = _labels(spark, d).select("label", text.hashed_vector(F.col("label")).alias("v"))
-    return v.select("label", F.round(text.dot(F.col("v"), F.col("v")), 6).alias("norm"), F.size("v").alias("dim"))
+    labels = _labels(spark, d)
+    terms = lexicon.default_terms(spark).unionByName(spark.createDataFrame(list(derived.PART_TERMS), "term string, class string"))
+    rows = stem.stem_labels(labels).withColumnRenamed("stems", "words").join(lexicon.label_concepts(labels, terms).withColumnRenamed("concepts", "classes"), "label")
+    rows = rows.withColumn("grams", text.counts(text.trigrams(F.col("label"))))
+    return text.hashed_vectors(rows).select("label", "slot", F.round("value", 6).alias("value"))
 
 
 def d21_encoder_cosine(spark, d):
@@ -134,7 +171,7 @@ def b13_control_fields(spark, d):
     return validate.control_fields(e).select("id", F.array_join("fields", ",").alias("fields"))
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[0] in "bd" and k[1:2].isdigit()}
+QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and k[0] in "bdg" and k[1:2].isdigit()}
 
 PAIRS = "labels AS (SELECT DISTINCT p_name AS label FROM part), pairs AS (SELECT a.label AS label_a, b.label AS label_b FROM labels a, labels b)"
 GRAMS = """words AS (SELECT label, regexp_extract_all(lower(label), '[\\p{L}\\p{N}]+') AS w FROM labels), padded AS (SELECT label, ' ' || array_to_string(w, ' ') || ' ' AS p FROM words),
@@ -145,7 +182,29 @@ jac AS (SELECT label_a, label_b, len(list_intersect(a.w, b.w)) / len(list_distin
 
 RELATED = "related(a, b, w) AS (VALUES " + ", ".join(f"('{a}', '{b}', {w})" for a, b, w in lexicon.RELATED) + "), classes(c, w) AS (VALUES " + ", ".join(f"('{c}', {w})" for c, _, w in lexicon.CLASSES) + ")"
 
+#: The stems of all words that parts' names have, and the classes of stems.
+STEMS = "stems(word, stem) AS (VALUES " + ", ".join(f"('{w}', '{stem.stem(w)}')" for w in derived.PART_WORDS) + ")"
+_TERMS = [(t, c) for t, c in [*derived.PART_TERMS, *((n.removesuffix("_EVENT").removesuffix("_ACTION").lower(), n) for n, _, _ in lexicon.CLASSES)] if "_" not in t]
+TERMS = "terms(stem, class) AS (VALUES " + ", ".join(f"('{stem.stem(t)}', '{c}')" for t, c in _TERMS) + ")"
+COMPARED = f"""{RELATED}, {STEMS}, {TERMS}, both_ways AS (SELECT a, b, w FROM related UNION SELECT b, a, w FROM related),
+stemmed AS (SELECT label, list(stem ORDER BY i) AS s FROM (SELECT label, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words) JOIN stems USING (word) GROUP BY label),
+lexical AS (SELECT label_a, label_b, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS lexical FROM pairs JOIN stemmed a ON a.label = label_a JOIN stemmed b ON b.label = label_b),
+kinds AS (SELECT DISTINCT label, class FROM (SELECT label, unnest(s) AS stem FROM stemmed) JOIN terms USING (stem)),
+sides AS (SELECT label_a, label_b, x.class, max(CASE WHEN x.class = y.class THEN 1.0 ELSE coalesce(r.w, 0) END) AS best, 0 AS side FROM pairs JOIN kinds x ON x.label = label_a JOIN kinds y ON y.label = label_b LEFT JOIN both_ways r ON r.a = x.class AND r.b = y.class GROUP BY ALL
+  UNION ALL SELECT label_a, label_b, y.class, max(CASE WHEN x.class = y.class THEN 1.0 ELSE coalesce(r.w, 0) END), 1 FROM pairs JOIN kinds x ON x.label = label_a JOIN kinds y ON y.label = label_b LEFT JOIN both_ways r ON r.a = x.class AND r.b = y.class GROUP BY ALL),
+concepts AS (SELECT label_a, label_b, sum(c.w * s.best) / sum(c.w) AS concept FROM sides s JOIN classes c ON c.c = s.class GROUP BY ALL),
+surfaces AS (SELECT label_a, label_b, lexical, cosine AS trigram, greatest(lexical, CASE WHEN cosine > 0.5 THEN 0.85 * cosine ELSE 0.6 * cosine END) AS surface, coalesce(concept, 0.0)::DOUBLE AS concept
+  FROM cosines JOIN lexical USING (label_a, label_b) LEFT JOIN concepts USING (label_a, label_b)),
+compared AS (SELECT *, least(1.0, greatest(surface, 0.9 * concept, 0.5 * surface + 0.5 * concept)) AS fused FROM surfaces)"""
+
 ORACLES = {
+    "d14_encoder_evidence": f"""WITH {PAIRS}, {GRAMS}, {COMPARED}, numbered AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS n FROM labels), vectors AS (SELECT numbered.label, CAST(embedding AS DOUBLE[]) AS v FROM numbered JOIN embeddings ON vec_id = n),
+told AS (SELECT a.label AS label_a, b.label AS label_b, 3 * abs(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))) AS c FROM vectors a, vectors b),
+scaled AS (SELECT label_a, label_b, CASE WHEN c <= 0.78 THEN 0.0 WHEN c >= 0.93 THEN 1.0 ELSE (c - 0.78) / (0.93 - 0.78) END AS r FROM told),
+raised AS (SELECT label_a, label_b, CASE WHEN r >= 0.6 THEN greatest(surface, r) ELSE surface END AS surface, greatest(concept, coalesce(r, 0)) AS concept FROM compared LEFT JOIN scaled USING (label_a, label_b))
+SELECT label_a, label_b, round(surface, 5) AS surface, round(concept, 5)::DOUBLE AS concept, round(least(1.0, greatest(surface, 0.9 * concept, 0.5 * surface + 0.5 * concept)), 5)::DOUBLE AS fused FROM raised""",
+    "g7_part_twins": f"""WITH {PAIRS}, {GRAMS}, {COMPARED} SELECT label_a AS label, label_b AS twin, round(surface, 6) AS surface FROM (
+  SELECT *, row_number() OVER (PARTITION BY label_a ORDER BY round(surface, 9) DESC, label_b) AS k FROM compared WHERE label_a <> label_b AND surface >= 0.45 - 1e-9) WHERE k = 1""",
     "d12_relatedness": f"WITH {RELATED} SELECT c AS a, c AS b, 1.0::DOUBLE AS weight FROM (SELECT c FROM classes UNION ALL SELECT unnest(['{"', '".join(lexicon.DOMAINS)}'])) UNION SELECT a, b, w FROM related UNION SELECT b, a, w FROM related",
     "d13_soft_overlap": f"""WITH {RELATED}, both_ways AS (SELECT a, b, w FROM related UNION SELECT b, a, w FROM related), pairs(id, a, b) AS (VALUES (1, ['HEAT', 'LOAD'], ['STRESS', 'COOLING']), (2, ['DEPLETION'], ['SCARCITY']), (3, ['GOAL'], ['GOAL', 'HEAT']), (4, []::VARCHAR[], ['HEAT'])),
 sides AS (SELECT id, 0 AS side, unnest(a) AS x, b AS others FROM pairs UNION ALL SELECT id, 1, unnest(b), a FROM pairs),
@@ -156,13 +215,14 @@ SELECT p.id, round(CASE WHEN len(p.a) = 0 OR len(p.b) = 0 THEN 0.0 ELSE (SELECT
     "d9_trigrams": f"WITH {PAIRS}, {GRAMS} SELECT label, gram, n FROM grams",
     "d10_cosine": f"WITH {PAIRS}, {GRAMS} SELECT label_a, label_b, round(cosine, 6) AS cosine FROM cosines",
     "d11_jaccard": f"WITH {PAIRS}, {GRAMS} SELECT label_a, label_b, round(jaccard, 6) AS jaccard FROM jac",
-    "d14_compare": f"WITH {PAIRS}, {GRAMS} SELECT label_a, label_b, round(greatest(jaccard, CASE WHEN cosine > 0.5 THEN 0.85 * cosine ELSE 0.6 * cosine END), 6) AS surface FROM cosines JOIN jac USING (label_a, label_b)",
-    "d16_scripts": """SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '\\p{Latin}') THEN 'Latin' END, CASE WHEN regexp_matches(text, '\\p{Cyrillic}') THEN 'Cyrillic' END, CASE WHEN regexp_matches(text, '\\p{Greek}') THEN 'Greek' END,
-  CASE WHEN regexp_matches(text, '\\p{Arabic}') THEN 'Arabic' END, CASE WHEN regexp_matches(text, '\\p{Hebrew}') THEN 'Hebrew' END, CASE WHEN regexp_matches(text, '\\p{Han}') THEN 'Han' END, CASE WHEN regexp_matches(text, '\\p{Devanagari}') THEN 'Devanagari' END], lambda x: x IS NOT NULL), ',') AS scripts,
-  CAST(len(regexp_extract_all(text, '\\p{Greek}')) > 0 AS BIGINT) + CAST(len(regexp_extract_all(text, '\\p{Arabic}')) > 0 AS BIGINT) + CAST(len(regexp_extract_all(text, '\\p{Hebrew}')) > 0 AS BIGINT) + CAST(len(regexp_extract_all(text, '\\p{Han}')) > 0 AS BIGINT) + CAST(len(regexp_extract_all(text, '\\p{Devanagari}')) > 0 AS BIGINT) AS uncovered FROM documents""",
+    "d14_compare": f"""WITH {PAIRS}, {GRAMS}, {COMPARED} SELECT label_a, label_b, round(lexical, 6) AS lexical, round(trigram, 6) AS trigram, round(surface, 6) AS surface, round(concept, 6)::DOUBLE AS concept, 0.0::DOUBLE AS domain, round(fused, 6)::DOUBLE AS fused FROM compared""",
+    "d16_scripts": "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '[\\x{{{low:04x}}}-\\x{{{high:04x}}}]') THEN '{n}' END" for n, low, high in text.SCRIPTS) + "], lambda x: x IS NOT NULL), ',') AS scripts, "
+    + " + ".join(f"CAST(regexp_matches(text, '[\\x{{{low:04x}}}-\\x{{{high:04x}}}]') AS BIGINT)" for n, low, high in text.SCRIPTS[2:]) + " AS uncovered FROM documents",
     "d17_slug": "SELECT DISTINCT p_name AS label, substr(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48) AS slug FROM part",
     "d18_digests": "SELECT doc_id, sha256(text) AS sha, substr(sha256(text), 1, 16) AS short FROM documents",
-    "d20_hashed_vectors": "SELECT DISTINCT p_name AS label, 1.0::DOUBLE AS norm, 256 AS dim FROM part",
+    "d20_hashed_vectors": f"""WITH {PAIRS}, {GRAMS}, {COMPARED}, tokens AS (SELECT label, 's:' || stem AS t, 1.0::DOUBLE AS v FROM (SELECT label, unnest(s) AS stem FROM stemmed) UNION ALL SELECT label, 'c:' || class, 1.5 FROM kinds UNION ALL SELECT label, 'g:' || gram, 0.3 * n FROM grams),
+slots AS (SELECT label, CAST(('0x' || substr(sha256(t), 1, 8))::BIGINT % 256 AS INT) AS slot, sum(v) AS value FROM tokens GROUP BY ALL)
+SELECT label, slot, round(value / sqrt(sum(value * value) OVER (PARTITION BY label)), 6) AS value FROM slots""",
     "d21_encoder_cosine": """SELECT vec_id, round(c, 5) AS cosine, round(CASE WHEN abs(c) * 3 <= 0.78 THEN 0.0 WHEN abs(c) * 3 >= 0.93 THEN 1.0 ELSE (abs(c) * 3 - 0.78) / (0.93 - 0.78) END, 4) AS similarity
 FROM (SELECT a.vec_id, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS c FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) a JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) b ON b.vec_id = a.vec_id + 1)""",
     "b2_grounding": "SELECT doc_id, substr(text, CAST(doc_id % 10 AS INT) + 1, 12) = substr(text, CAST(doc_id % 10 AS INT) + 1 + CAST(doc_id % 4 = 0 AS INT), 12) AS grounded FROM documents WHERE length(text) >= 30",

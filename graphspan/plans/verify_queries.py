@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..operators import features, index, retrieve, verify
-from ..schema import OVERFETCH, LEAST_POOL, ROLES
+from ..operators import features, index, labels, prune, retrieve, verify
+from ..schema import AFFINITY, FUSION, LEAST_POOL, OVERFETCH, ROLES, TWIN, TWIN_CHOSEN
 from ..sources import derived
 from ..sources.scratch import kept, lookup_join
-from .graph_queries import LINES, NODES, RELATIONS, corpus_size, query_graphs
+from .graph_queries import LINES, NODES, RELATIONS, asked_prints, corpus_size, query_graphs
 from .stream_queries import label_classes
+from .text_queries import COMPARED, GRAMS, PAIRS, part_features
 
 
 def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -34,6 +37,28 @@ def k_adjudicate(spark, d):
     return got.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("n_role", "r_direct", "contradiction", "coverage_containment", "coverage_symmetric")}).withColumns({c: F.col(c).cast("long") for c in ("n", "n_preserved")})
 
 
+def _labelled(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, knowledge, all labels compared with each other: parts have few)."""
+    nodes, _, refs = _tables(spark, d)
+    known = nodes.select("label").distinct()
+    pairs = known.select(F.col("label").alias("label_a")).crossJoin(F.broadcast(known.select(F.col("label").alias("label_b"))))
+    return nodes, refs, kept(labels.compare(pairs, part_features(spark, known)))
+
+
+def g5_affinity(spark, d):
+    """Node by node affinities of each order with the next one, summed up for each pair."""
+    nodes, refs, compared = _labelled(spark, d)
+    got = labels.node_affinity(kept(_neighbours(nodes)[0]), nodes, refs, compared, verify.role_fit(F.col("role"), F.col("role_c")), AFFINITY)
+    return got.groupBy("query_id", "graph_id").agg(F.count("*").alias("n"), F.round(F.sum("affinity") + 1e-9, 4).alias("total"), F.round(F.max("affinity") + 1e-9, 6).alias("highest"))
+
+
+def k16_label_identity(spark, d):
+    """Nodes of neighbouring orders that their labels pair and their places don't."""
+    nodes, _, compared = _labelled(spark, d)
+    got = labels.label_conflicts(kept(_neighbours(nodes)[1]), nodes, compared, TWIN, TWIN_CHOSEN)
+    return got.select("query_id", "graph_id", "q", "c", F.round("weight", 6).alias("weight"))
+
+
 def k2_roles(spark, d):
     a = spark.createDataFrame([(r,) for r in ROLES], "a string")
     return a.crossJoin(a.withColumnRenamed("a", "b")).select("a", "b", verify.role_fit(F.col("a"), F.col("b")).alias("fit"))
@@ -100,34 +125,58 @@ def k24_knowledge(spark, d):
     return sets.join(other, "graph_id").select("graph_id", both("about", "their_about").alias("about"), both("requires", "their_requires").alias("requires"))
 
 
-def concept_scores(spark: SparkSession, nodes: DataFrame, relations: DataFrame, classes: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """query_id, graph_id, score, seeds of the concept channel: a query's classes are widened by related ones, the corpus's aren't."""
+def concept_keys(spark: SparkSession, nodes: DataFrame, relations: DataFrame, classes: DataFrame, ids: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(query keys, prints) of the concept channel: a query's classes are widened by related ones, the corpus's aren't."""
     found = kept(features.paths(features.adjacency(nodes, relations), 2))
-    prints = kept(features.concept_fingerprints(found, nodes, classes))
+    some = lambda df: lookup_join(df, ids.select(F.col("query_id").alias("graph_id")), ["graph_id"])
+    wide = kept(features.concept_fingerprints(some(found), some(nodes), some(classes), lexicon.relatedness(spark)))
+    prints = kept(lookup_join(features.concept_fingerprints(found, nodes, classes), kept(wide.select("key").distinct()), ["key"]))
     stats = kept(index.key_stats(features.keysets(prints), n))
-    wide = kept(features.concept_fingerprints(found, nodes, classes, lexicon.relatedness(spark)))
-    return retrieve.structural_scores(kept(index.live_query_keys(wide, stats, ids)), prints)
+    return kept(index.live_query_keys(wide, stats, ids)), prints
 
 
 def find(spark: SparkSession, d: str, k: int = 5, mode: str = "analogical", asked=query_graphs) -> DataFrame:
-    """The whole search: retrieval over all channels, verification of an over-fetched pool, order, top k with ties."""
+    """The whole search: retrieval over all channels, verification of an over-fetched pool, order, top k with ties.
+
+    In structural and analogical mode the pool comes from bounds over the channels' postings; what complements a query is
+    ranked by its share of the highest, so that mode looks at all candidates that any channel finds."""
     nodes, relations, refs = _tables(spark, d)
     n, ids = corpus_size(nodes), kept(asked(nodes))
-    prints = kept(features.multi_fingerprints(nodes, relations))
+    mine, prints = asked_prints(nodes, relations, ids)
     stats = kept(index.key_stats(features.keysets(prints), n))
-    structural = kept(retrieve.structural_scores(kept(index.live_query_keys(prints, stats, ids)), prints))
+    keys = kept(index.live_query_keys(mine, stats, ids))
     classes, _ = label_classes(spark, nodes)
     classes = kept(classes)
-    concept = kept(concept_scores(spark, nodes, relations, classes, ids, n))
-    terms = index.content_terms(nodes)
-    content = kept(index.content_scores(terms, index.content_stats(terms, n), ids))
-    known = kept(index.knowledge_scores(refs, index.about_stats(refs, n), ids))
-    rarity = kept(features.motif_rarity(lookup_join(features.keysets(prints), ids.withColumnRenamed("query_id", "graph_id"), ["graph_id"]), stats, n))
-    pool = retrieve.candidates(retrieve.merge_channels(structural, concept, content, known), mode, max(OVERFETCH * k, LEAST_POOL))
-    pool = kept(lookup_join(pool, rarity.withColumnRenamed("graph_id", "query_id"), ["query_id"], "left").fillna(1.0, ["rarity"]))
+    concepts, concept_prints = concept_keys(spark, nodes, relations, classes, ids, n)
+    terms = kept(index.content_terms(nodes))
+    impacts = kept(index.content_impacts(terms))
+    words = kept(index.content_terms_of(impacts, index.content_stats(terms, n), ids))
+    about = kept(index.about_stats(refs, n))
+    fetched = max(OVERFETCH * k, LEAST_POOL)
+
+    def channels(pairs: DataFrame | None = None) -> DataFrame:
+        parts = (retrieve.structural_scores(keys, prints, pairs), retrieve.structural_scores(concepts, concept_prints, pairs), index.content_of(words, impacts, pairs), index.knowledge_scores(refs, about, ids, pairs))
+        return retrieve.merge_channels(*map(kept, parts))
+
+    if mode == "complementary":
+        merged = channels()
+    else:
+        weights = FUSION if mode == "analogical" else {"structural": 1.0}
+        questions, lists = [retrieve.key_terms(keys, "structural", weights["structural"])], [retrieve.key_postings(prints, "structural")]
+        if mode == "analogical":
+            questions += [retrieve.key_terms(concepts, "concept", weights["concept"]), words.select("query_id", F.lit("content").alias("channel"), "term", (weights["content"] * F.col("idf") / F.col("own")).alias("unit"), F.lit(1e9).alias("cap"))]
+            lists += [retrieve.key_postings(concept_prints, "concept"), impacts.select("graph_id", F.lit("content").alias("channel"), "term", F.col("impact").alias("value"))]
+        union = lambda parts: kept(functools.reduce(DataFrame.unionByName, parts))
+        score = retrieve.fused() if mode == "analogical" else F.col("structural")
+        merged, _ = prune.top(union(questions), union(map(prune.blocked, lists)), lambda pairs: kept(channels(pairs).withColumn("score", score)), fetched)
+    rarity = kept(features.motif_rarity(features.keysets(mine), stats, n))
+    pool = retrieve.candidates(merged, mode, fetched)
+    pool = lookup_join(pool, rarity.withColumnRenamed("graph_id", "query_id"), ["query_id"], "left").fillna(1.0, ["rarity"])
     none = F.array().cast("array<struct<q:int,c:int,support:double>>")
-    pool = pool.withColumn("seeds", retrieve.seed_union(F.coalesce("seeds", none), F.col("concept_seeds")))
-    return verify.find(pool, verify.packed(nodes, relations, refs, classes), k)
+    pool = kept(pool.withColumn("seeds", retrieve.seed_union(F.coalesce("seeds", none), F.col("concept_seeds"))))
+    members = kept(pool.select("graph_id").unionByName(pool.select(F.col("query_id").alias("graph_id"))).distinct())
+    of_pool = lambda df: lookup_join(df, members, ["graph_id"])
+    return verify.find(pool, verify.packed(of_pool(nodes), of_pool(relations), of_pool(refs), of_pool(classes)), k)
 
 
 def k29_find(spark, d):
@@ -149,7 +198,7 @@ def k6_random_walks(spark, d):
     return _given_pairs(spark, d, "rrwm")
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and (n == "k_adjudicate" or (n[0] in "khi" and n[1:2].isdigit()))}
+QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and (n == "k_adjudicate" or (n[0] in "gkhi" and n[1:2].isdigit()))}
 
 _T = f"WITH {LINES}, {NODES}, {RELATIONS}"
 COMPONENTS = """
@@ -164,7 +213,19 @@ v AS (SELECT *, CASE WHEN comp >= 0.3 THEN 'complementary' WHEN hard THEN 'negat
 PLACED = f"""WITH {COMPONENTS}, hits AS (SELECT l_orderkey % 50 AS query_id, l_orderkey AS graph_id, round(structural, 1) AS structural, round(semantic, 1) AS semantic, classification, hard FROM v),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hard, classification = 'negative', round(0.65 * structural + 0.35 * semantic, 6) DESC, structural DESC, graph_id) AS place FROM hits)"""
 
+_ROLES = "roles(x, y, w) AS (VALUES ('state', 'mechanism', 0.6), ('problem', 'state', 0.5), ('outcome', 'state', 0.5), ('mechanism', 'method', 0.4), ('constraint', 'problem', 0.3), ('evidence', 'state', 0.3), ('resource', 'state', 0.3), ('problem', 'outcome', 0.3))"
+_L = f"WITH {LINES}, {NODES}, {PAIRS}, {GRAMS}, {COMPARED}, gp AS (SELECT a.graph_id AS query_id, b.graph_id FROM (SELECT DISTINCT graph_id FROM nodes) a JOIN (SELECT DISTINCT graph_id FROM nodes) b ON b.graph_id = a.graph_id + 1)"
+
 ORACLES = {
+    "g5_affinity": f"""{_L}, {_ROLES}, full_nodes AS (SELECT graph_id, node, label, role, conf, CASE WHEN node = 0 THEN [about, requires] ELSE [about] END AS refs FROM lines),
+fits AS (SELECT a.r AS a, b.r AS b, CASE WHEN a.r = b.r THEN 1.0 ELSE coalesce((SELECT max(w) FROM roles WHERE (x = a.r AND y = b.r) OR (x = b.r AND y = a.r)), 0.0) END AS fit FROM (SELECT DISTINCT role AS r FROM nodes) a, (SELECT DISTINCT role AS r FROM nodes) b),
+each AS (SELECT p.query_id, p.graph_id, least(x.conf, y.conf) * (0.5::DOUBLE * f.fit + 0.35::DOUBLE * c.fused + 0.15::DOUBLE * len(list_intersect(x.refs, y.refs)) / len(list_distinct(list_concat(x.refs, y.refs)))) AS v
+  FROM gp p JOIN full_nodes x ON x.graph_id = p.query_id JOIN full_nodes y ON y.graph_id = p.graph_id JOIN fits f ON f.a = x.role AND f.b = y.role JOIN compared c ON c.label_a = x.label AND c.label_b = y.label)
+SELECT query_id, graph_id, count(*) AS n, round(sum(v) + 1e-9, 4) AS total, round(max(v) + 1e-9, 6) AS highest FROM each GROUP BY ALL""",
+    "k16_label_identity": f"""{_L}, weak AS (SELECT p.query_id, p.graph_id, x.node AS place, x.label AS lq, y.label AS lc, x.conf AS cq, y.conf AS cc FROM gp p JOIN nodes x ON x.graph_id = p.query_id JOIN nodes y ON y.graph_id = p.graph_id AND y.node = x.node JOIN compared c ON c.label_a = x.label AND c.label_b = y.label WHERE c.fused < 0.4),
+forth AS (SELECT w.query_id, w.graph_id, w.place AS q, n.node AS c, least(w.cq, n.conf) * t.surface AS weight, row_number() OVER (PARTITION BY w.query_id, w.graph_id, w.place ORDER BY t.surface DESC, n.node) AS k FROM weak w JOIN nodes n ON n.graph_id = w.graph_id AND n.node <> w.place JOIN compared t ON t.label_a = w.lq AND t.label_b = n.label AND t.surface >= 0.8),
+back AS (SELECT w.query_id, w.graph_id, n.node AS q, w.place AS c, least(n.conf, w.cc) * t.surface AS weight, row_number() OVER (PARTITION BY w.query_id, w.graph_id, w.place ORDER BY t.surface DESC, n.node) AS k FROM weak w JOIN nodes n ON n.graph_id = w.query_id AND n.node <> w.place JOIN compared t ON t.label_a = n.label AND t.label_b = w.lc AND t.surface >= 0.8)
+SELECT query_id, graph_id, q, c, round(max(weight), 6)::DOUBLE AS weight FROM (SELECT * FROM forth WHERE k = 1 UNION ALL SELECT * FROM back WHERE k = 1) GROUP BY query_id, graph_id, q, c""",
     "k_adjudicate": f"""{_T}, ids AS (SELECT DISTINCT graph_id FROM nodes), pairs AS (SELECT a.graph_id AS query_id, b.graph_id FROM ids a JOIN ids b ON b.graph_id = a.graph_id + 1),
 sizes AS (SELECT graph_id, count(*) AS size FROM nodes GROUP BY graph_id),
 roles(x, y, w) AS (VALUES ('state', 'mechanism', 0.6), ('problem', 'state', 0.5), ('outcome', 'state', 0.5), ('mechanism', 'method', 0.4), ('constraint', 'problem', 0.3), ('evidence', 'state', 0.3), ('resource', 'state', 0.3), ('problem', 'outcome', 0.3)),

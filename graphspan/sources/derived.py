@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from ..schema import ROLES, TYPES
 
+#: Words that parts' names consist of, and terms of classes among them, beside the names of classes themselves.
+PART_WORDS = ("blue", "cold", "hot", "large", "new", "old", "red", "small", "anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")
+PART_TERMS = (("hot", "HEAT"), ("cold", "COOLING"), ("valve", "CONTROL"), ("gear", "TOOL"), ("bolt", "COUPLING"))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,6 +44,11 @@ def nodes(lines: DataFrame) -> DataFrame:
     return lines.select("graph_id", "node", "label", "role", "conf", "atomic")
 
 
+def stated_nodes(lines: DataFrame) -> DataFrame:
+    """Nodes with the assertion and modality of their line."""
+    return lines.select("graph_id", "node", "label", "role", "conf", "atomic", "assertion", "modality")
+
+
 def relations(lines: DataFrame) -> DataFrame:
     """graph_id, rel, src, dst, type, assertion, modality, conf."""
     found = F.array(

@@ -6,7 +6,9 @@ replayed: the sink is keyed, and stored alerts are checked against the current s
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +19,7 @@ from ..operators.sessions import discoverable
 
 
 def both_sides(hits: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Alerts (user_id, mine, theirs, reason, detected_at) of resonances (query_id, graph_id, classification, hard_rejection,
+    """Alerts (user_id, mine, theirs, reason, detected_at) of matches (query_id, graph_id, classification, hard_rejection,
     detected_at): one for who shared, one for who was there, if both are live and not the same person."""
     good = hits.filter("hard_rejection is null and classification not in ('', 'negative')")
     live = discoverable(sessions).select("session_id", "user_id")
@@ -85,27 +87,45 @@ def token_buckets(events: DataFrame, capacity: float = 5, refill: float = 1 / 36
     return events.groupBy("user_id").applyInPandasWithState(_token_bucket(capacity, refill), "user_id long, event_id long, allowed boolean", "level double, at double", "append", "NoTimeout")
 
 
+def _folded(events: DataFrame, start: Callable[[], Any], step: Callable[[Any, float], tuple[Any, bool]]) -> DataFrame:
+    """user_id, event_id, allowed: each user's events in order of time go through a fold whose state is all that is held, so a
+    user with very many events needs no more memory."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, state = None, None
+        for frame in frames:
+            told = []
+            for u, at in zip(frame["user_id"].tolist(), frame["at"].tolist(), strict=True):
+                if u != user:
+                    user, state = u, start()
+                state, allowed = step(state, at)
+                told.append(allowed)
+            yield frame[["user_id", "event_id"]].assign(allowed=told)
+
+    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("at")).filter("user_id is not null and at is not null")
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(run, "user_id bigint, event_id bigint, allowed boolean")
+
+
 def token_buckets_batch(events: DataFrame, capacity: float = 5, refill: float = 1 / 3600) -> DataFrame:
-    """The same over a bounded table, without Python: a user's events are a list folded in order."""
-    start = F.struct(F.lit(float(capacity)).alias("level"), F.lit(None).cast("double").alias("at"), F.array().cast("array<struct<event_id:bigint,allowed:boolean>>").alias("out"))
-    rows = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("timestamp").cast("double").alias("ts"), F.col("event_id")))).alias("all"))
+    """The same over a bounded table."""
 
-    def step(s, e):
-        level = F.least(F.lit(float(capacity)), s["level"] + F.greatest(F.lit(0.0), e["ts"] - F.coalesce(s["at"], e["ts"])) * refill)
-        ok = level >= 1
-        return F.struct((level - F.when(ok, 1.0).otherwise(0.0)).alias("level"), e["ts"].alias("at"), F.array_append(s["out"], F.struct(e["event_id"].alias("event_id"), ok.alias("allowed"))).alias("out"))
+    def step(state: tuple, at: float) -> tuple[tuple, bool]:
+        level, last = state
+        level = min(float(capacity), level + max(0.0, at - (at if last is None else last)) * refill)
+        return (level - (level >= 1), at), level >= 1
 
-    return rows.select("user_id", F.explode(F.aggregate("all", start, step)["out"]).alias("x")).select("user_id", "x.*")
+    return _folded(events, lambda: (float(capacity), None), step)
 
 
 def sliding_limit(events: DataFrame, most: int = 20, seconds: int = 3600) -> DataFrame:
     """user_id, event_id, allowed: at most so many allowed events in any such span; refused ones don't count."""
-    start = F.struct(F.array().cast("array<double>").alias("log"), F.array().cast("array<struct<event_id:bigint,allowed:boolean>>").alias("out"))
-    rows = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("timestamp").cast("double").alias("ts"), F.col("event_id")))).alias("all"))
 
-    def step(s, e):
-        recent = F.filter(s["log"], lambda t: t > e["ts"] - seconds)
-        ok = F.size(recent) < most
-        return F.struct(F.when(ok, F.array_append(recent, e["ts"])).otherwise(recent).alias("log"), F.array_append(s["out"], F.struct(e["event_id"].alias("event_id"), ok.alias("allowed"))).alias("out"))
+    def step(log: deque, at: float) -> tuple[deque, bool]:
+        while log and log[0] <= at - seconds:
+            log.popleft()
+        allowed = len(log) < most
+        if allowed:
+            log.append(at)
+        return log, allowed
 
-    return rows.select("user_id", F.explode(F.aggregate("all", start, step)["out"]).alias("x")).select("user_id", "x.*")
+    return _folded(events, deque, step)

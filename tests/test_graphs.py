@@ -4,7 +4,7 @@ import pytest
 
 from graphspan import plans
 from graphspan.functions import lexicon, stem, text
-from graphspan.operators import extract, features, index, kernel, retrieve, validate, verify
+from graphspan.operators import extract, features, index, kernel, labels, retrieve, validate, verify
 from graphspan.plans import verify_queries
 from graphspan.sources import derived, fixtures, scratch, storage
 from pyspark.sql import functions as F
@@ -162,7 +162,7 @@ def test_scrub_and_surface(spark):
     row = spark.createDataFrame([("mail bob@x.example or call +1 555 123 4567 now, see https://a.b/c",)], "t string").select(text.scrub(F.col("t")).alias("s")).first()
     assert row["s"] == "mail [redacted] or call [redacted] now, see [redacted]"
     pair = spark.createDataFrame([("heat pump", "heat pump"), ("heat", "cold")], "label_a string, label_b string")
-    got = {r["label_b"]: r["surface"] for r in text.label_pairs(pair).collect()}
+    got = {r["label_b"]: r["surface"] for r in labels.compare(pair, labels.features(pair.selectExpr("explode(array(label_a, label_b)) AS label"))).collect()}
     assert got["heat pump"] == 1.0 and got["cold"] < 0.2
 
 
