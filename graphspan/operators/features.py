@@ -75,25 +75,37 @@ def keysets(prints: DataFrame) -> DataFrame:
 def shape_signatures(nodes: DataFrame, relations: DataFrame, rounds: int | None = None) -> DataFrame:
     """graph_id, signature, n_nodes, n_relations: equal for isomorphic shapes, labels aside.
 
-    Colours are refined as many rounds as a graph has nodes; a graph that is done keeps its colours while others go on.  A
-    round is one join by graph, so the loop's length is the size of the largest graph, not of the corpus.
+    A graph is one row, its nodes' colours an array that is refined inside one expression: as many rounds as it has nodes at
+    most, and none after the first that tells no more nodes apart.  By then each colour of a graph stands for one of the round
+    before, so further rounds couldn't tell two graphs of equal colours apart either.
     """
-    sized = nodes.groupBy("graph_id").agg(F.count("*").alias("n_nodes"))
-    most = rounds or (sized.agg(F.max("n_nodes")).first()[0] or 0)
-    has = nodes.columns
-    colour = nodes.join(sized, "graph_id").select("graph_id", "node", "n_nodes", sha("role", *[c for c in ("assertion", "modality") if c in has]).alias("colour"))
-    ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit("+").alias("dir")), F.struct(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit("-").alias("dir"))))
-    view = relations.select("graph_id", F.concat_ws("/", "type", "assertion", "modality").alias("edge"), ends.alias("e")).select("graph_id", "edge", "e.*")
-    for k in range(1, most + 1):
-        seen = view.join(colour.filter(F.col("n_nodes") >= k).select("graph_id", F.col("node").alias("other"), F.col("colour").alias("theirs")), ["graph_id", "other"])
-        around = seen.groupBy("graph_id", "node").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("/", "dir", "edge", "theirs"))), ",").alias("around"))
-        colour = colour.join(around, ["graph_id", "node"], "left").select("graph_id", "node", "n_nodes", F.when(F.col("n_nodes") >= k, sha("colour", F.coalesce("around", F.lit("")))).otherwise(F.col("colour")).alias("colour"))
-        colour = kept(colour)  # a round reads the one before twice
-    at = lambda end: colour.select("graph_id", F.col("node").alias(end), F.col("colour").alias(f"c_{end}"))
-    edges = relations.join(at("src"), ["graph_id", "src"]).join(at("dst"), ["graph_id", "dst"])
-    edges = edges.groupBy("graph_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("/", "c_src", "type", "assertion", "modality", "c_dst"))), ",").alias("edges"), F.count("*").alias("n_relations"))
-    dots = colour.groupBy("graph_id").agg(F.array_join(F.array_sort(F.collect_list("colour")), ",").alias("dots"), F.count("*").alias("n_nodes"))
-    return dots.join(edges, "graph_id", "left").select("graph_id", sha("dots", F.coalesce("edges", F.lit(""))).alias("signature"), "n_nodes", F.coalesce("n_relations", F.lit(0)).alias("n_relations"))
+    first = sha("role", *[c for c in ("assertion", "modality") if c in nodes.columns])
+    dots = nodes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("node", first.alias("colour")))).alias("ns"))
+    edge = F.struct("src", "dst", F.concat_ws("/", "type", "assertion", "modality").alias("kind"))
+    rows = dots.join(relations.groupBy("graph_id").agg(F.collect_list(edge).alias("es")), "graph_id", "left").withColumn("ids", F.transform("ns", lambda n: n["node"]))
+    known = F.filter(F.coalesce("es", F.array().cast("array<struct<src:int,dst:int,kind:string>>")), lambda e: F.array_contains("ids", e["src"]) & F.array_contains("ids", e["dst"]))
+    rows = rows.select("graph_id", "ids", F.transform("ns", lambda n: n["colour"]).alias("start"), F.coalesce(F.size("es"), F.lit(0)).alias("n_relations"), known.alias("es"))
+
+    def seen(here: str, there: str, mark: str, node: Column) -> Column:
+        mine = F.filter("es", lambda e: e[here] == node)
+        return F.transform(mine, lambda e: F.struct(F.concat(F.lit(mark + "/"), e["kind"], F.lit("/")).alias("tag"), (F.array_position("ids", e[there]) - 1).cast("int").alias("other")))
+
+    rows = rows.withColumn("views", F.transform("ids", lambda i: F.concat(seen("src", "dst", "+", i), seen("dst", "src", "-", i))))
+
+    def refined(colours: Column) -> Column:
+        around = lambda view: F.array_join(F.array_sort(F.transform(view, lambda x: F.concat(x["tag"], F.get(colours, x["other"])))), ",")
+        return F.transform("views", lambda view, i: F.sha2(F.concat(F.get(colours, i), F.lit("|"), around(view)), 256))
+
+    def step(state: Column, _: Column) -> Column:
+        grown = F.when(state["done"], state["colours"]).otherwise(refined(state["colours"]))
+        return F.struct(grown.alias("colours"), (state["done"] | (F.size(F.array_distinct(grown)) == F.size(F.array_distinct(state["colours"])))).alias("done"))
+
+    most = F.least(F.size("ids"), F.lit(rounds)) if rounds else F.size("ids")
+    colours = F.aggregate(F.sequence(F.lit(1), most), F.struct(F.col("start").alias("colours"), F.lit(False).alias("done")), step)["colours"]
+    rows = rows.withColumn("colours", colours)
+    at = lambda node: F.get("colours", (F.array_position("ids", node) - 1).cast("int"))
+    edges = F.array_join(F.array_sort(F.transform("es", lambda e: F.concat_ws("/", at(e["src"]), e["kind"], at(e["dst"])))), ",")
+    return rows.select("graph_id", sha(F.array_join(F.array_sort("colours"), ","), edges).alias("signature"), F.size("ids").cast("long").alias("n_nodes"), F.col("n_relations").cast("long").alias("n_relations"))
 
 
 def census(shapes: DataFrame, owners: DataFrame) -> DataFrame:

@@ -358,9 +358,10 @@ _P = f"{_G}, {ADJ}, {PATHS}, {D1}, {PRINTS}, {COUNT}, {ASKED}, {STATS}"
 _C = f"WITH {LINES}, {NODES}, {KNOWLEDGE}, {COUNT}, {ASKED}, {TERMS}, {CONTENT}, {ABOUT}, {KNOWN}"
 #: Rounds of refinement that the SQL has: at least the nodes of the largest graph.
 ROUNDS = 16
-_COLOURS = "c0 AS MATERIALIZED (SELECT graph_id, node, count(*) OVER (PARTITION BY graph_id) AS n, sha256(role) AS colour FROM nodes), around AS MATERIALIZED (SELECT graph_id, src AS node, dst AS other, '+/' || type || '/' || assertion || '/' || modality || '/' AS edge FROM relations UNION ALL SELECT graph_id, dst, src, '-/' || type || '/' || assertion || '/' || modality || '/' FROM relations)" + "".join(
-    f""", c{k} AS MATERIALIZED (SELECT c.graph_id, c.node, c.n, CASE WHEN c.n >= {k} THEN sha256(c.colour || '|' || coalesce(a.seen, '')) ELSE c.colour END AS colour FROM c{k - 1} c LEFT JOIN (
-  SELECT v.graph_id, v.node, array_to_string(list_sort(list(v.edge || o.colour)), ',') AS seen FROM around v JOIN c{k - 1} o ON o.graph_id = v.graph_id AND o.node = v.other AND o.n >= {k} GROUP BY ALL) a ON a.graph_id = c.graph_id AND a.node = c.node)"""
+_COLOURS = "c0 AS MATERIALIZED (SELECT graph_id, node, count(*) OVER (PARTITION BY graph_id) AS n, sha256(role) AS colour, false AS done, count(DISTINCT role) OVER (PARTITION BY graph_id) AS kinds FROM nodes), around AS MATERIALIZED (SELECT graph_id, src AS node, dst AS other, '+/' || type || '/' || assertion || '/' || modality || '/' AS edge FROM relations UNION ALL SELECT graph_id, dst, src, '-/' || type || '/' || assertion || '/' || modality || '/' FROM relations)" + "".join(
+    f""", s{k} AS MATERIALIZED (SELECT c.graph_id, c.node, c.n, c.done, c.kinds, CASE WHEN c.n >= {k} AND NOT c.done THEN sha256(c.colour || '|' || coalesce(a.seen, '')) ELSE c.colour END AS colour FROM c{k - 1} c LEFT JOIN (
+  SELECT v.graph_id, v.node, array_to_string(list_sort(list(v.edge || o.colour)), ',') AS seen FROM around v JOIN c{k - 1} o ON o.graph_id = v.graph_id AND o.node = v.other AND o.n >= {k} AND NOT o.done GROUP BY ALL) a ON a.graph_id = c.graph_id AND a.node = c.node),
+c{k} AS MATERIALIZED (SELECT graph_id, node, n, colour, done OR x.now = s.kinds AS done, x.now AS kinds FROM s{k} s JOIN (SELECT graph_id, count(DISTINCT colour) AS now FROM s{k} GROUP BY graph_id) x USING (graph_id))"""
     for k in range(1, ROUNDS + 1)
 )
 _SHAPES = f"""{_G}, {_COLOURS}, shapes AS MATERIALIZED (SELECT graph_id, sha256(dots || '|' || coalesce(edges, '')) AS signature, n_nodes, coalesce(n_relations, 0) AS n_relations
