@@ -130,7 +130,7 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
 
 
 def cut(docs: DataFrame, apart: bool) -> DataFrame:
-    """block, at, segment, many: how often a block has its segment number ``at``, in order of the segments; in a row with at = -1,
+    """block, at, segment, many: how often a block has its segment number ``at`` (the most frequent is 0); in a row with at = -1,
     docs (doc_ids and numbers of segments of each document) and path (the numbers of those, one document after another).  Both
     are binary: lists would be measured again and again on their way to Python."""
 
@@ -150,15 +150,15 @@ def cut(docs: DataFrame, apart: bool) -> DataFrame:
         parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
         path = parts.indices.to_numpy()
         many = np.bincount(path, minlength=len(parts.dictionary))
-        order = pc.sort_indices(parts.dictionary).to_numpy()
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(many), np.int32)
+        rank[np.argsort(-many, kind="stable")] = np.arange(len(many))
+        order = pc.sort_indices(parts.dictionary).to_numpy()  # like segments next to each other
         known = parts.dictionary.take(pa.array(order)).cast(pa.binary())
         n = len(known) + 1
         alone = lambda value: pa.array([value, *[None] * (n - 1)], pa.binary())
         docs_batch = pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(np.diff(own), pa.int64())], ["doc_id", "size"])
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, number, np.int64)), pa.array(np.arange(-1, n - 1).astype(np.int32)), pa.concat_arrays([pa.array([None], pa.binary()), known]), pa.array(np.concatenate([[0], many[order]]).astype(np.int64)),
+            [pa.array(np.full(n, number, np.int64)), pa.array(np.concatenate([[np.int32(-1)], rank[order]]).astype(np.int32)), pa.concat_arrays([pa.array([None], pa.binary()), known]), pa.array(np.concatenate([[0], many[order]]).astype(np.int64)),
              alone(_ipc(docs_batch)), alone(zstandard.compress(rank[path].view(np.uint8).reshape(-1, 4).T.tobytes(), 3))],
             ["block", "at", "segment", "many", "docs", "path"],
         )
@@ -241,8 +241,11 @@ def link_counts(segments: DataFrame) -> DataFrame:
     return counts.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best"))
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """block, answers: rows (block, at, n_best, count_sum, code_a, code_b) of a task, by block and compressed."""
+def packed(rows: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """block, answers: rows (block, at, scores, codes) of a task, by block and compressed.  scores: n_best and count_sum; codes: both
+    sides' tokens, A's first, after their number in four bytes; nulls have none."""
+
+    none = bytes(4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -258,9 +261,14 @@ def packed(rows: DataFrame) -> DataFrame:
             blobs = []
             for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(block)], strict=True):
                 part = every.slice(a, z - a)
-                codes = [pc.fill_null(column(part, c), b"") for c in ("code_a", "code_b")]
-                cols = [np.array([z - a], np.int32), column(part, "at").to_numpy().astype(np.int32), column(part, "n_best").to_numpy().astype(np.int32), column(part, "count_sum").to_numpy(), *(pc.binary_length(c).to_numpy().astype(np.int32) for c in codes)]
-                blobs.append(zstandard.compress(b"".join([*(c.tobytes() for c in cols), *(x for c in codes for x in c.to_pylist())]), 3))
+                cols = [column(part, "at").to_numpy().astype(np.int32), column(part, "n_best").to_numpy().astype(np.int32), column(part, "count_sum").to_numpy()]
+                codes = [x or none for x in column(part, "code").to_pylist()]
+                n_a = np.frombuffer(b"".join([x[:4] for x in codes]), ">u4").astype(np.int32)
+                size = np.fromiter(map(len, codes), np.int32, len(codes)) - 4
+                own = [x[4 : 4 + k] for x, k in zip(codes, (n_a * widths["a"]).tolist(), strict=True)]
+                other = [x[4 + k :] for x, k in zip(codes, (n_a * widths["a"]).tolist(), strict=True)]
+                lengths = [n_a * widths["a"], size - n_a * widths["a"]]
+                blobs.append(zstandard.compress(b"".join([np.array([z - a], np.int32).tobytes(), *(c.tobytes() for c in (*cols, *lengths)), *own, *other]), 3))
             yield pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(blobs, pa.binary())], ["block", "answers"])
 
         for batch in batches:
@@ -272,24 +280,20 @@ def packed(rows: DataFrame) -> DataFrame:
         if waiting:
             yield from flush()
 
-    return rows.select("block", "at", "n_best", "count_sum", "code_a", "code_b").transform(map_batches, run, "block bigint, answers binary")
+    return rows.select("block", "at", "n_best", "count_sum", "code").transform(map_batches, run, "block bigint, answers binary")
 
 
-def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """(numbers of segments, [n_best, count_sum], [(lengths in bytes, bytes) of each side]) of a block's answers."""
-    at, scores, lengths, raws = [], [], ([], []), ([], [])
-    for blob in blobs:
-        raw = zstandard.decompress(blob)
-        n = int(np.frombuffer(raw, np.int32, 1)[0])
-        at.append(np.frombuffer(raw, np.int32, n, 4))
-        scores.append(np.stack([np.frombuffer(raw, np.int32, n, 4 + 4 * n).astype(np.int64), np.frombuffer(raw, np.int64, n, 4 + 8 * n)]))
-        begin = 4 + 24 * n
-        for side in (0, 1):
-            lengths[side].append(np.frombuffer(raw, np.int32, n, 4 + (16 + 4 * side) * n).astype(np.int64))
-            size = int(lengths[side][-1].sum())
-            raws[side].append(np.frombuffer(raw, np.uint8, size, begin))
-            begin += size
-    return np.concatenate(at), np.concatenate(scores, axis=1), [(np.concatenate(lengths[i]), np.concatenate(raws[i])) for i in (0, 1)]
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(numbers of segments, [n_best, count_sum], [(lengths in bytes, bytes) of each side]) of some answers."""
+    raw = zstandard.decompress(blob)
+    n = int(np.frombuffer(raw, np.int32, 1)[0])
+    scores = np.stack([np.frombuffer(raw, np.int32, n, 4 + 4 * n).astype(np.int64), np.frombuffer(raw, np.int64, n, 4 + 8 * n)])
+    begin, sides = 4 + 24 * n, []
+    for side in (0, 1):
+        lengths = np.frombuffer(raw, np.int32, n, 4 + (16 + 4 * side) * n).astype(np.int64)
+        sides.append((lengths, np.frombuffer(raw, np.uint8, int(lengths.sum()), begin)))
+        begin += len(sides[-1][1])
+    return np.frombuffer(raw, np.int32, n, 4), scores, sides
 
 
 def _tokens(lengths: np.ndarray, raw: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -335,15 +339,14 @@ def answers(rows: DataFrame, widths: dict[str, int], with_groups: bool) -> DataF
         docs_ = pa.ipc.open_stream(docs).read_next_batch()
         planes = np.frombuffer(zstandard.decompress(path), np.uint8)
         way = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
-        numbers, groups = np.zeros((len(names), 0), np.int64), []
-        if blobs:
-            at, scores, codes = _unpacked(blobs)
+        n = 1 + int(way.max(initial=-1))
+        numbers, groups = np.zeros((len(names), n), np.int64), np.empty(n, object)
+        for blob in blobs:
+            at, scores, codes = _unpacked(blob)
             texts, counts = _texts(codes, widths)
-            numbers = np.zeros((len(names), len(at)), np.int64)
             numbers[:, at] = np.concatenate([counts, scores])
-            placed = np.empty(len(at), object)
-            placed[at] = texts
-            groups = placed.tolist()
+            groups[at] = texts
+        groups = groups.tolist()
         sizes = column(docs_, "size").to_numpy()
         end = np.cumsum(sizes)
         first = end - sizes
@@ -402,15 +405,16 @@ def align(docs: DataFrame, first: str, second: str, with_groups: bool = False) -
     links = segments.select("seg", F.explode("links").alias("link")).select("seg", F.expr(f"link div {ID}").cast("int").alias("a"), (F.col("link") % ID).cast("int").alias("b"))
     each = lookup_join(links, pairs, ["a", "b"], "inner", rows=1 << 20)
     scored, scored_at = stored(each.groupBy("seg").agg(F.count(F.when(F.col("best"), 1)).alias("n_best"), F.sum("count").alias("count_sum")), "scored")
-    codes, numbers = ["code_a", "code_b"], ["n_best", "count_sum"]
-    known = segments.select("seg", *codes).join(scored, "seg")
+    numbers = ["n_best", "count_sum"]
+    n_a = F.unhex(F.lpad(F.hex((F.octet_length("code_a") / widths["a"]).cast("long")), 8, "0"))
+    known = segments.select("seg", F.concat(n_a, "code_a", "code_b").alias("code")).join(scored, "seg")
     known, known_at = stored(distinct.select("seg", "segment").join(known, "seg").drop("seg"), "known")
     for path in (distinct_at, segments_at, scored_at):
         drop(path)
     release(spark)
     # segments that no side gives back aren't known and have no tokens
     back = blocks.filter("at >= 0").select("block", "at", "segment").join(known.hint("merge"), "segment", "left")
-    back = back.select("block", "at", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers], *codes).transform(packed)
+    back = back.select("block", "at", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers], "code").transform(packed, widths)
     none = [F.lit(None).cast("binary").alias(c) for c in ("docs", "path")]
     heads = blocks.filter("at < 0").select("block", "docs", "path", F.lit(None).cast("binary").alias("answers"))
     rows = heads.unionByName(back.select("block", *none, "answers")).repartition("block").sortWithinPartitions("block")
