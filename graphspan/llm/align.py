@@ -414,11 +414,13 @@ def align(docs: DataFrame, first: str, second: str, with_groups: bool = False) -
     release(spark)
     # segments that no side gives back aren't known and have no tokens
     back = blocks.filter("at >= 0").select("block", "at", "segment").join(known.hint("merge"), "segment", "left")
-    back = back.select("block", "at", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers], "code").transform(packed, widths)
+    back, back_at = stored(back.select("block", "at", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers], "code").transform(packed, widths), "answers")
+    drop(known_at)
+    release(spark)
     none = [F.lit(None).cast("binary").alias(c) for c in ("docs", "path")]
     heads = blocks.filter("at < 0").select("block", "docs", "path", F.lit(None).cast("binary").alias("answers"))
     rows = heads.unionByName(back.select("block", *none, "answers")).repartition("block").sortWithinPartitions("block")
     out, _ = stored(rows.transform(answers, widths, with_groups), "documents")
-    for path in (blocks_at, known_at):
+    for path in (blocks_at, back_at):
         drop(path)
     return out, pairs
