@@ -376,6 +376,13 @@ LEFT JOIN (SELECT r.graph_id, array_to_string(list_sort(list(x.label || '/' || r
   JOIN nodes x ON x.graph_id = r.graph_id AND x.node = r.src JOIN nodes y ON y.graph_id = r.graph_id AND y.node = r.dst GROUP BY r.graph_id) e USING (graph_id))"""
 
 ORACLES = {
+    "b1_issues": f"""WITH {LINES}, g AS (SELECT graph_id, count(*) AS n FROM lines GROUP BY graph_id)
+SELECT CAST(graph_id AS VARCHAR) AS thought_id, path, message FROM (SELECT graph_id, 'nodes[1].role' AS path, 'unknown role' AS message FROM g WHERE graph_id % 11 = 0 AND n > 1
+  UNION ALL SELECT graph_id, 'nodes[0].spans', 'not grounded in the source' FROM g WHERE graph_id % 13 = 0 UNION ALL SELECT graph_id, 'nodes[0].knowledge', 'bad references' FROM g WHERE graph_id % 23 = 0
+  UNION ALL SELECT graph_id, 'relations[0].target', 'unknown node' FROM g WHERE graph_id % 17 = 0 AND n > 1 UNION ALL SELECT graph_id, 'source.sha256', 'does not match text' FROM g WHERE graph_id % 19 = 0
+  UNION ALL SELECT graph_id, 'provenance.kind', 'unknown kind' FROM g WHERE graph_id % 29 = 0)""",
+    "b6_canonical": f"WITH {LINES} SELECT true AS same, count(DISTINCT graph_id) AS graphs, count(DISTINCT graph_id) AS digests FROM lines",
+    "d1_split_words": "SELECT doc_id, CAST(len(w) AS BIGINT) AS n, w[1] AS first, w[-1] AS last FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents)",
     "order_nodes": f"WITH {LINES}, {NODES} SELECT * FROM nodes",
     "order_relations": f"{_G} SELECT * FROM relations",
     "order_knowledge": f"WITH {LINES}, {KNOWLEDGE} SELECT * FROM knowledge",

@@ -8,27 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..operators import extract, features, index
-from ..sources import commits, derived, fixtures, storage
+from ..operators import extract, features, index, quality
+from ..sources import commits, derived, storage
 from ..sources.scratch import kept, lookup_join, shared_dir
 from ..streaming import keyed, standing
+from .graph_queries import LINES, RELATIONS
 
-PROSE = [
-    (1, "Rising heat causes pump wear. Cooling prevents heat buildup."), (2, "Because the queue is full, requests time out."), (3, "If load grows, then latency rises."), (4, "Small budgets may limit testing and delay the release."),
-    (5, "The pump requires clean water; write to a@b.example for details."), (6, "Перегрев приводит к износу насоса."), (7, "Nothing is said here."), (8, "Review does not cause delay."), (9, ""), (10, None),
-]
-
-
-def _prose(spark: SparkSession) -> DataFrame:
-    return extract.extract_graphs(spark.createDataFrame(PROSE, "doc_id long, text string"))
+def _prose(spark: SparkSession, d: str) -> DataFrame:
+    """Graphs extracted from what orders' relations say as prose."""
+    return kept(extract.extract_graphs(derived.prose(kept(derived.order_lines(spark, d)))))
 
 
 def m1_extract_relations(spark, d):
-    rows = _prose(spark).select("doc_id", "nodes", F.explode("relations").alias("r"))
-    label = lambda c: F.get(F.col("nodes"), F.col(f"r.{c}"))["label"]
+    rows = _prose(spark, d).select("doc_id", "nodes", F.explode("relations").alias("r"))
+    label = lambda c: F.lower(F.get(F.col("nodes"), F.col(f"r.{c}"))["label"])
     return rows.select("doc_id", label("src").alias("src"), "r.type", label("dst").alias("dst"), "r.assertion", "r.modality")
 
 
+def h16_extracted_orders(spark, d):
+    """Precision, recall and F1 of what extraction finds again of orders' nodes, and of their roles."""
+    lines = kept(derived.order_lines(spark, d))
+    ends = derived.relations(lines).select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    gold = derived.nodes(lines).join(ends, ["graph_id", "node"]).select(F.col("graph_id").alias("case"), "label", "role").dropDuplicates(["case", "label"])
+    found = extract.extract_graphs(derived.prose(lines)).select(F.col("doc_id").alias("case"), F.explode("nodes").alias("n")).select("case", F.lower("n.label").alias("label"), "n.role")
+    return quality.extraction_metrics(gold, found)
+
+
 def m1_extract_documents(spark, d):
     """Extraction over the whole documents table; invented prose has few cues."""
     docs = derived.table(spark, d, "documents").select("doc_id", "text")
@@ -36,11 +41,14 @@ def m1_extract_documents(spark, d):
 
 
 def m12_roles(spark, d):
-    return _prose(spark).select("doc_id", F.explode("nodes").alias("n")).select("doc_id", "n.label", "n.role", "n.conf")
+    return _prose(spark, d).select("doc_id", F.explode("nodes").alias("n")).groupBy("n.role").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("graphs"))
 
 
 def h18_coverage(spark, d):
-    return _prose(spark).agg(F.round(F.avg(F.size("nodes")), 6).alias("nodes"), F.round(F.avg(F.size("relations")), 6).alias("relations"), F.round(F.avg((F.size("relations") > 0).cast("int")), 6).alias("nonempty"))
+    """Nodes and relations a document that extraction finds, over what orders say and over documents."""
+    docs = extract.extract_graphs(derived.table(spark, d, "documents").select("doc_id", "text")).select(F.lit("documents").alias("corpus"), "nodes", "relations")
+    rows = kept(_prose(spark, d).select(F.lit("orders").alias("corpus"), "nodes", "relations").unionByName(docs).select("corpus", F.size("nodes").alias("n"), F.size("relations").alias("r")))
+    return rows.groupBy("corpus").agg(F.round(F.avg("n"), 6).alias("nodes"), F.round(F.avg("r"), 6).alias("relations"), F.round(F.avg((F.col("r") > 0).cast("int")), 6).alias("nonempty"))
 
 
 def label_classes(spark: SparkSession, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,11 +81,49 @@ def d8_role_hints(spark, d):
 
 
 def a1_graph_scan(spark, d):
+    """Orders as nested graphs, written a line each and read again by the declared schema."""
     path = f"{shared_dir(spark)}/graphs-{uuid.uuid4().hex}"
-    storage.write_graphs(fixtures.graphs(spark), path)
+    storage.write_graphs(derived.thoughts(kept(derived.order_lines(spark, d))), path)
     return storage.read_graphs(spark, path).select("thought_id", F.size("nodes").alias("n_nodes"), F.size("relations").alias("n_relations"))
 
 
+def a2_session_scan(spark, d):
+    """Sessions with their thoughts, written a line each and read again by the declared schema."""
+    path, flag = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}", lambda c, name: F.col(c).alias(name)
+    dna = derived.thoughts(kept(derived.order_lines(spark, d)))
+    rows = derived.sessions(spark, d).join(dna.select(F.col("thought_id").cast("long").alias("session_id"), F.struct(*dna.columns).alias("thought_dna")), "session_id")
+    nested = rows.select(
+        F.lit("session/0.1").alias("schema_version"), F.concat(F.lit("ses-"), F.col("session_id").cast("string")).alias("session_id"), F.struct(F.col("user_id").cast("string").alias("person_id"), F.lit(None).cast("string").alias("display_label"), F.lit(None).cast("string").alias("avatar_placeholder")).alias("person"),
+        F.struct(flag("share_enabled", "share_enabled"), flag("share_thought", "share_thought_dna"), flag("share_location", "share_coarse_location"), flag("share_profile", "share_display_profile")).alias("consent"),
+        F.struct(F.lit("city").alias("kind"), "region", "city", "lat", "lon", F.lit("coarse").alias("precision")).alias("location"), F.struct(F.lit("orders").alias("domain"), F.lit("").alias("topic"), F.lit("").alias("cluster_id")).alias("presentation"),
+        F.struct("record_kind", F.lit("orders").alias("builder_id"), F.lit("").alias("notes")).alias("record_provenance"), "thought_dna",
+    )
+    nested.write.json(path)
+    read = storage.read_sessions(spark, path)
+    return read.select("session_id", "person.person_id", "consent.share_enabled", "consent.share_thought_dna", "location.region", "record_provenance.record_kind", F.size("thought_dna.nodes").alias("n_nodes"))
+
+
+def a10_backup(spark, d):
+    """Sessions and users put into a backup and taken out again: rows and a digest that any change would alter."""
+    path = f"{shared_dir(spark)}/backup-{uuid.uuid4().hex}"
+    storage.export_tables({"sessions": derived.sessions(spark, d), "users": derived.users(spark, d)}, path)
+    back = storage.import_tables(spark, path, ["sessions", "users"])
+    return back["sessions"].join(back["users"].select("user_id", "name"), "user_id").groupBy("user_id", "name").agg(F.count("*").alias("sessions"), F.sum(F.col("share_enabled").cast("long")).alias("shared"))
+
+
+def a5_bound_snapshot(spark, d):
+    """What a release is bound to: its parts' digests, and which of them a later change touches."""
+    path = f"{shared_dir(spark)}/release-{uuid.uuid4().hex}"
+    parts = {"users": derived.users(spark, d), "sessions": derived.sessions(spark, d)}
+    storage.export_tables(parts, path)
+    before = storage.bound_snapshot(spark, {n: f"{path}/{n}" for n in parts}).collect()
+    storage.export_tables({"users": parts["users"].filter("not hidden")}, path)
+    after = {r["component"]: r["sha256"] for r in storage.bound_snapshot(spark, {n: f"{path}/{n}" for n in parts}).collect()}
+    rows = [(r["component"], r["sha256"] != after[r["component"]]) for r in before]
+    counts = parts["users"].agg(F.count("*").alias("users"), F.count(F.when(F.col("hidden"), 1)).alias("hidden"))
+    return spark.createDataFrame(rows, "component string, changed boolean").crossJoin(F.broadcast(counts))
+
+
 def a4_index_round_trip(spark, d):
     lines = kept(derived.order_lines(spark, d))
     nodes, relations = derived.nodes(lines), derived.relations(lines)
@@ -214,6 +260,15 @@ f(user_id, event_id, n, sec, level, allowed) AS (
 SELECT user_id, event_id, allowed FROM f"""
 
 ORACLES = {
+    "a1_graph_scan": f"WITH {LINES}, {RELATIONS}, r AS (SELECT graph_id, count(*) AS n FROM relations GROUP BY graph_id) SELECT CAST(l.graph_id AS VARCHAR) AS thought_id, CAST(count(*) AS INT) AS n_nodes, CAST(coalesce(any_value(r.n), 0) AS INT) AS n_relations FROM lines l LEFT JOIN r ON r.graph_id = l.graph_id GROUP BY l.graph_id",
+    "a2_session_scan": f"""WITH {LINES}, n AS (SELECT graph_id, CAST(count(*) AS INT) AS n_nodes FROM lines GROUP BY graph_id)
+SELECT 'ses-' || o_orderkey AS session_id, CAST(o_custkey AS VARCHAR) AS person_id, o_orderstatus <> 'P' AS share_enabled, substr(o_orderpriority, 1, 1) <> '5' AS share_thought_dna, r_name AS region,
+  CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'volunteer' WHEN c_mktsegment = 'AUTOMOBILE' THEN '' ELSE 'demo' END AS record_kind, n_nodes
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN n ON n.graph_id = o_orderkey""",
+    "a10_backup": "SELECT o_custkey AS user_id, c_name AS name, count(*) AS sessions, CAST(sum(CAST(o_orderstatus <> 'P' AS INT)) AS BIGINT) AS shared FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
+    "a5_bound_snapshot": "SELECT component, changed, count(*) AS users, count(*) FILTER (c_acctbal < 0) AS hidden FROM customer, (VALUES ('users', true), ('sessions', false)) x(component, changed) GROUP BY ALL",
+    "m1_extract_relations": f"""WITH {LINES}, {RELATIONS} SELECT DISTINCT r.graph_id AS doc_id, x.label AS src, r.type, y.label AS dst, 'asserted' AS assertion, 'actual' AS modality FROM relations r
+  JOIN lines x ON x.graph_id = r.graph_id AND x.node = r.src JOIN lines y ON y.graph_id = r.graph_id AND y.node = r.dst WHERE x.label <> y.label""",
     "l8_latest_state": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id",
     "l3_alert_state": """WITH rows AS (SELECT user_id, event_id % 50 + 1 AS peer, event_id % 60 + 1 AS mine, event_id % 45 + 1 AS theirs, ts AS detected_at, event_id % 3 AS part FROM events
   WHERE event_id % 13 <> 0 AND event_type <> 'error' AND event_id % 8 <> 3 AND user_id <> event_id % 50 + 1 AND event_id % 60 <> event_id % 45 AND NOT (user_id < 200 AND event_id % 50 + 1 = user_id * 7 % 50 + 1)),

@@ -12,6 +12,10 @@ from ..sources import derived, fixtures
 from ..sources.scratch import kept
 
 
+#: Russian words and their stems as published for Snowball.
+RUSSIAN = {"насосы": "насос", "книгами": "книг", "важная": "важн", "читали": "чита", "нагрузка": "нагрузк", "тепло": "тепл", "красивый": "красив", "дома": "дом"}
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return derived.table(spark, d, "documents").select("doc_id", "text")
 
@@ -37,8 +41,17 @@ def d2_stems(spark, d):
 
 
 def d4_script_dispatch(spark, d):
-    rows = spark.createDataFrame([("тепло",), ("heat",), ("heat тепло",), ("ёлка",), ("",)], "word string")
-    return rows.select("word", text.is_cyrillic(F.col("word")).alias("russian"))
+    """Which stemmer the words of documents go to: how many of each document's distinct words are Russian, with a Russian word
+    that each text gets."""
+    words = F.array_union(F.array_distinct(text.split_words(F.col("text"))), F.array(F.lit("тепло"), F.lit("ёлка")))
+    return _docs(spark, d).select("doc_id", F.size(words).cast("long").alias("n"), F.size(F.filter(words, text.is_cyrillic)).cast("long").alias("russian"))
+
+
+def d3_russian_stems(spark, d):
+    """Russian stems beside documents: each gets one of a few words by its id."""
+    word = F.element_at(F.array(*[F.lit(w) for w in RUSSIAN]), (F.col("doc_id") % len(RUSSIAN) + 1).cast("int"))
+    words = _docs(spark, d).select("doc_id", word.alias("word"))
+    return words.select("doc_id", "word", stem.stem_word("word").alias("stem"))
 
 
 def d6_concepts(spark, d):
@@ -59,13 +72,23 @@ def d11_jaccard(spark, d):
     return _label_pairs(spark, d).select("label_a", "label_b", F.round(text.jaccard(words("label_a"), words("label_b")), 6).alias("jaccard"))
 
 
+def _label_classes(spark: SparkSession, d: str) -> DataFrame:
+    terms = lexicon.default_terms(spark).unionByName(spark.createDataFrame(list(derived.PART_TERMS), "term string, class string"))
+    return kept(lexicon.label_concepts(_labels(spark, d), terms))
+
+
 def d12_relatedness(spark, d):
-    return lexicon.relatedness(spark).select("a", "b", "weight")
+    """How related the classes of two labels of parts are, over all pairs of labels."""
+    known = _label_classes(spark, d).select("label", F.explode("concepts").alias("class"))
+    met = known.select(F.col("class").alias("a")).crossJoin(F.broadcast(known.select(F.col("class").alias("b")))).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return met.join(lexicon.relatedness(spark), ["a", "b"], "left").select("a", "b", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
 def d13_soft_overlap(spark, d):
-    pairs = spark.createDataFrame([(1, ["HEAT", "LOAD"], ["STRESS", "COOLING"]), (2, ["DEPLETION"], ["SCARCITY"]), (3, ["GOAL"], ["GOAL", "HEAT"]), (4, [], ["HEAT"])], "id int, a array<string>, b array<string>")
-    return lexicon.soft_overlap(pairs).select("id", F.round("overlap", 6).alias("overlap"))
+    known = _label_classes(spark, d)
+    pairs = known.select(F.col("label").alias("label_a"), F.col("concepts").alias("a")).crossJoin(F.broadcast(known.select(F.col("label").alias("label_b"), F.col("concepts").alias("b"))))
+    named = pairs.select(F.concat_ws("~", "label_a", "label_b").alias("id"), "a", "b")
+    return lexicon.soft_overlap(named).select("id", F.round("overlap", 6).alias("overlap"))
 
 
 def part_features(spark: SparkSession, labels: DataFrame) -> DataFrame:
@@ -137,8 +160,24 @@ def d21_encoder_cosine(spark, d):
     return e.join(nxt, "vec_id").select("vec_id", F.round(cos, 5).alias("cosine"), F.round(text.rescale(F.abs(cos) * 3), 4).alias("similarity"))
 
 
+def _thoughts(spark, d) -> DataFrame:
+    return derived.thoughts(kept(derived.order_lines(spark, d)))
+
+
 def b1_issues(spark, d):
-    return validate.issues(fixtures.graphs(spark))
+    """All that is wrong with orders as nested graphs, some of which are spoilt by their number."""
+    n = F.col("thought_id").cast("long")
+    node = lambda i, f, x: F.transform("nodes", lambda v, k: F.when(k == i, v.withField(f, x(v))).otherwise(v))
+    spoilt = _thoughts(spark, d).withColumn("nodes", F.when(n % 11 == 0, node(1, "role", lambda v: F.lit("weather"))).otherwise(F.col("nodes")))
+    moved = lambda v: F.transform(v["spans"], lambda s: s.withField("start", s["start"] + 1).withField("end", s["end"] + 1))
+    spoilt = spoilt.withColumn("nodes", F.when(n % 13 == 0, node(0, "spans", moved)).otherwise(F.col("nodes")))
+    bad_ref = lambda v: v["knowledge"].withField("about", F.transform(v["knowledge"]["about"], lambda r: r.withField("id", F.lit("no colon"))))
+    spoilt = spoilt.withColumn("nodes", F.when(n % 23 == 0, node(0, "knowledge", bad_ref)).otherwise(F.col("nodes")))
+    ends = F.transform("relations", lambda r, k: F.when(k == 0, r.withField("target", F.lit("n999"))).otherwise(r))
+    spoilt = spoilt.withColumn("relations", F.when(n % 17 == 0, ends).otherwise(F.col("relations")))
+    spoilt = spoilt.withColumn("source", F.when(n % 19 == 0, F.col("source").withField("sha256", F.lit("0" * 64))).otherwise(F.col("source")))
+    spoilt = spoilt.withColumn("provenance", F.when(n % 29 == 0, F.col("provenance").withField("kind", F.lit("guess"))).otherwise(F.col("provenance")))
+    return validate.issues(spoilt)
 
 
 def b5_source_sha(spark, d):
@@ -155,7 +194,10 @@ def b2_grounding(spark, d):
 
 
 def b6_canonical(spark, d):
-    return validate.canonical(fixtures.graphs(spark)).select("thought_id", "sha")
+    """The canonical digest of orders as nested graphs, and whether it stays when nodes and relations are turned round."""
+    graphs = _thoughts(spark, d)
+    turned = validate.canonical(graphs.withColumns({"nodes": F.reverse("nodes"), "relations": F.reverse("relations")})).select("thought_id", F.col("sha").alias("other"))
+    return validate.canonical(graphs).join(turned, "thought_id").groupBy((F.col("sha") == F.col("other")).alias("same")).agg(F.count("*").alias("graphs"), F.count_distinct("sha").alias("digests"))
 
 
 def b7_helper_ids(spark, d):
@@ -205,13 +247,10 @@ raised AS (SELECT label_a, label_b, CASE WHEN r >= 0.6 THEN greatest(surface, r)
 SELECT label_a, label_b, round(surface, 5) AS surface, round(concept, 5)::DOUBLE AS concept, round(least(1.0, greatest(surface, 0.9 * concept, 0.5 * surface + 0.5 * concept)), 5)::DOUBLE AS fused FROM raised""",
     "g7_part_twins": f"""WITH {PAIRS}, {GRAMS}, {COMPARED} SELECT label_a AS label, label_b AS twin, round(surface, 6) AS surface FROM (
   SELECT *, row_number() OVER (PARTITION BY label_a ORDER BY round(surface, 9) DESC, label_b) AS k FROM compared WHERE label_a <> label_b AND surface >= 0.45 - 1e-9) WHERE k = 1""",
-    "d12_relatedness": f"WITH {RELATED} SELECT c AS a, c AS b, 1.0::DOUBLE AS weight FROM (SELECT c FROM classes UNION ALL SELECT unnest(['{"', '".join(lexicon.DOMAINS)}'])) UNION SELECT a, b, w FROM related UNION SELECT b, a, w FROM related",
-    "d13_soft_overlap": f"""WITH {RELATED}, both_ways AS (SELECT a, b, w FROM related UNION SELECT b, a, w FROM related), pairs(id, a, b) AS (VALUES (1, ['HEAT', 'LOAD'], ['STRESS', 'COOLING']), (2, ['DEPLETION'], ['SCARCITY']), (3, ['GOAL'], ['GOAL', 'HEAT']), (4, []::VARCHAR[], ['HEAT'])),
-sides AS (SELECT id, 0 AS side, unnest(a) AS x, b AS others FROM pairs UNION ALL SELECT id, 1, unnest(b), a FROM pairs),
-best AS (SELECT s.id, s.side, s.x, max(CASE WHEN o.y = s.x THEN 1.0 ELSE coalesce(r.w, 0) END) AS best FROM sides s, unnest(s.others) AS o(y) LEFT JOIN both_ways r ON r.a = s.x AND r.b = o.y GROUP BY ALL)
-SELECT p.id, round(CASE WHEN len(p.a) = 0 OR len(p.b) = 0 THEN 0.0 ELSE (SELECT sum(c.w * x.best) / sum(c.w) FROM best x JOIN classes c ON c.c = x.x WHERE x.id = p.id) END, 6)::DOUBLE AS overlap FROM pairs p""",
-    "d1_split_words": "SELECT doc_id, CAST(len(w) AS BIGINT) AS n, w[1] AS first, w[-1] AS last FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents)",
-    "d4_script_dispatch": "SELECT w AS word, regexp_matches(w, '[\\x{0400}-\\x{04ff}]') AS russian FROM (VALUES ('тепло'), ('heat'), ('heat тепло'), ('ёлка'), ('')) t(w)",
+    "d12_relatedness": f"""WITH {PAIRS}, {GRAMS}, {COMPARED} SELECT x.class AS a, y.class AS b, count(*) AS n, max(CASE WHEN x.class = y.class THEN 1.0 ELSE coalesce(r.w, 0.0) END)::DOUBLE AS weight FROM kinds x, kinds y LEFT JOIN both_ways r ON r.a = x.class AND r.b = y.class GROUP BY ALL""",
+    "d13_soft_overlap": f"WITH {PAIRS}, {GRAMS}, {COMPARED} SELECT label_a || '~' || label_b AS id, round(concept, 6)::DOUBLE AS overlap FROM compared",
+    "d3_russian_stems": "SELECT doc_id, w.word, w.stem FROM documents JOIN (VALUES " + ", ".join(f"({i}, '{w}', '{s}')" for i, (w, s) in enumerate(RUSSIAN.items())) + f") w(i, word, stem) ON i = doc_id % {len(RUSSIAN)}",
+    "d4_script_dispatch": "SELECT doc_id, CAST(len(list_distinct(list_concat(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ['тепло', 'ёлка']))) AS BIGINT) AS n, CAST(len(list_filter(list_distinct(list_concat(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ['тепло', 'ёлка'])), lambda w: regexp_matches(w, '[\\x{0400}-\\x{04ff}]'))) AS BIGINT) AS russian FROM documents",
     "d9_trigrams": f"WITH {PAIRS}, {GRAMS} SELECT label, gram, n FROM grams",
     "d10_cosine": f"WITH {PAIRS}, {GRAMS} SELECT label_a, label_b, round(cosine, 6) AS cosine FROM cosines",
     "d11_jaccard": f"WITH {PAIRS}, {GRAMS} SELECT label_a, label_b, round(jaccard, 6) AS jaccard FROM jac",

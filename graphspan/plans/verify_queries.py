@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..operators import features, index, labels, prune, retrieve, verify
+from ..operators import features, index, labels, prune, quality, retrieve, verify
 from ..schema import AFFINITY, FUSION, LEAST_POOL, OVERFETCH, ROLES, TWIN, TWIN_CHOSEN
-from ..sources import derived
+from ..sources import derived, planted
 from ..sources.scratch import kept, lookup_join
 from .graph_queries import LINES, NODES, RELATIONS, asked_prints, corpus_size, query_graphs
 from .stream_queries import label_classes
@@ -60,8 +60,11 @@ def k16_label_identity(spark, d):
 
 
 def k2_roles(spark, d):
-    a = spark.createDataFrame([(r,) for r in ROLES], "a string")
-    return a.crossJoin(a.withColumnRenamed("a", "b")).select("a", "b", verify.role_fit(F.col("a"), F.col("b")).alias("fit"))
+    """How well roles fit that meet in neighbouring orders, and how often they meet."""
+    nodes, _, _ = _tables(spark, d)
+    role = lambda g, n, r: nodes.select(F.col("graph_id").alias(g), F.col("node").alias(n), F.col("role").alias(r))
+    met = _neighbours(nodes)[1].join(role("query_id", "q", "a"), ["query_id", "q"]).join(role("graph_id", "c", "b"), ["graph_id", "c"])
+    return met.groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b", "n", verify.role_fit(F.col("a"), F.col("b")).alias("fit"))
 
 
 def _components(spark, d) -> DataFrame:
@@ -109,8 +112,6 @@ def h13_effective_relations(spark, d):
     """Relations by pattern: the first counts whole, others a quarter."""
     nodes, relations, _ = _tables(spark, d)
     at = lambda e: nodes.select("graph_id", F.col("node").alias(e), F.col("role").alias(f"r_{e}"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("graph_id", "r_src", "type", "r_dst", "assertion", "modality").orderBy("rel")
     rows = relations.join(at("src"), ["graph_id", "src"]).join(at("dst"), ["graph_id", "dst"]).withColumn("n", F.row_number().over(w))
     return rows.groupBy("graph_id").agg(F.round(F.sum(F.when(F.col("n") == 1, F.col("conf")).otherwise(0.25 * F.col("conf"))), 6).alias("effective"))
@@ -136,17 +137,20 @@ def concept_keys(spark: SparkSession, nodes: DataFrame, relations: DataFrame, cl
 
 
 def find(spark: SparkSession, d: str, k: int = 5, mode: str = "analogical", asked=query_graphs) -> DataFrame:
+    """The search of orders among orders."""
+    nodes, relations, refs = _tables(spark, d)
+    return search(spark, nodes, relations, refs, kept(label_classes(spark, nodes)[0]), kept(asked(nodes)), k, mode)
+
+
+def search(spark: SparkSession, nodes: DataFrame, relations: DataFrame, refs: DataFrame, classes: DataFrame, ids: DataFrame, k: int = 5, mode: str = "analogical") -> DataFrame:
     """The whole search: retrieval over all channels, verification of an over-fetched pool, order, top k with ties.
 
     In structural and analogical mode the pool comes from bounds over the channels' postings; what complements a query is
     ranked by its share of the highest, so that mode looks at all candidates that any channel finds."""
-    nodes, relations, refs = _tables(spark, d)
-    n, ids = corpus_size(nodes), kept(asked(nodes))
+    n = corpus_size(nodes)
     mine, prints = asked_prints(nodes, relations, ids)
     stats = kept(index.key_stats(features.keysets(prints), n))
     keys = kept(index.live_query_keys(mine, stats, ids))
-    classes, _ = label_classes(spark, nodes)
-    classes = kept(classes)
     concepts, concept_prints = concept_keys(spark, nodes, relations, classes, ids, n)
     terms = kept(index.content_terms(nodes))
     impacts = kept(index.content_impacts(terms))
@@ -183,6 +187,58 @@ def k29_find(spark, d):
     return find(spark, d).select("query_id", "graph_id", "place", "classification", "confidence", F.round("structural", 6).alias("structural"), F.round("semantic", 6).alias("semantic"), "mapping", "hard_rejection")
 
 
+def planted_worlds(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(a world for each supplier, the names of parts by number)."""
+    worlds = derived.table(spark, d, "supplier").select((F.col("s_suppkey") - 1).alias("world"))
+    names = derived.table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    return worlds, kept(names.select((F.row_number().over(Window.orderBy("name")) - 1).cast("long").alias("n"), "name"))  # a dimension of fixed size
+
+
+def a12_planted_nodes(spark, d):
+    return planted.nodes(*planted_worlds(spark, d)).drop("slot")
+
+
+def a12_planted_relations(spark, d):
+    return planted.relations(planted_worlds(spark, d)[0])
+
+
+def judged(spark, d) -> DataFrame:
+    """Planted cases with what comparison and search say of them: family, skeleton, relevant, predicted_relevant, class_correct,
+    rank (among graphs that aren't relevant), node_f1, hard_rejection.
+
+    Worlds of one skeleton and the same classes are analogies of each other; all other graphs distract, those of the same
+    skeleton with other classes too."""
+    worlds, names = planted_worlds(spark, d)
+    nodes, relations, cases = kept(planted.nodes(worlds, names)), kept(planted.relations(worlds)), kept(planted.cases(worlds))
+    found = lexicon.label_concepts(nodes.select("label").distinct(), planted.terms(spark))
+    classes = kept(lookup_join(nodes, kept(found), ["label"]).select("graph_id", "node", F.explode("concepts").alias("class")))
+    refs = spark.createDataFrame([], "graph_id bigint, node int, bucket string, ref string")
+    plain = nodes.drop("slot")
+    pairs = cases.select("query_id", "graph_id", F.lit(None).cast("double").alias("rarity"), F.lit(None).cast("array<struct<q:int,c:int>>").alias("seeds"))
+    told = kept(verify.verify(pairs, verify.packed(plain, relations, refs, classes)))
+    mapped = told.select("query_id", "graph_id", F.explode(F.split("mapping", ",")).alias("m")).select("query_id", "graph_id", F.split("m", "-")[0].cast("int").alias("q"), F.split("m", "-")[1].cast("int").alias("node"))
+    right = mapped.join(nodes.select("graph_id", "node", "slot"), ["graph_id", "node"]).groupBy("query_id", "graph_id").agg(F.count("*").alias("n_mapped"), F.count(F.when(F.col("q") == F.col("slot"), 1)).alias("hits"))
+    gold = nodes.groupBy("graph_id").agg(F.count("slot").alias("n_gold"))
+    hits = kept(search(spark, plain, relations, refs, classes, kept(cases.select("query_id").distinct()), k=50))
+    alike = F.struct("skeleton", "turn")
+    kind = kept(cases.select("graph_id", alike.alias("kind"), "relevant").unionByName(cases.select(F.col("query_id").alias("graph_id"), alike.alias("kind"), F.lit(True).alias("relevant")).distinct()))
+    asked = cases.select("query_id", alike.alias("asked")).distinct()
+    placed = lookup_join(lookup_join(hits.select("query_id", "graph_id", "place"), kind, ["graph_id"]), kept(asked), ["query_id"]).withColumn("distracts", ~(F.col("relevant") & (F.col("kind") == F.col("asked"))))
+    before = F.coalesce(F.sum(F.col("distracts").cast("long")).over(Window.partitionBy("query_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = placed.select("query_id", "graph_id", (before + 1).alias("rank"))
+    rows = cases.join(told, ["query_id", "graph_id"]).join(right, ["query_id", "graph_id"], "left").join(gold, "graph_id").join(ranks, ["query_id", "graph_id"], "left")
+    f1 = quality.f1(F.coalesce("hits", F.lit(0)), F.coalesce("n_mapped", F.lit(0)), F.col("n_gold"))
+    return rows.select(
+        F.when(F.col("family") == "domain", "cross_domain_analogy").otherwise(F.col("family")).alias("family"), "skeleton", "relevant", ((F.col("classification") != "negative") & F.col("hard_rejection").isNull()).alias("predicted_relevant"),
+        (F.col("classification") == F.col("gold")).alias("class_correct"), "rank", F.when(F.col("relevant"), f1).alias("node_f1"), F.col("hard_rejection").isNotNull().alias("hard_rejection"), "query_id", "graph_id", "classification",
+    )
+
+
+def h15_planted_metrics(spark, d):
+    """Search and comparison on planted worlds: recall among distractors, false positives, verdicts, node F1."""
+    return quality.match_metrics(kept(judged(spark, d)))
+
+
 def _given_pairs(spark, d, solver):
     """Every order with the next one, whatever their sizes."""
     nodes, relations, refs = _tables(spark, d)
@@ -198,7 +254,7 @@ def k6_random_walks(spark, d):
     return _given_pairs(spark, d, "rrwm")
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and (n == "k_adjudicate" or (n[0] in "gkhi" and n[1:2].isdigit()))}
+QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and (n == "k_adjudicate" or (n[0] in "agkhi" and n[1:2].isdigit()))}
 
 _T = f"WITH {LINES}, {NODES}, {RELATIONS}"
 COMPONENTS = """
@@ -216,7 +272,27 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hard, cla
 _ROLES = "roles(x, y, w) AS (VALUES ('state', 'mechanism', 0.6), ('problem', 'state', 0.5), ('outcome', 'state', 0.5), ('mechanism', 'method', 0.4), ('constraint', 'problem', 0.3), ('evidence', 'state', 0.3), ('resource', 'state', 0.3), ('problem', 'outcome', 0.3))"
 _L = f"WITH {LINES}, {NODES}, {PAIRS}, {GRAMS}, {COMPARED}, gp AS (SELECT a.graph_id AS query_id, b.graph_id FROM (SELECT DISTINCT graph_id FROM nodes) a JOIN (SELECT DISTINCT graph_id FROM nodes) b ON b.graph_id = a.graph_id + 1)"
 
+_values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+_PLANTED = f"""WITH families(member, family, gold, relevant, domain) AS (VALUES {_values(planted.FAMILIES)}), slots(skeleton, slot, n, role) AS (VALUES {_values(planted.slots())}), words(k, own, other) AS (VALUES {_values(planted.class_terms())}), edges(skeleton, rel, n, a, b, type, flips) AS (VALUES {_values(planted.edges())}),
+names AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS i, count(*) OVER () AS many FROM (SELECT DISTINCT p_name AS name FROM part)),
+members AS (SELECT s_suppkey - 1 AS world, CAST((s_suppkey - 1) % {len(planted.SKELETONS)} AS INT) AS skeleton, (s_suppkey - 1) // {len(planted.SKELETONS)} % {len(planted.TERMS)} AS turn, (s_suppkey - 1) * {planted.WORLD} + member AS graph_id, family, domain FROM supplier, families)"""
+
 ORACLES = {
+    "a12_planted_nodes": f"""{_PLANTED}, kept AS (SELECT * FROM members JOIN slots USING (skeleton) WHERE CASE family WHEN 'partial_graph' THEN slot < n - 2 WHEN 'analogy_partial' THEN slot < n - 1 WHEN 'generic_motif' THEN slot < 3 ELSE true END)
+SELECT graph_id, CAST(CASE WHEN family = 'permutation' THEN n - 1 - slot ELSE slot END AS INT) AS node,
+  CASE family WHEN 'template_coincidence' THEN name WHEN 'generic_motif' THEN 'something ' || slot ELSE name || ' ' || CASE WHEN domain = 0 THEN own ELSE other END || CASE WHEN family = 'same_domain' THEN ' again' ELSE '' END END AS label,
+  CASE WHEN family = 'extraction_error' AND slot = 1 THEN CASE WHEN role = 'state' THEN 'mechanism' ELSE 'state' END WHEN family = 'generic_motif' THEN (['problem', 'state', 'outcome'])[slot + 1] ELSE role END AS role,
+  CASE WHEN family = 'extraction_error' AND slot = 1 THEN 0.7 ELSE 1.0 END::DOUBLE AS conf, true AS atomic
+FROM kept JOIN names ON i = (world * 7 + domain * 13 + slot * 5 + CASE WHEN family = 'paraphrase' AND slot % 2 = 0 THEN 1 WHEN family = 'template_coincidence' THEN 31 ELSE 0 END) % many JOIN words ON k = (turn * 5 + slot) % {len(planted.TERMS)}
+UNION ALL SELECT graph_id, node, label, role, 1.0, true FROM members, (VALUES (100, 'office plant watering', 'evidence'), (101, 'parking lot paint', 'outcome')) x(node, label, role) WHERE family = 'irrelevant_branch' OR family = 'analogy_partial' AND node = 100""",
+    "a12_planted_relations": f"""{_PLANTED}, base AS (SELECT graph_id, rel, CASE family WHEN 'permutation' THEN n - 1 - a WHEN 'wrong_structure' THEN (a * a + 2 * a + 1) % n ELSE a END AS src, CASE family WHEN 'permutation' THEN n - 1 - b WHEN 'wrong_structure' THEN (b * b + 2 * b + 1) % n ELSE b END AS dst,
+  CASE WHEN family = 'polarity_flip' AND flips THEN 'prevents' ELSE type END AS type FROM members JOIN edges USING (skeleton) WHERE family NOT IN ('generic_motif', 'different_intent')
+  AND CASE family WHEN 'partial_graph' THEN greatest(a, b) < n - 2 WHEN 'analogy_partial' THEN greatest(a, b) < n - 1 ELSE true END),
+every AS (SELECT * FROM base WHERE src <> dst
+  UNION ALL SELECT graph_id, slot, slot, n - 1, CASE WHEN slot % 2 = 0 THEN 'part_of' ELSE 'supports' END FROM members JOIN slots USING (skeleton) WHERE family = 'different_intent' AND slot < n - 1
+  UNION ALL SELECT graph_id, k, k, k + 1, 'causes' FROM members, (VALUES (0), (1)) x(k) WHERE family = 'generic_motif'
+  UNION ALL SELECT graph_id, 100, 100, CASE WHEN family = 'irrelevant_branch' THEN 101 ELSE 0 END, 'supports' FROM members WHERE family IN ('irrelevant_branch', 'analogy_partial'))
+SELECT graph_id, CAST(rel AS INT) AS rel, CAST(src AS INT) AS src, CAST(dst AS INT) AS dst, type, 'asserted' AS assertion, 'actual' AS modality, 1.0::DOUBLE AS conf FROM every""",
     "g5_affinity": f"""{_L}, {_ROLES}, full_nodes AS (SELECT graph_id, node, label, role, conf, CASE WHEN node = 0 THEN [about, requires] ELSE [about] END AS refs FROM lines),
 fits AS (SELECT a.r AS a, b.r AS b, CASE WHEN a.r = b.r THEN 1.0 ELSE coalesce((SELECT max(w) FROM roles WHERE (x = a.r AND y = b.r) OR (x = b.r AND y = a.r)), 0.0) END AS fit FROM (SELECT DISTINCT role AS r FROM nodes) a, (SELECT DISTINCT role AS r FROM nodes) b),
 each AS (SELECT p.query_id, p.graph_id, least(x.conf, y.conf) * (0.5::DOUBLE * f.fit + 0.35::DOUBLE * c.fused + 0.15::DOUBLE * len(list_intersect(x.refs, y.refs)) / len(list_distinct(list_concat(x.refs, y.refs)))) AS v
@@ -258,6 +334,6 @@ SELECT g.query_id, g.graph_id, g.place FROM good g LEFT JOIN last l ON l.query_i
 SELECT graph_id, round(sum(CASE WHEN n = 1 THEN conf ELSE 0.25 * conf END), 6) AS effective FROM n GROUP BY graph_id""",
     "k24_knowledge": f"""WITH {LINES}, s AS (SELECT graph_id, list(DISTINCT about) AS a, list(DISTINCT requires) FILTER (node = 0) AS r FROM lines GROUP BY graph_id)
 SELECT x.graph_id, round(len(list_intersect(x.a, y.a)) / len(list_distinct(list_concat(x.a, y.a))), 6) AS about, round(len(list_intersect(x.r, y.r)) / len(list_distinct(list_concat(x.r, y.r))), 6) AS requires FROM s x JOIN s y ON y.graph_id = x.graph_id + 1""",
-    "k2_roles": """WITH r AS (SELECT unnest(['problem', 'mechanism', 'state', 'outcome', 'constraint', 'method', 'evidence', 'resource', 'agent']) AS a), w(x, y, w) AS (VALUES ('state', 'mechanism', 0.6), ('problem', 'state', 0.5), ('outcome', 'state', 0.5), ('mechanism', 'method', 0.4), ('constraint', 'problem', 0.3), ('evidence', 'state', 0.3), ('resource', 'state', 0.3), ('problem', 'outcome', 0.3))
-SELECT p.a, q.a AS b, CAST(CASE WHEN p.a = q.a THEN 1.0 ELSE coalesce((SELECT max(w) FROM w WHERE (x = p.a AND y = q.a) OR (x = q.a AND y = p.a)), 0.0) END AS DOUBLE) AS fit FROM r p, r q""",
+    "k2_roles": f"""WITH {LINES}, {NODES}, {_ROLES} SELECT p.role AS a, q.role AS b, count(*) AS n, CAST(CASE WHEN p.role = q.role THEN 1.0 ELSE coalesce((SELECT max(w) FROM roles WHERE (x = p.role AND y = q.role) OR (x = q.role AND y = p.role)), 0.0) END AS DOUBLE) AS fit
+FROM nodes p JOIN nodes q ON q.graph_id = p.graph_id + 1 AND q.node = p.node GROUP BY p.role, q.role""",
 }

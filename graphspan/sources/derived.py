@@ -80,3 +80,52 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), (F.col("c_acctbal") < 0).alias("hidden"))
+
+
+def thoughts(lines: DataFrame) -> DataFrame:
+    """Nested graphs (schema.GRAPH) of orders: labels joined by semicolons are the text, and each label's place in it its span."""
+    from ..schema import SCHEMA_VERSION
+
+    rows = lines.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("node", "label", "role", "conf", "atomic", "assertion", "modality", "about", "requires"))).alias("ns"))
+    edges = relations(lines).groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("rel", "src", "dst", "type", "conf", "assertion", "modality"))).alias("rs"))
+    text = F.array_join(F.transform("ns", lambda n: n["label"]), "; ")
+    start = lambda i: F.aggregate(F.slice("ns", F.lit(1), i), F.lit(0), lambda s, n: s + F.length(n["label"]) + 2)
+    ref = lambda c: F.array(F.struct(c.alias("id"), F.lit(1.0).alias("conf"), F.lit("table").alias("via")))
+    none = F.array().cast("array<struct<id:string,conf:double,via:string>>")
+    span = lambda at, label: F.array(F.struct(at.alias("start"), (at + F.length(label)).alias("end"), label.alias("text")))
+
+    def node(n: Column, i: Column) -> Column:
+        known = F.struct(ref(n["about"]).alias("about"), F.when(i == 0, ref(n["requires"])).otherwise(none).alias("requires"))
+        return F.struct(
+            F.concat(F.lit("n"), n["node"].cast("string")).alias("id"), n["label"].alias("label"), n["role"].alias("role"), span(start(i), n["label"]).alias("spans"), n["conf"].alias("extract_conf"), n["atomic"].alias("atomic"),
+            n["assertion"].alias("assertion"), n["modality"].alias("modality"), known.alias("knowledge"),
+        )
+
+    no_spans = F.array().cast("array<struct<start:int,end:int,text:string>>")
+
+    def relation(r: Column) -> Column:
+        name = lambda c, mark: F.concat(F.lit(mark), r[c].cast("string"))
+        return F.struct(
+            name("rel", "r").alias("id"), name("src", "n").alias("source"), name("dst", "n").alias("target"), r["type"].alias("type"), r["conf"].alias("extract_conf"), no_spans.alias("spans"),
+            F.lit(None).cast("struct<start:int,end:int,text:string>").alias("cue"), r["assertion"].alias("assertion"), r["modality"].alias("modality"), F.array().cast("array<string>").alias("provenance_refs"),
+        )
+
+    nested = rows.join(edges, "graph_id", "left").select(
+        F.col("graph_id").cast("string").alias("thought_id"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.struct(text.alias("text"), F.sha2(text, 256).alias("sha256")).alias("source"),
+        F.struct(F.lit("extracted").alias("kind"), F.struct(F.lit("orders").alias("id"), F.lit("1").alias("version")).alias("extractor"), F.lit(None).cast("string").alias("human_id")).alias("provenance"),
+        F.transform("ns", node).alias("nodes"), F.coalesce(F.transform("rs", relation), F.transform(F.array().cast("array<struct<rel:int,src:int,dst:int,type:string,conf:double,assertion:string,modality:string>>"), relation)).alias("relations"),
+    )
+    return nested
+
+
+#: How prose says a relation of each type.
+SAID = (("causes", "causes"), ("prevents", "prevents"), ("requires", "requires"), ("part_of", "is part of"), ("constrains", "limits"), ("supports", "supports"), ("contradicts", "contradicts"))
+
+
+def prose(lines: DataFrame) -> DataFrame:
+    """doc_id, text: each order's relations as sentences, in their order."""
+    label = lambda end: lines.select("graph_id", F.col("node").alias(end), F.col("label").alias(f"l_{end}"))
+    cue = F.create_map(*[F.lit(x) for kv in SAID for x in kv])[F.col("type")]
+    rows = relations(lines).join(label("src"), ["graph_id", "src"]).join(label("dst"), ["graph_id", "dst"])
+    said = rows.select("graph_id", F.struct("rel", F.concat(F.initcap("l_src"), F.lit(" "), cue, F.lit(" the "), F.col("l_dst"), F.lit(".")).alias("text")).alias("s"))
+    return said.groupBy(F.col("graph_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["text"]), " ").alias("text"))
