@@ -42,9 +42,16 @@ def _short(word: str) -> bool:
 
 
 # Suffixes of steps 2, 3 and 4 as published.
-_STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
-_STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-_STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
+_STEP2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate",
+    "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+}
+_STEP3 = {
+    "icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": "",
+}
+_STEP4 = (
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize",
+)
 
 
 def _longest(word: str, suffixes: list[str]) -> str | None:
@@ -72,11 +79,10 @@ def porter(word: str) -> str:
     if word.endswith("y") and "v" in _shape(word[:-1]):
         word = word[:-1] + "i"
     for table in (_STEP2, _STEP3):
-        rules = dict(r.split(":") for r in table.split())
-        cut = _longest(word, list(rules))
+        cut = _longest(word, list(table))
         if cut and measure(word[: -len(cut)]) > 0:
-            word = word[: -len(cut)] + rules[cut]
-    cut = _longest(word, _STEP4.split())
+            word = word[: -len(cut)] + table[cut]
+    cut = _longest(word, list(_STEP4))
     if cut:
         rest = word[: -len(cut)]
         if measure(rest) > 1 and (cut != "ion" or rest.endswith(("s", "t"))):
@@ -90,69 +96,74 @@ def porter(word: str) -> str:
     return word
 
 
-# Russian suffix groups as published for Snowball; those after a bar need а or я before them.
+# Russian suffix groups as published for Snowball; those that need а or я before them are listed apart.
 _RU_VOWELS = "аеиоуыэюя"
-_GERUND = ("в вши вшись", "ив ивши ившись ыв ывши ывшись")
-_ADJECTIVE = "ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею"
-_PARTICIPLE = ("ем нн вш ющ щ", "ивш ывш ующ")
-_REFLEXIVE = "ся сь"
-_VERB = ("ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно", "ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ю")
-_NOUN = "а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию ью ю ия ья я"
-
-
-def _ending(text: str, after_a: str, free: str) -> int:
-    """Length of the longest suffix that may go."""
-    best = 0
-    for s in free.split():
-        if text.endswith(s):
-            best = max(best, len(s))
-    for s in after_a.split():
-        if len(s) > best and text.endswith(s) and text[: -len(s)].endswith(("а", "я")):
-            best = len(s)
-    return best
-
-
-def snowball_ru(word: str, least: int = 3) -> str:
+_GERUND_AFTER_A = (
+    "в", "вши", "вшись",
+)
+_GERUND = (
+    "ив", "ивши", "ившись", "ыв", "ывши", "ывшись",
+)
+_ADJECTIVE = (
+    "ее", "ие", "ые", "ое", "ими", "ыми", "ей", "ий", "ый", "ой", "ем", "им", "ым", "ом", "его", "ого", "ему", "ому", "их", "ых", "ую", "юю", "ая", "яя", "ою", "ею",
+)
+_PARTICIPLE_AFTER_A = (
+    "ем", "нн", "вш", "ющ", "щ",
+)
+_PARTICIPLE = (
+    "ивш", "ывш", "ующ",
+)
+_REFLEXIVE = (
+    "ся", "сь",
+)
+_VERB_AFTER_A = (
+    "ла", "на", "ете", "йте", "ли", "й", "л", "ем", "н", "ло", "но", "ет", "ют", "ны", "ть", "ешь", "нно",
+)
+_VERB = (
+    "ила", "ыла", "ена", "ейте", "уйте", "ите", "или", "ыли", "ей", "уй", "ил", "ыл", "им", "ым", "ен", "ило", "ыло", "ено", "ят", "ует", "уют", "ит", "ыт", "ены", "ить", "ыть", "ишь", "ую", "ю",
+)
+_NOUN = (
+    "а", "ев", "ов", "ие", "ье", "е", "иями", "ями", "ами", "еи", "ии", "и", "ией", "ей", "ой", "ий", "й", "иям", "ям", "ием", "ем", "ам", "ом", "о", "у", "ах", "иях", "ях", "ы", "ь", "ию", "ью",
+    "ю", "ия", "ья", "я",
+)
+#: What a step leaves has at least so many letters; else the step doesn't count.
+LEAST_LEFT = 3
+
+
+def _without(word: str, region: int, free: tuple[str, ...], after_a: tuple[str, ...] = ()) -> str:
+    """The word without its longest suffix that lies in the region; some must have а or я before them, wherever that stands."""
+    fits = [s for s in free if word.endswith(s)] + [s for s in after_a if word.endswith(s) and word[: -len(s)].endswith(("а", "я"))]
+    cut = max((s for s in fits if len(word) - len(s) >= region), key=len, default="")
+    left = word[: len(word) - len(cut)]
+    return left if len(left) >= LEAST_LEFT else word
+
+
+def snowball_ru(word: str) -> str:
+    """A word of no vowel stays; nor does any step leave less than LEAST_LEFT letters."""
     word = word.replace("ё", "е")
     m = re.search(f"[{_RU_VOWELS}]", word)
     if not m:
         return word
-    head, rv = word[: m.end()], word[m.end() :]
-    r = re.compile(f"[{_RU_VOWELS}][^{_RU_VOWELS}]")
-    one = r.search(word)
-    two = r.search(word, one.end()) if one else None
-    r2 = two.end() if two else len(word)
-    cut = _ending(rv, *_GERUND)
-    if cut:
-        rv = rv[:-cut]
-    else:
-        cut = _ending(rv, "", _REFLEXIVE)
-        rv = rv[:-cut] if cut else rv
-        cut = _ending(rv, "", _ADJECTIVE)
-        if cut:
-            rv = rv[:-cut]
-            cut = _ending(rv, *_PARTICIPLE)
-            rv = rv[:-cut] if cut else rv
+    region = m.end()
+    closed = re.compile(f"[{_RU_VOWELS}][^{_RU_VOWELS}]")
+    one = closed.search(word)
+    two = closed.search(word, one.end()) if one else None
+    late = two.end() if two else len(word)
+    out = _without(word, region, _GERUND, _GERUND_AFTER_A)
+    if out == word:
+        out = _without(word, region, _REFLEXIVE)
+        plain = _without(out, region, _ADJECTIVE)
+        if plain != out:
+            out = _without(plain, region, _PARTICIPLE, _PARTICIPLE_AFTER_A)
         else:
-            cut = _ending(rv, *_VERB) or _ending(rv, "", _NOUN)
-            rv = rv[:-cut] if cut else rv
-    if rv.endswith("и"):
-        rv = rv[:-1]
-    whole = head + rv
-    for s in ("ость", "ост"):
-        if whole.endswith(s) and len(whole) - len(s) >= r2:
-            rv = rv[: -len(s)]
-            break
-    for s in ("ейше", "ейш"):
-        if rv.endswith(s):
-            rv = rv[: -len(s)]
-            break
-    if rv.endswith("нн"):
-        rv = rv[:-1]
-    elif rv.endswith("ь"):
-        rv = rv[:-1]
-    out = head + rv
-    return out if len(out) >= least else word
+            plain = _without(out, region, _VERB, _VERB_AFTER_A)
+            out = plain if plain != out else _without(out, region, _NOUN)
+    out = _without(out, region, ("и",))
+    out = _without(out, max(region, late), ("ост", "ость"))
+    shorter = _without(out, region, ("ейш", "ейше"))
+    if shorter.endswith("нн") and len(shorter) - 1 >= region:
+        return _without(shorter, region, ("н",))
+    return _without(shorter, region, ("ь",)) if shorter == out else shorter
 
 
 def stem(word: str) -> str:
