@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..operators import features, index, labels, prune, quality, retrieve, verify
+from ..operators import consistency, features, index, labels, prune, quality, retrieve, verify
 from ..schema import AFFINITY, FUSION, LEAST_POOL, OVERFETCH, ROLES, TWIN, TWIN_CHOSEN
 from ..sources import derived, planted
 from ..sources.scratch import kept, lookup_join
@@ -59,6 +59,19 @@ def k16_label_identity(spark, d):
     return got.select("query_id", "graph_id", "q", "c", F.round("weight", 6).alias("weight"))
 
 
+def h14_global_conflicts(spark, d):
+    """Neighbouring orders, nodes paired by their places: relations that lead elsewhere on the other side."""
+    nodes, relations, _ = _tables(spark, d)
+    got = consistency.global_conflicts(kept(_neighbours(nodes)[1]), relations)
+    return got.groupBy("query_id", "graph_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"), F.min("q_rel").alias("first_q"), F.max("c_rel").alias("last_c"))
+
+
+def k19_systematicity(spark, d):
+    nodes, relations, _ = _tables(spark, d)
+    got = consistency.systematicity(consistency.preserved(kept(_neighbours(nodes)[1]), relations))
+    return got.select("query_id", "graph_id", "n", "connected", F.round("systematicity", 6).alias("systematicity"))
+
+
 def k2_roles(spark, d):
     """How well roles fit that meet in neighbouring orders, and how often they meet."""
     nodes, _, _ = _tables(spark, d)
@@ -277,7 +290,19 @@ _PLANTED = f"""WITH families(member, family, gold, relevant, domain) AS (VALUES
 names AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS i, count(*) OVER () AS many FROM (SELECT DISTINCT p_name AS name FROM part)),
 members AS (SELECT s_suppkey - 1 AS world, CAST((s_suppkey - 1) % {len(planted.SKELETONS)} AS INT) AS skeleton, (s_suppkey - 1) // {len(planted.SKELETONS)} % {len(planted.TERMS)} AS turn, (s_suppkey - 1) * {planted.WORLD} + member AS graph_id, family, domain FROM supplier, families)"""
 
+_SEEN = """gp AS (SELECT a.graph_id AS query_id, b.graph_id, a.size AS qs, b.size AS cs FROM (SELECT graph_id, count(*) AS size FROM nodes GROUP BY 1) a JOIN (SELECT graph_id, count(*) AS size FROM nodes GROUP BY 1) b ON b.graph_id = a.graph_id + 1),
+ends AS (SELECT graph_id, rel, type, conf, src AS at, dst AS other, 'out' AS dir FROM relations UNION ALL SELECT graph_id, rel, type, conf, dst, src, 'in' FROM relations)"""
+
 ORACLES = {
+    "h14_global_conflicts": f"""{_T}, {_SEEN.replace(" AS at,", " AS node,")}, q AS (SELECT p.query_id, p.graph_id, e.* EXCLUDE (graph_id) FROM gp p JOIN ends e ON e.graph_id = p.query_id WHERE greatest(e.node, e.other) < least(p.qs, p.cs)),
+c AS (SELECT p.query_id, p.graph_id, e.* EXCLUDE (graph_id) FROM gp p JOIN ends e ON e.graph_id = p.graph_id WHERE greatest(e.node, e.other) < least(p.qs, p.cs)),
+oq AS (SELECT * FROM q ANTI JOIN c USING (query_id, graph_id, node, type, dir, other)), oc AS (SELECT * FROM c ANTI JOIN q USING (query_id, graph_id, node, type, dir, other)),
+met AS (SELECT DISTINCT o.query_id, o.graph_id, o.rel AS q_rel, x.rel AS c_rel, least(o.conf, x.conf) AS weight FROM oq o JOIN (SELECT *, row_number() OVER (PARTITION BY query_id, graph_id, node, type, dir ORDER BY rel) AS k FROM oc) x USING (query_id, graph_id, node, type, dir) WHERE x.k = 1)
+SELECT query_id, graph_id, count(*) AS n, round(sum(weight), 6) AS weight, min(q_rel) AS first_q, max(c_rel) AS last_c FROM met GROUP BY ALL""",
+    "k19_systematicity": f"""{_T}, {_SEEN.replace(" AS at,", " AS node,")}, same AS (SELECT p.query_id, p.graph_id, a.rel, a.src, a.dst, least(a.conf, b.conf) AS w FROM gp p JOIN relations a ON a.graph_id = p.query_id
+  JOIN relations b ON b.graph_id = p.graph_id AND b.src = a.src AND b.dst = a.dst AND b.type = a.type AND b.assertion = a.assertion AND b.modality = a.modality),
+told AS (SELECT s.*, EXISTS (SELECT 1 FROM same o WHERE o.query_id = s.query_id AND o.graph_id = s.graph_id AND o.rel <> s.rel AND (o.src IN (s.src, s.dst) OR o.dst IN (s.src, s.dst))) AS linked FROM same s)
+SELECT query_id, graph_id, count(*) AS n, count(*) FILTER (linked) AS connected, round(sum(CASE WHEN linked THEN w ELSE 0.5 * w END) / sum(w), 6) AS systematicity FROM told GROUP BY ALL""",
     "a12_planted_nodes": f"""{_PLANTED}, kept AS (SELECT * FROM members JOIN slots USING (skeleton) WHERE CASE family WHEN 'partial_graph' THEN slot < n - 2 WHEN 'analogy_partial' THEN slot < n - 1 WHEN 'generic_motif' THEN slot < 3 ELSE true END)
 SELECT graph_id, CAST(CASE WHEN family = 'permutation' THEN n - 1 - slot ELSE slot END AS INT) AS node,
   CASE family WHEN 'template_coincidence' THEN name WHEN 'generic_motif' THEN 'something ' || slot ELSE name || ' ' || CASE WHEN domain = 0 THEN own ELSE other END || CASE WHEN family = 'same_domain' THEN ' again' ELSE '' END END AS label,
