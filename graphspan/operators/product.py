@@ -188,4 +188,5 @@ def topic_standing(sides: DataFrame, nodes: DataFrame, relations: DataFrame) ->
     met = side(named, "mine").withColumnRenamed("assertion", "x").join(side(named, "theirs").withColumnRenamed("assertion", "y"), [*key, "s", "t", "type"])
     on_relations = met.groupBy(*key).agg(n(F.col("x") == F.col("y")).alias("agreed_relations"), n(F.col("x") != F.col("y")).alias("contested"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return on_nodes.join(on_relations, key, "left").select(*key, "agreed_nodes", zero("agreed_relations"), zero("contested"), "yours_unanswered", "theirs_unanswered")
+    every = sides.select(*key).distinct().join(on_nodes, key, "left").join(on_relations, key, "left")  # sides without nodes too
+    return every.select(*key, *[zero(c) for c in ("agreed_nodes", "agreed_relations", "contested", "yours_unanswered", "theirs_unanswered")])

@@ -153,14 +153,14 @@ def n5_members(spark, d):
 
 def n5_briefs(spark, d):
     edits = _events(spark, d).select((F.col("user_id") % 60).alias("workspace"), (F.col("event_id") % 5).alias("expected"), F.concat(F.lit("brief "), F.col("event_id").cast("string")).alias("body"), "ts", "event_id")
-    return product.briefs(edits.filter("not (workspace % 7 = 3 and expected = 2)"))
+    return product.briefs(edits)
 
 
 def _sides(spark, d):
     lines = derived.order_lines(spark, d)
     orders = derived.table(spark, d, "orders")
-    given = orders.select((F.col("o_orderkey") % 400).alias("topic"), (F.col("o_custkey") % 6).alias("author"), F.col("o_orderkey").alias("contribution"), F.col("o_orderdate").alias("ts"))
-    viewers = given.select("topic").distinct().select("topic", F.lit(1).cast("long").alias("viewer"))
+    given = orders.select(F.floor(F.col("o_orderkey") / 40).alias("topic"), (F.col("o_custkey") % 6).alias("author"), F.col("o_orderkey").alias("contribution"), F.col("o_orderdate").alias("ts"))
+    viewers = given.select("topic", F.col("author").alias("viewer")).distinct()
     return product.topic_sides(given, viewers), derived.nodes(lines), derived.relations(lines)
 
 
@@ -181,8 +181,8 @@ LINES = """lines AS (SELECT l_orderkey AS graph_id, CAST(row_number() OVER (PART
   CASE WHEN l_tax < 0.03 THEN 'actual' WHEN l_tax < 0.06 THEN 'possible' ELSE 'conditional' END AS modality, l_quantity > 30 AS large FROM lineitem JOIN part ON l_partkey = p_partkey),
 sizes AS (SELECT graph_id, count(*) AS n FROM lines GROUP BY graph_id),
 relations AS (SELECT graph_id, node AS rel, node AS src, node + 1 AS dst, type, assertion FROM lines JOIN sizes USING (graph_id) WHERE node + 1 < n UNION ALL SELECT graph_id, 1000, 0, 2, type, assertion FROM lines JOIN sizes USING (graph_id) WHERE node = 0 AND large AND n > 2)"""
-SIDES = """given AS (SELECT o_orderkey % 400 AS topic, o_custkey % 6 AS author, arg_max(o_orderkey, struct_pack(ts := o_orderdate, c := o_orderkey)) AS contribution FROM orders GROUP BY ALL),
-sides AS (SELECT a.topic, a.author AS viewer, a.contribution AS mine, b.author, b.contribution AS theirs FROM given a JOIN given b ON a.topic = b.topic AND a.author = 1 AND b.author <> 1)"""
+SIDES = """given AS (SELECT o_orderkey // 40 AS topic, o_custkey % 6 AS author, arg_max(o_orderkey, struct_pack(ts := o_orderdate, c := o_orderkey)) AS contribution FROM orders GROUP BY ALL),
+sides AS (SELECT a.topic, a.author AS viewer, a.contribution AS mine, b.author, b.contribution AS theirs FROM given a JOIN given b ON a.topic = b.topic AND a.author <> b.author)"""
 
 
 def _share_sql(test: str, among: str) -> str:
@@ -257,7 +257,7 @@ SELECT graph_id AS thought_id, id, s AS source_id, t AS target_id, type, CASE WH
 SELECT e.event_id AS message_id, c.channel_id, e.user_id % 51 AS author, CASE WHEN e.user_id % 51 = c.x.a THEN c.x.b ELSE c.x.a END AS reader, 'hello ' || e.user_id AS body
 FROM events e JOIN channels c ON c.channel_id = e.event_id % 500 WHERE e.event_type IN ('view', 'click') AND c.x.ok AND e.user_id % 51 IN (c.x.a, c.x.b) AND e.event_id % 6 <> 0""",
     "n5_members": """SELECT workspace, user_id, x.role AS role FROM (SELECT event_id % 30 AS workspace, user_id, arg_max(struct_pack(kind := event_type, role := CASE WHEN value > 60 THEN 'owner' ELSE 'member' END), struct_pack(t := ts, e := event_id)) AS x FROM events GROUP BY ALL) WHERE x.kind <> 'error'""",
-    "n5_briefs": """WITH won AS (SELECT user_id % 60 AS w, event_id % 5 AS k, arg_min('brief ' || event_id, struct_pack(t := ts, e := event_id)) AS body FROM events WHERE NOT (user_id % 60 % 7 = 3 AND event_id % 5 = 2) GROUP BY ALL),
+    "n5_briefs": """WITH won AS (SELECT user_id % 60 AS w, event_id % 5 AS k, arg_min('brief ' || event_id, struct_pack(t := ts, e := event_id)) AS body FROM events GROUP BY ALL),
 chain AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY k) - 1 AS n FROM won) SELECT w AS workspace, max(k) + 1 AS version, arg_max(body, k) AS body FROM chain WHERE k = n GROUP BY w""",
     "g14_topic_sides": f"WITH {SIDES} SELECT * FROM sides",
     "n6_topic_standing": f"""WITH {LINES}, {SIDES}, labels AS (SELECT DISTINCT graph_id, label FROM lines), named AS (SELECT DISTINCT r.graph_id, s.label AS s, t.label AS t, r.type, r.assertion FROM relations r JOIN lines s ON s.graph_id = r.graph_id AND s.node = r.src JOIN lines t ON t.graph_id = r.graph_id AND t.node = r.dst)

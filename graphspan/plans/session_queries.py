@@ -103,7 +103,7 @@ def c7_semi_join_registry(spark, d):
 
 
 def _by_price():
-    return Window.partitionBy(F.col("o_custkey") % 10).orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
 
 
 def c9_audit_filter(spark, d):
@@ -309,7 +309,7 @@ ORACLES = {
     "c5_allow_list": f"{_S} SELECT session_id, CASE WHEN share_profile THEN CAST(user_id AS VARCHAR) END AS user_id, CASE WHEN share_location THEN region END AS region, record_kind FROM disc",
     "c6_drop_reasons": f"{VIEW} SELECT coalesce(reason, 'shown') AS reason, count(*) AS n FROM seen GROUP BY 1",
     "c6_project_rows": f"{VIEW} SELECT session_id, user_id, CASE WHEN share_location THEN region END AS region, CASE WHEN share_location THEN round_even({KM}, -1) END AS km, CASE WHEN share_location THEN {BUCKET} END AS distance FROM seen WHERE reason IS NULL",
-    "c7_semi_join_registry": f"{_S}, hits AS (SELECT o_orderkey AS session_id, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) SELECT session_id, rank FROM hits WHERE session_id IN (SELECT session_id FROM disc)",
+    "c7_semi_join_registry": f"{_S}, hits AS (SELECT o_orderkey AS session_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) SELECT session_id, rank FROM hits WHERE session_id IN (SELECT session_id FROM disc)",
     "c9_audit_filter": "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE NOT starts_with(event_type, 'err') GROUP BY event_type",
     "c10_near_misses": """WITH hits AS (SELECT o_custkey AS query_id, o_orderkey AS graph_id, round((o_totalprice % 1000) / 1000, 6) AS semantic, o_orderstatus = 'F' AS hard, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'approximate' WHEN '2' THEN '' ELSE 'negative' END AS classification FROM orders)
 SELECT * FROM (SELECT query_id, graph_id, semantic, CAST(row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, graph_id) AS INT) AS n FROM hits h WHERE NOT hard AND semantic >= 0.4

@@ -188,7 +188,7 @@ def b5_source_sha(spark, d):
 
 def b2_grounding(spark, d):
     """Spans cut from documents hold unless they were moved."""
-    rows = _docs(spark, d).filter(F.length("text") >= 30).select("doc_id", "text", (F.col("doc_id") % 10).cast("int").alias("start"))
+    rows = _docs(spark, d).select("doc_id", "text", (F.col("doc_id") % 10).cast("int").alias("start"))
     rows = rows.select("doc_id", "text", "start", F.substr("text", F.col("start") + 1 + (F.col("doc_id") % 4 == 0).cast("int"), F.lit(12)).alias("span"))
     return rows.select("doc_id", (F.substr("text", F.col("start") + 1, F.lit(12)) == F.col("span")).alias("grounded"))
 
@@ -264,7 +264,7 @@ slots AS (SELECT label, CAST(('0x' || substr(sha256(t), 1, 8))::BIGINT % 256 AS
 SELECT label, slot, round(value / sqrt(sum(value * value) OVER (PARTITION BY label)), 6) AS value FROM slots""",
     "d21_encoder_cosine": """SELECT vec_id, round(c, 5) AS cosine, round(CASE WHEN abs(c) * 3 <= 0.78 THEN 0.0 WHEN abs(c) * 3 >= 0.93 THEN 1.0 ELSE (abs(c) * 3 - 0.78) / (0.93 - 0.78) END, 4) AS similarity
 FROM (SELECT a.vec_id, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS c FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) a JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) b ON b.vec_id = a.vec_id + 1)""",
-    "b2_grounding": "SELECT doc_id, substr(text, CAST(doc_id % 10 AS INT) + 1, 12) = substr(text, CAST(doc_id % 10 AS INT) + 1 + CAST(doc_id % 4 = 0 AS INT), 12) AS grounded FROM documents WHERE length(text) >= 30",
+    "b2_grounding": "SELECT doc_id, substr(text, CAST(doc_id % 10 AS INT) + 1, 12) = substr(text, CAST(doc_id % 10 AS INT) + 1 + CAST(doc_id % 4 = 0 AS INT), 12) AS grounded FROM documents",
     "b5_source_sha": "SELECT doc_id FROM documents WHERE doc_id % 10 = 0",
     "b7_helper_ids": """SELECT r_name, 't_' || substr(sha256('["","' || r_name || '"]'), 1, 20) AS id FROM region""",
     "b11_payload_bounds": "SELECT doc_id, octet_length(encode(text)) <= 65536 AS bytes_ok, length(text) <= 20000 AS chars_ok FROM documents",

@@ -105,7 +105,7 @@ def k22_structural(spark, d):
 
 def _hits(spark, d) -> DataFrame:
     rows = kept(_components(spark, d)).withColumn("classification", verify.verdict())
-    return rows.select((F.col("l_orderkey") % 50).alias("query_id"), F.col("l_orderkey").alias("graph_id"), F.round("structural", 1).alias("structural"), F.round("semantic", 1).alias("semantic"), F.lit(0.5).alias("primary"), "classification", F.when(F.col("h_sign_conflict"), "sign").alias("hard_rejection"))
+    return rows.select(F.floor(F.col("l_orderkey") / 300).alias("query_id"), F.col("l_orderkey").alias("graph_id"), F.round("structural", 1).alias("structural"), F.round("semantic", 1).alias("semantic"), F.lit(0.5).alias("primary"), "classification", F.when(F.col("h_sign_conflict"), "sign").alias("hard_rejection"))
 
 
 def i3_order(spark, d):
@@ -279,7 +279,7 @@ y AS (SELECT *, semantic >= 0.4 AND r_direct > 0 AS same, CASE WHEN r_direct >=
 v AS (SELECT *, CASE WHEN comp >= 0.3 THEN 'complementary' WHEN hard THEN 'negative' WHEN structural < CASE WHEN same THEN 0.15 ELSE 0.25 END OR contradiction > CASE WHEN same THEN 0.35 ELSE 0.15 END THEN 'negative'
   WHEN about_evidence THEN CASE WHEN about < 0.2 THEN 'analogical' ELSE close END WHEN surface >= 0.3 OR dom >= 0.3 THEN close WHEN concept >= 0.25 THEN 'analogical'
   WHEN structural >= 0.8 AND CASE WHEN weighted THEN rarity ELSE 0 END >= 0.55 AND concept >= 0.12 THEN 'analogical' ELSE 'negative' END AS classification FROM y)"""
-PLACED = f"""WITH {COMPONENTS}, hits AS (SELECT l_orderkey % 50 AS query_id, l_orderkey AS graph_id, round(structural, 1) AS structural, round(semantic, 1) AS semantic, classification, hard FROM v),
+PLACED = f"""WITH {COMPONENTS}, hits AS (SELECT l_orderkey // 300 AS query_id, l_orderkey AS graph_id, round(structural, 1) AS structural, round(semantic, 1) AS semantic, classification, hard FROM v),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hard, classification = 'negative', round(0.65 * structural + 0.35 * semantic, 6) DESC, structural DESC, graph_id) AS place FROM hits)"""
 
 _ROLES = "roles(x, y, w) AS (VALUES ('state', 'mechanism', 0.6), ('problem', 'state', 0.5), ('outcome', 'state', 0.5), ('mechanism', 'method', 0.4), ('constraint', 'problem', 0.3), ('evidence', 'state', 0.3), ('resource', 'state', 0.3), ('problem', 'outcome', 0.3))"
