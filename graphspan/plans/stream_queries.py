@@ -13,6 +13,7 @@ from ..sources import commits, derived, storage
 from ..sources.scratch import kept, lookup_join, shared_dir
 from ..streaming import keyed, standing
 from .graph_queries import LINES, RELATIONS
+from .text_queries import COMPARED, GRAMS, HINTS, PAIRS
 
 def _prose(spark: SparkSession, d: str) -> DataFrame:
     """Graphs extracted from what orders' relations say as prose."""
@@ -269,6 +270,9 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
     "a5_bound_snapshot": "SELECT component, changed, count(*) AS users, count(*) FILTER (c_acctbal < 0) AS hidden FROM customer, (VALUES ('users', true), ('sessions', false)) x(component, changed) GROUP BY ALL",
     "m1_extract_relations": f"""WITH {LINES}, {RELATIONS} SELECT DISTINCT r.graph_id AS doc_id, x.label AS src, r.type, y.label AS dst, 'asserted' AS assertion, 'actual' AS modality FROM relations r
   JOIN lines x ON x.graph_id = r.graph_id AND x.node = r.src JOIN lines y ON y.graph_id = r.graph_id AND y.node = r.dst WHERE x.label <> y.label""",
+    "d8_role_hints": f"""WITH {PAIRS}, {GRAMS}, {COMPARED}, {HINTS}, votes AS (SELECT label, role, count(*) AS n FROM kinds JOIN hints USING (class) GROUP BY ALL)
+SELECT label, role AS hint FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, role) AS k FROM votes) WHERE k = 1""",
+    "f6_concept_descriptors": f"WITH {LINES}, {PAIRS}, {GRAMS}, {COMPARED} SELECT l.graph_id, l.node, l.role || ':' || k.class AS descriptor FROM lines l JOIN kinds k ON k.label = l.label",
     "l8_latest_state": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id",
     "l3_alert_state": """WITH rows AS (SELECT user_id, event_id % 50 + 1 AS peer, event_id % 60 + 1 AS mine, event_id % 45 + 1 AS theirs, ts AS detected_at, event_id % 3 AS part FROM events
   WHERE event_id % 13 <> 0 AND event_type <> 'error' AND event_id % 8 <> 3 AND user_id <> event_id % 50 + 1 AND event_id % 60 <> event_id % 45 AND NOT (user_id < 200 AND event_id % 50 + 1 = user_id * 7 % 50 + 1)),

@@ -55,7 +55,7 @@ def d3_russian_stems(spark, d):
 
 
 def d6_concepts(spark, d):
-    return lexicon.label_concepts(_labels(spark, d)).select("label", F.array_join("concepts", ",").alias("concepts"))
+    return _label_classes(spark, d).select("label", F.array_join("concepts", ",").alias("concepts"))
 
 
 def d9_trigrams(spark, d):
@@ -239,7 +239,11 @@ surfaces AS (SELECT label_a, label_b, lexical, cosine AS trigram, greatest(lexic
   FROM cosines JOIN lexical USING (label_a, label_b) LEFT JOIN concepts USING (label_a, label_b)),
 compared AS (SELECT *, least(1.0, greatest(surface, 0.9 * concept, 0.5 * surface + 0.5 * concept)) AS fused FROM surfaces)"""
 
+HINTS = "hints(class, role) AS (VALUES " + ", ".join(f"('{c}', '{r}')" for c, r in lexicon.role_of().items() if r) + ")"
+
 ORACLES = {
+    "d2_stems": f"WITH {PAIRS}, {GRAMS}, {COMPARED} SELECT label, array_to_string(s, ' ') AS stems FROM stemmed",
+    "d6_concepts": f"WITH {PAIRS}, {GRAMS}, {COMPARED} SELECT l.label, coalesce(string_agg(k.class, ',' ORDER BY k.class), '') AS concepts FROM labels l LEFT JOIN kinds k ON k.label = l.label GROUP BY l.label",
     "d14_encoder_evidence": f"""WITH {PAIRS}, {GRAMS}, {COMPARED}, numbered AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS n FROM labels), vectors AS (SELECT numbered.label, CAST(embedding AS DOUBLE[]) AS v FROM numbered JOIN embeddings ON vec_id = n),
 told AS (SELECT a.label AS label_a, b.label AS label_b, 3 * abs(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))) AS c FROM vectors a, vectors b),
 scaled AS (SELECT label_a, label_b, CASE WHEN c <= 0.78 THEN 0.0 WHEN c >= 0.93 THEN 1.0 ELSE (c - 0.78) / (0.93 - 0.78) END AS r FROM told),
