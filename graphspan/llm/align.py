@@ -341,8 +341,8 @@ def answers(rows: DataFrame, widths: dict[str, int], with_groups: bool) -> DataF
         way = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
         n = 1 + int(way.max(initial=-1))
         numbers, groups = np.zeros((len(names), n), np.int64), np.empty(n, object)
-        for blob in blobs:
-            at, scores, codes = _unpacked(blob)
+        while blobs:
+            at, scores, codes = _unpacked(blobs.pop())
             texts, counts = _texts(codes, widths)
             numbers[:, at] = np.concatenate([counts, scores])
             groups[at] = texts
@@ -351,7 +351,7 @@ def answers(rows: DataFrame, widths: dict[str, int], with_groups: bool) -> DataF
         end = np.cumsum(sizes)
         first = end - sizes
         some = np.flatnonzero(sizes)
-        step = 4096
+        step = 512
         for k in range(0, max(len(sizes), 1), step):
             here = some[(some >= k) & (some < k + step)]
             sums = np.zeros((len(names), min(step, len(sizes) - k)), np.int64)
