@@ -12,7 +12,8 @@ source.  Where they differ, the turns that don't survive by themselves are escap
 enough, all turns are escaped.  Escaping is reversible: ``&`` -> ``&amp;``, ``<|`` -> ``&lt;|`` and, in headers, line ends.
 
 Defined cases: null roles and texts are empty; rows without a conv_id are one conversation; turns are ordered by (turn, role,
-text), null turns first, so ties and repeated rows have one order; an empty table gives no rows; other columns are ignored.
+text), null turns first, so ties and repeated rows have one order; an empty table gives no rows; very long texts are
+rendered and parsed whole; other columns are ignored.
 A conversation is one row of output, so its turns are brought together; they are rendered and counted nowhere else.
 """
 

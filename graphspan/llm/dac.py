@@ -8,6 +8,9 @@ File format: a Parquet folder with a row for each segment of whole documents: ``
 ``segment`` (within the part), ``doc_ids``, ``doc_tokens`` and ``codes``, without page compression.  ``codes`` is little-endian: magic ``DAC1``, then
 uint32 width, tokens, levels; for each level uint32 entries, the chunks (uint8, or uint16 for widths over 8), the bitmap
 (little bit order, padded to whole blocks of 512 bits) and for each block a uint32 rank of its first bit.
+
+An empty table gives a folder without segments; a very long document is a segment by itself; rows with equal doc_id follow each
+other.
 """
 
 from __future__ import annotations

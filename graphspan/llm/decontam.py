@@ -9,8 +9,8 @@ it finds items whose rarest terms come near to each other.
 Benchmark words are collected by passes of about ``pass_words`` words; a larger benchmark takes more passes over the index.
 
 Defined cases: null or empty texts have no words; null item_id is named ""; items of equal id are one item; rows with equal
-doc_id are judged each by itself; an empty benchmark gives clean documents; a very long text is a block by itself; other columns
-are ignored.
+doc_id are judged each by itself; an empty benchmark gives clean documents; a very long text is a block by itself; terms of
+equal frequency are taken in the order of the terms; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -3,6 +3,9 @@
 A document of n ids gives as many pieces of ``max_len`` as fit and then one piece for each binary digit of what is left,
 longest first.  Each piece is a sequence by itself; its length is a power of two, so none is padded.  Sequences are numbered
 bucket after bucket (longest first), without gaps: a batch of one bucket is a run of sequence_id.
+
+A very long text is encoded whole, in a slice of its own; pieces of one length are numbered by task and place, so ties have one
+order in a run; an empty table gives no pieces.
 """
 
 from __future__ import annotations

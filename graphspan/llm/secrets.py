@@ -6,7 +6,9 @@ repositories.  A value that many owners have is a widely copied example; one tha
 live.  Live generic candidates become spans of kind ``owned`` beside the base spans, which always stay.
 
 Defined cases: null or empty texts have no candidates; null owners and repositories count as one owner or repository "";
-rows with equal doc_id are scanned each by itself; other columns are ignored.
+rows with equal doc_id are scanned each by itself; a very long text is scanned whole, in a slice of its own; candidates of one
+kind never overlap, and of equal starts the kinds have a stated order, so ties have one answer; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Components come from iterated joins.  Nothing is capped.
 
 Defined cases: null or empty texts have an empty set and are linked with nothing; texts of fewer words than n have the whole
 sequence as one token; rows with equal doc_id are rows of their own; null doc_ids take part, and a component of null doc_ids
-alone has none; ties don't matter; other columns are ignored.
+alone has none; ties don't matter; a very long text is one set, taken whole; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@
 A text that a third of all documents share is one row for each batch, so no key is hot.
 
 Defined cases: null or empty texts have no words; documents of fewer than k words lose none; a null doc_id is greater than
-all others and never makes another document lose words; rows with equal doc_id don't make each other lose words; other columns
-are ignored.
+all others and never makes another document lose words; rows with equal doc_id don't make each other lose words; a very long text
+is a batch by itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
