@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from graphspan.operators import product
 from graphspan.sources.scratch import kept
 
 
@@ -21,3 +22,9 @@ def test_small_files_of_many_rows_are_not_broadcast(spark):
     finally:
         spark.conf.set(static, before[0])
         spark.conf.unset(measured) if before[1] is None else spark.conf.set(measured, before[1])
+
+
+def test_a_label_of_several_nodes_names_the_first_by_number(spark):
+    nodes = spark.createDataFrame([(1, f"N{k}", "red bolt" if k in (2, 10) else f"part {k}") for k in range(12)], "thought_id long, id string, label string")
+    relations = spark.createDataFrame([(1, "r", "N0", "RED BOLT", "causes")], "thought_id long, id string, source string, target string, type string")
+    assert product.manual_relations(relations, nodes).first()["target_id"] == "N2"
