@@ -1,8 +1,10 @@
 """What must hold on tables larger than those of the other tests."""
 
+import pickle
+
 from pyspark.sql import functions as F
 
-from graphspan.operators import product
+from graphspan.operators import extract, product
 from graphspan.sources.scratch import kept
 
 
@@ -28,3 +30,14 @@ def test_a_label_of_several_nodes_names_the_first_by_number(spark):
     nodes = spark.createDataFrame([(1, f"N{k}", "red bolt" if k in (2, 10) else f"part {k}") for k in range(12)], "thought_id long, id string, label string")
     relations = spark.createDataFrame([(1, "r", "N0", "RED BOLT", "causes")], "thought_id long, id string, source string, target string, type string")
     assert product.manual_relations(relations, nodes).first()["target_id"] == "N2"
+
+
+def test_cues_are_looked_for_once_in_a_sentence_and_only_where_their_words_are():
+    cues = extract.compiled()
+    text = "Red bolts causes the gear. " * 40 + "Blue rods because of wear. "
+    got = extract.extract(text, cues)
+    assert [(r["type"], r["start"]) for r in got["relations"]] == [("causes", 10), ("causes", 27 * 40 + 10)]
+    assert cues.found.cache_info().hits >= 38 and cues.found.cache_info().misses <= 3
+    assert [x[2:4] for x in cues.found("Some \u017fupports that; ВЫЗЫВАЕТ it, leads nowhere")] == [("supports", "fwd"), ("causes", "fwd")]
+    assert extract.extract(text, pickle.loads(pickle.dumps(cues))) == got
+    assert extract.extract("  [redacted]  causes wear")["relations"] == []
