@@ -1,9 +1,12 @@
 """What must hold on tables larger than those of the other tests."""
 
 import pickle
+from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from graphspan.llm import setjoin
 from graphspan.operators import extract, product
 from graphspan.sources.scratch import kept
 
@@ -41,3 +44,15 @@ def test_cues_are_looked_for_once_in_a_sentence_and_only_where_their_words_are()
     assert [x[2:4] for x in cues.found("Some \u017fupports that; ВЫЗЫВАЕТ it, leads nowhere")] == [("supports", "fwd"), ("causes", "fwd")]
     assert extract.extract(text, pickle.loads(pickle.dumps(cues))) == got
     assert extract.extract("  [redacted]  causes wear")["relations"] == []
+
+
+def test_unlike_sets_of_a_token_make_no_cluster(spark):
+    t, some = Fraction(8, 10), np.random.default_rng(5)
+    base = np.unique(some.integers(1, 1 << 62, 200).astype(np.uint64))
+    sets = [base, np.unique(np.append(base[:-6], np.uint64(7)))] + [np.unique(np.append(some.integers(1, 1 << 62, 199), int(base[0])).astype(np.uint64)) for _ in range(10)]
+    assert all(sum(bin(x).count("1") for x in (setjoin.sketch(a) ^ setjoin.sketch(b)).view(np.uint64).tolist()) <= len(np.setxor1d(a, b)) for a in sets for b in sets)
+    postings = spark.createDataFrame([(9, 0, len(s), k) for k, s in enumerate(sets)], "token long, list int, size int, node long").repartition(1).sortWithinPartitions("token", "list", "size", "node")
+    listed = setjoin._list_links(postings, t)
+    assert listed.filter("kind = 2").count() == 66 and not listed.filter("kind = 0").count()
+    sketches = spark.createDataFrame([(k, len(s), setjoin.sketch(s).tolist()) for k, s in enumerate(sets)], "node long, size int, sketch array<long>")
+    assert [tuple(r) for r in setjoin._near_pairs(listed.filter("kind = 2").select("a", "b"), sketches, t).collect()] == [(0, 1)]
