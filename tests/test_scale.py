@@ -7,7 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from graphspan.llm import setjoin
-from graphspan.operators import extract, product
+from graphspan.operators import extract, features, product
+from graphspan.plans import graph_queries
 from graphspan.sources.scratch import kept
 
 
@@ -56,3 +57,34 @@ def test_unlike_sets_of_a_token_make_no_cluster(spark):
     assert listed.filter("kind = 2").count() == 66 and not listed.filter("kind = 0").count()
     sketches = spark.createDataFrame([(k, len(s), setjoin.sketch(s).tolist()) for k, s in enumerate(sets)], "node long, size int, sketch array<long>")
     assert [tuple(r) for r in setjoin._near_pairs(listed.filter("kind = 2").select("a", "b"), sketches, t).collect()] == [(0, 1)]
+
+
+def test_what_concerns_one_graph_is_worked_out_in_its_row(spark, tmp_path):
+    some = np.random.default_rng(3)
+    roles, kinds = ["state", "method", None], ["causes", "prevents", "requires"]
+    sizes = [int(n) for n in some.integers(1, 9, 40)]
+    nodes = spark.createDataFrame([(g, n, roles[(g + n) % 3], f"part {n % 3}") for g, size in enumerate(sizes) for n in range(size)], "graph_id long, node int, role string, label string")
+    ends = [(g, r, int(some.integers(0, size + 1)), int(some.integers(0, size + 1)), kinds[int(some.integers(0, 3))], "asserted", "actual") for g, size in enumerate(sizes) for r in range(2 * size)]
+    relations = spark.createDataFrame(ends, "graph_id long, rel int, src int, dst int, type string, assertion string, modality string")
+    graphs = features.pack(nodes, relations)
+    adj = features.adjacency(nodes, relations)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    found = features.paths(adj)
+    assert rows(features.paths_of(graphs)) == rows(found)
+    reached = {(g, a, b): 1 for g, _, s, t, *_ in ends for a, b in ((s, t), (t, s)) if b < sizes[g]}
+    for hops in (2, 3):
+        reached |= {k: hops for k in {(g, a, c) for (g, a, b), h in reached.items() if h == hops - 1 for (g2, b2, c), h2 in reached.items() if h2 == 1 and (g2, b2) == (g, b) and c != a} if k not in reached}
+    assert {(r["graph_id"], r["a"], r["b"]): r["hops"] for r in found.collect()} == reached
+    colours = features.d1(nodes, adj)
+    assert rows(features.d1_of(graphs)) == rows(colours)
+    both = features.fingerprints(found, features.d0(nodes), "D0").unionByName(features.fingerprints(found, colours, "D1"))
+    assert rows(features.multi_fingerprints(nodes, relations)) == rows(both)
+
+
+def test_graphs_of_orders_are_shuffled_once(spark, tmp_path):
+    lines = [(o, n % 3, 1, n, 40.0, 9.0, 0.01 * n, 0.02, "N", "F", 1) for o in range(3) for n in range(5)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"red bolt {k}", "Brand 1", "STEEL", k) for k in range(3)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("f3_d1", "f4_paths", "f5_fingerprints", "f8_keysets", "f16_thought_fingerprint"):
+        whole = graph_queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert whole.count("Exchange hashpartitioning") == 1, name
