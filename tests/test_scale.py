@@ -7,8 +7,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from graphspan.llm import setjoin
-from graphspan.operators import extract, features, product
+from graphspan.operators import extract, features, index, product, totals
 from graphspan.plans import graph_queries
+from graphspan.sources import derived
 from graphspan.sources.scratch import kept
 
 
@@ -88,3 +89,26 @@ def test_graphs_of_orders_are_shuffled_once(spark, tmp_path):
     for name in ("f3_d1", "f4_paths", "f5_fingerprints", "f8_keysets", "f16_thought_fingerprint"):
         whole = graph_queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert whole.count("Exchange hashpartitioning") == 1, name
+
+
+def test_totals_of_queries_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(totals, "MET", 7)
+    monkeypatch.setattr(totals, "ASKED", 3)
+    words, refs = ["red bolt", "blue gear", "hot rod", "cold ring", "of the"], ["a", "b", "c", "d"]
+    some = np.random.default_rng(11)
+    said = [(g % 25, n, words[int(some.integers(0, 5))], refs[int(some.integers(0, 4))], refs[int(some.integers(0, 4))]) for g in range(25) for n in range(1 + g % 4)]
+    said += [(g + 100, *rest) for g, *rest in said if g < 15]  # copies, a query's among them
+    lines = spark.createDataFrame(said, "graph_id long, node int, label string, about string, requires string")
+    ids = spark.createDataFrame([(g,) for g in (0, 3, 7, 20, 24, 103)], "query_id long")
+    terms = kept(index.content_terms(lines))
+    n = lines.select("graph_id").distinct().count()
+    content = index.content_scores(terms, index.content_stats(terms, n), ids)
+    knowledge = derived.knowledge(lines)
+    known = index.knowledge_scores(knowledge, index.about_stats(knowledge, n), ids)
+    pairs = content.join(known, ["query_id", "graph_id"], "full")
+    full = lambda c: F.sum(F.coalesce(c, F.lit(0.0))).alias(c)
+    want = pairs.groupBy("query_id").agg(F.count("content").alias("n_content"), F.count(F.coalesce("about", "complement")).alias("n_known"), F.count("*").alias("n_any"), *[full(c) for c in ("content", "about", "complement")], F.coalesce(F.max("complement"), F.lit(0.0)).alias("most"))
+    rows = lambda df: {r["query_id"]: tuple(round(r[c], 9) for c in want.columns[1:]) for r in df.collect()}
+    got = totals.per_query(lines, ids)
+    assert rows(got.filter("n_any > 0")) == rows(want) and any(r[-1] > 0 for r in rows(want).values())
+    assert "MapInArrow" in got._jdf.queryExecution().sparkPlan().toString()
