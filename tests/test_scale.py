@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from graphspan.llm import setjoin
 from graphspan.operators import extract, features, index, product, totals
-from graphspan.plans import graph_queries
-from graphspan.sources import derived
+from graphspan.plans import graph_queries, verify_queries
+from graphspan.sources import derived, storage
 from graphspan.sources.scratch import kept
 
 
@@ -86,11 +86,19 @@ def test_graphs_of_orders_are_shuffled_once(spark, tmp_path):
     lines = [(o, n % 3, 1, n, 40.0, 9.0, 0.01 * n, 0.02, "N", "F", 1) for o in range(3) for n in range(5)]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate int").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame([(k, f"red bolt {k}", "Brand 1", "STEEL", k) for k in range(3)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
-    for name in ("f3_d1", "f4_paths", "f5_fingerprints", "f8_keysets", "f16_thought_fingerprint"):
-        whole = graph_queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    known = graph_queries.QUERIES | verify_queries.QUERIES | {"thoughts": lambda spark, d: derived.thoughts(derived.order_lines(spark, d))}
+    for name in ("f3_d1", "f4_paths", "f5_fingerprints", "f8_keysets", "f16_thought_fingerprint", "h13_effective_relations", "thoughts"):
+        whole = known[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert whole.count("Exchange hashpartitioning") == 1, name
 
 
+def test_graphs_as_lines_are_packed(spark, tmp_path):
+    graphs = spark.range(3).select(F.col("id").cast("string").alias("thought_id"), F.lit("0.1").alias("schema_version"))
+    storage.write_graphs(graphs, f"{tmp_path}/graphs")
+    assert {p.suffix for p in (tmp_path / "graphs").glob("part-*")} == {".gz"}
+    assert sorted(r["thought_id"] for r in storage.read_graphs(spark, f"{tmp_path}/graphs").collect()) == ["0", "1", "2"]
+
+
 def test_totals_of_queries_are_those_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(totals, "MET", 7)
     monkeypatch.setattr(totals, "ASKED", 3)
