@@ -1,14 +1,15 @@
 """What must hold on tables larger than those of the other tests."""
 
 import pickle
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from graphspan.llm import setjoin
-from graphspan.operators import extract, features, index, product, totals
-from graphspan.plans import graph_queries, verify_queries
+from graphspan.operators import extract, features, index, product, quality, totals
+from graphspan.plans import graph_queries, product_queries, stream_queries, verify_queries
 from graphspan.sources import derived, storage
 from graphspan.sources.scratch import kept
 
@@ -120,3 +121,49 @@ def test_totals_of_queries_are_those_of_all_pairs(spark, monkeypatch):
     got = totals.per_query(lines, ids)
     assert rows(got.filter("n_any > 0")) == rows(want) and any(r[-1] > 0 for r in rows(want).values())
     assert "MapInArrow" in got._jdf.queryExecution().sparkPlan().toString()
+
+
+def _orders(spark, path, orders=12, parts=7):
+    """Tables of some orders, one of them after a gap, parts' names among those of the terms."""
+    some = np.random.default_rng(23)
+    lines = [(o + 2 * (o > 8), int(some.integers(0, parts - 1)), int(some.integers(0, 14)), n, float(some.integers(1, 50)), 9.0, 0.01 * int(some.integers(0, 9)), 0.01 * int(some.integers(0, 9)), "RN"[int(some.integers(0, 2))], "FO"[int(some.integers(0, 2))], 1) for o in range(orders) for n in range(int(some.integers(1, 7)))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate int").write.parquet(f"{path}/lineitem.parquet")
+    names = ["hot bolt", "cold gear", "hot gear", "red valve", "large ring", "blue bolt", "old rod"]
+    spark.createDataFrame([(k, names[k], f"Brand {k % 3}", "STEEL", k) for k in range(parts)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{path}/part.parquet")
+    return str(path)
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_neighbours_are_joined_as_rows(spark, tmp_path):
+    d = _orders(spark, tmp_path)
+    nodes = derived.nodes(derived.order_lines(spark, d)).collect()
+    role = {(r["graph_id"], r["node"]): r["role"] for r in nodes}
+    met = Counter((a, role[g + 1, n]) for (g, n), a in role.items() if (g + 1, n) in role)
+    got = verify_queries.QUERIES["k2_roles"](spark, d)
+    assert _shuffles(got) <= 4
+    assert {(r["a"], r["b"]): r["n"] for r in got.collect()} == met
+
+
+def test_repeats_are_judged_in_a_row_of_each_case(spark, tmp_path):
+    rows = lambda *said: spark.createDataFrame(list(said), "case long, signature string")
+    first, second = rows((1, "a"), (1, "a"), (1, "b"), (2, None), (3, "x"), (5, None), (5, "a")), rows((1, "b"), (1, "c"), (2, None), (4, "x"), (5, "a"))
+    got = {r["case"]: round(r["f1"], 6) for r in quality.repeat_f1(first, second).collect()}
+    assert got == {1: 0.5, 2: 0.0, 3: 0.0, 4: 0.0, 5: round(2 / 3, 6)}
+    assert _shuffles(product_queries.QUERIES["f17_repeat_f1"](spark, _orders(spark, tmp_path))) <= 4
+
+
+def test_role_hints_need_no_orders(spark, tmp_path):
+    d = _orders(spark, tmp_path)
+    labels = derived.line_labels(spark, d)
+    assert sorted(r["label"] for r in labels.collect()) == sorted({r["label"] for r in derived.order_lines(spark, d).select("label").collect()})
+    assert "old rod" not in {r["label"] for r in labels.collect()}  # a part that no line has
+    told = []
+    real = derived.order_lines
+    try:
+        derived.order_lines = lambda *a: told.append(a) or real(*a)
+        assert {r["label"] for r in stream_queries.QUERIES["d8_role_hints"](spark, d).collect()} and not told
+    finally:
+        derived.order_lines = real
