@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .features import let
+
 PAIR = ["query_id", "graph_id"]
 
 
@@ -49,6 +51,34 @@ def preserved(mapping: DataFrame, relations: DataFrame) -> DataFrame:
     return met.select(*PAIR, "rel", "src", "dst", F.least("conf", "c_conf").alias("weight"))
 
 
+def preserved_of(rows: DataFrame) -> DataFrame:
+    """query_id, graph_id, rels (array of rel, src, dst, weight): the same of pairs as rows, with ms (array of q, c), q_es and c_es
+    (features.pack).  A pair's relations are short lists."""
+    qs, cs = F.transform("ms", lambda m: m["q"]), F.transform("ms", lambda m: m["c"])
+    fields = lambda e, a, b: F.struct(e["rel"].alias("rel"), e["src"].alias("src"), e["dst"].alias("dst"), e["conf"].alias("conf"), F.struct(a.alias("a"), b.alias("b"), e["type"].alias("type"), e["assertion"].alias("assertion"), e["modality"].alias("modality")).alias("key"))
+    at = lambda n: F.get(cs, (F.array_position(qs, n) - 1).cast("int"))
+    there = lambda ids, es: F.filter(es, lambda e: F.array_contains(ids, e["src"]) & F.array_contains(ids, e["dst"]))
+    nth = lambda s: F.transform(s, lambda e, i: F.struct(e.alias("e"), F.size(F.filter(F.slice(s, F.lit(1), i), lambda y: y["key"] == e["key"])).alias("nth")))
+    told = lambda es: let(F.sort_array(es), nth)
+    q = told(F.transform(there(qs, F.col("q_es")), lambda e: fields(e, at(e["src"]), at(e["dst"]))))
+    c = told(F.transform(there(cs, F.col("c_es")), lambda e: fields(e, e["src"], e["dst"])))
+    said = lambda e: e["key"]["type"].isNotNull() & e["key"]["assertion"].isNotNull() & e["key"]["modality"].isNotNull()
+    met = lambda x, c: F.filter(c, lambda y: (y["e"]["key"] == x["e"]["key"]) & (y["nth"] == x["nth"]) & said(x["e"]))
+    found = lambda q, c: F.flatten(F.transform(q, lambda x: F.transform(met(x, c), lambda y: F.struct(x["e"]["rel"].alias("rel"), x["e"]["src"].alias("src"), x["e"]["dst"].alias("dst"), F.least(x["e"]["conf"], y["e"]["conf"]).alias("weight")))))
+    return rows.select(*PAIR, let(q, lambda q: let(c, lambda c: found(q, c))).alias("rels"))
+
+
+def systematicity_of(kept_relations: DataFrame) -> DataFrame:
+    """The same as systematicity, of preserved relations as rows (preserved_of)."""
+    touches = lambda x, y: F.arrays_overlap(F.array(x["src"], x["dst"]), F.array(y["src"], y["dst"]))
+    linked = F.transform("rels", lambda x: F.struct(x["weight"].alias("weight"), (F.size(F.filter("rels", lambda y: touches(x, y))) > 1).alias("linked")))
+    rows = kept_relations.filter(F.size("rels") > 0).select(*PAIR, linked.alias("rels"))
+    total = lambda weight: F.aggregate("rels", F.lit(0.0), lambda s, x: s + weight(x))
+    mass = total(lambda x: x["weight"])
+    share = total(lambda x: F.when(x["linked"], x["weight"]).otherwise(0.5 * x["weight"])) / mass
+    return rows.select(*PAIR, F.size("rels").cast("long").alias("n"), F.size(F.filter("rels", lambda x: x["linked"])).cast("long").alias("connected"), F.when(mass > 0, share).otherwise(0.0).alias("systematicity"))
+
+
 def systematicity(kept_relations: DataFrame) -> DataFrame:
     """query_id, graph_id, n, connected, systematicity of preserved relations (see above): those that share a node with another
     one count whole, others half.
