@@ -117,7 +117,18 @@ def node_affinity(pairs: DataFrame, nodes: DataFrame, knowledge: DataFrame, comp
     full = nodes.join(refs, ["graph_id", "node"], "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<string>")))
     q = full.select(F.col("graph_id").alias("query_id"), F.col("node").alias("q"), F.col("label").alias("label_a"), "role", "conf", "refs")
     c = full.select("graph_id", F.col("node").alias("c"), F.col("label").alias("label_b"), F.col("role").alias("role_c"), F.col("conf").alias("conf_c"), F.col("refs").alias("refs_c"))
-    rows = pairs.select("query_id", "graph_id").join(q, "query_id").join(c, "graph_id")
+    return _affinity(pairs.select("query_id", "graph_id").join(q, "query_id").join(c, "graph_id"), compared, role_fit, weights)
+
+
+def node_affinity_of(pairs: DataFrame, compared: DataFrame, role_fit: Column, weights: dict[str, float]) -> DataFrame:
+    """The same of pairs as rows: query_id, graph_id, q_ns and c_ns (arrays of node, label, role, conf, refs)."""
+    rows = pairs.select("query_id", "graph_id", F.explode("q_ns").alias("x"), "c_ns").select("query_id", "graph_id", "x", F.explode("c_ns").alias("y"))
+    mine, theirs = {"node": "q", "label": "label_a"}, {"node": "c", "label": "label_b", "role": "role_c", "conf": "conf_c", "refs": "refs_c"}
+    field = lambda side, names: [F.col(f"{side}.{f}").alias(names.get(f, f)) for f in ("node", "label", "role", "conf", "refs")]
+    return _affinity(rows.select("query_id", "graph_id", *field("x", mine), *field("y", theirs)), compared, role_fit, weights)
+
+
+def _affinity(rows: DataFrame, compared: DataFrame, role_fit: Column, weights: dict[str, float]) -> DataFrame:
     rows = lookup_join(rows, compared.select("label_a", "label_b", "fused"), ["label_a", "label_b"])
     value = F.least("conf", "conf_c") * (weights["role"] * role_fit + weights["label"] * F.col("fused") + weights["knowledge"] * text.jaccard(F.col("refs"), F.col("refs_c")))
     return rows.select("query_id", "graph_id", "q", "c", value.alias("affinity"))
@@ -145,3 +156,25 @@ def label_conflicts(mapping: DataFrame, nodes: DataFrame, compared: DataFrame, t
     found = best("q", "c", cand, "graph_id").unionByName(best("c", "q", query, "query_id"))
     return found.groupBy("query_id", "graph_id", "q", "c").agg(F.max("weight").alias("weight"))
 
+
+
+def label_conflicts_of(pairs: DataFrame, compared: DataFrame, twin: float, chosen: float) -> DataFrame:
+    """The same of pairs as rows: query_id, graph_id, ms (array of q, c), q_ns and c_ns (arrays of node, label, conf)."""
+    both = ["query_id", "graph_id"]
+    node = lambda ns, n: F.get(F.filter(ns, lambda x: x["node"] == n), F.lit(0))
+    rows = pairs.select(*both, "q_ns", "c_ns", F.explode("ms").alias("m")).select(*both, "q_ns", "c_ns", node("q_ns", F.col("m.q")).alias("x"), node("c_ns", F.col("m.c")).alias("y"))
+    rows = rows.withColumns({"label_a": F.col("x.label"), "label_b": F.col("y.label")})
+    weak = lookup_join(rows, compared.select("label_a", "label_b", "fused"), ["label_a", "label_b"]).filter(F.col("fused") < chosen)
+    like = kept(compared.filter(F.col("surface") >= twin).select("label_a", "label_b", "surface"))
+    for mine, other in (("label_a", "label_b"), ("label_b", "label_a")):
+        listed = kept(like.groupBy(mine).agg(F.collect_list(F.struct(F.col(other).alias("label"), "surface")).alias(f"like_{mine}")))
+        weak = lookup_join(weak, listed, [mine], "left")
+
+    def best(key: str, others: str, held: str) -> Column:
+        of = lambda z: F.transform(F.filter(key, lambda l: l["label"] == z["label"]), lambda l: F.struct((-l["surface"]).alias("rank"), z["node"].alias("node"), z["conf"].alias("conf")))
+        return F.array_min(F.flatten(F.transform(F.filter(others, lambda z: z["node"] != F.col(held)), of)))
+
+    weak = weak.select(*both, "x", "y", best("like_label_a", "c_ns", "y.node").alias("of_x"), best("like_label_b", "q_ns", "x.node").alias("of_y"))
+    told = lambda q, c, mine, found: F.when(F.col(found).isNotNull(), F.struct(F.col(q).alias("q"), F.col(c).alias("c"), (F.least(mine, f"{found}.conf") * -F.col(f"{found}.rank")).alias("weight")))
+    each = weak.select(*both, F.explode(F.array(told("x.node", "of_x.node", "x.conf", "of_x"), told("of_y.node", "y.node", "y.conf", "of_y"))).alias("e")).filter("e is not null")
+    return each.groupBy(*both, "e.q", "e.c").agg(F.max("e.weight").alias("weight"))

@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from graphspan.llm import setjoin
-from graphspan.operators import extract, features, index, product, quality, totals
+from graphspan.functions import lexicon
+from graphspan.operators import consistency, extract, features, index, labels, product, quality, totals
 from graphspan.plans import graph_queries, product_queries, stream_queries, verify_queries
 from graphspan.sources import derived, storage
 from graphspan.sources.scratch import kept
@@ -167,3 +168,49 @@ def test_role_hints_need_no_orders(spark, tmp_path):
         assert {r["label"] for r in stream_queries.QUERIES["d8_role_hints"](spark, d).collect()} and not told
     finally:
         derived.order_lines = real
+
+
+def test_evidence_of_pairs_is_worked_out_in_their_rows(spark, tmp_path):
+    some = np.random.default_rng(17)
+    relations = [(g, k, int(some.integers(0, 5)), int(some.integers(0, 5)), ["causes", "prevents", None][min(2, int(some.integers(0, 9)) % 5)], "asserted", "actual", float(some.choice([0.5, 0.8, 1.0]))) for g in range(20) for k in range(9)]
+    mapping = [(g, g + 1, int(q), int(c)) for g in range(19) for q, c in zip(some.permutation(5)[:4], some.permutation(5)[:4], strict=True)]
+    stated = spark.createDataFrame(relations, "graph_id long, rel int, src int, dst int, type string, assertion string, modality string, conf double")
+    mapped = spark.createDataFrame(mapping, "query_id long, graph_id long, q int, c int")
+    es = stated.groupBy("graph_id").agg(F.collect_list(F.struct(*stated.columns[1:])).alias("es"))
+    pairs = mapped.groupBy("query_id", "graph_id").agg(F.collect_list(F.struct("q", "c")).alias("ms"))
+    pairs = pairs.join(es.select(F.col("graph_id").alias("query_id"), F.col("es").alias("q_es")), "query_id").join(es.withColumnRenamed("es", "c_es"), "graph_id")
+    rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    want, got = consistency.preserved(mapped, stated), consistency.preserved_of(pairs)
+    assert rows(got.select("query_id", "graph_id", F.explode("rels").alias("r")).select("query_id", "graph_id", "r.*")) == rows(want) and want.count()
+    assert rows(consistency.systematicity_of(got)) == rows(consistency.systematicity(want))
+    assert _shuffles(verify_queries.QUERIES["k19_systematicity"](spark, _orders(spark, tmp_path))) <= 3
+
+
+def test_likeness_of_neighbours_is_worked_out_in_their_rows(spark, tmp_path):
+    d = _orders(spark, tmp_path)
+    nodes, _, refs = verify_queries._tables(spark, d)
+    pairs, mapping = verify_queries._neighbours(nodes)
+    compared = verify_queries._compared(spark, d)
+    fits = verify_queries.verify.role_fit(F.col("role"), F.col("role_c"))
+    want = labels.node_affinity(pairs, nodes, refs, compared, fits, verify_queries.AFFINITY).groupBy("query_id", "graph_id").agg(F.count("*"), F.round(F.sum("affinity") + 1e-9, 4), F.round(F.max("affinity") + 1e-9, 6))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = verify_queries.QUERIES["g5_affinity"](spark, d)
+    assert _shuffles(got) <= 3
+    assert rows(got) == rows(want) and want.count()
+    packed = derived.beside(derived.graphs(derived.order_lines(spark, d), "label", "conf")).select("query_id", "graph_id", verify_queries._placed().alias("ms"), "q_ns", "c_ns")
+    for twin, chosen in ((0.8, 0.4), (0.3, 0.9)):
+        conflicts = labels.label_conflicts(kept(mapping), nodes, compared, twin, chosen)
+        assert rows(labels.label_conflicts_of(packed, compared, twin, chosen)) == rows(conflicts) and conflicts.count()
+    assert _shuffles(verify_queries.QUERIES["k16_label_identity"](spark, d)) <= 4
+
+
+def test_concept_keys_are_made_in_a_graph_s_row(spark, tmp_path):
+    d = _orders(spark, tmp_path)
+    nodes, relations, classes, concepts = stream_queries._concepts(spark, d)
+    related = lexicon.relatedness(spark)
+    want = features.concept_fingerprints(features.paths(features.adjacency(nodes, relations), 2), nodes, classes, related)
+    wide = kept(lexicon.widened(concepts, related))
+    got = features.concept_keys_of(derived.graphs(derived.order_lines(spark, d).join(wide, "label"), "classes"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(got.select("graph_id", F.explode("keys").alias("k")).select("graph_id", "k.*")) == rows(want) and want.count()
+    assert _shuffles(stream_queries.QUERIES["f7_concept_fingerprints"](spark, d)) == 1
