@@ -3,13 +3,14 @@
 import pickle
 from collections import Counter
 from fractions import Fraction
+from itertools import permutations
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from graphspan.llm import setjoin
 from graphspan.functions import lexicon
-from graphspan.operators import consistency, extract, features, index, labels, product, quality, totals
+from graphspan.operators import consistency, extract, features, index, kernel, labels, product, quality, totals
 from graphspan.plans import graph_queries, product_queries, stream_queries, verify_queries
 from graphspan.sources import derived, storage
 from graphspan.sources.scratch import kept
@@ -214,3 +215,38 @@ def test_concept_keys_are_made_in_a_graph_s_row(spark, tmp_path):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(got.select("graph_id", F.explode("keys").alias("k")).select("graph_id", "k.*")) == rows(want) and want.count()
     assert _shuffles(stream_queries.QUERIES["f7_concept_fingerprints"](spark, d)) == 1
+
+
+def test_starts_that_end_in_one_mapping_are_adjudicated_once(monkeypatch):
+    some = np.random.default_rng(2)
+    for n, m in ((1, 1), (3, 5), (5, 5)):
+        cost = some.random((n, m))
+        got = kernel.assignment(cost)
+        assert np.isclose(sum(cost[i, j] for i, j in enumerate(got)), min(sum(cost[i, j] for i, j in enumerate(p)) for p in permutations(range(m), n))) and len(set(got)) == n
+    calls, real = [], kernel.adjudicate
+    monkeypatch.setattr(kernel, "adjudicate", lambda a, b, pairs, *rest: calls.append(tuple(pairs)) or real(a, b, pairs, *rest))
+    graph = kernel.Graph([(f"part {k}", "state", 1.0, True) for k in range(4)], [(k, k + 1, "causes", 1.0, "asserted", "actual") for k in range(3)])
+    assert kernel.verify(graph, graph)[0] == [(k, k) for k in range(4)]
+    assert len(calls) == len(set(calls))
+
+
+def test_standing_is_worked_out_in_a_side_s_row(spark, tmp_path):
+    d = _orders(spark, tmp_path)
+    lines = derived.order_lines(spark, d)
+    label, ends = {}, {}
+    for r in derived.nodes(lines).collect():
+        label[r["graph_id"], r["node"]] = r["label"]
+    for r in derived.relations(lines).collect():
+        ends.setdefault(r["graph_id"], set()).add((label[r["graph_id"], r["src"]], label[r["graph_id"], r["dst"]], r["type"], r["assertion"]))
+    graphs = sorted({g for g, _ in label}) + [99]
+    sides = [(0, a, a, b, b) for a in graphs for b in graphs if a != b]
+    want = {}
+    for _, a, _, b, _ in sides:
+        mine, theirs = ({x for (g, _), x in label.items() if g == k} for k in (a, b))
+        met = [(x, y) for x in ends.get(a, ()) for y in ends.get(b, ()) if x[:3] == y[:3]]
+        want[a, b] = len(mine & theirs), sum(x == y for x, y in met), sum(x != y for x, y in met), len(mine - theirs), len(theirs - mine)
+    given = spark.createDataFrame(sides, "topic long, viewer long, mine long, author long, theirs long")
+    for got in (product.topic_standing(given, derived.nodes(lines), derived.relations(lines)), product.topic_standing_of(given, derived.graphs(lines, "label"))):
+        assert {(r["viewer"], r["author"]): tuple(r)[3:] for r in got.collect()} == want
+    assert any(x[1] for x in want.values()) or any(x[2] for x in want.values())
+    assert _shuffles(product.topic_standing_of(given, derived.graphs(lines, "label"))) <= 6
