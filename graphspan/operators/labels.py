@@ -2,8 +2,8 @@
 
 ``features`` gives each distinct label its stems, its trigrams and its classes once.  ``compare`` holds given pairs against each
 other.  ``twins`` finds all pairs whose surface reaches a threshold without looking at all pairs: a label is looked up by its
-rarest stems and trigrams alone, as many as two labels of that likeness must share one of, and labels of too different sizes
-never meet.  ``best_twin`` keeps the best of them for each label.
+rarest stems and trigrams alone, as many as two labels of that likeness must share one of, and labels that meet are told apart by
+short sketches before anything is written of them.  ``best_twin`` keeps the best of them for each label.
 """
 
 from __future__ import annotations
@@ -69,37 +69,57 @@ def encoder_relatedness(pairs: DataFrame, vectors: DataFrame, scale: float = 1.0
     return rows.select("label_a", "label_b", text.rescale(scale * F.abs(cosine) if scale != 1.0 else cosine).alias("relatedness")).filter("relatedness > 0")
 
 
+def _sketched(known: DataFrame) -> DataFrame:
+    """known with stem_bits and gram_bits: every stem, and every occurrence of a trigram, turns one of 128 bits over, so two labels'
+    bits differ in no more places than their sets or counts do."""
+
+    def bits(items: Column) -> Column:
+        place = F.transform(items, lambda x: F.pmod(F.xxhash64(x), F.lit(128)).cast("int"))
+        half = lambda low: F.aggregate(place, F.lit(0).cast("long"), lambda s, p: F.when((p >= low) & (p < low + 64), s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), p - low))).otherwise(s))
+        return F.struct(half(0).alias("low"), half(64).alias("high"))
+
+    each = F.flatten(F.transform("grams", lambda g: F.transform(F.sequence(F.lit(1), g["n"].cast("int")), lambda i: F.struct(g["item"].alias("item"), i.alias("i")))))
+    return known.withColumns({"stem_bits": bits(F.col("stems")), "gram_bits": bits(each)})
+
+
 def _prefix(known: DataFrame, kind: str, least: float) -> DataFrame:
-    """label, item, size: the items that a label is looked up by, the rarest first.  Stems: two sets of a Jaccard of ``least``
+    """label, item, size, bits: the items that a label is looked up by, the rarest first.  Stems: two sets of a Jaccard of ``least``
     share one of the first n - ceil(least * n) + 1.  Trigrams: the items up to which what is left has a norm of ``least`` times
     the whole, so that without a common one among them no cosine of that size is left."""
     if kind == "stems":
-        items = known.select("label", F.size("stems").cast("double").alias("size"), F.explode("stems").alias("item")).withColumn("n", F.lit(1.0))
+        items = known.select("label", F.size("stems").cast("double").alias("size"), F.col("stem_bits").alias("bits"), F.explode("stems").alias("item")).withColumn("n", F.lit(1.0))
     else:
-        items = known.select("label", F.col("norm").alias("size"), F.explode("grams").alias("g")).select("label", "size", "g.item", "g.n")
+        items = known.select("label", F.col("norm").alias("size"), F.col("gram_bits").alias("bits"), F.explode("grams").alias("g")).select("label", "size", "bits", "g.item", "g.n")
     counted = lookup_join(items, kept(items.groupBy("item").agg(F.count("*").alias("df"))), ["item"])
     rare = Window.partitionBy("label").orderBy("df", "item")
     if kind == "stems":
         ranked = counted.withColumn("place", F.row_number().over(rare))
-        return ranked.filter(F.col("place") <= F.col("size") - F.ceil(least * F.col("size") - SLACK) + 1).select("label", "item", "size")
+        return ranked.filter(F.col("place") <= F.col("size") - F.ceil(least * F.col("size") - SLACK) + 1).select("label", "item", "size", "bits")
     before = F.coalesce(F.sum(F.col("n") * F.col("n")).over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return counted.withColumn("rest", F.sqrt(F.greatest(F.lit(0.0), F.col("size") * F.col("size") - before))).filter(F.col("rest") >= (least - SLACK) * F.col("size")).select("label", "item", "size")
+    return counted.withColumn("rest", F.sqrt(F.greatest(F.lit(0.0), F.col("size") * F.col("size") - before))).filter(F.col("rest") >= (least - SLACK) * F.col("size")).select("label", "item", "size", "bits")
+
+
+def _met(rows: DataFrame, differ: Column) -> DataFrame:
+    """label_a, label_b of rows (label, item, size, bits) that share an item and whose bits differ in at most ``differ`` (of size_a,
+    size_b) places.  Pairs are judged where they meet; those that can't be alike are never shuffled or written."""
+    a, b = (rows.select(F.col("label").alias(f"label_{s}"), "item", F.col("size").alias(f"size_{s}"), F.col("bits.low").alias(f"low_{s}"), F.col("bits.high").alias(f"high_{s}")) for s in "ab")
+    apart = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b")))
+    return a.join(b.hint("merge"), "item").filter((apart <= differ + 1e-6) & (F.col("label_a") < F.col("label_b"))).select("label_a", "label_b").distinct()
 
 
 def twins(known: DataFrame, least: float = 0.8) -> DataFrame:
-    """label_a, label_b, surface: all ordered pairs of different labels whose surface is at least ``least`` (above 0.425)."""
+    """label_a, label_b, surface: all ordered pairs of different labels whose surface is at least ``least`` (above 0.425).
+
+    Two sets of a Jaccard of t differ in (1 - t) / (1 + t) of their sizes at most; counts of norms A and B with a cosine of t in
+    A^2 + B^2 - 2 t A B at most, as whole numbers are no greater than their squares."""
     if least <= 0.425:
         raise ValueError("trigrams say too little up to a surface of 0.425")
-    by_stem, by_gram = kept(_prefix(known, "stems", least)), kept(_prefix(known, "grams", least / 0.85) if least <= 0.85 else _prefix(known.limit(0), "grams", 1.0))
-    met = []
-    for rows in (by_stem, by_gram):
-        a = rows.select(F.col("label").alias("label_a"), "item", F.col("size").alias("size_a"))
-        b = rows.select(F.col("label").alias("label_b"), "item", F.col("size").alias("size_b"))
-        pairs = a.join(b, "item").filter("label_a < label_b")
-        if rows is by_stem:
-            pairs = pairs.filter(F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - SLACK)
-        met.append(pairs.select("label_a", "label_b").distinct())
-    found = _surface(_sides(kept(met[0].unionByName(met[1]).distinct()), known, ["stems", "grams", "norm"])).filter(F.col("surface") >= least - SLACK).select("label_a", "label_b", "surface")
+    known = kept(_sketched(known))
+    x, y = F.col("size_a"), F.col("size_b")
+    met = _met(kept(_prefix(known, "stems", least)), (x + y) * ((1 - least) / (1 + least)))
+    if least <= 0.85:
+        met = met.unionByName(_met(kept(_prefix(known, "grams", least / 0.85)), x * x + y * y - 2 * (least / 0.85) * x * y)).distinct()
+    found = _surface(_sides(kept(met), known, ["stems", "grams", "norm"])).filter(F.col("surface") >= least - SLACK).select("label_a", "label_b", "surface")
     found = kept(found)
     return found.unionByName(found.select(F.col("label_b").alias("label_a"), F.col("label_a").alias("label_b"), "surface"))
 

@@ -123,7 +123,7 @@ def g7_part_twins(spark, d):
 def g7_opening_twins(spark, d):
     """Documents' openings, six words each, with the likest other opening."""
     opening = F.array_join(F.slice(text.split_words(F.col("text")), 1, 6), " ")
-    labels = _docs(spark, d).select(opening.alias("label")).filter("label <> ''").distinct()
+    labels = kept(_docs(spark, d).select(opening.alias("label")).distinct()).filter("label <> ''")  # texts are read once
     return label_ops.best_twin(label_ops.twins(kept(label_ops.features(labels)))).select("label", "twin", F.round("surface", 6).alias("surface"))
 
 

@@ -147,3 +147,14 @@ def test_shapes_tell_what_all_rounds_tell(spark):
 
     want = {g: brute(g) for g in graphs}
     assert all((got[a] == got[b]) == (want[a] == want[b]) for a in graphs for b in graphs)
+
+
+def test_twins_write_no_pairs_of_unlike_labels(spark, monkeypatch):
+    """Labels of few words share their rarest stems and trigrams with very many others; what is fetched for them is the like ones."""
+    some, pairs, real = random.Random(3), [], labels._sides
+    words = ["".join(some.choice("abcdefgh") for _ in range(5)) for _ in range(30)]
+    rows = sorted({" ".join(some.sample(words, 6)) for _ in range(300)} | {" ".join(words[:6]), " ".join(words[:5]) + f" {words[5]}x"})
+    monkeypatch.setattr(labels, "_sides", lambda met, *a: pairs.append(met.count()) or real(met, *a))
+    found = labels.twins(labels.features(spark.createDataFrame([(x,) for x in rows], "label string"))).collect()
+    assert {" ".join(words[:6]), " ".join(words[:5]) + f" {words[5]}x"} <= {r["label_a"] for r in found}
+    assert pairs[0] < 300
