@@ -32,7 +32,7 @@ def _label_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def d1_split_words(spark, d):
     words = text.split_words(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.size(words).cast("long").alias("n"), F.element_at(words, 1).alias("first"), F.element_at(words, -1).alias("last"))
+    return _docs(spark, d).select("doc_id", F.size(words).cast("long").alias("n"), F.try_element_at(words, F.lit(1)).alias("first"), F.try_element_at(words, F.lit(-1)).alias("last"))
 
 
 def d2_stems(spark, d):
