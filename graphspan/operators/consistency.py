@@ -1,10 +1,13 @@
 """Whole-mapping evidence by joins: contradictions of projected ends, and how connected preserved relations are.
 
 Pairs may be very many; everything is keyed by (query_id, graph_id) and a node or relation, and no list of a pair's relations is made.
+Functions named ``..._of`` take pairs of graphs as rows, whose relations are short lists, and shuffle nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,9 +54,9 @@ def preserved(mapping: DataFrame, relations: DataFrame) -> DataFrame:
     return met.select(*PAIR, "rel", "src", "dst", F.least("conf", "c_conf").alias("weight"))
 
 
-def preserved_of(rows: DataFrame) -> DataFrame:
-    """query_id, graph_id, rels (array of rel, src, dst, weight): the same of pairs as rows, with ms (array of q, c), q_es and c_es
-    (features.pack).  A pair's relations are short lists."""
+def told_of() -> tuple[Column, Column]:
+    """Of pairs as rows (see preserved_of), the relations of both sides between mapped nodes, in their order: arrays of e (rel, src, dst,
+    conf, key: its ends on the candidate's side, type, assertion, modality) and nth (how many before it have the same key)."""
     qs, cs = F.transform("ms", lambda m: m["q"]), F.transform("ms", lambda m: m["c"])
     fields = lambda e, a, b: F.struct(e["rel"].alias("rel"), e["src"].alias("src"), e["dst"].alias("dst"), e["conf"].alias("conf"), F.struct(a.alias("a"), b.alias("b"), e["type"].alias("type"), e["assertion"].alias("assertion"), e["modality"].alias("modality")).alias("key"))
     at = lambda n: F.get(cs, (F.array_position(qs, n) - 1).cast("int"))
@@ -62,12 +65,45 @@ def preserved_of(rows: DataFrame) -> DataFrame:
     told = lambda es: let(F.sort_array(es), nth)
     q = told(F.transform(there(qs, F.col("q_es")), lambda e: fields(e, at(e["src"]), at(e["dst"]))))
     c = told(F.transform(there(cs, F.col("c_es")), lambda e: fields(e, e["src"], e["dst"])))
-    said = lambda e: e["key"]["type"].isNotNull() & e["key"]["assertion"].isNotNull() & e["key"]["modality"].isNotNull()
-    met = lambda x, c: F.filter(c, lambda y: (y["e"]["key"] == x["e"]["key"]) & (y["nth"] == x["nth"]) & said(x["e"]))
+    return q, c
+
+
+def alike(x: Column, y: Column) -> Column:
+    """Whether relations of both sides (told_of) are equal and so matched."""
+    key = x["e"]["key"]
+    return (y["e"]["key"] == key) & (y["nth"] == x["nth"]) & key["type"].isNotNull() & key["assertion"].isNotNull() & key["modality"].isNotNull()
+
+
+def preserved_of(rows: DataFrame) -> DataFrame:
+    """query_id, graph_id, rels (array of rel, src, dst, weight): the same of pairs as rows, with ms (array of q, c), q_es and c_es
+    (features.pack).  A pair's relations are short lists."""
+    q, c = told_of()
+    met = lambda x, c: F.filter(c, lambda y: alike(x, y))
     found = lambda q, c: F.flatten(F.transform(q, lambda x: F.transform(met(x, c), lambda y: F.struct(x["e"]["rel"].alias("rel"), x["e"]["src"].alias("src"), x["e"]["dst"].alias("dst"), F.least(x["e"]["conf"], y["e"]["conf"]).alias("weight")))))
     return rows.select(*PAIR, let(q, lambda q: let(c, lambda c: found(q, c))).alias("rels"))
 
 
+def global_conflicts_of(rows: DataFrame) -> DataFrame:
+    """query_id, graph_id, found (array of q_rel, c_rel, weight): the same as global_conflicts, of pairs as rows (see preserved_of)."""
+    qs, cs = F.transform("ms", lambda m: m["q"]), F.transform("ms", lambda m: m["c"])
+    at = lambda n: F.get(cs, (F.array_position(qs, n) - 1).cast("int"))
+    view = lambda e, node, to, dir_: F.struct(F.struct(node.alias("node"), e["type"].alias("type"), F.lit(dir_).alias("dir")).alias("group"), to.alias("to"), e["rel"].alias("rel"), e["conf"].alias("conf"))
+
+    def seen(ids: Column, es: str, place: Callable[[Column], Column]) -> Column:
+        there = F.filter(es, lambda e: F.array_contains(ids, e["src"]) & F.array_contains(ids, e["dst"]) & e["type"].isNotNull())
+        return F.flatten(F.transform(there, lambda e: F.array(view(e, place(e["src"]), place(e["dst"]), "out"), view(e, place(e["dst"]), place(e["src"]), "in"))))
+
+    only = lambda xs, ys: F.filter(xs, lambda x: ~F.exists(ys, lambda y: (y["group"] == x["group"]) & (y["to"] == x["to"])))
+    first = lambda x, ys: F.array_min(F.transform(F.filter(ys, lambda y: y["group"] == x["group"]), lambda y: F.struct(y["rel"].alias("rel"), y["conf"].alias("conf"))))
+
+    def met(xs: Column, ys: Column) -> Column:
+        pairs = F.filter(F.transform(xs, lambda x: F.struct(x["rel"].alias("rel"), x["conf"].alias("conf"), first(x, ys).alias("c"))), lambda p: p["c"].isNotNull())
+        return F.array_distinct(F.transform(pairs, lambda p: F.struct(p["rel"].alias("q_rel"), p["c"]["rel"].alias("c_rel"), F.least(p["conf"], p["c"]["conf"]).alias("weight"))))
+
+    told = lambda q, c: let(only(q, c), lambda xs: let(only(c, q), lambda ys: met(xs, ys)))
+    return rows.select(*PAIR, let(seen(qs, "q_es", at), lambda q: let(seen(cs, "c_es", lambda n: n), lambda c: told(q, c))).alias("found"))
+
+
 def systematicity_of(kept_relations: DataFrame) -> DataFrame:
     """The same as systematicity, of preserved relations as rows (preserved_of)."""
     touches = lambda x, y: F.arrays_overlap(F.array(x["src"], x["dst"]), F.array(y["src"], y["dst"]))
