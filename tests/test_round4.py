@@ -98,3 +98,14 @@ def test_best_of_queries_are_those_of_all_pairs(spark, monkeypatch):
 def test_ranks_need_no_row_for_each_pair(spark):
     plan = graph_queries.i1_ranks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert "idf" not in plan  # content is worked out in blocks, so no join of terms is left
+
+
+def test_keysets_of_rows_are_those_of_fingerprints(spark):
+    nodes, relations, _, _ = _worlds(spark)
+    graphs = features.pack(nodes, relations)
+    told = lambda df: sorted((r["graph_id"], r["key"]) for r in df.collect())
+    want = told(features.keysets(features.fingerprints_of(graphs)))
+    assert told(features.keysets_of(graphs).withColumn("key", F.lower(F.hex("key")))) == want and len(want) > 200
+    assert told(features.keysets_of(graphs, 16).withColumn("key", F.lower(F.hex("key")))) == [(g, k[:32]) for g, k in want]
+    plan = features.keysets_of(graphs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == graphs._jdf.queryExecution().executedPlan().toString().count("Exchange")
